@@ -37,57 +37,71 @@ FACTOR_SCHEMA = T.StructType([
 # ---------------------------------------------------------------- L1
 
 def _batch_step(train: DataFrame, uf: DataFrame, pf: DataFrame, k: int,
-                gamma: float, lam: float, pf_rows: int, n_parts: int):
-    u = uf.select(F.col("id").alias("user"), F.col("f").alias("uf"))
-    p = broadcast_if_fits(pf.select(F.col("id").alias("product"), F.col("f").alias("pf")),
+                gamma: float, lam: float, pf_rows: int, n_parts: int, keys: list[str]):
+    u = uf.select(*keys, F.col("id").alias("user"), F.col("f").alias("uf"))
+    p = broadcast_if_fits(pf.select(*keys, F.col("id").alias("product"), F.col("f").alias("pf")),
                           pf_rows, factor_row_bytes(k))
-    j = (train.join(u, "user").join(p, "product")
-         .select("user", "product", "uf", "pf",
+    j = (train.join(u, keys + ["user"]).join(p, keys + ["product"])
+         .select(*keys, "user", "product", "uf", "pf",
                  (F.col("rating") - dot("uf", "pf", k)).alias("e")))
-    ug = j.groupBy("user").agg(*[F.avg(F.col("e") * F.col("pf")[i]).alias(f"g{i}") for i in range(k)])
-    pg = j.groupBy("product").agg(*[F.avg(F.col("e") * F.col("uf")[i]).alias(f"g{i}") for i in range(k)])
+    ug = j.groupBy(*keys, "user").agg(*[F.avg(F.col("e") * F.col("pf")[i]).alias(f"g{i}") for i in range(k)])
+    pg = j.groupBy(*keys, "product").agg(*[F.avg(F.col("e") * F.col("uf")[i]).alias(f"g{i}") for i in range(k)])
 
     def apply(old: DataFrame, grad: DataFrame, key: str) -> DataFrame:
-        m = old.join(grad.withColumnRenamed(key, "id"), "id", "left")
+        m = old.join(grad.withColumnRenamed(key, "id"), keys + ["id"], "left")
         f = F.col("f")
         new = F.array(*[F.when(F.col(f"g{i}").isNull(), f[i])
                         .otherwise(f[i] + F.lit(gamma) * (F.col(f"g{i}") - F.lit(lam) * f[i]))
                         for i in range(k)])
-        return m.select("id", new.alias("f"))
+        return m.select(*keys, "id", new.alias("f"))
 
-    new_u = materialize(apply(uf, ug, "user").repartition(n_parts, "id"))
+    new_u = materialize(apply(uf, ug, "user").repartition(n_parts, *keys, "id"))
     new_p = materialize(apply(pf, pg, "product"))
     return new_u, new_p
 
 
 def batch_gd(train: DataFrame, k: int, epochs: int, gamma: float, lam: float,
              uf: DataFrame | None = None, pf: DataFrame | None = None,
-             implicit: bool = False, num_partitions: int | None = None):
+             implicit: bool = False, num_partitions: int | None = None,
+             keys: list[str] | None = None):
     """L1: ``epochs`` full-batch steps with the mean gradient per id.
 
+    ``keys`` trains independent models side by side (e.g. one per
+    evaluation round): factor tables are then keyed by (*keys, id).
+
     Plan per epoch: ratings (hash-partitioned by user once) join the user
     table co-partitioned on id (no exchange of the ratings), the product
     table is broadcast when its exact size fits (else shuffle join with
     AQE skew splitting); both gradients are partial+final aggregations.
     Returns (uf, pf) factor tables."""
     spark = train.sparkSession
+    keys = list(keys or [])
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    tr = materialize(train.select(F.col("user").cast("long").alias("user"),
+    tr = materialize(train.select(*keys, F.col("user").cast("long").alias("user"),
                                   F.col("product").cast("long").alias("product"),
                                   F.col("rating").cast("double").alias("rating"))
-                     .repartition(n, "user"))
+                     .repartition(n, *keys, "user"))
     if uf is None:
-        uf = init_factors(tr, "user", k, "user", implicit)
+        uf = _init_keyed(tr, "user", k, "user", implicit, keys)
     if pf is None:
-        pf = init_factors(tr, "product", k, "product", implicit)
-    uf = materialize(uf.repartition(n, "id"))
+        pf = _init_keyed(tr, "product", k, "product", implicit, keys)
+    uf = materialize(uf.repartition(n, *keys, "id"))
     pf = materialize(pf)
     pf_rows = pf.count()
     for _ in range(epochs):
-        uf, pf = _batch_step(tr, uf, pf, k, gamma, lam, pf_rows, n)
+        uf, pf = _batch_step(tr, uf, pf, k, gamma, lam, pf_rows, n, keys)
     return uf, pf
 
 
+def _init_keyed(tr: DataFrame, col: str, k: int, side: str, implicit: bool, keys: list[str]):
+    if not keys:
+        return init_factors(tr, col, k, side, implicit)
+    from factorcast.functions.vectors import init_product_factor, init_user_factor
+    make = init_user_factor if side == "user" else init_product_factor
+    d = tr.select(*keys, F.col(col).alias("id")).distinct()
+    return d.select(*keys, "id", make("id", k, implicit).alias("f"))
+
+
 # ---------------------------------------------------------------- numpy kernel
 
 def sgd_sequence(users: np.ndarray, products: np.ndarray, ratings: np.ndarray,

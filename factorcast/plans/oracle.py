@@ -66,31 +66,46 @@ def init_table(source: str, id_col: str, k: int, salt: int, scale: float) -> str
 
 
 def batch_gd_ctes(train: str, k: int, epochs: int, gamma: float, lam: float,
-                  implicit: bool = False) -> tuple[list[str], str, str]:
-    """CTEs unrolling L1; returns (ctes, final user table, final product table)."""
+                  implicit: bool = False, keys: list[str] | None = None,
+                  prefix: str = "") -> tuple[list[str], str, str]:
+    """CTEs unrolling L1; returns (ctes, final user table, final product table).
+
+    ``keys`` trains one model per key value (factor tables keyed by keys + id)."""
+    keys = list(keys or [])
     scale = config.SCALE_IMPLICIT if implicit else config.SCALE_EXPLICIT
-    ctes = [
-        f"u0 AS ({init_table(train, chr(34) + 'user' + chr(34), k, config.USER_SALT, scale)})",
-        f"p0 AS ({init_table(train, 'product', k, config.PRODUCT_SALT, scale)})",
-    ]
+    kc = "".join(f"{c}, " for c in keys)
+
+    def on(a, b, col_a, col_b):
+        return " AND ".join([f"{a}.{c} = {b}.{c}" for c in keys] + [f"{a}.{col_a} = {b}.{col_b}"])
+
+    def init(col, salt):
+        cols = ", ".join(f"{init_expr('id', j, k, salt, scale)} AS f{j}" for j in range(k))
+        return (f"SELECT {kc}id, {cols} FROM (SELECT DISTINCT {kc}CAST({col} AS BIGINT) AS id "
+                f"FROM {train})")
+    P = prefix
+    ctes = [f"{P}u0 AS ({init(chr(34) + 'user' + chr(34), config.USER_SALT)})",
+            f"{P}p0 AS ({init('product', config.PRODUCT_SALT)})"]
     g, lm = dbl(gamma), dbl(lam)
+    tk = "".join(f"t.{c}, " for c in keys)
     for t in range(1, epochs + 1):
         dot = " + ".join(f"u.f{j} * p.f{j}" for j in range(k))
         ctes.append(
-            f"j{t} AS (SELECT t.\"user\", t.product, {factor_cols('u', 'uf', k)}, "
+            f"{P}j{t} AS (SELECT {tk}t.\"user\", t.product, {factor_cols('u', 'uf', k)}, "
             f"{factor_cols('p', 'pf', k)}, t.rating - ({dot}) AS e "
-            f"FROM {train} t JOIN u{t-1} u ON t.\"user\" = u.id JOIN p{t-1} p ON t.product = p.id)")
+            f"FROM {train} t JOIN {P}u{t-1} u ON {on('t', 'u', chr(34) + 'user' + chr(34), 'id')} "
+            f"JOIN {P}p{t-1} p ON {on('t', 'p', 'product', 'id')})")
         ug = ", ".join(f"avg(e * pf{j}) AS g{j}" for j in range(k))
         pg = ", ".join(f"avg(e * uf{j}) AS g{j}" for j in range(k))
-        ctes.append(f"ug{t} AS (SELECT \"user\" AS id, {ug} FROM j{t} GROUP BY \"user\")")
-        ctes.append(f"pg{t} AS (SELECT product AS id, {pg} FROM j{t} GROUP BY product)")
+        ctes.append(f"{P}ug{t} AS (SELECT {kc}\"user\" AS id, {ug} FROM {P}j{t} GROUP BY {kc}\"user\")")
+        ctes.append(f"{P}pg{t} AS (SELECT {kc}product AS id, {pg} FROM {P}j{t} GROUP BY {kc}product)")
+        ak = "".join(f"a.{c}, " for c in keys)
         for side in ("u", "p"):
             upd = ", ".join(
                 f"CASE WHEN g.id IS NULL THEN a.f{j} ELSE a.f{j} + {g} * (g.g{j} - {lm} * a.f{j}) END AS f{j}"
                 for j in range(k))
-            ctes.append(f"{side}{t} AS (SELECT a.id, {upd} FROM {side}{t-1} a "
-                        f"LEFT JOIN {side}g{t} g ON a.id = g.id)")
-    return ctes, f"u{epochs}", f"p{epochs}"
+            ctes.append(f"{P}{side}{t} AS (SELECT {ak}a.id, {upd} FROM {P}{side}{t-1} a "
+                        f"LEFT JOIN {P}{side}g{t} g ON {on('a', 'g', 'id', 'id')})")
+    return ctes, f"{P}u{epochs}", f"{P}p{epochs}"
 
 
 def predict_select(pairs: str, ut: str, pt: str, k: int, extra: str = "") -> str:

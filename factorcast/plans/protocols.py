@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from factorcast import config
 from factorcast.operators.metrics import rmse
-from factorcast.operators.ordering import holdout_split
+from factorcast.functions.vectors import cold_start_prediction, is_cold
+from factorcast.operators.ordering import block_bounds, global_index, holdout_split, time_blocks
 from factorcast.operators.recommend import predict
 from factorcast.operators.train import batch_gd
 
@@ -23,3 +24,33 @@ def eval_holdout(ratings: DataFrame, key_cols: list[str], k: int = 8, epochs: in
     uf, pf = batch_gd(train, k, epochs, gamma, lam)
     pred = predict(test, uf, pf, k, pf_rows=pf.count())
     return rmse(pred).select("n", "unknown", "rmse")
+
+
+def eval_expanding(ratings: DataFrame, order_cols: list[str], k: int = 8, epochs: int = 2,
+                   gamma: float = 0.05, lam: float = 0.02,
+                   n_blocks: int = config.N_BLOCKS) -> DataFrame:
+    """For every round i = 1..n_blocks-1 a *fresh* model trained on
+    blocks [0, i) predicts block i.
+
+    All rounds train side by side as one keyed model (round is part of the
+    factor-table key): a rating of block b is offered to rounds b+1.. by
+    ``explode`` (no join), so the 49 retrains are T jobs instead of 49*T.
+    The replicated volume is what the protocol costs anyway (sum of
+    prefixes); returns (round, lo, hi, n, unknown, rmse)."""
+    spark = ratings.sparkSession
+    ix = global_index(ratings, order_cols)
+    n = ix.count()
+    b = time_blocks(ix, n, n_blocks=n_blocks).where(F.col("block").isNotNull())
+    train = (b.where(F.col("block") < n_blocks - 1)
+             .select(F.explode(F.sequence(F.col("block") + 1, F.lit(n_blocks - 1).cast("long"))).alias("round"),
+                     "user", "product", "rating"))
+    test = b.where(F.col("block") >= 1).select(F.col("block").alias("round"), "user", "product", "rating")
+    uf, pf = batch_gd(train, k, epochs, gamma, lam, keys=["round"])
+    u = uf.select("round", F.col("id").alias("user"), F.col("f").alias("uf"))
+    p = pf.select("round", F.col("id").alias("product"), F.col("f").alias("pf"))
+    pred = (test.join(u, ["round", "user"], "left").join(p, ["round", "product"], "left")
+            .withColumn("prediction", cold_start_prediction("uf", "pf", k))
+            .withColumn("is_cold", is_cold("uf", "pf")))
+    m = rmse(pred, group_cols=["round"])
+    edges = block_bounds(spark, n, n_blocks).withColumnRenamed("block", "round")
+    return m.join(F.broadcast(edges), "round").select("round", "lo", "hi", "n", "unknown", "rmse")
