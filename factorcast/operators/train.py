@@ -140,15 +140,60 @@ def init_vector(i: int, k: int, salt: int, scale: float) -> np.ndarray:
 
 # ---------------------------------------------------------------- L2 / L3 / L4
 
+BLOCK_OUT_SCHEMA = T.StructType([
+    T.StructField("side", T.StringType()),
+    T.StructField("id", T.LongType()),
+    T.StructField("f", T.ArrayType(T.DoubleType())),
+])
+
+
 def _block_of(col: str, d: int):
     return F.pmod(F.xxhash64(F.col(col).cast("long")), F.lit(d)).cast("int")
 
 
+def empty_factors(spark, keys: list[str] | None = None, key_types: dict | None = None) -> DataFrame:
+    fields = [T.StructField(c, (key_types or {}).get(c, T.LongType())) for c in (keys or [])]
+    return spark.createDataFrame([], T.StructType(fields + list(FACTOR_SCHEMA.fields)))
+
+
+def _block_kernel(k: int, gu: float, gi: float, lam: float, steps: int, scale: float,
+                  order_names: list[str], keys: list[str]):
+    out_fields = [T.StructField(c, T.LongType()) for c in keys] + list(BLOCK_OUT_SCHEMA.fields)
+    schema = T.StructType(out_fields)
+
+    def run_block(rows: pd.DataFrame, facs: pd.DataFrame) -> pd.DataFrame:
+        if rows.empty:
+            return pd.DataFrame({c: pd.Series(dtype="int64") for c in keys + ["id"]}
+                                | {"side": pd.Series(dtype="object"), "f": pd.Series(dtype="object")})[
+                [c.name for c in schema.fields]]
+        sort_cols = (["_key"] if "_key" in rows.columns else []) + order_names
+        if sort_cols:
+            rows = rows.sort_values(sort_cols, kind="mergesort")
+        ufac, pfac = {}, {}
+        for side, i, f in zip(facs["side"].tolist(), facs["id"].tolist(), facs["f"].tolist()):
+            (ufac if side == "u" else pfac)[int(i)] = np.asarray(f, dtype=np.float64)
+        sgd_sequence(rows["user"].to_numpy(np.int64), rows["product"].to_numpy(np.int64),
+                     rows["rating"].to_numpy(np.float64), ufac, pfac, steps, gu, gi, lam,
+                     lambda i: init_vector(i, k, config.USER_SALT, scale),
+                     lambda i: init_vector(i, k, config.PRODUCT_SALT, scale))
+        tu = sorted(set(rows["user"].tolist()))
+        tp = sorted(set(rows["product"].tolist()))
+        out = {"side": ["u"] * len(tu) + ["p"] * len(tp),
+               "id": tu + tp,
+               "f": [ufac[i].tolist() for i in tu] + [pfac[i].tolist() for i in tp]}
+        for c in keys:
+            out[c] = [int(rows[c].iloc[0])] * (len(tu) + len(tp))
+        return pd.DataFrame(out)[[f.name for f in schema.fields]]
+
+    return run_block, schema
+
+
 def block_sgd(train: DataFrame, k: int, epochs: int, gamma_u: float, gamma_i: float,
               lam: float, uf: DataFrame | None = None, pf: DataFrame | None = None,
               blocks: int = 4, order_cols: list[str] | None = None,
               steps_per_row: int = 1, shuffle: bool = True,
-              seed: int = config.SEED, implicit: bool = False):
+              seed: int = config.SEED, implicit: bool = False,
+              keys: list[str] | None = None):
     """L2: stratified SGD (Gemulla et al. 2011).
 
     Users and products are hashed into ``blocks`` groups each.  In stratum
@@ -156,73 +201,54 @@ def block_sgd(train: DataFrame, k: int, epochs: int, gamma_u: float, gamma_i: fl
     blocks are trained in parallel, one grouped-pandas task each, with the
     exact sequential update inside a block.  Rows of a block are visited
     in a per-epoch pseudo-random order (``shuffle``) or in ``order_cols``
-    order.  With blocks=1 this is plain sequential SGD.
+    order (stream order).  blocks=1 is plain sequential SGD.
 
-    ``uf``/``pf`` given: warm start; ids without a vector start from the
-    deterministic init.  Returns (uf, pf)."""
+    ``keys`` trains independent models side by side (factor tables keyed
+    by keys + id; the group of a task is keys + block).  ``uf``/``pf``
+    given: warm start; ids without a vector start from the deterministic
+    init.  Only vectors of ids present in a stratum travel to its tasks.
+    Returns (uf, pf)."""
     spark = train.sparkSession
+    keys = list(keys or [])
     d = max(1, int(blocks))
     scale = config.SCALE_IMPLICIT if implicit else config.SCALE_EXPLICIT
-    cols = ["user", "product", "rating"] + [c for c in (order_cols or []) if c not in ("user", "product", "rating")]
-    tr = train.select(*cols).withColumn("ub", _block_of("user", d)).withColumn("pb", _block_of("product", d))
-    if shuffle:
-        row_cols = order_cols or ["user", "product", "rating"]
-    tr = materialize(tr)
-    if uf is None:
-        uf = spark.createDataFrame([], FACTOR_SCHEMA)
-    if pf is None:
-        pf = spark.createDataFrame([], FACTOR_SCHEMA)
-    uf = materialize(uf.select("id", "f"))
-    pf = materialize(pf.select("id", "f"))
-
-    out_schema = T.StructType([
-        T.StructField("side", T.StringType()),
-        T.StructField("id", T.LongType()),
-        T.StructField("f", T.ArrayType(T.DoubleType())),
-    ])
-    order_names = list(order_cols or [])
-
-    def run_block(rows: pd.DataFrame, facs: pd.DataFrame) -> pd.DataFrame:
-        if rows.empty:
-            return pd.DataFrame({"side": [], "id": [], "f": []})
-        if "_key" in rows.columns:
-            rows = rows.sort_values(["_key"] + order_names, kind="mergesort")
-        elif order_names:
-            rows = rows.sort_values(order_names, kind="mergesort")
-        ufac, pfac = {}, {}
-        for side, i, f in zip(facs["side"].tolist(), facs["id"].tolist(), facs["f"].tolist()):
-            (ufac if side == "u" else pfac)[int(i)] = np.asarray(f, dtype=np.float64)
-        sgd_sequence(rows["user"].to_numpy(np.int64), rows["product"].to_numpy(np.int64),
-                     rows["rating"].to_numpy(np.float64), ufac, pfac, steps_per_row,
-                     gamma_u, gamma_i, lam,
-                     lambda i: init_vector(i, k, config.USER_SALT, scale),
-                     lambda i: init_vector(i, k, config.PRODUCT_SALT, scale))
-        touched_u = set(rows["user"].tolist())
-        touched_p = set(rows["product"].tolist())
-        sides = ["u"] * len(touched_u) + ["p"] * len(touched_p)
-        ids = list(touched_u) + list(touched_p)
-        vecs = [ufac[i].tolist() for i in touched_u] + [pfac[i].tolist() for i in touched_p]
-        return pd.DataFrame({"side": sides, "id": ids, "f": vecs})
+    order_names = [c for c in (order_cols or []) if c not in ("user", "product", "rating")]
+    tr = train.select(*keys, F.col("user").cast("long").alias("user"),
+                      F.col("product").cast("long").alias("product"),
+                      F.col("rating").cast("double").alias("rating"), *order_names)
+    tr = materialize(tr.withColumn("ub", _block_of("user", d)).withColumn("pb", _block_of("product", d)))
+    uf = materialize((uf if uf is not None else empty_factors(spark, keys)).select(*keys, "id", "f"))
+    pf = materialize((pf if pf is not None else empty_factors(spark, keys)).select(*keys, "id", "f"))
+    run_block, schema = _block_kernel(k, gamma_u, gamma_i, lam, steps_per_row, scale, order_names, keys)
+    row_cols = keys + (order_names or ["user", "product", "rating"])
 
     for epoch in range(epochs):
         ep = tr.withColumn("_key", shuffle_key(row_cols, seed, epoch)) if shuffle else tr
         for s in range(d):
             rows = ep.where(F.pmod(F.col("pb") - F.col("ub"), F.lit(d)) == s).withColumn("g", F.col("ub"))
-            fu = uf.select(F.lit("u").alias("side"), "id", "f", _block_of("id", d).alias("g"))
-            fp = pf.select(F.lit("p").alias("side"), "id", "f",
-                           F.pmod(_block_of("id", d) - F.lit(s), F.lit(d)).alias("g"))
-            # only the vectors of ids present in this stratum travel to the tasks
-            fu = fu.join(rows.select(F.col("user").alias("id")).distinct(), "id", "left_semi")
-            fp = fp.join(rows.select(F.col("product").alias("id")).distinct(), "id", "left_semi")
-            res = (rows.groupBy("g")
-                   .cogroup(fu.unionByName(fp).groupBy("g"))
-                   .applyInPandas(run_block, out_schema))
-            res = materialize(res)
-            uf = materialize(upsert(uf, res.where(F.col("side") == "u").select("id", "f")))
-            pf = materialize(upsert(pf, res.where(F.col("side") == "p").select("id", "f")))
+            ids_u = rows.select(*keys, F.col("user").alias("id")).distinct()
+            ids_p = rows.select(*keys, F.col("product").alias("id")).distinct()
+            fu = uf.join(ids_u, keys + ["id"], "left_semi").select(
+                *keys, F.lit("u").alias("side"), "id", "f", _block_of("id", d).alias("g"))
+            fp = pf.join(ids_p, keys + ["id"], "left_semi").select(
+                *keys, F.lit("p").alias("side"), "id", "f",
+                F.pmod(_block_of("id", d) - F.lit(s), F.lit(d)).alias("g"))
+            res = materialize(rows.groupBy(*keys, "g")
+                              .cogroup(fu.unionByName(fp).groupBy(*keys, "g"))
+                              .applyInPandas(run_block, schema))
+            uf = materialize(_upsert_keyed(uf, res.where(F.col("side") == "u"), keys))
+            pf = materialize(_upsert_keyed(pf, res.where(F.col("side") == "p"), keys))
     return uf, pf
 
 
+def _upsert_keyed(old: DataFrame, changed: DataFrame, keys: list[str]) -> DataFrame:
+    if not keys:
+        return upsert(old, changed)
+    ch = changed.select(*keys, "id", "f")
+    keep = old.join(ch.select(*keys, "id"), keys + ["id"], "left_anti")
+    return ch.unionByName(keep.select(*keys, "id", "f"))
+
+
 def distributed_sgd(train: DataFrame, k: int, epochs: int, gamma: float, lam: float,
                     blocks: int = 4, **kw):
     """L3: one learning rate for both sides over conflict-free strata (the
@@ -232,9 +258,93 @@ def distributed_sgd(train: DataFrame, k: int, epochs: int, gamma: float, lam: fl
 
 def online_update(batch: DataFrame, uf: DataFrame, pf: DataFrame, k: int,
                   steps: int, gamma_u: float, gamma_i: float, lam: float,
-                  order_cols: list[str], blocks: int = 1, implicit: bool = False):
+                  order_cols: list[str], blocks: int = 1, implicit: bool = False,
+                  keys: list[str] | None = None):
     """L4: learn a micro-batch of arrivals in stream order, ``steps``
     consecutive SGD steps per rating (no epoch shuffle)."""
     return block_sgd(batch, k, 1, gamma_u, gamma_i, lam, uf=uf, pf=pf, blocks=blocks,
                      order_cols=order_cols, steps_per_row=steps, shuffle=False,
-                     implicit=implicit)
+                     implicit=implicit, keys=keys)
+
+
+# ---------------------------------------------------------------- L5
+
+def last_k_replay(events: DataFrame, k: int, last_k: int, gamma_u: float, gamma_i: float,
+                  lam: float, uf: DataFrame | None = None, pf: DataFrame | None = None,
+                  idx: str = "idx", passes: int = config.REPLAY_PASSES, blocks: int = 1,
+                  buffers: DataFrame | None = None, implicit: bool = False):
+    """For each event (in ``idx`` order) the user's ``last_k`` newest
+    ratings, current included, are replayed newest to oldest ``passes``
+    times with one SGD step each.
+
+    The replay rows are generated declaratively (W5 buffer join + W6
+    explode) and learned in (idx, step) order; blocks=1 reproduces the
+    sequential semantics exactly, blocks>1 trades exact cross-user order
+    for parallel strata.  ``buffers`` may carry precomputed W5 rows for a
+    larger stream (events then selects which events replay)."""
+    from factorcast.operators.history import last_k_buffer, replay_sequence
+    if buffers is None:
+        buffers = last_k_buffer(events, last_k, idx)
+    else:
+        buffers = buffers.join(events.select(F.col(idx)), idx, "left_semi")
+    rp = replay_sequence(buffers, passes, idx)
+    rows = rp.select(F.col(idx).alias("_ev"), "step", "user",
+                     F.col("b_product").alias("product"), F.col("b_rating").alias("rating"))
+    return block_sgd(rows, k, 1, gamma_u, gamma_i, lam, uf=uf, pf=pf, blocks=blocks,
+                     order_cols=["_ev", "step"], shuffle=False, implicit=implicit)
+
+
+# ---------------------------------------------------------------- L6
+
+def user_fold_in(events: DataFrame, uf: DataFrame | None, pf: DataFrame, k: int,
+                 steps: int, gamma_u: float, lam: float, order_cols: list[str],
+                 implicit: bool = False, num_partitions: int | None = None) -> DataFrame:
+    """Exact per-user sequential update of the user vectors with the
+    product vectors frozen (as at the start of the batch).
+
+    Events are hash-partitioned by user and sorted by (user, order); the
+    ``mapInPandas`` scan carries one user's running vector across Arrow
+    batches, so a user with a huge history streams through one task with
+    bounded memory (their updates are inherently sequential).
+    Returns the updated user factor rows (users of ``events`` only)."""
+    spark = events.sparkSession
+    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    scale = config.SCALE_IMPLICIT if implicit else config.SCALE_EXPLICIT
+    p = pf.select(F.col("id").alias("product"), F.col("f").alias("pf"))
+    j = events.select(F.col("user").cast("long").alias("user"),
+                      F.col("product").cast("long").alias("product"),
+                      F.col("rating").cast("double").alias("rating"), *order_cols).join(p, "product", "left")
+    if uf is not None:
+        j = j.join(uf.select(F.col("id").alias("user"), F.col("f").alias("uf")), "user", "left")
+    else:
+        j = j.withColumn("uf", F.lit(None).cast(T.ArrayType(T.DoubleType())))
+    j = j.repartition(n, "user").sortWithinPartitions("user", *order_cols)
+
+    def fold(it):
+        cur, vec = None, None
+        out_ids, out_vecs = [], []
+        for pdf in it:
+            for u, pr, r, pv, uv in zip(pdf["user"].tolist(), pdf["product"].tolist(),
+                                        pdf["rating"].tolist(), pdf["pf"].tolist(), pdf["uf"].tolist()):
+                if u != cur:
+                    if cur is not None:
+                        out_ids.append(cur)
+                        out_vecs.append(vec.tolist())
+                    cur = u
+                    vec = (np.asarray(uv, dtype=np.float64) if uv is not None
+                           else init_vector(u, k, config.USER_SALT, scale))
+                pvec = (np.asarray(pv, dtype=np.float64) if pv is not None
+                        else init_vector(pr, k, config.PRODUCT_SALT, scale))
+                for _ in range(steps):
+                    e = r - _dot(vec, pvec)
+                    vec = vec + gamma_u * (e * pvec - lam * vec)
+            if len(out_ids) >= 4096:
+                yield pd.DataFrame({"id": out_ids, "f": out_vecs})
+                out_ids, out_vecs = [], []
+        if cur is not None:
+            out_ids.append(cur)
+            out_vecs.append(vec.tolist())
+        if out_ids:
+            yield pd.DataFrame({"id": out_ids, "f": out_vecs})
+
+    return j.mapInPandas(fold, FACTOR_SCHEMA)

@@ -23,6 +23,7 @@ from factorcast.operators import metrics as M
 from factorcast.operators import ordering as OR
 from factorcast.operators import recommend as RC
 from factorcast.operators.recall import recall_at_events
+from factorcast.operators import train as TR
 from factorcast.operators.train import batch_gd
 from factorcast.plans import oracle as O
 from factorcast.plans import protocols as P
@@ -714,3 +715,119 @@ def _expanding_sql():
 @register("eval_expanding", _expanding_sql())
 def q_eval_expanding(spark, sf):
     return rounded(P.eval_expanding(_ratings(spark, sf), S.RATINGS_ORDER, K, EPOCHS, GAMMA, LAMBDA))
+
+
+# ------------------------------------------------------------ learning (no SQL oracle: iterative / sequential)
+
+SGD_RATE = 0.01
+BLOCKS = 4
+
+
+@register("shuffle_epoch")
+def q_shuffle_epoch(spark, sf):
+    """Per-epoch pseudo-random visiting order (seeded, layout independent)."""
+    r = _ratings(spark, sf)
+    e = r.select(*KEYS, F.explode(F.array(F.lit(0), F.lit(1))).alias("epoch"))
+    return e.select(*KEYS, "epoch",
+                    F.xxhash64(F.lit(config.SEED), F.col("epoch"), *[F.col(c) for c in KEYS]).alias("key"))
+
+
+@register("mf_block_sgd")
+def q_mf_block_sgd(spark, sf):
+    tr, _ = _train_test(spark, sf)
+    uf, pf = TR.block_sgd(tr, K, EPOCHS, SGD_RATE, SGD_RATE, LAMBDA, blocks=BLOCKS, order_cols=KEYS)
+    return rounded(_factor_out(uf, "user").unionByName(_factor_out(pf, "product")))
+
+
+@register("mf_distributed_sgd")
+def q_mf_distributed_sgd(spark, sf):
+    tr, _ = _train_test(spark, sf)
+    uf, pf = TR.distributed_sgd(tr, K, EPOCHS, SGD_RATE, LAMBDA, blocks=BLOCKS, order_cols=KEYS)
+    return rounded(_factor_out(uf, "user").unionByName(_factor_out(pf, "product")))
+
+
+@register("mf_online_update")
+def q_mf_online_update(spark, sf):
+    """L4 on the test split in stream order, from the train-split start vectors."""
+    r = OR.global_index(_split(spark, sf), S.RATINGS_ORDER)
+    tr, te = r.where(F.col("is_train")), r.where(~F.col("is_train"))
+    uf, pf = _init_from(tr)
+    uf, pf = TR.online_update(te, uf, pf, K, 2, SGD_RATE, SGD_RATE, LAMBDA, ["idx"])
+    return rounded(_factor_out(uf, "user").unionByName(_factor_out(pf, "product")))
+
+
+@register("mf_last_k_replay")
+def q_mf_last_k_replay(spark, sf):
+    fi = _feedback_indexed(spark, sf)
+    uf, pf = TR.last_k_replay(fi, K, LAST_K, SGD_RATE, SGD_RATE, LAMBDA, implicit=True)
+    return rounded(_factor_out(uf, "user").unionByName(_factor_out(pf, "product")))
+
+
+@register("user_fold_in")
+def q_user_fold_in(spark, sf):
+    fi = _feedback_indexed(spark, sf)
+    _, pf = _init_from(fi, implicit=True)
+    return rounded(_factor_out(TR.user_fold_in(fi, None, pf, K, 1, SGD_RATE, LAMBDA, ["idx"],
+                                               implicit=True)))
+
+
+@register("als_baseline")
+def q_als_baseline(spark, sf):
+    """Spark ML ALS as an independent quality yardstick (cold rows at 3.5)."""
+    from pyspark.ml.recommendation import ALS
+    tr, te = _train_test(spark, sf)
+    cast = [F.col("user").cast("int").alias("user"), F.col("product").cast("int").alias("product"),
+            F.col("rating").cast("float").alias("rating")]
+    model = ALS(rank=K, maxIter=5, regParam=0.1, userCol="user", itemCol="product",
+                ratingCol="rating", seed=config.SEED % (2 ** 31), coldStartStrategy="nan"
+                ).fit(tr.select(*cast))
+    pred = model.transform(te.select(*cast))
+    pred = pred.withColumn("is_cold", F.isnan("prediction")).withColumn(
+        "prediction", F.when(F.isnan("prediction"), F.lit(config.COLD_START))
+        .otherwise(F.col("prediction").cast("double")))
+    return rounded(M.rmse(pred.withColumn("rating", F.col("rating").cast("double"))))
+
+
+@register("eval_holdout_distributed")
+def q_eval_holdout_distributed(spark, sf):
+    return rounded(P.eval_holdout_distributed(_ratings(spark, sf), S.RATINGS_HASH_KEY, K, EPOCHS,
+                                              SGD_RATE, LAMBDA, blocks=BLOCKS))
+
+
+@register("eval_expanding_online")
+def q_eval_expanding_online(spark, sf):
+    return rounded(P.eval_expanding_online(_ratings(spark, sf), S.RATINGS_ORDER, K, 1, SGD_RATE,
+                                           SGD_RATE, LAMBDA, sub_batches=2))
+
+
+@register("eval_prequential")
+def q_eval_prequential(spark, sf):
+    r = _ratings(spark, sf)
+    return rounded(P.eval_prequential(r, S.RATINGS_ORDER, K, 1, SGD_RATE, SGD_RATE, LAMBDA,
+                                      batch_rows=_stream_batch(spark, sf), round_rows=ROUND_ROWS * 5))
+
+
+@register("eval_prequential_last_k")
+def q_eval_prequential_last_k(spark, sf):
+    r = _ratings(spark, sf)
+    return rounded(P.eval_prequential_last_k(r, S.RATINGS_ORDER, K, LAST_K, SGD_RATE, SGD_RATE, LAMBDA,
+                                             batch_rows=_stream_batch(spark, sf),
+                                             round_rows=ROUND_ROWS * 5))
+
+
+@register("eval_prequential_recall")
+def q_eval_prequential_recall(spark, sf):
+    fb = S.feedback(spark, sf)
+    n = fb.count()
+    samples = P.eval_prequential_recall(fb, S.FEEDBACK_ORDER, K, 1, SGD_RATE, SGD_RATE, LAMBDA, r=TOP_R,
+                                        batch_rows=max(1, -(-n // STREAM_BATCHES)))
+    return rounded(P.recall_metrics(samples))
+
+
+STREAM_BATCHES = 6
+
+
+def _stream_batch(spark, sf):
+    """Micro-batch size: the stream is consumed in STREAM_BATCHES steps."""
+    n = S.ratings(spark, sf).count()
+    return max(1, -(-n // STREAM_BATCHES))

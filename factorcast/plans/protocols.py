@@ -6,11 +6,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factorcast import config
-from factorcast.operators.metrics import rmse
+from factorcast.operators.history import drop_not_applicable, first_last, last_k_buffer
+from factorcast.operators.metrics import rmse, round_metric
+from factorcast.operators.recall import recall_at_events
+from factorcast.session import materialize
 from factorcast.functions.vectors import cold_start_prediction, is_cold
 from factorcast.operators.ordering import block_bounds, global_index, holdout_split, time_blocks
 from factorcast.operators.recommend import predict
-from factorcast.operators.train import batch_gd
+from factorcast.operators.train import (batch_gd, block_sgd, distributed_sgd, empty_factors,
+                                        last_k_replay, online_update)
 
 
 def eval_holdout(ratings: DataFrame, key_cols: list[str], k: int = 8, epochs: int = 2,
@@ -54,3 +58,171 @@ def eval_expanding(ratings: DataFrame, order_cols: list[str], k: int = 8, epochs
     m = rmse(pred, group_cols=["round"])
     edges = block_bounds(spark, n, n_blocks).withColumnRenamed("block", "round")
     return m.join(F.broadcast(edges), "round").select("round", "lo", "hi", "n", "unknown", "rmse")
+
+
+# ---------------------------------------------------------------- online protocols
+
+def _metrics(pred: DataFrame, t_col: str, round_rows: int) -> DataFrame:
+    """Overall (round NULL) + full rounds of ``round_rows`` rows of t_col."""
+    overall = rmse(pred).select(F.lit(None).cast("long").alias("round"), "n", "unknown", "rmse")
+    rounds = (pred.withColumn("round", F.floor(F.col(t_col) / F.lit(round_rows)).cast("long") + 1)
+              .groupBy("round")
+              .agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("is_cold").cast("long")).alias("unknown"),
+                   F.sqrt(F.avg((F.col("rating") - F.col("prediction")) ** 2)).alias("rmse"))
+              .where(F.col("n") == round_rows))
+    return overall.unionByName(rounds)
+
+
+def _union(frames: list[DataFrame]) -> DataFrame:
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f)
+    return out
+
+
+def eval_holdout_distributed(ratings: DataFrame, key_cols: list[str], k: int = 8, epochs: int = 2,
+                             gamma: float = 0.01, lam: float = 0.02, blocks: int = 4,
+                             seed: int = config.SEED,
+                             train_fraction: float = config.TRAIN_FRACTION) -> DataFrame:
+    """Hash split, conflict-free distributed SGD (one rate), predictions
+    joined back on (user, product) (duplicate pairs multiply, as the pair
+    join does), (count, sum) aggregate -> (n, total, rmse)."""
+    split = holdout_split(ratings, key_cols, seed, train_fraction)
+    train = split.where(F.col("is_train"))
+    test = split.where(~F.col("is_train")).select("user", "product", "rating")
+    uf, pf = distributed_sgd(train, k, epochs, gamma, lam, blocks=blocks, seed=seed,
+                             order_cols=key_cols)
+    pred = predict(test.select("user", "product"), uf, pf, k)
+    j = test.join(pred, ["user", "product"])
+    se = (F.col("rating") - F.col("prediction")) ** 2
+    return j.agg(F.count(F.lit(1)).alias("n"), F.sum(se).alias("total"),
+                 F.sqrt(F.sum(se) / F.count(F.lit(1))).alias("rmse"))
+
+
+def _batches(lo: int, hi: int, batch_rows: int):
+    b = max(1, int(batch_rows))
+    return [(s, min(s + b, hi)) for s in range(lo, hi, b)]
+
+
+def eval_prequential(ratings: DataFrame, order_cols: list[str], k: int = 8, steps: int = 1,
+                     gamma_u: float = 0.01, gamma_i: float = 0.01, lam: float = 0.02,
+                     batch_rows: int = 10000, round_rows: int = config.PREQUENTIAL_ROUND,
+                     n_blocks: int = config.N_BLOCKS, blocks: int = 1,
+                     seed: int = config.SEED) -> DataFrame:
+    """E5: warm up on block 0 (T shuffled epochs), then predict-then-learn
+    over the rest in stream order, one micro-batch of ``batch_rows`` at a
+    time (each batch is scored with the factors learned before it, then
+    learned with T consecutive steps per rating).  Returns metrics rows
+    (round NULL = overall)."""
+    ix = global_index(ratings, order_cols)
+    n = ix.count()
+    warm_end = int(n / float(n_blocks) * 1)
+    warm = ix.where(F.col("idx") < warm_end)
+    uf, pf = block_sgd(warm, k, steps, gamma_u, gamma_i, lam, blocks=blocks,
+                       order_cols=["idx"], shuffle=True, seed=seed)
+    preds = []
+    for lo, hi in _batches(warm_end, n, batch_rows):
+        b = ix.where((F.col("idx") >= lo) & (F.col("idx") < hi))
+        preds.append(materialize(predict(b.select("idx", "user", "product", "rating"), uf, pf, k)))
+        uf, pf = online_update(b, uf, pf, k, steps, gamma_u, gamma_i, lam, ["idx"], blocks=blocks)
+    pred = _union(preds).withColumn("t", F.col("idx") - F.lit(warm_end))
+    return _metrics(pred, "t", round_rows)
+
+
+def eval_prequential_last_k(ratings: DataFrame, order_cols: list[str], k: int = 8,
+                            last_k: int = 5, gamma_u: float = 0.01, gamma_i: float = 0.01,
+                            lam: float = 0.02, batch_rows: int = 10000,
+                            round_rows: int = config.PREQUENTIAL_ROUND,
+                            n_blocks: int = config.N_BLOCKS, blocks: int = 1) -> DataFrame:
+    """As E5 with last-K replay learning; the warm-up is one ordered
+    pass (no epochs, no shuffle).  Buffers are built once for the whole
+    stream (they do not depend on the factors)."""
+    ix = global_index(ratings, order_cols)
+    n = ix.count()
+    warm_end = int(n / float(n_blocks) * 1)
+    buffers = materialize(last_k_buffer(ix, last_k))
+    uf, pf = last_k_replay(ix.where(F.col("idx") < warm_end), k, last_k, gamma_u, gamma_i, lam,
+                           buffers=buffers, blocks=blocks)
+    preds = []
+    for lo, hi in _batches(warm_end, n, batch_rows):
+        b = ix.where((F.col("idx") >= lo) & (F.col("idx") < hi))
+        preds.append(materialize(predict(b.select("idx", "user", "product", "rating"), uf, pf, k)))
+        uf, pf = last_k_replay(b, k, last_k, gamma_u, gamma_i, lam, uf=uf, pf=pf,
+                               buffers=buffers, blocks=blocks)
+    pred = _union(preds).withColumn("t", F.col("idx") - F.lit(warm_end))
+    return _metrics(pred, "t", round_rows)
+
+
+def eval_expanding_online(ratings: DataFrame, order_cols: list[str], k: int = 8, steps: int = 1,
+                          gamma_u: float = 0.01, gamma_i: float = 0.01, lam: float = 0.02,
+                          n_blocks: int = config.N_BLOCKS, sub_batches: int = 4,
+                          blocks: int = 1, seed: int = config.SEED) -> DataFrame:
+    """E3 with predict-then-learn inside every test block.
+
+    All rounds are keyed models trained in the same jobs (fresh model per
+    round on blocks [0, i), T shuffled epochs); each test block is then
+    consumed in ``sub_batches`` stream-ordered micro-batches, the j-th
+    micro-batch of every round in one pass.  Returns (round, lo, hi, n,
+    unknown, rmse)."""
+    spark = ratings.sparkSession
+    ix = global_index(ratings, order_cols)
+    n = ix.count()
+    b = time_blocks(ix, n, n_blocks=n_blocks).where(F.col("block").isNotNull())
+    train = (b.where(F.col("block") < n_blocks - 1)
+             .select(F.explode(F.sequence(F.col("block") + 1, F.lit(n_blocks - 1).cast("long"))).alias("round"),
+                     "idx", "user", "product", "rating"))
+    uf, pf = block_sgd(train, k, steps, gamma_u, gamma_i, lam, blocks=blocks, order_cols=["idx"],
+                       shuffle=True, seed=seed, keys=["round"])
+    edges = block_bounds(spark, n, n_blocks).withColumnRenamed("block", "round")
+    test = (b.where(F.col("block") >= 1).withColumnRenamed("block", "round")
+            .join(F.broadcast(edges), "round")
+            .withColumn("sub", F.floor((F.col("idx") - F.col("lo")) * float(sub_batches)
+                                       / (F.col("hi") - F.col("lo"))).cast("long")))
+    test = materialize(test.select("round", "sub", "idx", "user", "product", "rating"))
+    preds = []
+    for j in range(sub_batches):
+        bt = test.where(F.col("sub") == j)
+        u = uf.select("round", F.col("id").alias("user"), F.col("f").alias("uf"))
+        p = pf.select("round", F.col("id").alias("product"), F.col("f").alias("pf"))
+        pr = (bt.join(u, ["round", "user"], "left").join(p, ["round", "product"], "left")
+              .withColumn("prediction", cold_start_prediction("uf", "pf", k))
+              .withColumn("is_cold", is_cold("uf", "pf")).drop("uf", "pf"))
+        preds.append(materialize(pr))
+        uf, pf = online_update(bt, uf, pf, k, steps, gamma_u, gamma_i, lam, ["idx"],
+                               blocks=blocks, keys=["round"])
+    m = rmse(_union(preds), group_cols=["round"])
+    return m.join(F.broadcast(edges), "round").select("round", "lo", "hi", "n", "unknown", "rmse")
+
+
+def eval_prequential_recall(feedback: DataFrame, order_cols: list[str], k: int = 8,
+                            steps: int = 1, gamma_u: float = 0.01, gamma_i: float = 0.01,
+                            lam: float = 0.02, r: int = 10, batch_rows: int = 2000,
+                            round_rows: int = config.RECALL_ROUND) -> DataFrame:
+    """For each event recall@R with the factors learned so far (the
+    catalogue is the products learned so far), *then* learn it; no
+    warm-up.  Micro-batched in stream order.  Returns the per-event
+    samples (idx, user, hits, n_future, recall); aggregate with
+    ``recall_metrics``."""
+    spark = feedback.sparkSession
+    ix = global_index(feedback, order_cols)
+    n = ix.count()
+    fl = materialize(first_last(ix.select("idx", "user", "product", "rating"), "idx"))
+    uf, pf = empty_factors(spark), empty_factors(spark)
+    out = []
+    for lo, hi in _batches(0, n, batch_rows):
+        rec = recall_at_events(ix, uf, pf, k, r, fl=fl, lo=lo, hi=hi)
+        out.append(materialize(rec))
+        b = ix.where((F.col("idx") >= lo) & (F.col("idx") < hi))
+        uf, pf = online_update(b, uf, pf, k, steps, gamma_u, gamma_i, lam, ["idx"], implicit=True)
+    return _union(out)
+
+
+def recall_metrics(samples: DataFrame, round_rows: int = config.RECALL_ROUND) -> DataFrame:
+    """A5 + A6 over kept samples: overall (round NULL) and per full round
+    of ``round_rows`` kept samples (index counted after dropping)."""
+    kept = drop_not_applicable(samples)
+    overall = kept.agg(F.count(F.lit(1)).alias("n"), F.avg("recall").alias("recall")).select(
+        F.lit(None).cast("long").alias("round"), "n", "recall")
+    kix = global_index(kept, ["idx"], idx="k")
+    rounds = round_metric(kix, "k", round_rows, F.avg("recall"), "recall").select("round", "n", "recall")
+    return overall.unionByName(rounds)
