@@ -831,3 +831,40 @@ def _stream_batch(spark, sf):
     """Micro-batch size: the stream is consumed in STREAM_BATCHES steps."""
     n = S.ratings(spark, sf).count()
     return max(1, -(-n // STREAM_BATCHES))
+
+
+# ------------------------------------------------------------ streaming
+
+from factorcast.streaming import online as ST  # noqa: E402
+
+
+def _staged(spark, sf, df, n_batches=STREAM_BATCHES, start=0):
+    n = df.count()
+    size = max(1, -(-(n - start) // n_batches))
+    bounds = [(lo, min(lo + size, n)) for lo in range(start, n, size)]
+    root = ST.stage_stream(df, "idx", bounds, SK.scratch_path(spark, "stream-src"))
+    return ST.read_stream(spark, root, df.schema)
+
+
+@register("stream_prequential")
+def q_stream_prequential(spark, sf):
+    ix = OR.global_index(_ratings(spark, sf), S.RATINGS_ORDER).select("idx", "user", "product", "rating")
+    n = ix.count()
+    warm_end = int(n / float(config.N_BLOCKS))
+    uf, pf = TR.block_sgd(ix.where(F.col("idx") < warm_end), K, 1, SGD_RATE, SGD_RATE, LAMBDA,
+                          blocks=1, order_cols=["idx"])
+    stream = _staged(spark, sf, ix, start=warm_end)
+    return rounded(ST.stream_prequential(stream, uf, pf, K, 1, SGD_RATE, SGD_RATE, LAMBDA))
+
+
+@register("stream_last_k", ORACLE["last_k_buffer"])
+def q_stream_last_k(spark, sf):
+    fi = _feedback_indexed(spark, sf).select("idx", "user", "product", "rating")
+    out = ST.stream_last_k(_staged(spark, sf, fi), LAST_K)
+    return out.select("idx", "pos", "b_idx", "b_product", "b_rating")
+
+
+@register("stream_recommend")
+def q_stream_recommend(spark, sf):
+    fi = _feedback_indexed(spark, sf).select("idx", "user", "product", "rating")
+    return ST.stream_recommend(_staged(spark, sf, fi), K, 1, SGD_RATE, SGD_RATE, LAMBDA, TOP_R)
