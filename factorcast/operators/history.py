@@ -52,7 +52,7 @@ def history_counts(df: DataFrame, idx: str = "idx",
     fl = first_last(df, idx)
     d = df.join(fl, ["user", "product"])
     d = d.withColumn("_first", (F.col(idx) == F.col("first_idx")).cast("int"))
-    d = d.withColumn("_lastpos", (F.col(idx) == F.col("last_pos_idx")).cast("int"))
+    d = d.withColumn("_lastpos", F.coalesce((F.col(idx) == F.col("last_pos_idx")).cast("int"), F.lit(0)))
     d = d.withColumn("_one", F.lit(1))
     d = count_before(d, "user", idx, "_first", "n_past", chunk_rows=chunk_rows)
     d = count_before(d, "user", idx, "_lastpos", "_lp_before", chunk_rows=chunk_rows)

@@ -68,12 +68,13 @@ def time_blocks(df: DataFrame, n_rows: int, idx: str = "idx",
                 n_blocks: int = config.N_BLOCKS, out: str = "block") -> DataFrame:
     """Block number of each row, blocks [edge(b), edge(b+1)).
 
-    Computed arithmetically (no join): a first guess from idx * n_blocks / n,
-    corrected by one step against the exact edges.  Rows beyond
-    edge(n_blocks) get a NULL block."""
+    Computed arithmetically (no join): the block is the largest b with
+    edge(b) <= idx, i.e. ceil((idx + 1) * n_blocks / n) - 1 (exact when
+    blocks are empty, n < n_blocks), corrected by one step against the
+    exact double-arithmetic edges.  Rows beyond edge(n_blocks) get NULL."""
     i = F.col(idx)
     guess = F.least(F.greatest(
-        F.floor(i.cast("double") * float(n_blocks) / float(max(n_rows, 1))).cast("long"),
+        F.ceil((i + 1).cast("double") * float(n_blocks) / float(max(n_rows, 1))).cast("long") - 1,
         F.lit(0)), F.lit(n_blocks - 1))
     up = F.when(block_edge(n_rows, guess + 1, n_blocks) <= i, guess + 1)
     down = F.when(block_edge(n_rows, guess, n_blocks) > i, guess - 1)
@@ -134,14 +135,15 @@ def count_before(df: DataFrame, part: str, idx: str, flag: str, out: str,
     totals are prefix-summed per key (a table of at most one row per
     chunk), then a window inside each (key, chunk) adds the local count.
     A key holding a third of all rows is spread over many chunk tasks."""
-    d = df.withColumn("_chunk", F.floor(F.col(idx) / F.lit(chunk_rows)).cast("long"))
-    totals = d.groupBy(part, "_chunk").agg(F.sum(F.col(flag).cast("long")).alias("_t"))
+    d = (df.withColumn("_chunk", F.floor(F.col(idx) / F.lit(chunk_rows)).cast("long"))
+           .withColumn("_v", F.coalesce(F.col(flag).cast("long"), F.lit(0))))
+    totals = d.groupBy(part, "_chunk").agg(F.sum("_v").alias("_t"))
     offs = totals.select(
         part, "_chunk",
         (F.sum("_t").over(Window.partitionBy(part).orderBy("_chunk")) - F.col("_t")).alias("_off"))
     end = Window.currentRow if inclusive else -1
     w = Window.partitionBy(part, "_chunk").orderBy(idx).rowsBetween(Window.unboundedPreceding, end)
-    local = F.coalesce(F.sum(F.col(flag).cast("long")).over(w), F.lit(0))
+    local = F.coalesce(F.sum("_v").over(w), F.lit(0))
     return (d.join(offs, [part, "_chunk"])
             .withColumn(out, (F.col("_off") + local).cast("long"))
-            .drop("_chunk", "_off"))
+            .drop("_chunk", "_off", "_v"))

@@ -108,7 +108,7 @@ def eval_prequential(ratings: DataFrame, order_cols: list[str], k: int = 8, step
                      gamma_u: float = 0.01, gamma_i: float = 0.01, lam: float = 0.02,
                      batch_rows: int = 10000, round_rows: int = config.PREQUENTIAL_ROUND,
                      n_blocks: int = config.N_BLOCKS, blocks: int = 1,
-                     seed: int = config.SEED) -> DataFrame:
+                     seed: int = config.SEED, shuffle_warmup: bool = True) -> DataFrame:
     """E5: warm up on block 0 (T shuffled epochs), then predict-then-learn
     over the rest in stream order, one micro-batch of ``batch_rows`` at a
     time (each batch is scored with the factors learned before it, then
@@ -119,7 +119,7 @@ def eval_prequential(ratings: DataFrame, order_cols: list[str], k: int = 8, step
     warm_end = int(n / float(n_blocks) * 1)
     warm = ix.where(F.col("idx") < warm_end)
     uf, pf = block_sgd(warm, k, steps, gamma_u, gamma_i, lam, blocks=blocks,
-                       order_cols=["idx"], shuffle=True, seed=seed)
+                       order_cols=["idx"], shuffle=shuffle_warmup, seed=seed)
     preds = []
     for lo, hi in _batches(warm_end, n, batch_rows):
         b = ix.where((F.col("idx") >= lo) & (F.col("idx") < hi))
