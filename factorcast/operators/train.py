@@ -44,19 +44,30 @@ def _batch_step(train: DataFrame, uf: DataFrame, pf: DataFrame, k: int,
     j = (train.join(u, keys + ["user"]).join(p, keys + ["product"])
          .select(*keys, "user", "product", "uf", "pf",
                  (F.col("rating") - dot("uf", "pf", k)).alias("e")))
-    ug = j.groupBy(*keys, "user").agg(*[F.avg(F.col("e") * F.col("pf")[i]).alias(f"g{i}") for i in range(k)])
-    pg = j.groupBy(*keys, "product").agg(*[F.avg(F.col("e") * F.col("uf")[i]).alias(f"g{i}") for i in range(k)])
-
-    def apply(old: DataFrame, grad: DataFrame, key: str) -> DataFrame:
-        m = old.join(grad.withColumnRenamed(key, "id"), keys + ["id"], "left")
+    # one pass over the ratings emits both sides' gradient rows; a single
+    # partial+final aggregation then averages them per (side, id)
+    e = F.col("e")
+    both = F.explode(F.array(
+        F.struct(F.lit("u").alias("side"), F.col("user").alias("id"),
+                 F.array(*[e * F.col("pf")[i] for i in range(k)]).alias("g")),
+        F.struct(F.lit("p").alias("side"), F.col("product").alias("id"),
+                 F.array(*[e * F.col("uf")[i] for i in range(k)]).alias("g"))))
+    rows = j.select(*keys, both.alias("r")).select(*keys, "r.side", "r.id", "r.g")
+    grads = materialize(rows.groupBy(*keys, "side", "id").agg(
+        *[F.avg(F.col("g")[i]).alias(f"g{i}") for i in range(k)]))
+
+    def apply(old: DataFrame, side: str) -> DataFrame:
+        g = grads.where(F.col("side") == side).drop("side")
+        m = old.join(g, keys + ["id"], "left")
         f = F.col("f")
         new = F.array(*[F.when(F.col(f"g{i}").isNull(), f[i])
                         .otherwise(f[i] + F.lit(gamma) * (F.col(f"g{i}") - F.lit(lam) * f[i]))
                         for i in range(k)])
         return m.select(*keys, "id", new.alias("f"))
 
-    new_u = materialize(apply(uf, ug, "user").repartition(n_parts, *keys, "id"))
-    new_p = materialize(apply(pf, pg, "product"))
+    new_u = materialize(apply(uf, "u").repartition(n_parts, *keys, "id")
+                        .sortWithinPartitions(*keys, "id"), keep_partitioning=True)
+    new_p = materialize(apply(pf, "p"))
     return new_u, new_p
 
 
@@ -77,15 +88,17 @@ def batch_gd(train: DataFrame, k: int, epochs: int, gamma: float, lam: float,
     spark = train.sparkSession
     keys = list(keys or [])
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    tr = materialize(train.select(*keys, F.col("user").cast("long").alias("user"),
-                                  F.col("product").cast("long").alias("product"),
-                                  F.col("rating").cast("double").alias("rating"))
-                     .repartition(n, *keys, "user"))
+    tr = train.select(*keys, F.col("user").cast("long").alias("user"),
+                      F.col("product").cast("long").alias("product"),
+                      F.col("rating").cast("double").alias("rating"))
+    tr = materialize(tr.repartition(n, *keys, "user").sortWithinPartitions(*keys, "user"),
+                     keep_partitioning=True)
     if uf is None:
         uf = _init_keyed(tr, "user", k, "user", implicit, keys)
     if pf is None:
         pf = _init_keyed(tr, "product", k, "product", implicit, keys)
-    uf = materialize(uf.repartition(n, *keys, "id"))
+    uf = materialize(uf.repartition(n, *keys, "id").sortWithinPartitions(*keys, "id"),
+                     keep_partitioning=True)
     pf = materialize(pf)
     pf_rows = pf.count()
     for _ in range(epochs):

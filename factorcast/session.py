@@ -51,14 +51,24 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def materialize(df: DataFrame) -> DataFrame:
+def materialize(df: DataFrame, keep_partitioning: bool = False) -> DataFrame:
     """Cut lineage with a reliable checkpoint (survives executor loss).
 
-    The checkpointed plan keeps the output partitioning, so a frame
-    hash-partitioned before materializing still satisfies later
-    joins/aggregations on the same keys without a new exchange."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    ``keep_partitioning``: the checkpoint is planned without AQE, because an
+    adaptive plan reports UnknownPartitioning at checkpoint time; the
+    checkpointed frame then carries its hash partitioning, and later joins
+    or aggregations on the same keys (same partition count) need no
+    exchange of this side."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    if not keep_partitioning:
+        return df.checkpoint(eager=True)
+    prev = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return df.checkpoint(eager=True)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", prev)
 
 
 def broadcast_max_bytes(spark: SparkSession) -> int:
