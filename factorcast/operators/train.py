@@ -122,20 +122,69 @@ def sgd_sequence(users: np.ndarray, products: np.ndarray, ratings: np.ndarray,
                  lam: float, init_u, init_p) -> None:
     """Sequential SGD over rows in the given order, ``steps`` consecutive
     updates per row; vectors of unseen ids come from ``init_*``.  Mutates
-    the two dicts.  This is the only per-row loop: it runs inside one
-    block task on at most the rows of that block."""
-    for u, p, r in zip(users.tolist(), products.tolist(), ratings.tolist()):
-        uf = ufac.get(u)
-        if uf is None:
-            uf = init_u(u)
-        pf = pfac.get(p)
-        if pf is None:
-            pf = init_p(p)
+    the two dicts.
+
+    Exact wavefront form: a row depends on earlier rows only through its
+    user and its product, so row j goes to wave 1 + max(wave of the last
+    earlier row with the same user, same product).  Rows of one wave touch
+    distinct users and distinct products and are updated together with
+    numpy, producing bit-for-bit the sequential result (same operations,
+    same order per element).  Runs inside one block task."""
+    n = len(users)
+    if n == 0:
+        return
+    uids, uinv = np.unique(users, return_inverse=True)
+    pids, pinv = np.unique(products, return_inverse=True)
+    U = _gather(uids, ufac, init_u)
+    P = _gather(pids, pfac, init_p)
+    lu = [0] * len(uids)
+    lp = [0] * len(pids)
+    level = [0] * n
+    for j, (a, b) in enumerate(zip(uinv.tolist(), pinv.tolist())):
+        lv = lu[a] if lu[a] > lp[b] else lp[b]
+        level[j] = lv
+        lu[a] = lp[b] = lv + 1
+    level = np.asarray(level)
+    order = np.argsort(level, kind="stable")
+    bounds = np.searchsorted(level[order], np.arange(level.max() + 2))
+    k = U.shape[1]
+    for w in range(len(bounds) - 1):
+        rows = order[bounds[w]:bounds[w + 1]]
+        ua, pa, rr = uinv[rows], pinv[rows], ratings[rows]
+        uf, pf = U[ua], P[pa]
         for _ in range(steps):
-            e = r - _dot(uf, pf)
+            s = uf[:, 0] * pf[:, 0]
+            for c in range(1, k):
+                s = s + uf[:, c] * pf[:, c]
+            e = (rr - s)[:, None]
             uf, pf = uf + gu * (e * pf - lam * uf), pf + gi * (e * uf - lam * pf)
-        ufac[u] = uf
-        pfac[p] = pf
+        U[ua] = uf
+        P[pa] = pf
+    for i, v in zip(uids.tolist(), U):
+        ufac[i] = v
+    for i, v in zip(pids.tolist(), P):
+        pfac[i] = v
+
+
+def _gather(ids: np.ndarray, fac: dict, init) -> np.ndarray:
+    """Stack known vectors; start vectors of all missing ids in one call
+    (``init`` maps an id array to a matrix)."""
+    missing = np.asarray([i not in fac for i in ids.tolist()], dtype=bool)
+    fresh = init(ids[missing]) if missing.any() else None
+    k = fresh.shape[1] if fresh is not None else len(next(iter(fac.values())))
+    out = np.empty((len(ids), k))
+    if fresh is not None:
+        out[missing] = fresh
+    known = np.nonzero(~missing)[0]
+    if len(known):
+        out[known] = np.stack([fac[i] for i in ids[known].tolist()])
+    return out
+
+
+def init_matrix(ids: np.ndarray, k: int, salt: int, scale: float) -> np.ndarray:
+    j = np.arange(k, dtype=np.int64)[None, :]
+    x = (ids.astype(np.int64)[:, None] * config.INIT_ID_MULT + (j * config.INIT_J_MULT + salt)) % config.INIT_MOD
+    return np.sqrt(x / float(config.INIT_MOD) * scale / float(k))
 
 
 def _dot(a: np.ndarray, b: np.ndarray) -> float:
@@ -173,12 +222,11 @@ def _block_kernel(k: int, gu: float, gi: float, lam: float, steps: int, scale: f
                   order_names: list[str], keys: list[str]):
     out_fields = [T.StructField(c, T.LongType()) for c in keys] + list(BLOCK_OUT_SCHEMA.fields)
     schema = T.StructType(out_fields)
+    names = [f.name for f in schema.fields]
 
     def run_block(rows: pd.DataFrame, facs: pd.DataFrame) -> pd.DataFrame:
-        if rows.empty:
-            return pd.DataFrame({c: pd.Series(dtype="int64") for c in keys + ["id"]}
-                                | {"side": pd.Series(dtype="object"), "f": pd.Series(dtype="object")})[
-                [c.name for c in schema.fields]]
+        if rows.empty:                       # nothing to learn: vectors pass through
+            return facs[names] if not facs.empty else pd.DataFrame({c: [] for c in names})
         sort_cols = (["_key"] if "_key" in rows.columns else []) + order_names
         if sort_cols:
             rows = rows.sort_values(sort_cols, kind="mergesort")
@@ -187,71 +235,99 @@ def _block_kernel(k: int, gu: float, gi: float, lam: float, steps: int, scale: f
             (ufac if side == "u" else pfac)[int(i)] = np.asarray(f, dtype=np.float64)
         sgd_sequence(rows["user"].to_numpy(np.int64), rows["product"].to_numpy(np.int64),
                      rows["rating"].to_numpy(np.float64), ufac, pfac, steps, gu, gi, lam,
-                     lambda i: init_vector(i, k, config.USER_SALT, scale),
-                     lambda i: init_vector(i, k, config.PRODUCT_SALT, scale))
-        tu = sorted(set(rows["user"].tolist()))
-        tp = sorted(set(rows["product"].tolist()))
-        out = {"side": ["u"] * len(tu) + ["p"] * len(tp),
-               "id": tu + tp,
-               "f": [ufac[i].tolist() for i in tu] + [pfac[i].tolist() for i in tp]}
+                     lambda ids: init_matrix(ids, k, config.USER_SALT, scale),
+                     lambda ids: init_matrix(ids, k, config.PRODUCT_SALT, scale))
+        out = {"side": ["u"] * len(ufac) + ["p"] * len(pfac),
+               "id": list(ufac) + list(pfac),
+               "f": [v.tolist() for v in ufac.values()] + [v.tolist() for v in pfac.values()]}
         for c in keys:
-            out[c] = [int(rows[c].iloc[0])] * (len(tu) + len(tp))
-        return pd.DataFrame(out)[[f.name for f in schema.fields]]
+            out[c] = [int(rows[c].iloc[0])] * (len(ufac) + len(pfac))
+        return pd.DataFrame(out)[names]
 
     return run_block, schema
 
 
-def block_sgd(train: DataFrame, k: int, epochs: int, gamma_u: float, gamma_i: float,
-              lam: float, uf: DataFrame | None = None, pf: DataFrame | None = None,
-              blocks: int = 4, order_cols: list[str] | None = None,
-              steps_per_row: int = 1, shuffle: bool = True,
-              seed: int = config.SEED, implicit: bool = False,
-              keys: list[str] | None = None):
-    """L2: stratified SGD (Gemulla et al. 2011).
+def combine_factors(uf: DataFrame | None, pf: DataFrame | None, spark,
+                    keys: list[str] | None = None) -> DataFrame:
+    """(uf, pf) -> one factor table (keys, side, id, f), side 'u' / 'p'."""
+    keys = list(keys or [])
+    u = (uf if uf is not None else empty_factors(spark, keys)).select(*keys, F.lit("u").alias("side"), "id", "f")
+    p = (pf if pf is not None else empty_factors(spark, keys)).select(*keys, F.lit("p").alias("side"), "id", "f")
+    return u.unionByName(p)
 
-    Users and products are hashed into ``blocks`` groups each.  In stratum
-    s the blocks (b, (b+s) mod d) share no user and no product, so the d
-    blocks are trained in parallel, one grouped-pandas task each, with the
-    exact sequential update inside a block.  Rows of a block are visited
-    in a per-epoch pseudo-random order (``shuffle``) or in ``order_cols``
-    order (stream order).  blocks=1 is plain sequential SGD.
 
-    ``keys`` trains independent models side by side (factor tables keyed
-    by keys + id; the group of a task is keys + block).  ``uf``/``pf``
-    given: warm start; ids without a vector start from the deterministic
-    init.  Only vectors of ids present in a stratum travel to its tasks.
-    Returns (uf, pf)."""
+def split_factors(facs: DataFrame, keys: list[str] | None = None):
+    keys = list(keys or [])
+    return (facs.where(F.col("side") == "u").select(*keys, "id", "f"),
+            facs.where(F.col("side") == "p").select(*keys, "id", "f"))
+
+
+def block_sgd_table(train: DataFrame, facs: DataFrame, k: int, epochs: int, gamma_u: float,
+                    gamma_i: float, lam: float, blocks: int = 4,
+                    order_cols: list[str] | None = None, steps_per_row: int = 1,
+                    shuffle: bool = True, seed: int = config.SEED, implicit: bool = False,
+                    keys: list[str] | None = None) -> DataFrame:
+    """L2 on a combined factor table; returns the new combined table
+    (see ``block_sgd``)."""
     spark = train.sparkSession
     keys = list(keys or [])
     d = max(1, int(blocks))
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     scale = config.SCALE_IMPLICIT if implicit else config.SCALE_EXPLICIT
     order_names = [c for c in (order_cols or []) if c not in ("user", "product", "rating")]
     tr = train.select(*keys, F.col("user").cast("long").alias("user"),
                       F.col("product").cast("long").alias("product"),
                       F.col("rating").cast("double").alias("rating"), *order_names)
-    tr = materialize(tr.withColumn("ub", _block_of("user", d)).withColumn("pb", _block_of("product", d)))
-    uf = materialize((uf if uf is not None else empty_factors(spark, keys)).select(*keys, "id", "f"))
-    pf = materialize((pf if pf is not None else empty_factors(spark, keys)).select(*keys, "id", "f"))
+    tr = tr.withColumn("g", _block_of("user", d)).withColumn("pb", _block_of("product", d))
+    if d > 1 or epochs > 1:
+        # scanned once per stratum: pin it, partitioned by user block
+        tr = materialize(tr.repartition(n, *keys, "g"), keep_partitioning=True)
     run_block, schema = _block_kernel(k, gamma_u, gamma_i, lam, steps_per_row, scale, order_names, keys)
     row_cols = keys + (order_names or ["user", "product", "rating"])
-
+    facs = facs.select(*keys, "side", "id", "f")
     for epoch in range(epochs):
         ep = tr.withColumn("_key", shuffle_key(row_cols, seed, epoch)) if shuffle else tr
         for s in range(d):
-            rows = ep.where(F.pmod(F.col("pb") - F.col("ub"), F.lit(d)) == s).withColumn("g", F.col("ub"))
-            ids_u = rows.select(*keys, F.col("user").alias("id")).distinct()
-            ids_p = rows.select(*keys, F.col("product").alias("id")).distinct()
-            fu = uf.join(ids_u, keys + ["id"], "left_semi").select(
-                *keys, F.lit("u").alias("side"), "id", "f", _block_of("id", d).alias("g"))
-            fp = pf.join(ids_p, keys + ["id"], "left_semi").select(
-                *keys, F.lit("p").alias("side"), "id", "f",
-                F.pmod(_block_of("id", d) - F.lit(s), F.lit(d)).alias("g"))
-            res = materialize(rows.groupBy(*keys, "g")
-                              .cogroup(fu.unionByName(fp).groupBy(*keys, "g"))
-                              .applyInPandas(run_block, schema))
-            uf = materialize(_upsert_keyed(uf, res.where(F.col("side") == "u"), keys))
-            pf = materialize(_upsert_keyed(pf, res.where(F.col("side") == "p"), keys))
-    return uf, pf
+            rows = ep.where(F.pmod(F.col("pb") - F.col("g"), F.lit(d)) == s).drop("pb")
+            g = F.when(F.col("side") == "u", _block_of("id", d)).otherwise(
+                F.pmod(_block_of("id", d) - F.lit(s), F.lit(d)))
+            fr = facs.withColumn("g", g).repartition(n, *keys, "g")
+            facs = materialize(rows.groupBy(*keys, "g").cogroup(fr.groupBy(*keys, "g"))
+                               .applyInPandas(run_block, schema))
+    return facs
+
+
+def block_sgd(train: DataFrame, k: int, epochs: int, gamma_u: float, gamma_i: float,
+              lam: float, uf: DataFrame | None = None, pf: DataFrame | None = None,
+              blocks: int = 4, order_cols: list[str] | None = None,
+              steps_per_row: int = 1, shuffle: bool = True,
+              seed: int = config.SEED, implicit: bool = False,
+              keys: list[str] | None = None):
+    """L2: stratified SGD (Gemulla et al. 2011).
+
+    Users and products are hashed into ``blocks`` groups each.  In stratum
+    s the blocks (b, (b+s) mod d) share no user and no product, so the d
+    blocks are trained in parallel, one grouped-pandas task each, with the
+    exact sequential update inside a block (vectorized by dependency
+    waves, see ``sgd_sequence``).  Rows of a block are visited in a
+    per-epoch pseudo-random order (``shuffle``) or in ``order_cols`` order
+    (stream order).  blocks=1 is plain sequential SGD.
+
+    Data movement: the ratings are hash-partitioned by user block once
+    (checkpointed with that partitioning) and never move again; per
+    stratum only the factor table travels (users to their own block,
+    products rotated by s), and the kernel returns every vector it
+    received, so the result of a stratum is the complete new factor table
+    (one exchange + one checkpoint per stratum, no upsert joins).
+
+    ``keys`` trains independent models side by side (factor tables keyed
+    by keys + id; the group of a task is keys + block).  ``uf``/``pf``
+    given: warm start; ids without a vector start from the deterministic
+    init.  Returns (uf, pf)."""
+    facs = combine_factors(uf, pf, train.sparkSession, keys)
+    facs = block_sgd_table(train, facs, k, epochs, gamma_u, gamma_i, lam, blocks, order_cols,
+                           steps_per_row, shuffle, seed, implicit, keys)
+    return split_factors(facs, keys)
 
 
 def _upsert_keyed(old: DataFrame, changed: DataFrame, keys: list[str]) -> DataFrame:
