@@ -868,3 +868,24 @@ def q_stream_last_k(spark, sf):
 def q_stream_recommend(spark, sf):
     fi = _feedback_indexed(spark, sf).select("idx", "user", "product", "rating")
     return ST.stream_recommend(_staged(spark, sf, fi), K, 1, SGD_RATE, SGD_RATE, LAMBDA, TOP_R)
+
+
+# ------------------------------------------------------------ recommendation log (SNK3)
+
+from factorcast.operators.recall import future_at_events, recommendations_at_events  # noqa: E402
+
+
+@register("recommendation_log", W(SQL_E8 + [
+    f"rl AS (SELECT idx, string_agg(CAST(product AS VARCHAR), ',' ORDER BY rn) AS recommended "
+    f"FROM rk WHERE rn <= {TOP_R} GROUP BY idx)",
+    f"fu AS (SELECT e.idx, string_agg(CAST(fl.product AS VARCHAR), ',' ORDER BY fl.product) AS future "
+    f"FROM fi e JOIN fl ON fl.{QU} = e.{QU} AND fl.last_pos >= e.idx GROUP BY e.idx)"],
+    "SELECT fu.idx, rl.recommended, fu.future FROM fu LEFT JOIN rl ON rl.idx = fu.idx"))
+def q_recommendation_log(spark, sf):
+    fi = _feedback_indexed(spark, sf)
+    uf, pf = _init_from(fi, implicit=True)
+    recs = recommendations_at_events(fi, uf, pf, K, TOP_R)
+    fut = future_at_events(fi)
+    log = SK.recommendation_log(recs, fut).where(F.col("future").isNotNull())
+    return log.select("idx", F.array_join("recommended", ",").alias("recommended"),
+                      F.array_join("future", ",").alias("future"))

@@ -50,3 +50,28 @@ def test_recall_matches_bruteforce(spark):
             wh, wn, wr = want[i]
             assert (gh, gn) == (wh, wn), (i, got[i], want[i])
             assert (gr is None) == (wr is None) and (gr is None or abs(gr - wr) < 1e-12)
+
+
+def test_catalogue_blocks_equal_single_block(spark):
+    """Force the catalogue into many broadcast blocks: same ranks, recall, top-R."""
+    from factorcast.operators import recommend as RC
+    from factorcast.operators.ordering import global_index
+    from factorcast.sources import factors as FA
+    from factorcast.sources import tables as S
+    from conftest import SF001
+    fi = global_index(S.feedback(spark, SF001), S.FEEDBACK_ORDER)
+    uf = FA.init_factors(fi, "user", 8, "user", True)
+    pf = FA.init_factors(fi, "product", 8, "product", True)
+
+    def run():
+        rec = recall_at_events(fi, uf, pf, 8, 3).select("idx", "hits", "n_future").collect()
+        top = RC.recommend_top_r(uf, pf, 8, 3, seen=fi).select("user", "product", "rank").collect()
+        return sorted(map(tuple, rec)), sorted(map(tuple, top))
+
+    one = run()
+    spark.conf.set("factorcast.broadcastMaxBytes", "600")
+    try:
+        many = run()
+    finally:
+        spark.conf.unset("factorcast.broadcastMaxBytes")
+    assert one == many
