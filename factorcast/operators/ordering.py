@@ -96,14 +96,20 @@ def slice_rows(df: DataFrame, lo: int, hi: int, idx: str = "idx") -> DataFrame:
     return df.where((F.col(idx) >= lo) & (F.col(idx) < hi))
 
 
-def split_hash(key_cols: list[str], seed: int = config.SEED) -> Column:
-    """Deterministic, layout-independent bucket in [0, HASH_BUCKETS)."""
+def row_hash(key_cols: list, seed: int = config.SEED) -> Column:
+    """Deterministic, layout-independent hash in [0, HASH_PRIME): a
+    polynomial over the key columns mod a prime, then one multiplicative
+    mixing step.  Every intermediate fits a BIGINT, so SQL engines agree."""
     h = F.lit(seed % HASH_PRIME).cast("long")
     for c in key_cols:
-        h = F.pmod(h * HASH_STEP + F.pmod(F.col(c).cast("long"), F.lit(HASH_PRIME)),
-                   F.lit(HASH_PRIME))
-    h = F.pmod(h * HASH_MIX, F.lit(HASH_PRIME))
-    return F.pmod(h, F.lit(HASH_BUCKETS))
+        c = F.col(c) if isinstance(c, str) else c
+        h = F.pmod(h * HASH_STEP + F.pmod(c.cast("long"), F.lit(HASH_PRIME)), F.lit(HASH_PRIME))
+    return F.pmod(h * HASH_MIX, F.lit(HASH_PRIME))
+
+
+def split_hash(key_cols: list[str], seed: int = config.SEED) -> Column:
+    """Deterministic, layout-independent bucket in [0, HASH_BUCKETS)."""
+    return F.pmod(row_hash(key_cols, seed), F.lit(HASH_BUCKETS))
 
 
 def holdout_split(df: DataFrame, key_cols: list[str], seed: int = config.SEED,
@@ -115,9 +121,12 @@ def holdout_split(df: DataFrame, key_cols: list[str], seed: int = config.SEED,
     return df.withColumn(out, split_hash(key_cols, seed) < cut)
 
 
-def shuffle_key(row_cols: list[str], seed: int, epoch: int) -> Column:
-    """A fresh pseudo-random order per epoch (seeded, reproducible)."""
-    return F.xxhash64(F.lit(seed), F.lit(epoch), *[F.col(c) for c in row_cols])
+def shuffle_key(row_cols: list[str], seed: int, epoch) -> Column:
+    """A fresh pseudo-random visiting order per epoch (seeded,
+    reproducible, independent of partitioning); ties, if any, are broken
+    by the row columns."""
+    epoch = epoch if isinstance(epoch, Column) else F.lit(epoch)
+    return row_hash([epoch] + list(row_cols), seed)
 
 
 def rebalance(df: DataFrame, n: int | None = None, cols: list[str] | None = None) -> DataFrame:

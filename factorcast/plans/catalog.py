@@ -723,13 +723,14 @@ SGD_RATE = 0.01
 BLOCKS = 4
 
 
-@register("shuffle_epoch")
+@register("shuffle_epoch", W(SQL_R, "SELECT okey, line, product, supp, CAST(e.range AS BIGINT) AS epoch, "
+                                   f"{O.row_hash(['e.range', 'okey', 'line', 'product', 'supp'])} AS key "
+                                   "FROM r, range(0, 2) e"))
 def q_shuffle_epoch(spark, sf):
     """Per-epoch pseudo-random visiting order (seeded, layout independent)."""
     r = _ratings(spark, sf)
-    e = r.select(*KEYS, F.explode(F.array(F.lit(0), F.lit(1))).alias("epoch"))
-    return e.select(*KEYS, "epoch",
-                    F.xxhash64(F.lit(config.SEED), F.col("epoch"), *[F.col(c) for c in KEYS]).alias("key"))
+    e = r.select(*KEYS, F.explode(F.array(F.lit(0).cast("long"), F.lit(1).cast("long"))).alias("epoch"))
+    return e.select(*KEYS, "epoch", OR.shuffle_key(KEYS, config.SEED, F.col("epoch")).alias("key"))
 
 
 @register("mf_block_sgd")

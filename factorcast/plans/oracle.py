@@ -33,12 +33,16 @@ FEEDBACK = (
 )
 
 
-def split_hash(cols: list[str], seed: int = config.SEED) -> str:
+def row_hash(cols: list[str], seed: int = config.SEED) -> str:
     p = o.HASH_PRIME
     h = f"CAST({seed % p} AS BIGINT)"
     for c in cols:
         h = f"((({h}) * {o.HASH_STEP} + ((CAST({c} AS BIGINT) % {p}) + {p}) % {p}) % {p})"
-    return f"((({h}) * {o.HASH_MIX}) % {p}) % {o.HASH_BUCKETS}"
+    return f"((({h}) * {o.HASH_MIX}) % {p})"
+
+
+def split_hash(cols: list[str], seed: int = config.SEED) -> str:
+    return f"{row_hash(cols, seed)} % {o.HASH_BUCKETS}"
 
 
 def split_flag(cols: list[str], seed: int = config.SEED,
