@@ -36,12 +36,21 @@ FACTOR_SCHEMA = T.StructType([
 
 # ---------------------------------------------------------------- L1
 
-def _batch_step(train: DataFrame, uf: DataFrame, pf: DataFrame, k: int,
+HOT_ROWS_CONF = "factorcast.hotKeyRows"
+DEFAULT_HOT_ROWS = 1 << 20
+
+
+def _batch_step(train: DataFrame, uf: DataFrame, pf: DataFrame, salts: DataFrame, k: int,
                 gamma: float, lam: float, pf_rows: int, n_parts: int, keys: list[str]):
-    u = uf.select(*keys, F.col("id").alias("user"), F.col("f").alias("uf"))
+    # user vectors go to the ratings' partitions: one copy per salt of a hot
+    # user, one copy otherwise; only factor rows are exchanged here
+    u = (uf.select(*keys, F.col("id").alias("user"), F.col("f").alias("uf"))
+         .join(salts, keys + ["user"], "left")
+         .withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("ns"), F.lit(1)) - 1)))
+         .drop("ns").repartition(n_parts, *keys, "user", "salt"))
     p = broadcast_if_fits(pf.select(*keys, F.col("id").alias("product"), F.col("f").alias("pf")),
                           pf_rows, factor_row_bytes(k))
-    j = (train.join(u, keys + ["user"]).join(p, keys + ["product"])
+    j = (train.join(u, keys + ["user", "salt"]).join(p, keys + ["product"])
          .select(*keys, "user", "product", "uf", "pf",
                  (F.col("rating") - dot("uf", "pf", k)).alias("e")))
     # one pass over the ratings emits both sides' gradient rows; a single
@@ -65,10 +74,7 @@ def _batch_step(train: DataFrame, uf: DataFrame, pf: DataFrame, k: int,
                         for i in range(k)])
         return m.select(*keys, "id", new.alias("f"))
 
-    new_u = materialize(apply(uf, "u").repartition(n_parts, *keys, "id")
-                        .sortWithinPartitions(*keys, "id"), keep_partitioning=True)
-    new_p = materialize(apply(pf, "p"))
-    return new_u, new_p
+    return materialize(apply(uf, "u")), materialize(apply(pf, "p"))
 
 
 def batch_gd(train: DataFrame, k: int, epochs: int, gamma: float, lam: float,
@@ -80,29 +86,40 @@ def batch_gd(train: DataFrame, k: int, epochs: int, gamma: float, lam: float,
     ``keys`` trains independent models side by side (e.g. one per
     evaluation round): factor tables are then keyed by (*keys, id).
 
-    Plan per epoch: ratings (hash-partitioned by user once) join the user
-    table co-partitioned on id (no exchange of the ratings), the product
-    table is broadcast when its exact size fits (else shuffle join with
-    AQE skew splitting); both gradients are partial+final aggregations.
-    Returns (uf, pf) factor tables."""
+    Plan per epoch: the ratings are hash-partitioned once by (user, salt)
+    and checkpointed with that partitioning and order, so they never move
+    again; the user table is exploded per salt and shuffled to them (only
+    factor rows move).  A user with more than ``factorcast.hotKeyRows``
+    ratings is salted over ceil(count / hotKeyRows) partitions, so a user
+    holding a third of all rows does not land in one task.  The product
+    table is broadcast when its exact size fits, else shuffle-joined (AQE
+    splits a skewed product partition).  Both gradients come from one pass
+    and one partial+final aggregation.  Returns (uf, pf) factor tables."""
     spark = train.sparkSession
     keys = list(keys or [])
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    tr = train.select(*keys, F.col("user").cast("long").alias("user"),
-                      F.col("product").cast("long").alias("product"),
-                      F.col("rating").cast("double").alias("rating"))
-    tr = materialize(tr.repartition(n, *keys, "user").sortWithinPartitions(*keys, "user"),
+    hot = int(spark.conf.get(HOT_ROWS_CONF, str(DEFAULT_HOT_ROWS)))
+    base = materialize(train.select(*keys, F.col("user").cast("long").alias("user"),
+                                    F.col("product").cast("long").alias("product"),
+                                    F.col("rating").cast("double").alias("rating")))
+    # hot users: at most (rows / hotKeyRows) of them, so the table is bounded
+    salts = materialize(base.groupBy(*keys, "user").agg(F.count(F.lit(1)).alias("c"))
+                        .where(F.col("c") > hot)
+                        .select(*keys, "user", F.ceil(F.col("c") / F.lit(hot)).cast("int").alias("ns")))
+    salts = broadcast_if_fits(salts, salts.count(), 48)
+    salt = F.coalesce(F.pmod(F.xxhash64("product", "rating"), F.col("ns")), F.lit(0))
+    tr = base.join(salts, keys + ["user"], "left").withColumn("salt", salt.cast("int")).drop("ns")
+    tr = materialize(tr.repartition(n, *keys, "user", "salt").sortWithinPartitions(*keys, "user", "salt"),
                      keep_partitioning=True)
     if uf is None:
-        uf = _init_keyed(tr, "user", k, "user", implicit, keys)
+        uf = _init_keyed(base, "user", k, "user", implicit, keys)
     if pf is None:
-        pf = _init_keyed(tr, "product", k, "product", implicit, keys)
-    uf = materialize(uf.repartition(n, *keys, "id").sortWithinPartitions(*keys, "id"),
-                     keep_partitioning=True)
+        pf = _init_keyed(base, "product", k, "product", implicit, keys)
+    uf = materialize(uf)
     pf = materialize(pf)
     pf_rows = pf.count()
     for _ in range(epochs):
-        uf, pf = _batch_step(tr, uf, pf, k, gamma, lam, pf_rows, n, keys)
+        uf, pf = _batch_step(tr, uf, pf, salts, k, gamma, lam, pf_rows, n, keys)
     return uf, pf
 
 

@@ -143,3 +143,21 @@ def test_exact_prediction_value_not_counted_as_unknown(spark):
     pairs = spark.createDataFrame([(1, 2, 4.0), (1, 3, 4.0)], "user long, product long, rating double")
     got = {r.product: (r.prediction, r.is_cold) for r in predict(pairs, uf, pf, 2).collect()}
     assert got == {2: (3.5, False), 3: (3.5, True)}
+
+
+def test_batch_gd_salted_hot_users_same_result(spark):
+    """Salting hot users (tiny threshold: every user is hot) changes only
+    the partitioning, not the factors."""
+    from conftest import SF001
+    r = S.ratings(spark, SF001)
+    a_u, a_p = TR.batch_gd(r, K, 2, 0.05, 0.02)
+    spark.conf.set(TR.HOT_ROWS_CONF, "2")
+    try:
+        b_u, b_p = TR.batch_gd(r, K, 2, 0.05, 0.02)
+    finally:
+        spark.conf.unset(TR.HOT_ROWS_CONF)
+    for a, b in ((a_u, b_u), (a_p, b_p)):
+        va, vb = _vecs(a), _vecs(b)
+        assert set(va) == set(vb)
+        for i in va:
+            assert np.allclose(va[i], vb[i], rtol=0, atol=1e-12)
