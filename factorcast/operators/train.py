@@ -99,9 +99,9 @@ def batch_gd(train: DataFrame, k: int, epochs: int, gamma: float, lam: float,
     keys = list(keys or [])
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     hot = int(spark.conf.get(HOT_ROWS_CONF, str(DEFAULT_HOT_ROWS)))
-    base = materialize(train.select(*keys, F.col("user").cast("long").alias("user"),
-                                    F.col("product").cast("long").alias("product"),
-                                    F.col("rating").cast("double").alias("rating")))
+    base = train.select(*keys, F.col("user").cast("long").alias("user"),
+                        F.col("product").cast("long").alias("product"),
+                        F.col("rating").cast("double").alias("rating"))
     # hot users: at most (rows / hotKeyRows) of them, so the table is bounded
     salts = materialize(base.groupBy(*keys, "user").agg(F.count(F.lit(1)).alias("c"))
                         .where(F.col("c") > hot)
@@ -112,9 +112,9 @@ def batch_gd(train: DataFrame, k: int, epochs: int, gamma: float, lam: float,
     tr = materialize(tr.repartition(n, *keys, "user", "salt").sortWithinPartitions(*keys, "user", "salt"),
                      keep_partitioning=True)
     if uf is None:
-        uf = _init_keyed(base, "user", k, "user", implicit, keys)
+        uf = _init_keyed(tr, "user", k, "user", implicit, keys)
     if pf is None:
-        pf = _init_keyed(base, "product", k, "product", implicit, keys)
+        pf = _init_keyed(tr, "product", k, "product", implicit, keys)
     uf = materialize(uf)
     pf = materialize(pf)
     pf_rows = pf.count()
@@ -302,6 +302,15 @@ def block_sgd_table(train: DataFrame, facs: DataFrame, k: int, epochs: int, gamm
     run_block, schema = _block_kernel(k, gamma_u, gamma_i, lam, steps_per_row, scale, order_names, keys)
     row_cols = keys + (order_names or ["user", "product", "rating"])
     facs = facs.select(*keys, "side", "id", "f")
+    # Only vectors of ids these rows touch take part: a micro-batch ships
+    # its own users/products, never the whole model, to its block tasks.
+    touched = materialize(
+        tr.select(*keys, F.lit("u").alias("side"), F.col("user").alias("id"))
+        .unionByName(tr.select(*keys, F.lit("p").alias("side"), F.col("product").alias("id")))
+        .distinct())
+    tb = broadcast_if_fits(touched, touched.count(), 48)
+    rest = facs.join(tb, keys + ["side", "id"], "left_anti")
+    facs = facs.join(tb, keys + ["side", "id"], "left_semi")
     for epoch in range(epochs):
         ep = tr.withColumn("_key", shuffle_key(row_cols, seed, epoch)) if shuffle else tr
         for s in range(d):
@@ -311,7 +320,7 @@ def block_sgd_table(train: DataFrame, facs: DataFrame, k: int, epochs: int, gamm
             fr = facs.withColumn("g", g).repartition(n, *keys, "g")
             facs = materialize(rows.groupBy(*keys, "g").cogroup(fr.groupBy(*keys, "g"))
                                .applyInPandas(run_block, schema))
-    return facs
+    return materialize(facs.unionByName(rest))
 
 
 def block_sgd(train: DataFrame, k: int, epochs: int, gamma_u: float, gamma_i: float,
@@ -331,11 +340,13 @@ def block_sgd(train: DataFrame, k: int, epochs: int, gamma_u: float, gamma_i: fl
     (stream order).  blocks=1 is plain sequential SGD.
 
     Data movement: the ratings are hash-partitioned by user block once
-    (checkpointed with that partitioning) and never move again; per
-    stratum only the factor table travels (users to their own block,
-    products rotated by s), and the kernel returns every vector it
-    received, so the result of a stratum is the complete new factor table
-    (one exchange + one checkpoint per stratum, no upsert joins).
+    (checkpointed with that partitioning) and never move again.  The
+    factor table is split once per call into the vectors of ids the rows
+    touch (semi-join with the size-checked touched-id set) and the rest;
+    per stratum only the touched vectors travel (users to their own block,
+    products rotated by s) and the kernel returns every vector it received,
+    so a stratum needs one exchange + one checkpoint and no upsert joins;
+    the untouched rest is appended once at the end.
 
     ``keys`` trains independent models side by side (factor tables keyed
     by keys + id; the group of a task is keys + block).  ``uf``/``pf``
