@@ -25,6 +25,9 @@ def get_spark(master: str = "local[*]", shuffle_partitions: int = 8,
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        # iterative jobs checkpoint every epoch / stratum / micro-batch: let
+        # Spark delete checkpoint files once their frames are unreachable
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.driver.memory", "16g")
         .getOrCreate()
     )
