@@ -33,13 +33,16 @@ def global_index(df: DataFrame, order_cols: list[str], idx: str = "idx",
                  num_partitions: int | None = None) -> DataFrame:
     """0-based position of each row in ``order_cols`` order.
 
-    ``order_cols`` must be unique per row.  Rows are range-partitioned on
+    ``order_cols`` must be unique per row (ties would make positions
+    depend on the partition layout).  Rows are range-partitioned on
     the full key (so a hot prefix such as one busy day is split across
     partitions), sorted inside each partition, tagged with their local
     position, materialized once, and shifted by the exact row count of
     all earlier partitions (a table with one row per partition)."""
-    n = num_partitions or _shuffle_partitions(df)
-    ranged = df.repartitionByRange(n, *order_cols).sortWithinPartitions(*order_cols)
+    # without an explicit count AQE may merge adjacent ranges to its target
+    # partition size; merged ranges stay contiguous, so the order holds
+    ranged = (df.repartitionByRange(num_partitions, *order_cols) if num_partitions
+              else df.repartitionByRange(*order_cols)).sortWithinPartitions(*order_cols)
     tagged = materialize(ranged.select(
         "*",
         F.spark_partition_id().alias("_pid"),

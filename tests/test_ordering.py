@@ -62,3 +62,16 @@ def test_split_layout_independent(spark):
     assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
     frac = a.where("is_train").count() / a.count()
     assert 0.75 < frac < 0.85
+
+
+def test_upsert_keeps_unchanged_ids(spark):
+    from factorcast.sources.factors import init_factors, upsert
+    r = S.ratings(spark, SF001)
+    old = init_factors(r, "product", 4, "product")
+    changed = old.limit(0).unionByName(
+        old.where("id % 2 = 0").select("id", F.transform("f", lambda x: x * 2).alias("f")))
+    got = {row.id: row.f for row in upsert(old, changed).collect()}
+    want = {row.id: row.f for row in old.collect()}
+    assert set(got) == set(want)
+    for i, f in want.items():
+        assert got[i] == ([x * 2 for x in f] if i % 2 == 0 else f)
