@@ -289,7 +289,9 @@ def block_sgd_table(train: DataFrame, facs: DataFrame, k: int, epochs: int, gamm
     spark = train.sparkSession
     keys = list(keys or [])
     d = max(1, int(blocks))
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # one task per block group: d partitions, or the session's partition
+    # count when independent keyed models multiply the groups
+    n = int(spark.conf.get("spark.sql.shuffle.partitions")) if keys else d
     scale = config.SCALE_IMPLICIT if implicit else config.SCALE_EXPLICIT
     order_names = [c for c in (order_cols or []) if c not in ("user", "product", "rating")]
     tr = train.select(*keys, F.col("user").cast("long").alias("user"),
@@ -435,7 +437,8 @@ def user_fold_in(events: DataFrame, uf: DataFrame | None, pf: DataFrame, k: int,
         j = j.join(uf.select(F.col("id").alias("user"), F.col("f").alias("uf")), "user", "left")
     else:
         j = j.withColumn("uf", F.lit(None).cast(T.ArrayType(T.DoubleType())))
-    j = j.repartition(n, "user").sortWithinPartitions("user", *order_cols)
+    j = (j.repartition(n, "user") if num_partitions else j.repartition("user")).sortWithinPartitions(
+        "user", *order_cols)
 
     def fold(it):
         cur, vec = None, None
