@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 from factorcast import config
 from factorcast.functions.vectors import dot
 from factorcast.operators.ordering import shuffle_key
-from factorcast.session import broadcast_if_fits, factor_row_bytes, materialize
+from factorcast.session import broadcast_if_fits, broadcast_max_bytes, factor_row_bytes, materialize
 from factorcast.sources.factors import init_factors, upsert
 
 FACTOR_SCHEMA = T.StructType([
@@ -304,15 +304,18 @@ def block_sgd_table(train: DataFrame, facs: DataFrame, k: int, epochs: int, gamm
     run_block, schema = _block_kernel(k, gamma_u, gamma_i, lam, steps_per_row, scale, order_names, keys)
     row_cols = keys + (order_names or ["user", "product", "rating"])
     facs = facs.select(*keys, "side", "id", "f")
-    # Only vectors of ids these rows touch take part: a micro-batch ships
-    # its own users/products, never the whole model, to its block tasks.
-    touched = materialize(
-        tr.select(*keys, F.lit("u").alias("side"), F.col("user").alias("id"))
-        .unionByName(tr.select(*keys, F.lit("p").alias("side"), F.col("product").alias("id")))
-        .distinct())
-    tb = broadcast_if_fits(touched, touched.count(), 48)
-    rest = facs.join(tb, keys + ["side", "id"], "left_anti")
-    facs = facs.join(tb, keys + ["side", "id"], "left_semi")
+    rest = None
+    if facs.count() * factor_row_bytes(k) > broadcast_max_bytes(spark):
+        # A model too big for one task: only vectors of ids these rows touch
+        # take part, so a micro-batch ships its own users/products, never
+        # the whole model, to its block tasks.
+        touched = materialize(
+            tr.select(*keys, F.lit("u").alias("side"), F.col("user").alias("id"))
+            .unionByName(tr.select(*keys, F.lit("p").alias("side"), F.col("product").alias("id")))
+            .distinct())
+        tb = broadcast_if_fits(touched, touched.count(), 48)
+        rest = facs.join(tb, keys + ["side", "id"], "left_anti")
+        facs = facs.join(tb, keys + ["side", "id"], "left_semi")
     for epoch in range(epochs):
         ep = tr.withColumn("_key", shuffle_key(row_cols, seed, epoch)) if shuffle else tr
         for s in range(d):
@@ -322,7 +325,7 @@ def block_sgd_table(train: DataFrame, facs: DataFrame, k: int, epochs: int, gamm
             fr = facs.withColumn("g", g).repartition(n, *keys, "g")
             facs = materialize(rows.groupBy(*keys, "g").cogroup(fr.groupBy(*keys, "g"))
                                .applyInPandas(run_block, schema))
-    return materialize(facs.unionByName(rest))
+    return facs if rest is None else materialize(facs.unionByName(rest))
 
 
 def block_sgd(train: DataFrame, k: int, epochs: int, gamma_u: float, gamma_i: float,
@@ -343,8 +346,9 @@ def block_sgd(train: DataFrame, k: int, epochs: int, gamma_u: float, gamma_i: fl
 
     Data movement: the ratings are hash-partitioned by user block once
     (checkpointed with that partitioning) and never move again.  The
-    factor table is split once per call into the vectors of ids the rows
-    touch (semi-join with the size-checked touched-id set) and the rest;
+    factor table, unless its exact size fits the broadcast limit, is split
+    once per call into the vectors of ids the rows touch (semi-join with
+    the size-checked touched-id set) and the rest;
     per stratum only the touched vectors travel (users to their own block,
     products rotated by s) and the kernel returns every vector it received,
     so a stratum needs one exchange + one checkpoint and no upsert joins;
