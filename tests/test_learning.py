@@ -161,3 +161,20 @@ def test_batch_gd_salted_hot_users_same_result(spark):
         assert set(va) == set(vb)
         for i in va:
             assert np.allclose(va[i], vb[i], rtol=0, atol=1e-12)
+
+
+def test_block_sgd_touched_split_same_result(spark, fx):
+    """A model above the broadcast limit is split into touched / untouched
+    vectors; the result must equal the whole-model path."""
+    uf0, pf0 = TR.block_sgd(fx.where("idx < 6"), K, 1, GU, GI, LAM, blocks=1, order_cols=["idx"], shuffle=False)
+    batch = fx.where("idx >= 6 AND user < 2")
+    a_u, a_p = TR.online_update(batch, uf0, pf0, K, 2, GU, GI, LAM, ["idx"], blocks=2)
+    spark.conf.set("factorcast.broadcastMaxBytes", "10")
+    try:
+        b_u, b_p = TR.online_update(batch, uf0, pf0, K, 2, GU, GI, LAM, ["idx"], blocks=2)
+        bu, bp = _vecs(b_u), _vecs(b_p)
+    finally:
+        spark.conf.unset("factorcast.broadcastMaxBytes")
+    _close(bu, _vecs(a_u))
+    _close(bp, _vecs(a_p))
+    assert set(bu) == set(_vecs(uf0))        # untouched user 2 carried over
