@@ -133,9 +133,9 @@ ORACLE = {
               WHERE cap / w::DOUBLE >= open),
         g AS (SELECT source, ss, least(cap, level * w::DOUBLE) AS target FROM e, z),
         p AS (SELECT d.*, ss, target, floor(target)::BIGINT AS budget,
-                sum(size) OVER (PARTITION BY d.source ORDER BY r, doc_id) - size AS at
+                sum(size) OVER (PARTITION BY d.source ORDER BY r, doc_id) - size AS before
               FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source),
         c AS (SELECT *, CASE WHEN ss > 0 THEN budget // ss ELSE 0 END AS n FROM p)
         SELECT doc_id, size, ss AS source_size, target,
-            (n * size + greatest(0, least(size, budget - n * ss - at)))::BIGINT AS taken FROM c""",
+            (n * size + greatest(0, least(size, budget - n * ss - before)))::BIGINT AS taken FROM c""",
 }
