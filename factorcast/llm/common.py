@@ -92,12 +92,11 @@ def components(edges: DataFrame) -> DataFrame:
     number of links, and the rounds are logarithmic in it.  A hub's links
     are spread by :func:`lookup`; minima are pre-aggregated before the
     shuffle.  Each round ends in a reliable checkpoint."""
-    def star(links: DataFrame, large: bool) -> DataFrame:
+    def star(links: DataFrame, large: bool, total: int) -> DataFrame:
         """Links as (u, v): large: each greater neighbour of u to the least
         of u and its neighbours; small: the lesser ones and u to the least."""
         least = materialize(links.groupBy("u").agg(
             F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("n")))
-        total = least.agg(F.sum("n")).first()[0] or 0
         near = lookup(links, least, "u", "v", "n", total)
         if large:
             return near.where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
@@ -115,10 +114,9 @@ def components(edges: DataFrame) -> DataFrame:
     while seen[0]:
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(
             edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        # a row u -> u keeps a node whose links all go elsewhere
-        big = materialize(star(both, True).where("a <> b").distinct())
-        down = big.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-        edges = materialize(star(down, False).where("a <> b").distinct())
+        big = star(both, True, 2 * seen[0]).where("a <> b").distinct()
+        down = materialize(big.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")))
+        edges = materialize(star(down, False, seen[0]).where("a <> b").distinct())
         now = state(edges)
         if now == seen:
             break
