@@ -40,6 +40,7 @@ STEMS = (4, 5, 6)
 LEAST_FAMILIES = 3       # toxic families that must share a term ...
 LEAST_SHARE = 0.01       # ... and their share of all toxic families
 LEAST_RATIO = 20.0       # of a term's rate in toxic to that in clean texts
+LEAST_EVIDENCE = 25.0    # of the term's likelihood ratio (G squared): chance words of few texts
 WINDOW = 80              # characters around a hit
 CACHE_ENTRIES = 400_000
 WORDS = re.compile(r"[^\W\d_]+")
@@ -233,9 +234,12 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     if not toxic or not clean:
         return None
     least = max(LEAST_FAMILIES, LEAST_SHARE * toxic)
+    share = (F.col("toxic") + F.col("clean")) / (toxic + clean)
+    evidence = 2 * (F.col("toxic") * F.log(F.col("toxic") / toxic / share) + F.when(
+        F.col("clean") > 0, F.col("clean") * F.log(F.col("clean") / clean / share)).otherwise(0.0))
     rows = count_terms(once).where(
         (F.col("toxic") >= least) & ((F.col("toxic") / toxic) >= LEAST_RATIO * (
-            (F.col("clean") + 0.5) / clean))).orderBy(
+            (F.col("clean") + 0.5) / clean))).where(evidence >= LEAST_EVIDENCE).orderBy(
         F.desc("toxic"), "term").limit(10 * MAX_TERMS).collect()
     lexicon = choose([(r["term"], r["toxic"], r["clean"]) for r in rows])
     shown = once.select("toxic", hits(docs.sparkSession, F.col("text"), lexicon).alias("x")).collect()

@@ -151,7 +151,7 @@ def parse_arc(data: bytes) -> Iterator[tuple]:
             raise ValueError(f"ARC header line of {len(fields)} fields, declared {len(names)}")
         head = dict(zip(names, fields))
         block = _exactly(source, int(head["Archive-length"]))
-        http = head["URL"].startswith(("http", "urn:")) and block.startswith(b"HTTP/")
+        http = not head["URL"].startswith("dns:") and block.startswith(b"HTTP/")
         split = block.find(b"\r\n\r\n") + 4 if http and b"\r\n\r\n" in block else 0
         payload = block[split:]
         digest, date = sha1_base32(payload), iso_date(head["Archive-date"])
