@@ -142,15 +142,15 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     # (_key, _h) of every id, and _for: the id it comes after, which needs _need of its head
     order = materialize(ranked.select("_rank", "_key", "_h").join(ranked.select(
         F.pmod(F.col("_rank") + 1, F.lit(n)).alias("_rank"), F.col("_key").alias("_for"),
-        "_need"), "_rank").drop("_rank"))
+        F.col("_id").alias("_for_id"), "_need"), "_rank").drop("_rank"))
 
-    # one exchange of the texts serves both joins; the hash is compared bit by
-    # bit so that the planner does not take it for a second join key
-    dealt = texts.repartition("_key")
+    # one exchange of the texts serves both joins (so both need the same columns);
+    # the hash is compared bit by bit, lest the planner take it for a second join key
+    dealt = texts.select("_key", "_text").repartition("_key")
     heads = dealt.join(order, "_key").where(
         F.xxhash64("_text").bitwiseXOR(F.col("_h")) == 0).select(
-        F.col("_for").alias("_key"), F.substring("_text", F.lit(1), F.col("_need")).alias("_head")
-    ).dropDuplicates(["_key"])
+        F.col("_for").alias("_key"), F.col("_for_id").alias("_id"),
+        F.substring("_text", F.lit(1), F.col("_need")).alias("_head")).dropDuplicates(["_key"])
     half = F.floor(F.length("_text") / 2).cast("int")
     rows = dealt.join(heads, "_key", "left").select(
         "_key", "_id", "_text", F.concat(
