@@ -30,9 +30,9 @@ import xxhash
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-CACHE_ENTRIES = 400_000
-# Texts are encoded in groups of about this many characters within a batch.
-GROUP_CHARS = 4_000_000
+from factorcast.llm.common import pieces
+
+CACHE_ENTRIES = 300_000
 
 
 def read_ranks(raw: bytes) -> list[bytes]:
@@ -144,10 +144,10 @@ def _encoder(raw: bytes, pattern: str) -> Encoder:
     return _ENCODERS[key]
 
 
-def _lists(groups: list[np.ndarray], lengths: list[int]) -> pa.Array:
+def _lists(lists: list[np.ndarray], lengths: list[int]) -> pa.Array:
     offsets = np.zeros(len(lengths) + 1, dtype=np.int32)
     np.cumsum(lengths, out=offsets[1:])
-    values = np.concatenate(groups) if groups else np.empty(0, np.int32)
+    values = np.concatenate(lists) if lists else np.empty(0, np.int32)
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, pa.int32()))
 
 
@@ -160,21 +160,13 @@ def encode(spark: SparkSession, text: Column | str, ranks_path: str, pattern: st
     def ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         enc = _encoder(shipped.value, pattern)
         get, split = enc.__getitem__, enc.split
-        for batch in batches:
-            groups, lengths, pending, chars = [], [], [], 0
+        for batch in pieces(batches):
+            lists, lengths = [], []
             for value in batch:
-                text = value.as_py() or ""
-                words = list(map(get, split(text)))
+                words = list(map(get, split(value.as_py() or "")))
                 lengths.append(sum(map(len, words)))
-                pending.append(words)
-                chars += len(text)
-                if chars > GROUP_CHARS:
-                    groups.append(np.fromiter(chain.from_iterable(
-                        chain.from_iterable(pending)), np.int32))
-                    pending, chars = [], 0
-            groups.append(np.fromiter(chain.from_iterable(
-                chain.from_iterable(pending)), np.int32))
-            yield _lists(groups, lengths)
+                lists.append(np.fromiter(chain.from_iterable(words), np.int32, lengths[-1]))
+            yield _lists(lists, lengths)
 
     return ids(text)
 
@@ -187,8 +179,7 @@ def decode(spark: SparkSession, ids: Column | str, ranks_path: str) -> Column:
     @F.arrow_udf("binary")
     def raw(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         tokens = read_ranks(shipped.value)
-        for batch in batches:
-            batch = batch.combine_chunks() if isinstance(batch, pa.ChunkedArray) else batch
+        for batch in pieces(batches):
             flat = batch.flatten().to_numpy(zero_copy_only=False)
             if len(flat) and (flat.min() < 0 or flat.max() >= len(tokens)):
                 raise ValueError("token id outside the vocabulary")

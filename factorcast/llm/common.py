@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -15,7 +17,15 @@ HOT_SHARE = 1000
 HOT_SPREAD = 1 << 20
 
 __all__ = ["HOT_SHARE", "components", "fresh", "lookup", "materialize",
-           "prefix_sums", "scratch_path", "table", "uniform"]
+           "pieces", "prefix_sums", "scratch_path", "table", "uniform"]
+
+
+def pieces(batches: Iterator[pa.Array], rows: int = 1000) -> Iterator[pa.Array]:
+    """Arrow batches cut into pieces of at most ``rows`` rows, so that a
+    function over texts holds few of them as Python objects at a time."""
+    for batch in batches:
+        for at in range(0, len(batch), rows):
+            yield batch.slice(at, rows)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

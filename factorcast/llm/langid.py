@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factorcast.llm.common import fresh, uniform
+from factorcast.llm.common import fresh, pieces, uniform
 
 ORDER = 3
 MAX_DOCS = 1000          # labelled texts per language, about
@@ -141,17 +141,17 @@ def code_lengths(model: Model, texts: list[bytes]) -> np.ndarray:
     """Bits of every text under every language, (texts, languages)."""
     out = np.zeros((len(texts), len(model.languages)))
     size, at = model.symbols, 0
-    # a text longer than a chunk is cut into pieces that carry their context along
-    pieces: list[tuple[int, bytes]] = []
+    # a text longer than a chunk is cut into parts that carry their context along
+    parts: list[tuple[int, bytes]] = []
     for i, text in enumerate(texts):
         data = PAD + text
-        pieces += [(i, data[k:k + CHUNK + ORDER]) for k in range(0, len(text), CHUNK)]
-    while at < len(pieces):
+        parts += [(i, data[k:k + CHUNK + ORDER]) for k in range(0, len(text), CHUNK)]
+    while at < len(parts):
         held, end = 0, at
-        while end < len(pieces) and (end == at or held + len(pieces[end][1]) <= CHUNK):
-            held += len(pieces[end][1])
+        while end < len(parts) and (end == at or held + len(parts[end][1]) <= CHUNK):
+            held += len(parts[end][1])
             end += 1
-        group = pieces[at:end]
+        group = parts[at:end]
         sym = model.symbol[np.frombuffer(b"".join(p for _, p in group), np.uint8)]
         three = (sym[:-3] * size + sym[1:-2]) * size + sym[2:-1]
         cost = model.bits[model.state[three] * np.int64(size) + sym[3:]].astype(np.float32)
@@ -178,7 +178,7 @@ def predict(docs: DataFrame, model: Model | None, text: Column) -> Column:
     def ppm(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         m = shipped.value
         names = np.array(m.languages, dtype=object)
-        for batch in batches:
+        for batch in pieces(batches):
             texts = [(v.as_py() or "").encode("utf-8").lower() for v in batch]
             bits = code_lengths(m, texts) if texts else np.zeros((0, len(names)))
             best = bits.argmin(axis=1) if len(bits) else np.zeros(0, int)

@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from factorcast.llm.common import pieces
+
 CACHE_ENTRIES = 400_000
 SPACE = "▁"
 
@@ -33,9 +35,9 @@ SPACE = "▁"
 class PieceCounter(dict):
     """Pre-token -> number of tokens; a missing one is merged and kept."""
 
-    def __init__(self, pieces: list[tuple[str, float]]):
+    def __init__(self, scored: list[tuple[str, float]]):
         super().__init__()
-        self.score = dict(pieces)
+        self.score = dict(scored)
         longer = [p for p in self.score if len(p) > 1]
         if any(SPACE in p.lstrip(SPACE) for p in longer):
             raise ValueError("a piece holds a space mark after another character")
@@ -94,10 +96,10 @@ def read_pieces(path: str) -> list[tuple[str, float]]:
 _COUNTERS: dict[int, PieceCounter] = {}
 
 
-def _counter(pieces: list[tuple[str, float]]) -> PieceCounter:
-    key = hash(tuple(pieces))
+def _counter(scored: list[tuple[str, float]]) -> PieceCounter:
+    key = hash(tuple(scored))
     if key not in _COUNTERS:
-        _COUNTERS[key] = PieceCounter(pieces)
+        _COUNTERS[key] = PieceCounter(scored)
     return _COUNTERS[key]
 
 
@@ -109,7 +111,7 @@ def n_tokens(spark: SparkSession, text: Column | str, model_path: str) -> Column
     @F.arrow_udf("long")
     def counted(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         counter = _counter(shipped.value)
-        for batch in batches:
+        for batch in pieces(batches):
             yield pa.array([counter.count(v.as_py() or "") for v in batch], pa.int64())
 
     return counted(text)

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factorcast.llm.common import components, lookup, materialize
+from factorcast.llm.common import components, lookup, materialize, pieces
 
 SEED = 42
 BITS = 64
@@ -73,7 +73,7 @@ def fingerprint(text: Column | str, words_per_shingle: int) -> Column:
 
     @F.arrow_udf("long")
     def simhash(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in batches:
+        for batch in pieces(batches):
             out, group, held = [], [], 0
             for value in batch:
                 group.append(shingle_hashes(value.as_py() or "", words_per_shingle))

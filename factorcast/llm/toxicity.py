@@ -3,9 +3,9 @@
 The lexicon is learned from labelled texts: whole words and word stems (four
 to six letters) whose share of toxic texts exceeds that of clean ones by far.
 Near copies would lend weight to their chance words, so one text per family
-(equal least shingle hash) votes.  The lexicon is a trie; a Levenshtein
-automaton of each distinct word of a text is walked through it, so a
-misspelled term is found without comparing the word with every term.  Each
+(equal least shingle hash) votes.  The lexicon is a trie intersected with
+Levenshtein automata, made deterministic state by state as words need it, so
+a misspelled term is found without comparing the word with every term.  Each
 hit is judged in its window: inside quotation marks of its line or after a
 word of reporting it is a mention, else it is direct.  A logistic regression
 over the hits weighs them; only the labelled sample teaches it.
@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factorcast.llm.common import materialize, uniform
+from factorcast.llm.common import materialize, pieces, uniform
 
 SAMPLE_TOXIC = 4_000
 SAMPLE_CLEAN = 8_000
@@ -42,7 +42,8 @@ LEAST_SHARE = 0.01       # ... and their share of all toxic families
 LEAST_RATIO = 20.0       # of a term's rate in toxic to that in clean texts
 LEAST_EVIDENCE = 25.0    # of the term's likelihood ratio (G squared): chance words of few texts
 WINDOW = 80              # characters around a hit
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 100_000   # words whose match is kept per worker
+STATE_ENTRIES = 50_000    # states of the automaton kept per worker
 WORDS = re.compile(r"[^\W\d_]+")
 # Marks that open or close a quotation, and words of reporting.
 QUOTES = "\"“”„«»‘’"
@@ -55,18 +56,80 @@ def errors_allowed(letters: int) -> int:
 
 
 class Lexicon:
-    """Trie of whole words and stems (a stem matches every word it begins)."""
+    """Trie of whole words and stems (a stem matches every word it begins),
+    intersected with Levenshtein automata.
+
+    A state of the intersection is the set of (trie node, errors) reachable on
+    the letters read so far: a letter may match a branch, replace it, be
+    surplus, or a branch may be skipped, each but the first for one error.
+    States are made when first met and kept, so the automaton becomes a
+    deterministic one that takes a lookup per letter; a node is left when no
+    term below it allows that many errors.  When too many states are kept,
+    all are forgotten and made anew."""
 
     def __init__(self, words: list[str], stems: list[str]):
-        self.root: dict = {}
         self.words, self.stems = words, stems
-        for kind, terms in (("word", words), ("stem", stems)):
+        self.below: list[dict[str, int]] = [{}]
+        self.word: list[int] = [0]          # letters of the word that ends here
+        self.stem: list[bool] = [False]
+        self.room: list[int] = [0]          # most errors that a term below allows
+        for whole, terms in ((True, words), (False, stems)):
             for term in terms:
-                node = self.root
-                for c in term:
-                    node = node.setdefault(c, {})
-                node[kind] = len(term)
+                node, room = 0, errors_allowed(len(term)) if whole else 0
+                for c in ["", *term]:
+                    if c and c not in self.below[node]:
+                        self.below[node][c] = len(self.below)
+                        self.below.append({})
+                        self.word.append(0)
+                        self.stem.append(False)
+                        self.room.append(0)
+                    node = self.below[node][c] if c else 0
+                    self.room[node] = max(self.room[node], room)
+                if whole:
+                    self.word[node] = len(term)
+                else:
+                    self.stem[node] = True
         self.cache: dict[str, int] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        self.number: dict[tuple, int] = {}
+        self.states: list[tuple] = []
+        self.moves: list[dict[str, int]] = []
+        self.start = self._state({0: 0})
+
+    def _state(self, least: dict[int, int]) -> int:
+        """The number of the state that holds these nodes at these fewest
+        errors, and the nodes reached from them by skipping branches."""
+        todo = list(least.items())
+        while todo:
+            node, errors = todo.pop()
+            if least[node] < errors:
+                continue
+            for child in self.below[node].values():
+                if errors < self.room[child] and errors + 1 < least.get(child, 99):
+                    least[child] = errors + 1
+                    todo.append((child, errors + 1))
+        key = tuple(sorted(least.items()))
+        if key not in self.number:
+            self.number[key] = len(self.states)
+            self.states.append(key)
+            self.moves.append({})
+        return self.number[key]
+
+    def _move(self, state: int, letter: str) -> int:
+        least: dict[int, int] = {}
+
+        def reach(node: int, errors: int) -> None:
+            if errors <= self.room[node] and errors < least.get(node, 99):
+                least[node] = errors
+
+        for node, errors in self.states[state]:
+            reach(node, errors + 1)
+            for c, child in self.below[node].items():
+                reach(child, errors + (c != letter))
+        to = self.moves[state][letter] = self._state(least)
+        return to
 
     def match(self, word: str) -> int:
         """0: no term, 1: a term or stem as written, 2: a misspelled term."""
@@ -78,35 +141,27 @@ class Lexicon:
         return kind
 
     def _walk(self, word: str) -> int:
-        """Intersects the word's Levenshtein automaton with the trie.
-
-        The automaton's state after a path is one bit set per number of
-        errors: bit i is on if i letters of the word are consumed."""
-        most, n = errors_allowed(len(word) + 1), len(word)
-        place: dict[str, int] = {}
-        for i, c in enumerate(word):
-            place[c] = place.get(c, 0) | 1 << i
-        full, end, found = (1 << n + 1) - 1, 1 << n, 0
-        stack = [(self.root, [(1 << e + 1) - 1 & full for e in range(most + 1)])]
-        while stack:
-            node, state = stack.pop()
-            for c, below in node.items():
-                if len(c) > 1:
-                    continue
-                at, now, shorter, shorter_now = place.get(c, 0), [], 0, 0
-                for bits in state:
-                    new = ((bits & at) << 1 | shorter | shorter << 1 | shorter_now << 1) & full
-                    now.append(new)
-                    shorter, shorter_now = bits, new
-                if not now[-1]:
-                    continue
-                if now[0] and "stem" in below or now[0] & end and "word" in below:
-                    return 1
-                if "word" in below and any(
-                        now[e] & end for e in range(1, min(most, errors_allowed(below["word"])) + 1)):
-                    found = 2
-                stack.append((below, now))
-        return found
+        node = 0
+        for c in word:          # the exact path, for terms and stems as written
+            node = self.below[node].get(c)
+            if node is None:
+                break
+            if self.stem[node]:
+                return 1
+        else:
+            if self.word[node]:
+                return 1
+        if len(self.states) >= STATE_ENTRIES:
+            self._forget()
+        state, moves = self.start, self.moves
+        for c in word:
+            to = moves[state].get(c)
+            state = self._move(state, c) if to is None else to
+            if not self.states[state]:
+                return 0
+        most = errors_allowed(len(word) + 1)
+        return 2 if any(self.word[n] and e <= min(most, errors_allowed(self.word[n]))
+                        for n, e in self.states[state]) else 0
 
     def features(self, text: str) -> list[float]:
         """log counts of direct hits, direct misspelled hits, mentions as
@@ -265,7 +320,7 @@ def hits(spark: SparkSession, text: Column, lexicon: Lexicon) -> Column:
     @F.arrow_udf("array<double>")
     def found(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = _rebuilt(shipped)
-        for batch in batches:
+        for batch in pieces(batches):
             yield pa.array([own.features(v.as_py() or "") for v in batch],
                            pa.list_(pa.float64()))
 
@@ -282,7 +337,7 @@ def score(spark: SparkSession, text: Column, model: tuple[Lexicon, np.ndarray] |
     @F.arrow_udf("double")
     def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = _rebuilt(shipped)
-        for batch in batches:
+        for batch in pieces(batches):
             x = np.array([own.features(v.as_py() or "") for v in batch]).reshape(-1, FEATURES)
             yield pa.array(1 / (1 + np.exp(-np.clip(x @ weights, -30, 30))))
 
