@@ -51,12 +51,12 @@ def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """(doc_id, source, n_tokens, ids, round_trip): token ids of every text, and
     whether decoding them gives the text's bytes again."""
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    coded = docs.select("doc_id", "source", F.coalesce(F.col("text"), F.lit("")).alias("text"),
-                        bpe.encode(spark, F.col("text"), ranks, public_tokenizers.PATTERN)
-                        .alias("ids"))
+    coded = docs.select("doc_id", "source", "text", bpe.encode_decode(
+        spark, F.col("text"), ranks, public_tokenizers.PATTERN).alias("both"))
     return coded.select(
-        "doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), "ids",
-        (bpe.decode(spark, "ids", ranks) == F.col("text").cast("binary")).alias("round_trip"))
+        "doc_id", "source", F.size("both.ids").cast("long").alias("n_tokens"), "both.ids",
+        (F.col("both.decoded") == F.coalesce("text", F.lit("")).cast("binary"))
+        .alias("round_trip"))
 
 
 STAGES = [

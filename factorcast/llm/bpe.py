@@ -144,59 +144,79 @@ def _encoder(raw: bytes, pattern: str) -> Encoder:
     return _ENCODERS[key]
 
 
-def _lists(lists: list[np.ndarray], lengths: list[int]) -> pa.Array:
-    offsets = np.zeros(len(lengths) + 1, dtype=np.int32)
-    np.cumsum(lengths, out=offsets[1:])
+def _lists(lists: list[np.ndarray]) -> pa.Array:
+    offsets = np.zeros(len(lists) + 1, dtype=np.int32)
+    np.cumsum([len(x) for x in lists], out=offsets[1:])
     values = np.concatenate(lists) if lists else np.empty(0, np.int32)
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, pa.int32()))
 
 
+def _encoded(enc: Encoder, texts: pa.Array) -> list[np.ndarray]:
+    out = []
+    for value in texts:
+        words = list(map(enc.__getitem__, enc.split(value.as_py() or "")))
+        out.append(np.fromiter(chain.from_iterable(words), np.int32, sum(map(len, words))))
+    return out
+
+
+def _decoded(tokens: list[bytes], ids: np.ndarray) -> bytes:
+    if len(ids) and (ids.min() < 0 or ids.max() >= len(tokens)):
+        raise ValueError("token id outside the vocabulary")
+    return b"".join(map(tokens.__getitem__, ids.tolist()))
+
+
+def _shipped(spark: SparkSession, ranks_path: str):
+    with open(ranks_path, "rb") as f:
+        return spark.sparkContext.broadcast(f.read())
+
+
 def encode(spark: SparkSession, text: Column | str, ranks_path: str, pattern: str) -> Column:
     """Column of token ids (array<int>) of the text column."""
-    with open(ranks_path, "rb") as f:
-        shipped = spark.sparkContext.broadcast(f.read())
+    shipped = _shipped(spark, ranks_path)
 
     @F.arrow_udf("array<int>")
     def ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         enc = _encoder(shipped.value, pattern)
-        get, split = enc.__getitem__, enc.split
         for batch in pieces(batches):
-            lists, lengths = [], []
-            for value in batch:
-                words = list(map(get, split(value.as_py() or "")))
-                lengths.append(sum(map(len, words)))
-                lists.append(np.fromiter(chain.from_iterable(words), np.int32, lengths[-1]))
-            yield _lists(lists, lengths)
+            yield _lists(_encoded(enc, batch))
 
     return ids(text)
 
 
 def decode(spark: SparkSession, ids: Column | str, ranks_path: str) -> Column:
     """Column of the bytes (binary) that a column of token ids stands for."""
-    with open(ranks_path, "rb") as f:
-        shipped = spark.sparkContext.broadcast(f.read())
+    shipped = _shipped(spark, ranks_path)
 
     @F.arrow_udf("binary")
     def raw(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         tokens = read_ranks(shipped.value)
         for batch in pieces(batches):
-            flat = batch.flatten().to_numpy(zero_copy_only=False)
-            if len(flat) and (flat.min() < 0 or flat.max() >= len(tokens)):
-                raise ValueError("token id outside the vocabulary")
-            lengths = [n or 0 for n in pa.compute.list_value_length(batch).to_pylist()]
-            out, at = [], 0
-            for n in lengths:
-                out.append(b"".join(map(tokens.__getitem__, flat[at:at + n].tolist())))
-                at += n
-            yield pa.array(out, pa.binary())
+            yield pa.array([_decoded(tokens, np.array(v.as_py() or [], np.int64))
+                            for v in batch], pa.binary())
 
     return raw(ids)
 
 
+def encode_decode(spark: SparkSession, text: Column | str, ranks_path: str,
+                  pattern: str) -> Column:
+    """Column struct<ids, decoded>: each text's ids, and the bytes that these
+    ids decode to; both in one worker, so that ids do not travel twice."""
+    shipped = _shipped(spark, ranks_path)
+
+    @F.arrow_udf("ids array<int>, decoded binary")
+    def both(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        enc = _encoder(shipped.value, pattern)
+        for batch in pieces(batches):
+            lists = _encoded(enc, batch)
+            raw = pa.array([_decoded(enc.tokens, x) for x in lists], pa.binary())
+            yield pa.StructArray.from_arrays([_lists(lists), raw], ["ids", "decoded"])
+
+    return both(text)
+
+
 def round_trip(docs, ranks_path: str, pattern: str, id_col: str = "doc_id",
                text_col: str = "text"):
     """(id, ids, decoded): every text encoded, and its ids decoded again."""
-    spark = docs.sparkSession
-    coded = docs.select(F.col(id_col), encode(spark, F.col(text_col), ranks_path, pattern)
-                        .alias("ids"))
-    return coded.select(id_col, "ids", decode(spark, "ids", ranks_path).alias("decoded"))
+    coded = docs.select(F.col(id_col).alias("_id"), encode_decode(
+        docs.sparkSession, F.col(text_col), ranks_path, pattern).alias("_both"))
+    return coded.select(F.col("_id").alias(id_col), "_both.ids", "_both.decoded")

@@ -24,7 +24,8 @@ def pieces(batches: Iterator[pa.Array], rows: int = 1000) -> Iterator[pa.Array]:
     """Arrow batches cut into pieces of at most ``rows`` rows, so that a
     function over texts holds few of them as Python objects at a time."""
     for batch in batches:
-        for at in range(0, len(batch), rows):
+        n = batch.num_rows if isinstance(batch, pa.RecordBatch) else len(batch)
+        for at in range(0, n, rows):
             yield batch.slice(at, rows)
 
 

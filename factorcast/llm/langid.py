@@ -56,10 +56,10 @@ def _grams(data: np.ndarray) -> np.ndarray:
 
 
 def count_grams(texts: DataFrame) -> DataFrame:
-    """(lang, gram, n) over (lang, text) rows; pre-aggregated per batch."""
+    """(lang, gram, n) over (lang, text) rows; pre-aggregated per piece of a batch."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             by_lang: dict[str, list[bytes]] = {}
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 by_lang.setdefault(lang, []).append(PAD + text.encode("utf-8").lower())
