@@ -95,7 +95,3 @@ def unpack(col, k: int, prefix: str) -> list[Column]:
     """Array -> k scalar columns ``{prefix}0..{prefix}{k-1}``."""
     c = _c(col)
     return [c.getItem(j).alias(f"{prefix}{j}") for j in range(k)]
-
-
-def pack(prefix: str, k: int) -> Column:
-    return F.array(*[F.col(f"{prefix}{j}") for j in range(k)])

@@ -364,14 +364,6 @@ def block_sgd(train: DataFrame, k: int, epochs: int, gamma_u: float, gamma_i: fl
     return split_factors(facs, keys)
 
 
-def _upsert_keyed(old: DataFrame, changed: DataFrame, keys: list[str]) -> DataFrame:
-    if not keys:
-        return upsert(old, changed)
-    ch = changed.select(*keys, "id", "f")
-    keep = old.join(ch.select(*keys, "id"), keys + ["id"], "left_anti")
-    return ch.unionByName(keep.select(*keys, "id", "f"))
-
-
 def distributed_sgd(train: DataFrame, k: int, epochs: int, gamma: float, lam: float,
                     blocks: int = 4, **kw):
     """L3: one learning rate for both sides over conflict-free strata (the

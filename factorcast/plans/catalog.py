@@ -552,13 +552,13 @@ def q_init_factor_1(spark, sf):
 
 
 def _all_pairs(spark, sf):
+    """Every rating with both its vectors."""
     r = _ratings(spark, sf)
-    _, te = _train_test(spark, sf)
     uf, pf = _init_from(r)
-    return FA.lookup_factors(te, uf, pf, k=K)
+    return FA.lookup_factors(r, uf, pf, k=K)
 
 
-SQL_JOIN_ALL = "FROM te x JOIN ua u ON x.\"user\" = u.id JOIN pa p ON x.product = p.id"
+SQL_JOIN_ALL = "FROM r x JOIN ua u ON x.\"user\" = u.id JOIN pa p ON x.product = p.id"
 
 
 @register("dot_product", W(SQL_ALLPAIRS, f"SELECT {SQL_KEYS}, {r6(DOT_UP, 'dot')} {SQL_JOIN_ALL}"))

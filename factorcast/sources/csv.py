@@ -68,13 +68,14 @@ def read_feedback(spark: SparkSession, path: str) -> DataFrame:
 
 def read_ratings_text(spark: SparkSession, path: str) -> DataFrame:
     """The same record parsed by splitting text lines and casting
-    (ANSI casts raise on bad numbers; arity is checked explicitly)."""
-    lines = spark.read.text(path)
+    (ANSI casts raise on bad numbers; arity and surrounding blanks, which a
+    cast would trim, are checked explicitly; empty lines are skipped)."""
+    lines = spark.read.text(path).where("value <> ''")
     parts = F.split(F.col("value"), ",")
-    arity_ok = F.size(parts) == 4
+    arity_ok = (F.size(parts) == 4) & ~F.col("value").rlike(r"\s")
     def field(i, t):
         return F.when(arity_ok, parts.getItem(i).cast(t)).otherwise(
-            F.raise_error(F.lit("malformed rating line: expected 4 fields")))
+            F.raise_error(F.lit("malformed rating line: expected 4 fields without blanks")))
     return lines.select(
         F.monotonically_increasing_id().alias("seq"),
         field(0, "int").alias("user"), field(1, "int").alias("product"),

@@ -56,3 +56,13 @@ def test_text_split_matches_csv(spark):
     a = CSV.read_ratings(spark, p).drop("seq").collect()
     b = CSV.read_ratings_text(spark, p).drop("seq").collect()
     assert sorted(map(tuple, a)) == sorted(map(tuple, b))
+
+
+@pytest.mark.parametrize("text", [" 1,10,4.5,1000\n", "1, 10,4.5,1000\n", "1,10,4.5\n"])
+def test_text_split_rejects_blanks_and_arity(spark, text):
+    with pytest.raises(Exception, match="malformed rating line"):
+        CSV.read_ratings_text(spark, _write(text)).collect()
+
+
+def test_text_split_skips_empty_lines(spark):
+    assert len(CSV.read_ratings_text(spark, _write("1,10,4.5,1000\n\n2,10,5.0,1002\n")).collect()) == 2
