@@ -6,7 +6,8 @@ pre-token that is itself in the vocabulary through a minimal perfect hash
 two merges the others with a heap of (rank, position) over a doubly linked
 list of their bytes, lowest rank first and leftmost among equals.  Results
 of both tiers are kept per worker in a cache of at most CACHE_ENTRIES
-pre-tokens, which is emptied when full, so memory stays bounded.
+pre-tokens: when half of it is new, the older half goes, so frequent ones
+stay and memory is bounded.
 
 The vocabulary (well under 1 MB) is read once on the driver and broadcast.
 Encoding and decoding are map-only: no shuffle, one pass over the text.
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 
 from factorcast.llm.common import pieces
 
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 400_000
 
 
 def read_ranks(raw: bytes) -> list[bytes]:
@@ -94,12 +95,16 @@ class Encoder(dict):
         self.whole = PerfectHash(tokens)
         self.rank = {t: i for i, t in enumerate(tokens)}
         self.split = regex.compile(pattern).findall
+        self.older: dict[str, tuple[int, ...]] = {}
 
     def __missing__(self, word: str) -> tuple[int, ...]:
-        raw = word.encode("utf-8")
-        i = self.whole.get(raw)
-        ids = (i,) if i >= 0 else self.merge(raw)
-        if len(self) >= CACHE_ENTRIES:
+        ids = self.older.get(word)
+        if ids is None:
+            raw = word.encode("utf-8")
+            i = self.whole.get(raw)
+            ids = (i,) if i >= 0 else self.merge(raw)
+        if 2 * len(self) >= CACHE_ENTRIES:
+            self.older = dict(self)
             self.clear()
         self[word] = ids
         return ids
@@ -144,25 +149,21 @@ def _encoder(raw: bytes, pattern: str) -> Encoder:
     return _ENCODERS[key]
 
 
-def _lists(lists: list[np.ndarray]) -> pa.Array:
+def _lists(lists: list[list[int]]) -> pa.Array:
     offsets = np.zeros(len(lists) + 1, dtype=np.int32)
     np.cumsum([len(x) for x in lists], out=offsets[1:])
-    values = np.concatenate(lists) if lists else np.empty(0, np.int32)
+    values = np.fromiter(chain.from_iterable(lists), np.int32, int(offsets[-1]))
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, pa.int32()))
 
 
-def _encoded(enc: Encoder, texts: pa.Array) -> list[np.ndarray]:
-    out = []
-    for value in texts:
-        words = list(map(enc.__getitem__, enc.split(value.as_py() or "")))
-        out.append(np.fromiter(chain.from_iterable(words), np.int32, sum(map(len, words))))
-    return out
+def _encoded(enc: Encoder, texts: pa.Array) -> list[list[int]]:
+    return [enc.encode(value.as_py() or "") for value in texts]
 
 
-def _decoded(tokens: list[bytes], ids: np.ndarray) -> bytes:
-    if len(ids) and (ids.min() < 0 or ids.max() >= len(tokens)):
+def _decoded(tokens: list[bytes], ids: list[int]) -> bytes:
+    if ids and (min(ids) < 0 or max(ids) >= len(tokens)):
         raise ValueError("token id outside the vocabulary")
-    return b"".join(map(tokens.__getitem__, ids.tolist()))
+    return b"".join(map(tokens.__getitem__, ids))
 
 
 def _shipped(spark: SparkSession, ranks_path: str):
@@ -191,8 +192,7 @@ def decode(spark: SparkSession, ids: Column | str, ranks_path: str) -> Column:
     def raw(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         tokens = read_ranks(shipped.value)
         for batch in pieces(batches):
-            yield pa.array([_decoded(tokens, np.array(v.as_py() or [], np.int64))
-                            for v in batch], pa.binary())
+            yield pa.array([_decoded(tokens, v.as_py() or []) for v in batch], pa.binary())
 
     return raw(ids)
 
