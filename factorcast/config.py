@@ -34,3 +34,9 @@ INIT_J_MULT = 104729
 INIT_MOD = 10007
 USER_SALT = 17
 PRODUCT_SALT = 71
+
+# Virtual grid of stratified SGD (blocks of users x blocks of products) and the
+# micro-batch of predict-then-learn.  Results depend on them; they are
+# arguments everywhere and never follow row counts or cluster size.
+GRID = 8
+BATCH_ROWS = 1 << 16

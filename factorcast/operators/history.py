@@ -143,3 +143,14 @@ def set_membership(past: DataFrame, future: DataFrame) -> DataFrame:
 def drop_not_applicable(df: DataFrame, recall: str = "recall") -> DataFrame:
     """FLT3: drop samples whose recall is not applicable (empty future)."""
     return df.where(F.col(recall).isNotNull())
+
+
+def mark_first_seen(df: DataFrame, idx: str = "idx", out: str = "is_cold") -> DataFrame:
+    """Adds ``out``: no earlier row of the stream has this row's user, or
+    none has its product.  Such rows are exactly the first row of a user or
+    of a product: two pre-aggregated minima and a join on the unique
+    ``idx``, so a hot user or product is never gathered."""
+    firsts = (df.groupBy("user").agg(F.min(idx).alias(idx)).select(idx)
+              .union(df.groupBy("product").agg(F.min(idx).alias(idx)).select(idx))
+              .distinct().withColumn(out, F.lit(True)))
+    return df.join(firsts, idx, "left").withColumn(out, F.coalesce(F.col(out), F.lit(False)))

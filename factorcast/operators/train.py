@@ -16,6 +16,8 @@ materialized with a reliable checkpoint.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -24,7 +26,7 @@ from pyspark.sql import types as T
 
 from factorcast import config
 from factorcast.functions.vectors import dot
-from factorcast.operators.ordering import shuffle_key
+from factorcast.operators.ordering import row_hash, shuffle_key
 from factorcast.session import broadcast_if_fits, broadcast_max_bytes, factor_row_bytes, materialize
 from factorcast.sources.factors import init_factors, upsert
 
@@ -136,10 +138,11 @@ def _init_keyed(tr: DataFrame, col: str, k: int, side: str, implicit: bool, keys
 
 def sgd_sequence(users: np.ndarray, products: np.ndarray, ratings: np.ndarray,
                  ufac: dict, pfac: dict, steps: int, gu: float, gi: float,
-                 lam: float, init_u, init_p) -> None:
+                 lam: float, init_u, init_p) -> np.ndarray:
     """Sequential SGD over rows in the given order, ``steps`` consecutive
     updates per row; vectors of unseen ids come from ``init_*``.  Mutates
-    the two dicts.
+    the two dicts and returns each row's score before its own update
+    (the dot product of its vectors as all earlier rows left them).
 
     Exact wavefront form: a row depends on earlier rows only through its
     user and its product, so row j goes to wave 1 + max(wave of the last
@@ -148,8 +151,9 @@ def sgd_sequence(users: np.ndarray, products: np.ndarray, ratings: np.ndarray,
     numpy, producing bit-for-bit the sequential result (same operations,
     same order per element).  Runs inside one block task."""
     n = len(users)
+    scores = np.empty(n)
     if n == 0:
-        return
+        return scores
     uids, uinv = np.unique(users, return_inverse=True)
     pids, pinv = np.unique(products, return_inverse=True)
     U = _gather(uids, ufac, init_u)
@@ -169,10 +173,12 @@ def sgd_sequence(users: np.ndarray, products: np.ndarray, ratings: np.ndarray,
         rows = order[bounds[w]:bounds[w + 1]]
         ua, pa, rr = uinv[rows], pinv[rows], ratings[rows]
         uf, pf = U[ua], P[pa]
-        for _ in range(steps):
+        for step in range(steps):
             s = uf[:, 0] * pf[:, 0]
             for c in range(1, k):
                 s = s + uf[:, c] * pf[:, c]
+            if step == 0:
+                scores[rows] = s
             e = (rr - s)[:, None]
             uf, pf = uf + gu * (e * pf - lam * uf), pf + gi * (e * uf - lam * pf)
         U[ua] = uf
@@ -181,6 +187,7 @@ def sgd_sequence(users: np.ndarray, products: np.ndarray, ratings: np.ndarray,
         ufac[i] = v
     for i, v in zip(pids.tolist(), P):
         pfac[i] = v
+    return scores
 
 
 def _gather(ids: np.ndarray, fac: dict, init) -> np.ndarray:
@@ -226,8 +233,9 @@ BLOCK_OUT_SCHEMA = T.StructType([
 ])
 
 
-def _block_of(col: str, d: int):
-    return F.pmod(F.xxhash64(F.col(col).cast("long")), F.lit(d)).cast("int")
+def block_of(col: str, d: int):
+    """Virtual block of an id: an arithmetic hash that SQL engines agree on."""
+    return F.pmod(row_hash([col]), F.lit(d)).cast("int")
 
 
 def empty_factors(spark, keys: list[str] | None = None, key_types: dict | None = None) -> DataFrame:
@@ -236,7 +244,7 @@ def empty_factors(spark, keys: list[str] | None = None, key_types: dict | None =
 
 
 def _block_kernel(k: int, gu: float, gi: float, lam: float, steps: int, scale: float,
-                  order_names: list[str], keys: list[str]):
+                  order_names: list[str], keys: list[str], score_id: str | None = None):
     out_fields = [T.StructField(c, T.LongType()) for c in keys] + list(BLOCK_OUT_SCHEMA.fields)
     schema = T.StructType(out_fields)
     names = [f.name for f in schema.fields]
@@ -250,15 +258,21 @@ def _block_kernel(k: int, gu: float, gi: float, lam: float, steps: int, scale: f
         ufac, pfac = {}, {}
         for side, i, f in zip(facs["side"].tolist(), facs["id"].tolist(), facs["f"].tolist()):
             (ufac if side == "u" else pfac)[int(i)] = np.asarray(f, dtype=np.float64)
-        sgd_sequence(rows["user"].to_numpy(np.int64), rows["product"].to_numpy(np.int64),
-                     rows["rating"].to_numpy(np.float64), ufac, pfac, steps, gu, gi, lam,
-                     lambda ids: init_matrix(ids, k, config.USER_SALT, scale),
-                     lambda ids: init_matrix(ids, k, config.PRODUCT_SALT, scale))
+        scores = sgd_sequence(
+            rows["user"].to_numpy(np.int64), rows["product"].to_numpy(np.int64),
+            rows["rating"].to_numpy(np.float64), ufac, pfac, steps, gu, gi, lam,
+            lambda ids: init_matrix(ids, k, config.USER_SALT, scale),
+            lambda ids: init_matrix(ids, k, config.PRODUCT_SALT, scale))
         out = {"side": ["u"] * len(ufac) + ["p"] * len(pfac),
                "id": list(ufac) + list(pfac),
                "f": [v.tolist() for v in ufac.values()] + [v.tolist() for v in pfac.values()]}
+        if score_id is not None:             # side 'r': (row id, [score before its update])
+            scored = rows[score_id].notna().to_numpy()
+            out["side"] += ["r"] * int(scored.sum())
+            out["id"] += rows[score_id][scored].astype("int64").tolist()
+            out["f"] += [[x] for x in scores[scored].tolist()]
         for c in keys:
-            out[c] = [int(rows[c].iloc[0])] * (len(ufac) + len(pfac))
+            out[c] = [int(rows[c].iloc[0])] * len(out["id"])
         return pd.DataFrame(out)[names]
 
     return run_block, schema
@@ -280,12 +294,14 @@ def split_factors(facs: DataFrame, keys: list[str] | None = None):
 
 
 def block_sgd_table(train: DataFrame, facs: DataFrame, k: int, epochs: int, gamma_u: float,
-                    gamma_i: float, lam: float, blocks: int = 4,
+                    gamma_i: float, lam: float, blocks: int = config.GRID,
                     order_cols: list[str] | None = None, steps_per_row: int = 1,
                     shuffle: bool = True, seed: int = config.SEED, implicit: bool = False,
-                    keys: list[str] | None = None) -> DataFrame:
+                    keys: list[str] | None = None, score_id: str | None = None):
     """L2 on a combined factor table; returns the new combined table
-    (see ``block_sgd``)."""
+    (see ``block_sgd``).  With ``score_id`` (a nullable long column) returns
+    (table, scores): scores holds (keys, score_id, score), the score before
+    the row's own update, of every visit whose ``score_id`` is not null."""
     spark = train.sparkSession
     keys = list(keys or [])
     d = max(1, int(blocks))
@@ -296,12 +312,14 @@ def block_sgd_table(train: DataFrame, facs: DataFrame, k: int, epochs: int, gamm
     order_names = [c for c in (order_cols or []) if c not in ("user", "product", "rating")]
     tr = train.select(*keys, F.col("user").cast("long").alias("user"),
                       F.col("product").cast("long").alias("product"),
-                      F.col("rating").cast("double").alias("rating"), *order_names)
-    tr = tr.withColumn("g", _block_of("user", d)).withColumn("pb", _block_of("product", d))
+                      F.col("rating").cast("double").alias("rating"), *order_names,
+                      *([score_id] if score_id and score_id not in order_names else []))
+    tr = tr.withColumn("g", block_of("user", d)).withColumn("pb", block_of("product", d))
     if d > 1 or epochs > 1:
         # scanned once per stratum: pin it, partitioned by user block
         tr = materialize(tr.repartition(n, *keys, "g"), keep_partitioning=True)
-    run_block, schema = _block_kernel(k, gamma_u, gamma_i, lam, steps_per_row, scale, order_names, keys)
+    run_block, schema = _block_kernel(k, gamma_u, gamma_i, lam, steps_per_row, scale, order_names, keys, score_id)
+    scores = []
     row_cols = keys + (order_names or ["user", "product", "rating"])
     facs = facs.select(*keys, "side", "id", "f")
     rest = None
@@ -320,17 +338,23 @@ def block_sgd_table(train: DataFrame, facs: DataFrame, k: int, epochs: int, gamm
         ep = tr.withColumn("_key", shuffle_key(row_cols, seed, epoch)) if shuffle else tr
         for s in range(d):
             rows = ep.where(F.pmod(F.col("pb") - F.col("g"), F.lit(d)) == s).drop("pb")
-            g = F.when(F.col("side") == "u", _block_of("id", d)).otherwise(
-                F.pmod(_block_of("id", d) - F.lit(s), F.lit(d)))
+            g = F.when(F.col("side") == "u", block_of("id", d)).otherwise(
+                F.pmod(block_of("id", d) - F.lit(s), F.lit(d)))
             fr = facs.withColumn("g", g).repartition(n, *keys, "g")
             facs = materialize(rows.groupBy(*keys, "g").cogroup(fr.groupBy(*keys, "g"))
                                .applyInPandas(run_block, schema))
-    return facs if rest is None else materialize(facs.unionByName(rest))
+            if score_id is not None:
+                scores.append(facs.where(F.col("side") == "r").select(
+                    *keys, F.col("id").alias(score_id), F.col("f")[0].alias("score")))
+                facs = facs.where(F.col("side") != "r")
+    if rest is not None:
+        facs = materialize(facs.unionByName(rest))
+    return facs if score_id is None else (facs, reduce(DataFrame.unionByName, scores))
 
 
 def block_sgd(train: DataFrame, k: int, epochs: int, gamma_u: float, gamma_i: float,
               lam: float, uf: DataFrame | None = None, pf: DataFrame | None = None,
-              blocks: int = 4, order_cols: list[str] | None = None,
+              blocks: int = config.GRID, order_cols: list[str] | None = None,
               steps_per_row: int = 1, shuffle: bool = True,
               seed: int = config.SEED, implicit: bool = False,
               keys: list[str] | None = None):
@@ -342,7 +366,10 @@ def block_sgd(train: DataFrame, k: int, epochs: int, gamma_u: float, gamma_i: fl
     exact sequential update inside a block (vectorized by dependency
     waves, see ``sgd_sequence``).  Rows of a block are visited in a
     per-epoch pseudo-random order (``shuffle``) or in ``order_cols`` order
-    (stream order).  blocks=1 is plain sequential SGD.
+    (stream order).  blocks=1 is plain sequential SGD; with more blocks the
+    rows of a call are visited stratum by stratum, and in the given order
+    inside a block.  ``blocks`` is an argument, never derived from row
+    counts: the result depends on it and on nothing of the cluster.
 
     Data movement: the ratings are hash-partitioned by user block once
     (checkpointed with that partitioning) and never move again.  The
@@ -365,7 +392,7 @@ def block_sgd(train: DataFrame, k: int, epochs: int, gamma_u: float, gamma_i: fl
 
 
 def distributed_sgd(train: DataFrame, k: int, epochs: int, gamma: float, lam: float,
-                    blocks: int = 4, **kw):
+                    blocks: int = config.GRID, **kw):
     """L3: one learning rate for both sides over conflict-free strata (the
     lock-free shared-store updates are replaced by a deterministic scheme)."""
     return block_sgd(train, k, epochs, gamma, gamma, lam, blocks=blocks, **kw)
@@ -373,7 +400,7 @@ def distributed_sgd(train: DataFrame, k: int, epochs: int, gamma: float, lam: fl
 
 def online_update(batch: DataFrame, uf: DataFrame, pf: DataFrame, k: int,
                   steps: int, gamma_u: float, gamma_i: float, lam: float,
-                  order_cols: list[str], blocks: int = 1, implicit: bool = False,
+                  order_cols: list[str], blocks: int = config.GRID, implicit: bool = False,
                   keys: list[str] | None = None):
     """L4: learn a micro-batch of arrivals in stream order, ``steps``
     consecutive SGD steps per rating (no epoch shuffle)."""
@@ -382,31 +409,48 @@ def online_update(batch: DataFrame, uf: DataFrame, pf: DataFrame, k: int,
                      implicit=implicit, keys=keys)
 
 
+def score_and_learn(batch: DataFrame, facs: DataFrame, k: int, steps: int, gamma_u: float,
+                    gamma_i: float, lam: float, order_cols: list[str], score_id: str = "idx",
+                    blocks: int = config.GRID, implicit: bool = False,
+                    keys: list[str] | None = None):
+    """Predict-then-learn on a micro-batch and a combined factor table:
+    (table, scores).  Every row is scored by the vectors that the rows
+    visited before it left, then learned; scores: (keys, score_id, score).
+
+    With blocks=1 the visiting order is the stream order.  With more, rows
+    are visited stratum by stratum, so a row may be scored after a later
+    row of its own micro-batch, never of a later one."""
+    return block_sgd_table(batch, facs, k, 1, gamma_u, gamma_i, lam, blocks, order_cols, steps,
+                           False, implicit=implicit, keys=keys, score_id=score_id)
+
+
 # ---------------------------------------------------------------- L5
 
+def replay_rows(buffers: DataFrame, passes: int = config.REPLAY_PASSES, idx: str = "idx"):
+    """W5 buffers -> learning rows (event, step, user, product, rating), with
+    ``scored`` = the event on its first step (its own rating) and null else."""
+    from factorcast.operators.history import replay_sequence
+    return replay_sequence(buffers, passes, idx).select(
+        F.col(idx).alias("event"), "step", "user", F.col("b_product").alias("product"),
+        F.col("b_rating").alias("rating")).withColumn(
+        "scored", F.when(F.col("step") == 0, F.col("event")))
+
+
 def last_k_replay(events: DataFrame, k: int, last_k: int, gamma_u: float, gamma_i: float,
                   lam: float, uf: DataFrame | None = None, pf: DataFrame | None = None,
-                  idx: str = "idx", passes: int = config.REPLAY_PASSES, blocks: int = 1,
-                  buffers: DataFrame | None = None, implicit: bool = False):
+                  idx: str = "idx", passes: int = config.REPLAY_PASSES, blocks: int = config.GRID,
+                  implicit: bool = False):
     """For each event (in ``idx`` order) the user's ``last_k`` newest
     ratings, current included, are replayed newest to oldest ``passes``
     times with one SGD step each.
 
     The replay rows are generated declaratively (W5 buffer join + W6
     explode) and learned in (idx, step) order; blocks=1 reproduces the
-    sequential semantics exactly, blocks>1 trades exact cross-user order
-    for parallel strata.  ``buffers`` may carry precomputed W5 rows for a
-    larger stream (events then selects which events replay)."""
-    from factorcast.operators.history import last_k_buffer, replay_sequence
-    if buffers is None:
-        buffers = last_k_buffer(events, last_k, idx)
-    else:
-        buffers = buffers.join(events.select(F.col(idx)), idx, "left_semi")
-    rp = replay_sequence(buffers, passes, idx)
-    rows = rp.select(F.col(idx).alias("_ev"), "step", "user",
-                     F.col("b_product").alias("product"), F.col("b_rating").alias("rating"))
+    sequential semantics exactly, blocks>1 visits them stratum by stratum."""
+    from factorcast.operators.history import last_k_buffer
+    rows = replay_rows(last_k_buffer(events, last_k, idx), passes, idx)
     return block_sgd(rows, k, 1, gamma_u, gamma_i, lam, uf=uf, pf=pf, blocks=blocks,
-                     order_cols=["_ev", "step"], shuffle=False, implicit=implicit)
+                     order_cols=["event", "step"], shuffle=False, implicit=implicit)
 
 
 # ---------------------------------------------------------------- L6

@@ -45,13 +45,18 @@ QU = '"user"'
 
 QUERIES: dict = {}
 ORACLE: dict = {}
+# SQL of sequential learning: one recursion step per stratum position, some
+# 7 ms each, so 60,000 ratings take minutes.  The tests run it at sf0.001.
+SEQUENTIAL_SQL: dict = {}
 
 
-def register(name: str, sql: str | None = None):
+def register(name: str, sql: str | None = None, sequential: str | None = None):
     def deco(fn):
         QUERIES[name] = fn
         if sql is not None:
             ORACLE[name] = sql
+        if sequential is not None:
+            SEQUENTIAL_SQL[name] = sequential
         return fn
     return deco
 
@@ -65,7 +70,7 @@ def rounded(df: DataFrame, places: int = 6) -> DataFrame:
 
 
 def W(ctes: list[str], body: str) -> str:
-    return "WITH " + ",\n".join(ctes) + "\n" + body
+    return ("WITH RECURSIVE " if any("USING KEY" in c for c in ctes) else "WITH ") + ",\n".join(ctes) + "\n" + body
 
 
 def r6(expr: str, alias: str) -> str:
@@ -707,9 +712,11 @@ def _expanding_sql():
         f"LEFT JOIN {ut} u ON x.round = u.round AND x.{QU} = u.id "
         f"LEFT JOIN {pt} p ON x.round = p.round AND x.product = p.id)")
     return W(ctes,
-             "SELECT pr.round, ed.lo, ed.hi, count(*) AS n, sum(CAST(is_cold AS BIGINT)) AS unknown, "
+             "SELECT ed.block AS round, ed.lo, ed.hi, count(pr.rating) AS n, "
+             "coalesce(sum(CAST(is_cold AS BIGINT)), 0) AS unknown, "
              f"{r6('sqrt(avg((rating - prediction) * (rating - prediction)))', 'rmse')} "
-             "FROM pr JOIN ed ON ed.block = pr.round GROUP BY pr.round, ed.lo, ed.hi")
+             "FROM ed LEFT JOIN pr ON ed.block = pr.round WHERE ed.block >= 1 "
+             "GROUP BY ed.block, ed.lo, ed.hi")
 
 
 @register("eval_expanding", _expanding_sql())
@@ -720,7 +727,7 @@ def q_eval_expanding(spark, sf):
 # ------------------------------------------------------------ learning (no SQL oracle: iterative / sequential)
 
 SGD_RATE = 0.01
-BLOCKS = 4
+BLOCKS = config.GRID
 
 
 @register("shuffle_epoch", W(SQL_R, "SELECT okey, line, product, supp, CAST(e.range AS BIGINT) AS epoch, "
@@ -733,27 +740,50 @@ def q_shuffle_epoch(spark, sf):
     return e.select(*KEYS, "epoch", OR.shuffle_key(KEYS, config.SEED, F.col("epoch")).alias("key"))
 
 
-@register("mf_block_sgd")
+def _sgd_sql(visits: str, order: str, ctes=(), implicit=False):
+    return list(ctes) + [f"vis AS ({visits})"] + O.grid_sgd_ctes(
+        "vis", order, K, SGD_RATE, SGD_RATE, LAMBDA, BLOCKS, implicit)
+
+
+EPOCH_KEY = O.row_hash(["phase", "okey", "line", "supp"])
+SQL_BLOCK_SGD = _sgd_sql(f"SELECT e.range AS phase, NULL::BIGINT AS rid, tr.* FROM tr, range(0, {EPOCHS}) e",
+                         f"{EPOCH_KEY}, okey, line, supp", SQL_RS)
+SQL_PREQ = _sgd_sql(
+    f"SELECT CASE WHEN idx < we THEN 0 ELSE 1 + (idx - we) // {config.BATCH_ROWS} END AS phase, "
+    "CASE WHEN idx >= we THEN idx END AS rid, ix.*, CASE WHEN idx < we THEN "
+    f"{O.row_hash(['0', 'idx'])} ELSE 0 END AS ek FROM ix, wm", "ek, idx",
+    SQL_R + SQL_IX + [f"wm AS (SELECT CAST(trunc(n / {O.dbl(config.N_BLOCKS)}) AS BIGINT) AS we FROM nn)"]) + [
+    f"fs AS (SELECT min(idx) AS idx FROM ix GROUP BY {QU} "
+    "UNION SELECT min(idx) FROM ix GROUP BY product)",
+    f"pr AS (SELECT ix.idx, ix.rating, fs.idx IS NOT NULL AS is_cold, CASE WHEN fs.idx IS NOT NULL "
+    f"THEN {O.dbl(config.COLD_START)} ELSE st.f[1] END AS prediction FROM ix JOIN st ON st.side = 'r' "
+    "AND st.id = ix.idx LEFT JOIN fs ON fs.idx = ix.idx)"]
+SQL_SCORED = ("count(*) AS n, sum(CAST(is_cold AS BIGINT)) AS unknown, "
+              f"{r6('sqrt(avg((rating - prediction) * (rating - prediction)))', 'rmse')}")
+
+
+@register("mf_block_sgd", sequential=W(SQL_BLOCK_SGD, O.factors_from("st", K)))
 def q_mf_block_sgd(spark, sf):
     tr, _ = _train_test(spark, sf)
     uf, pf = TR.block_sgd(tr, K, EPOCHS, SGD_RATE, SGD_RATE, LAMBDA, blocks=BLOCKS, order_cols=KEYS)
     return rounded(_factor_out(uf, "user").unionByName(_factor_out(pf, "product")))
 
 
-@register("mf_distributed_sgd")
+@register("mf_distributed_sgd", sequential=W(SQL_BLOCK_SGD, O.factors_from("st", K)))
 def q_mf_distributed_sgd(spark, sf):
     tr, _ = _train_test(spark, sf)
     uf, pf = TR.distributed_sgd(tr, K, EPOCHS, SGD_RATE, LAMBDA, blocks=BLOCKS, order_cols=KEYS)
     return rounded(_factor_out(uf, "user").unionByName(_factor_out(pf, "product")))
 
 
-@register("mf_online_update")
+@register("mf_online_update", sequential=W(_sgd_sql(
+    f"SELECT 0 AS phase, NULL::BIGINT AS rid, ix.*, c.range AS c FROM ix, range(0, 2) c", "idx, c",
+    SQL_R + SQL_IX), O.factors_from("st", K)))
 def q_mf_online_update(spark, sf):
-    """L4 on the test split in stream order, from the train-split start vectors."""
-    r = OR.global_index(_split(spark, sf), S.RATINGS_ORDER)
-    tr, te = r.where(F.col("is_train")), r.where(~F.col("is_train"))
-    uf, pf = _init_from(tr)
-    uf, pf = TR.online_update(te, uf, pf, K, 2, SGD_RATE, SGD_RATE, LAMBDA, ["idx"])
+    """L4 on every rating in stream order, from the start vectors."""
+    r = OR.global_index(_ratings(spark, sf), S.RATINGS_ORDER)
+    uf, pf = _init_from(r)
+    uf, pf = TR.online_update(r, uf, pf, K, 2, SGD_RATE, SGD_RATE, LAMBDA, ["idx"])
     return rounded(_factor_out(uf, "user").unionByName(_factor_out(pf, "product")))
 
 
@@ -798,77 +828,76 @@ def q_eval_holdout_distributed(spark, sf):
 @register("eval_expanding_online")
 def q_eval_expanding_online(spark, sf):
     return rounded(P.eval_expanding_online(_ratings(spark, sf), S.RATINGS_ORDER, K, 1, SGD_RATE,
-                                           SGD_RATE, LAMBDA, sub_batches=2))
+                                           SGD_RATE, LAMBDA))
 
 
-@register("eval_prequential")
+@register("eval_prequential", sequential=W(SQL_PREQ,
+    f"SELECT NULL::BIGINT AS round, {SQL_SCORED} FROM pr UNION ALL "
+    f"SELECT (idx - we) // {ROUND_ROWS * 5} + 1, {SQL_SCORED} FROM pr, wm "
+    f"GROUP BY 1 HAVING count(*) = {ROUND_ROWS * 5}"))
 def q_eval_prequential(spark, sf):
     r = _ratings(spark, sf)
     return rounded(P.eval_prequential(r, S.RATINGS_ORDER, K, 1, SGD_RATE, SGD_RATE, LAMBDA,
-                                      batch_rows=_stream_batch(spark, sf), round_rows=ROUND_ROWS * 5))
+                                      round_rows=ROUND_ROWS * 5))
 
 
 @register("eval_prequential_last_k")
 def q_eval_prequential_last_k(spark, sf):
     r = _ratings(spark, sf)
     return rounded(P.eval_prequential_last_k(r, S.RATINGS_ORDER, K, LAST_K, SGD_RATE, SGD_RATE, LAMBDA,
-                                             batch_rows=_stream_batch(spark, sf),
                                              round_rows=ROUND_ROWS * 5))
 
 
 @register("eval_prequential_recall")
 def q_eval_prequential_recall(spark, sf):
-    fb = S.feedback(spark, sf)
-    n = fb.count()
-    samples = P.eval_prequential_recall(fb, S.FEEDBACK_ORDER, K, 1, SGD_RATE, SGD_RATE, LAMBDA, r=TOP_R,
-                                        batch_rows=max(1, -(-n // STREAM_BATCHES)))
+    samples = P.eval_prequential_recall(S.feedback(spark, sf), S.FEEDBACK_ORDER, K, 1, SGD_RATE,
+                                        SGD_RATE, LAMBDA, r=TOP_R)
     return rounded(P.recall_metrics(samples))
 
 
-STREAM_BATCHES = 6
-
-
-def _stream_batch(spark, sf):
-    """Micro-batch size: the stream is consumed in STREAM_BATCHES steps."""
-    n = S.ratings(spark, sf).count()
-    return max(1, -(-n // STREAM_BATCHES))
-
-
 # ------------------------------------------------------------ streaming
 
 from factorcast.streaming import online as ST  # noqa: E402
 
 
-def _staged(spark, sf, df, n_batches=STREAM_BATCHES, start=0):
+STREAM_ROWS = 1 << 14      # rows of a micro-batch of the registered streams
+
+
+def _staged(spark, df, start=0):
     n = df.count()
-    size = max(1, -(-(n - start) // n_batches))
-    bounds = [(lo, min(lo + size, n)) for lo in range(start, n, size)]
+    bounds = [(lo, min(lo + STREAM_ROWS, n)) for lo in range(start, n, STREAM_ROWS)]
     root = ST.stage_stream(df, "idx", bounds, SK.scratch_path(spark, "stream-src"))
     return ST.read_stream(spark, root, df.schema)
 
 
-@register("stream_prequential")
+@register("stream_prequential", sequential=W(_sgd_sql(
+    f"SELECT CASE WHEN idx < we THEN 0 ELSE 1 + (idx - we) // {STREAM_ROWS} END AS phase, "
+    "CASE WHEN idx >= we THEN idx END AS rid, ix.*, CASE WHEN idx < we THEN "
+    f"{O.row_hash(['0', 'idx'])} ELSE 0 END AS ek FROM ix, wm", "ek, idx", SQL_PREQ[:len(SQL_R + SQL_IX) + 1])
+    + SQL_PREQ[-2:],
+    f"SELECT (idx - we) // {STREAM_ROWS} AS batch, min(idx) AS lo, max(idx) + 1 AS hi, {SQL_SCORED} "
+    "FROM pr, wm GROUP BY 1"))
 def q_stream_prequential(spark, sf):
     ix = OR.global_index(_ratings(spark, sf), S.RATINGS_ORDER).select("idx", "user", "product", "rating")
     n = ix.count()
     warm_end = int(n / float(config.N_BLOCKS))
     uf, pf = TR.block_sgd(ix.where(F.col("idx") < warm_end), K, 1, SGD_RATE, SGD_RATE, LAMBDA,
-                          blocks=1, order_cols=["idx"])
-    stream = _staged(spark, sf, ix, start=warm_end)
-    return rounded(ST.stream_prequential(stream, uf, pf, K, 1, SGD_RATE, SGD_RATE, LAMBDA))
+                          blocks=BLOCKS, order_cols=["idx"])
+    return rounded(ST.stream_prequential(_staged(spark, ix, start=warm_end), uf, pf, K, 1, SGD_RATE,
+                                         SGD_RATE, LAMBDA))
 
 
 @register("stream_last_k", ORACLE["last_k_buffer"])
 def q_stream_last_k(spark, sf):
     fi = _feedback_indexed(spark, sf).select("idx", "user", "product", "rating")
-    out = ST.stream_last_k(_staged(spark, sf, fi), LAST_K)
+    out = ST.stream_last_k(_staged(spark, fi), LAST_K)
     return out.select("idx", "pos", "b_idx", "b_product", "b_rating")
 
 
 @register("stream_recommend")
 def q_stream_recommend(spark, sf):
     fi = _feedback_indexed(spark, sf).select("idx", "user", "product", "rating")
-    return ST.stream_recommend(_staged(spark, sf, fi), K, 1, SGD_RATE, SGD_RATE, LAMBDA, TOP_R)
+    return ST.stream_recommend(_staged(spark, fi), K, 1, SGD_RATE, SGD_RATE, LAMBDA, TOP_R)
 
 
 # ------------------------------------------------------------ recommendation log (SNK3)

@@ -130,3 +130,54 @@ def eval_holdout(k: int, epochs: int, gamma: float, lam: float) -> str:
     return ("WITH " + ",\n".join(ctes) +
             "\nSELECT count(*) AS n, sum(CAST(is_cold AS BIGINT)) AS unknown, "
             "round(sqrt(avg((rating - prediction) * (rating - prediction))), 6) AS rmse FROM pr")
+
+
+def grid_sgd_ctes(visits: str, order: str, k: int, gu: float, gi: float, lam: float,
+                  blocks: int = config.GRID, implicit: bool = False,
+                  prefix: str = "") -> list[str]:
+    """CTEs of sequential SGD over ``visits`` (phase, rid, "user", product,
+    rating and the columns of ``order``), phase after phase, stratum after
+    stratum.  The blocks of a stratum share no user and no product, so step
+    ``pos`` learns one row of each of them.  The last CTE ``{prefix}st`` has
+    (side, id, pos, f): 'u' and 'p' vectors, 'r' scores before the update."""
+    P, scale = prefix, config.SCALE_IMPLICIT if implicit else config.SCALE_EXPLICIT
+
+    def start(col: str, side: str, salt: int) -> str:
+        vec = ", ".join(init_expr("id", j, k, salt, scale) for j in range(k))
+        return (f"SELECT '{side}' AS side, id, 0::BIGINT AS pos, [{vec}] AS f "
+                f"FROM (SELECT DISTINCT CAST({col} AS BIGINT) AS id FROM {P}sq)")
+
+    def new(a: str, b: str, g: float) -> str:
+        return "[" + ", ".join(f"{a}[{j}] + {dbl(g)} * (e * {b}[{j}] - {dbl(lam)} * {a}[{j}])"
+                               for j in range(1, k + 1)) + "]"
+
+    dot = " + ".join(f"a.f[{j}] * b.f[{j}]" for j in range(1, k + 1))
+    return [
+        f'{P}gb AS (SELECT *, {row_hash([chr(34) + "user" + chr(34)])} % {blocks} AS g, '
+        f"{row_hash(['product'])} % {blocks} AS pb FROM {visits})",
+        f"{P}gs AS (SELECT *, (pb - g + {blocks}) % {blocks} AS s FROM {P}gb)",
+        f"{P}gi AS (SELECT *, row_number() OVER (PARTITION BY phase, s, g ORDER BY {order}) AS i FROM {P}gs)",
+        f"{P}gl AS (SELECT phase, s, max(i) AS steps FROM {P}gi GROUP BY phase, s)",
+        f"{P}go AS (SELECT phase, s, sum(steps) OVER (ORDER BY phase, s) - steps AS before FROM {P}gl)",
+        f'{P}sq AS MATERIALIZED (SELECT (before + i)::BIGINT AS pos, rid, "user" AS u, product AS p, rating '
+        f"FROM {P}gi JOIN {P}go USING (phase, s))",
+        f"{P}st(side, id, pos, f) USING KEY (side, id) AS ("
+        f"{start('u', 'u', config.USER_SALT)} UNION ALL {start('p', 'p', config.PRODUCT_SALT)} "
+        "UNION ALL SELECT 't', 0, 1::BIGINT, []::DOUBLE[] "
+        "UNION SELECT n.* FROM ("
+        f"WITH tick AS (SELECT pos FROM {P}st WHERE side = 't'), "
+        f"x AS (SELECT q.rid, q.u, q.p, q.pos, a.f AS uf, b.f AS pf, {dot} AS score, "
+        f"q.rating - ({dot}) AS e FROM tick JOIN {P}sq q ON q.pos = tick.pos "
+        f"JOIN recurring.{P}st a ON a.side = 'u' AND a.id = q.u "
+        f"JOIN recurring.{P}st b ON b.side = 'p' AND b.id = q.p) "
+        f"SELECT 'u' AS side, u AS id, pos, {new('uf', 'pf', gu)} AS f FROM x "
+        f"UNION ALL SELECT 'p', p, pos, {new('pf', 'uf', gi)} FROM x "
+        "UNION ALL SELECT 'r', rid, pos, [score] FROM x WHERE rid IS NOT NULL "
+        "UNION ALL SELECT DISTINCT 't', 0, pos + 1, []::DOUBLE[] FROM x) n)",
+    ]
+
+
+def factors_from(state: str, k: int) -> str:
+    cols = ", ".join(f"round(f[{j + 1}], 6) AS f{j}" for j in range(k))
+    return (f"SELECT CASE side WHEN 'u' THEN 'user' ELSE 'product' END AS side, id, {cols} "
+            f"FROM {state} WHERE side IN ('u', 'p')")

@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factorcast import config
-from factorcast.operators.history import drop_not_applicable, first_last, last_k_buffer
+from factorcast.operators.history import drop_not_applicable, first_last, last_k_buffer, mark_first_seen
 from factorcast.operators.metrics import rmse, round_metric
 from factorcast.operators.recall import recall_at_events
 from factorcast.session import materialize
 from factorcast.functions.vectors import cold_start_prediction, is_cold
 from factorcast.operators.ordering import block_bounds, global_index, holdout_split, time_blocks
 from factorcast.operators.recommend import predict
-from factorcast.operators.train import (batch_gd, block_sgd, distributed_sgd, empty_factors,
-                                        last_k_replay, online_update)
+from factorcast.operators.train import (batch_gd, block_sgd_table, combine_factors,
+                                        distributed_sgd, empty_factors, online_update,
+                                        replay_rows, score_and_learn)
+from factorcast.sources.sinks import scratch_path
 
 
 def eval_holdout(ratings: DataFrame, key_cols: list[str], k: int = 8, epochs: int = 2,
@@ -40,7 +44,8 @@ def eval_expanding(ratings: DataFrame, order_cols: list[str], k: int = 8, epochs
     factor-table key): a rating of block b is offered to rounds b+1.. by
     ``explode`` (no join), so the 49 retrains are T jobs instead of 49*T.
     The replicated volume is what the protocol costs anyway (sum of
-    prefixes); returns (round, lo, hi, n, unknown, rmse)."""
+    prefixes); returns (round, lo, hi, n, unknown, rmse), a round without
+    test rows having n = 0 and a null rmse."""
     spark = ratings.sparkSession
     ix = global_index(ratings, order_cols)
     n = ix.count()
@@ -55,9 +60,7 @@ def eval_expanding(ratings: DataFrame, order_cols: list[str], k: int = 8, epochs
     pred = (test.join(u, ["round", "user"], "left").join(p, ["round", "product"], "left")
             .withColumn("prediction", cold_start_prediction("uf", "pf", k))
             .withColumn("is_cold", is_cold("uf", "pf")))
-    m = rmse(pred, group_cols=["round"])
-    edges = block_bounds(spark, n, n_blocks).withColumnRenamed("block", "round")
-    return m.join(F.broadcast(edges), "round").select("round", "lo", "hi", "n", "unknown", "rmse")
+    return _every_round(rmse(pred, group_cols=["round"]), spark, n, n_blocks)
 
 
 # ---------------------------------------------------------------- online protocols
@@ -73,15 +76,16 @@ def _metrics(pred: DataFrame, t_col: str, round_rows: int) -> DataFrame:
     return overall.unionByName(rounds)
 
 
-def _union(frames: list[DataFrame]) -> DataFrame:
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f)
-    return out
+def _every_round(metrics: DataFrame, spark, n: int, n_blocks: int) -> DataFrame:
+    """(round, lo, hi, n, unknown, rmse) of every round 1..n_blocks-1."""
+    edges = block_bounds(spark, n, n_blocks).withColumnRenamed("block", "round").where("round >= 1")
+    return edges.join(metrics, "round", "left").select(
+        "round", "lo", "hi", F.coalesce("n", F.lit(0)).alias("n"),
+        F.coalesce("unknown", F.lit(0)).alias("unknown"), "rmse")
 
 
 def eval_holdout_distributed(ratings: DataFrame, key_cols: list[str], k: int = 8, epochs: int = 2,
-                             gamma: float = 0.01, lam: float = 0.02, blocks: int = 4,
+                             gamma: float = 0.01, lam: float = 0.02, blocks: int = config.GRID,
                              seed: int = config.SEED,
                              train_fraction: float = config.TRAIN_FRACTION) -> DataFrame:
     """Hash split, conflict-free distributed SGD (one rate), predictions
@@ -104,66 +108,102 @@ def _batches(lo: int, hi: int, batch_rows: int):
     return [(s, min(s + b, hi)) for s in range(lo, hi, b)]
 
 
+def _consume(rows: DataFrame, position: str, start: int, end: int, batch_rows: int,
+             facs: DataFrame, learn) -> DataFrame:
+    """Predict-then-learn over positions [start, end) of a stream, one
+    micro-batch after the other: ``learn(batch, facs) -> (facs, scores)``.
+
+    The stream is written once, partitioned by micro-batch, so a step reads
+    its own rows only; scores are appended as one folder a micro-batch.
+    Returns the scores (idx, score)."""
+    spark = rows.sparkSession
+    source, scored = scratch_path(spark, "stream-rows"), scratch_path(spark, "stream-scores")
+    number = F.floor((F.col(position) - F.lit(start)) / F.lit(batch_rows)).cast("long")
+    staged = rows.where(F.col(position) >= start).withColumn("batch", number)
+    staged.write.partitionBy("batch").parquet(source)
+    staged = spark.read.schema(staged.schema).parquet(source)
+    for j in range(len(_batches(start, end, batch_rows))):
+        facs, scores = learn(staged.where(F.col("batch") == j).drop("batch"), facs)
+        scores.toDF("idx", "score").write.mode("overwrite").parquet(f"{scored}/batch={j}")
+    if start >= end:
+        return spark.createDataFrame([], "idx long, score double")
+    return spark.read.parquet(scored).select("idx", "score")
+
+
+def _scored(ix: DataFrame, scores: DataFrame) -> DataFrame:
+    """The scored rows with ``is_cold`` (first row of its user or product,
+    whatever the micro-batches) and ``prediction`` (cold start where cold)."""
+    return (mark_first_seen(ix.select("idx", "user", "product", "rating")).join(scores, "idx")
+            .withColumn("prediction", F.when(F.col("is_cold"), F.lit(config.COLD_START))
+                        .otherwise(F.col("score"))))
+
+
 def eval_prequential(ratings: DataFrame, order_cols: list[str], k: int = 8, steps: int = 1,
                      gamma_u: float = 0.01, gamma_i: float = 0.01, lam: float = 0.02,
-                     batch_rows: int = 10000, round_rows: int = config.PREQUENTIAL_ROUND,
-                     n_blocks: int = config.N_BLOCKS, blocks: int = 1,
+                     batch_rows: int = config.BATCH_ROWS,
+                     round_rows: int = config.PREQUENTIAL_ROUND,
+                     n_blocks: int = config.N_BLOCKS, blocks: int = config.GRID,
                      seed: int = config.SEED, shuffle_warmup: bool = True) -> DataFrame:
     """E5: warm up on block 0 (T shuffled epochs), then predict-then-learn
-    over the rest in stream order, one micro-batch of ``batch_rows`` at a
-    time (each batch is scored with the factors learned before it, then
-    learned with T consecutive steps per rating).  Returns metrics rows
-    (round NULL = overall)."""
+    over the rest: every rating is scored with what was learned before it,
+    then learned with T consecutive steps.
+
+    ``batch_rows`` bounds the rows of one step and ``blocks`` is the grid
+    inside it (see ``score_and_learn``; blocks=1 is the exact event order).
+    ``is_cold`` comes from first-seen positions and depends on neither.
+    Returns metrics rows (round NULL = overall)."""
     ix = global_index(ratings, order_cols)
     n = ix.count()
     warm_end = int(n / float(n_blocks) * 1)
-    warm = ix.where(F.col("idx") < warm_end)
-    uf, pf = block_sgd(warm, k, steps, gamma_u, gamma_i, lam, blocks=blocks,
-                       order_cols=["idx"], shuffle=shuffle_warmup, seed=seed)
-    preds = []
-    for lo, hi in _batches(warm_end, n, batch_rows):
-        b = ix.where((F.col("idx") >= lo) & (F.col("idx") < hi))
-        preds.append(materialize(predict(b.select("idx", "user", "product", "rating"), uf, pf, k)))
-        uf, pf = online_update(b, uf, pf, k, steps, gamma_u, gamma_i, lam, ["idx"], blocks=blocks)
-    pred = _union(preds).withColumn("t", F.col("idx") - F.lit(warm_end))
+    facs = block_sgd_table(ix.where(F.col("idx") < warm_end), combine_factors(None, None, ix.sparkSession),
+                           k, steps, gamma_u, gamma_i, lam, blocks, ["idx"],
+                           shuffle=shuffle_warmup, seed=seed)
+
+    def learn(batch, facs):
+        return score_and_learn(batch, facs, k, steps, gamma_u, gamma_i, lam, ["idx"], blocks=blocks)
+
+    scores = _consume(ix.select("idx", "user", "product", "rating"), "idx", warm_end, n,
+                      batch_rows, facs, learn)
+    pred = _scored(ix, scores).withColumn("t", F.col("idx") - F.lit(warm_end))
     return _metrics(pred, "t", round_rows)
 
 
 def eval_prequential_last_k(ratings: DataFrame, order_cols: list[str], k: int = 8,
                             last_k: int = 5, gamma_u: float = 0.01, gamma_i: float = 0.01,
-                            lam: float = 0.02, batch_rows: int = 10000,
+                            lam: float = 0.02, batch_rows: int = config.BATCH_ROWS,
                             round_rows: int = config.PREQUENTIAL_ROUND,
-                            n_blocks: int = config.N_BLOCKS, blocks: int = 1) -> DataFrame:
-    """As E5 with last-K replay learning; the warm-up is one ordered
-    pass (no epochs, no shuffle).  Buffers are built once for the whole
-    stream (they do not depend on the factors)."""
+                            n_blocks: int = config.N_BLOCKS, blocks: int = config.GRID) -> DataFrame:
+    """As E5 with last-K replay learning (a rating is scored before the
+    first step of its own replay); the warm-up is one ordered pass.  Replay
+    rows are built once for the whole stream (they do not depend on the
+    factors) and written by micro-batch of events."""
     ix = global_index(ratings, order_cols)
     n = ix.count()
     warm_end = int(n / float(n_blocks) * 1)
-    buffers = materialize(last_k_buffer(ix, last_k))
-    uf, pf = last_k_replay(ix.where(F.col("idx") < warm_end), k, last_k, gamma_u, gamma_i, lam,
-                           buffers=buffers, blocks=blocks)
-    preds = []
-    for lo, hi in _batches(warm_end, n, batch_rows):
-        b = ix.where((F.col("idx") >= lo) & (F.col("idx") < hi))
-        preds.append(materialize(predict(b.select("idx", "user", "product", "rating"), uf, pf, k)))
-        uf, pf = last_k_replay(b, k, last_k, gamma_u, gamma_i, lam, uf=uf, pf=pf,
-                               buffers=buffers, blocks=blocks)
-    pred = _union(preds).withColumn("t", F.col("idx") - F.lit(warm_end))
+    rows = materialize(replay_rows(last_k_buffer(ix, last_k)))
+    facs = block_sgd_table(rows.where(F.col("event") < warm_end),
+                           combine_factors(None, None, ix.sparkSession), k, 1, gamma_u, gamma_i,
+                           lam, blocks, ["event", "step"], shuffle=False)
+
+    def learn(batch, facs):
+        return score_and_learn(batch, facs, k, 1, gamma_u, gamma_i, lam, ["event", "step"],
+                               score_id="scored", blocks=blocks)
+
+    scores = _consume(rows, "event", warm_end, n, batch_rows, facs, learn)
+    pred = _scored(ix, scores).withColumn("t", F.col("idx") - F.lit(warm_end))
     return _metrics(pred, "t", round_rows)
 
 
 def eval_expanding_online(ratings: DataFrame, order_cols: list[str], k: int = 8, steps: int = 1,
                           gamma_u: float = 0.01, gamma_i: float = 0.01, lam: float = 0.02,
-                          n_blocks: int = config.N_BLOCKS, sub_batches: int = 4,
-                          blocks: int = 1, seed: int = config.SEED) -> DataFrame:
+                          n_blocks: int = config.N_BLOCKS, batch_rows: int = config.BATCH_ROWS,
+                          blocks: int = config.GRID, seed: int = config.SEED) -> DataFrame:
     """E3 with predict-then-learn inside every test block.
 
     All rounds are keyed models trained in the same jobs (fresh model per
     round on blocks [0, i), T shuffled epochs); each test block is then
-    consumed in ``sub_batches`` stream-ordered micro-batches, the j-th
-    micro-batch of every round in one pass.  Returns (round, lo, hi, n,
-    unknown, rmse)."""
+    consumed in micro-batches of ``batch_rows``, the j-th of every round in
+    one pass.  Returns (round, lo, hi, n, unknown, rmse) of every round."""
     spark = ratings.sparkSession
     ix = global_index(ratings, order_cols)
     n = ix.count()
@@ -171,36 +211,33 @@ def eval_expanding_online(ratings: DataFrame, order_cols: list[str], k: int = 8,
     train = (b.where(F.col("block") < n_blocks - 1)
              .select(F.explode(F.sequence(F.col("block") + 1, F.lit(n_blocks - 1).cast("long"))).alias("round"),
                      "idx", "user", "product", "rating"))
-    uf, pf = block_sgd(train, k, steps, gamma_u, gamma_i, lam, blocks=blocks, order_cols=["idx"],
-                       shuffle=True, seed=seed, keys=["round"])
+    facs = block_sgd_table(train, combine_factors(None, None, spark, ["round"]), k, steps, gamma_u,
+                           gamma_i, lam, blocks, ["idx"], seed=seed, keys=["round"])
     edges = block_bounds(spark, n, n_blocks).withColumnRenamed("block", "round")
     test = (b.where(F.col("block") >= 1).withColumnRenamed("block", "round")
             .join(F.broadcast(edges), "round")
-            .withColumn("sub", F.floor((F.col("idx") - F.col("lo")) * float(sub_batches)
-                                       / (F.col("hi") - F.col("lo"))).cast("long")))
-    test = materialize(test.select("round", "sub", "idx", "user", "product", "rating"))
-    preds = []
-    for j in range(sub_batches):
-        bt = test.where(F.col("sub") == j)
-        u = uf.select("round", F.col("id").alias("user"), F.col("f").alias("uf"))
-        p = pf.select("round", F.col("id").alias("product"), F.col("f").alias("pf"))
-        pr = (bt.join(u, ["round", "user"], "left").join(p, ["round", "product"], "left")
-              .withColumn("prediction", cold_start_prediction("uf", "pf", k))
-              .withColumn("is_cold", is_cold("uf", "pf")).drop("uf", "pf"))
-        preds.append(materialize(pr))
-        uf, pf = online_update(bt, uf, pf, k, steps, gamma_u, gamma_i, lam, ["idx"],
-                               blocks=blocks, keys=["round"])
-    m = rmse(_union(preds), group_cols=["round"])
-    return m.join(F.broadcast(edges), "round").select("round", "lo", "hi", "n", "unknown", "rmse")
+            .select("round", "idx", "user", "product", "rating",
+                    (F.col("idx") - F.col("lo")).alias("at")))
+    longest = -(-n // n_blocks)
+
+    def learn(batch, facs):
+        facs, scores = score_and_learn(batch, facs, k, steps, gamma_u, gamma_i, lam, ["idx"],
+                                       blocks=blocks, keys=["round"])
+        return facs, scores.select("idx", "score")
+
+    scores = _consume(test, "at", 0, longest, batch_rows, facs, learn)
+    pred = _scored(ix, scores).join(b.select("idx", F.col("block").alias("round")), "idx")
+    return _every_round(rmse(pred, group_cols=["round"]), spark, n, n_blocks)
 
 
 def eval_prequential_recall(feedback: DataFrame, order_cols: list[str], k: int = 8,
                             steps: int = 1, gamma_u: float = 0.01, gamma_i: float = 0.01,
-                            lam: float = 0.02, r: int = 10, batch_rows: int = 2000,
-                            round_rows: int = config.RECALL_ROUND) -> DataFrame:
+                            lam: float = 0.02, r: int = 10, batch_rows: int = 500,
+                            blocks: int = config.GRID) -> DataFrame:
     """For each event recall@R with the factors learned so far (the
     catalogue is the products learned so far), *then* learn it; no
-    warm-up.  Micro-batched in stream order.  Returns the per-event
+    warm-up.  Micro-batched in stream order: recall sees the factors of the
+    micro-batches before its own (batch_rows=1 is the exact order).  Returns the per-event
     samples (idx, user, hits, n_future, recall); aggregate with
     ``recall_metrics``."""
     spark = feedback.sparkSession
@@ -213,8 +250,11 @@ def eval_prequential_recall(feedback: DataFrame, order_cols: list[str], k: int =
         rec = recall_at_events(ix, uf, pf, k, r, fl=fl, lo=lo, hi=hi)
         out.append(materialize(rec))
         b = ix.where((F.col("idx") >= lo) & (F.col("idx") < hi))
-        uf, pf = online_update(b, uf, pf, k, steps, gamma_u, gamma_i, lam, ["idx"], implicit=True)
-    return _union(out)
+        uf, pf = online_update(b, uf, pf, k, steps, gamma_u, gamma_i, lam, ["idx"], blocks=blocks,
+                               implicit=True)
+    if not out:
+        return recall_at_events(ix, uf, pf, k, r, fl=fl)
+    return reduce(DataFrame.unionByName, out)
 
 
 def recall_metrics(samples: DataFrame, round_rows: int = config.RECALL_ROUND) -> DataFrame:

@@ -23,27 +23,35 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from factorcast.operators.recommend import predict, recommend_top_r
-from factorcast.operators.train import online_update
+from factorcast import config
+from factorcast.operators.recommend import recommend_top_r
+from factorcast.operators.train import (combine_factors, online_update, score_and_learn,
+                                        split_factors)
+from factorcast.session import materialize
 from factorcast.sources.factors import read_version, write_version
 from factorcast.sources.sinks import scratch_path
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+FILES = 4                 # files of a micro-batch, written by as many tasks
+
+
 def stage_stream(df: DataFrame, idx: str, bounds: list[tuple[int, int]], root: str) -> str:
-    """Write one Parquet file per micro-batch, batch after batch, so file
+    """Write FILES Parquet files per micro-batch, batch after batch, so file
     modification times follow the stream order (the file source consumes
-    oldest first).  Each batch is bounded by its [lo, hi) size."""
+    oldest first).  ``idx`` is gapless, so every file of a batch of at least
+    FILES rows has rows; only the last batch may be smaller."""
     for j, (lo, hi) in enumerate(bounds):
         part = df.where((F.col(idx) >= lo) & (F.col(idx) < hi))
-        part.coalesce(1).write.mode("overwrite").parquet(f"{root}/batch-{j:06d}")
+        part.repartitionById(FILES, F.pmod(F.col(idx), F.lit(FILES)).cast("int")).write.mode(
+            "overwrite").parquet(f"{root}/batch-{j:06d}")
     return root
 
 
 def read_stream(spark: SparkSession, root: str, schema: T.StructType) -> DataFrame:
     return (spark.readStream.schema(schema)
-            .option("maxFilesPerTrigger", 1)
+            .option("maxFilesPerTrigger", FILES)
             .option("recursiveFileLookup", "true")
             .parquet(root))
 
@@ -58,10 +66,12 @@ def _run(writer, checkpoint: str):
 # ---------------------------------------------------------------- ST1
 
 class PrequentialBatch:
-    """foreachBatch body: predict with version N, log, learn, write N+1."""
+    """foreachBatch body: score every row before learning it, log, write
+    version N+1.  A row is cold when neither version N nor an earlier row of
+    the batch has its user, or its product."""
 
     def __init__(self, root: str, metrics_path: str, k: int, steps: int,
-                 gamma_u: float, gamma_i: float, lam: float, blocks: int = 1,
+                 gamma_u: float, gamma_i: float, lam: float, blocks: int = config.GRID,
                  implicit: bool = False):
         self.root, self.metrics_path = root, metrics_path
         self.k, self.steps, self.gu, self.gi, self.lam = k, steps, gamma_u, gamma_i, lam
@@ -71,8 +81,16 @@ class PrequentialBatch:
         spark = batch.sparkSession
         uf = read_version(spark, self.root, "user", batch_id)
         pf = read_version(spark, self.root, "product", batch_id)
-        rows = batch.select("idx", "user", "product", "rating")
-        pred = predict(rows, uf, pf, self.k)
+        rows = materialize(batch.select("idx", "user", "product", "rating"))
+        facs, scores = score_and_learn(rows, combine_factors(uf, pf, spark), self.k, self.steps,
+                                       self.gu, self.gi, self.lam, ["idx"], blocks=self.blocks,
+                                       implicit=self.implicit)
+        firsts = (new_ids(rows, uf, "user").union(new_ids(rows, pf, "product")).distinct()
+                  .withColumn("is_cold", F.lit(True)))
+        pred = (rows.join(scores, "idx").join(firsts, "idx", "left")
+                .withColumn("is_cold", F.coalesce("is_cold", F.lit(False)))
+                .withColumn("prediction", F.when(F.col("is_cold"), F.lit(config.COLD_START))
+                            .otherwise(F.col("score"))))
         se = (F.col("rating") - F.col("prediction")) ** 2
         m = pred.agg(F.min("idx").alias("lo"), (F.max("idx") + 1).alias("hi"),
                      F.count(F.lit(1)).alias("n"),
@@ -80,14 +98,19 @@ class PrequentialBatch:
                      F.sqrt(F.avg(se)).alias("rmse")).withColumn("batch", F.lit(batch_id).cast("long"))
         (m.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
            .partitionBy("batch").parquet(self.metrics_path))
-        nu, np_ = online_update(rows, uf, pf, self.k, self.steps, self.gu, self.gi, self.lam,
-                                ["idx"], blocks=self.blocks, implicit=self.implicit)
+        nu, np_ = split_factors(facs)
         write_version(nu, self.root, "user", batch_id + 1)
         write_version(np_, self.root, "product", batch_id + 1)
 
 
+def new_ids(rows: DataFrame, factors: DataFrame, col: str) -> DataFrame:
+    """(idx): the first row of every id of ``col`` that has no vector yet."""
+    return (rows.groupBy(F.col(col).cast("long").alias("id")).agg(F.min("idx").alias("idx"))
+            .join(factors, "id", "left_anti").select("idx"))
+
+
 def stream_prequential(stream: DataFrame, uf0: DataFrame, pf0: DataFrame, k: int, steps: int,
-                       gamma_u: float, gamma_i: float, lam: float, blocks: int = 1,
+                       gamma_u: float, gamma_i: float, lam: float, blocks: int = config.GRID,
                        implicit: bool = False) -> DataFrame:
     """ST1: runs the stream to completion (availableNow) and returns the
     per-batch metrics (batch, lo, hi, n, unknown, rmse)."""

@@ -44,8 +44,8 @@ def test_block_sgd_single_block_is_sequential(spark, fx):
 
 def test_block_sgd_strata_equal_block_ordered_replay(spark, fx):
     d = 2
-    blk = {r.user: r.b for r in fx.select("user", F.pmod(F.xxhash64("user"), F.lit(d)).alias("b")).distinct().collect()}
-    pblk = {r.product: r.b for r in fx.select("product", F.pmod(F.xxhash64("product"), F.lit(d)).alias("b")).distinct().collect()}
+    blk = {r.user: r.b for r in fx.select("user", TR.block_of("user", d).alias("b")).distinct().collect()}
+    pblk = {r.product: r.b for r in fx.select("product", TR.block_of("product", d).alias("b")).distinct().collect()}
     uf, pf = TR.block_sgd(fx, K, 1, GU, GI, LAM, blocks=d, order_cols=["idx"], shuffle=False)
     g = SeqModel(K)
     for s in range(d):
@@ -59,7 +59,7 @@ def test_block_sgd_strata_equal_block_ordered_replay(spark, fx):
 
 def test_online_update_warm_start_steps(spark, fx):
     uf0, pf0 = TR.block_sgd(fx.where("idx < 4"), K, 1, GU, GI, LAM, blocks=1, order_cols=["idx"], shuffle=False)
-    uf, pf = TR.online_update(fx.where("idx >= 4"), uf0, pf0, K, 3, GU, GI, LAM, ["idx"])
+    uf, pf = TR.online_update(fx.where("idx >= 4"), uf0, pf0, K, 3, GU, GI, LAM, ["idx"], blocks=1)
     g = SeqModel(K)
     for u, p, r, i in ROWS:
         g.step(u, p, r, 1 if i < 4 else 3, GU, GI, LAM)
@@ -69,7 +69,7 @@ def test_online_update_warm_start_steps(spark, fx):
 
 def test_last_k_replay_sequential(spark, fx):
     last_k = 2
-    uf, pf = TR.last_k_replay(fx, K, last_k, GU, GI, LAM)
+    uf, pf = TR.last_k_replay(fx, K, last_k, GU, GI, LAM, blocks=1)
     g = SeqModel(K)
     queues = {}
     for u, p, r, _i in ROWS:
@@ -98,10 +98,13 @@ def test_user_fold_in_frozen_products(spark, fx):
     _close(got, g.u)
 
 
-def test_prequential_one_row_batches_equal_sequential(spark, fx):
+@pytest.mark.parametrize("batch_rows", [1, 4, 100])
+def test_prequential_scores_every_event_before_learning_it(spark, fx, batch_rows):
+    """With one block the result is that of the event-by-event loop, whatever
+    the micro-batch."""
     small = fx.where("idx < 8").withColumn("ts", F.col("idx"))
-    m = P.eval_prequential(small, ["ts", "idx"], K, 2, GU, GI, LAM, batch_rows=1,
-                           round_rows=3, n_blocks=4, shuffle_warmup=False).toPandas()
+    m = P.eval_prequential(small, ["ts", "idx"], K, 2, GU, GI, LAM, batch_rows=batch_rows,
+                           round_rows=3, n_blocks=4, blocks=1, shuffle_warmup=False).toPandas()
     g = SeqModel(K)
     rows = [r for r in ROWS if r[3] < 8]
     for _ in range(2):
@@ -121,6 +124,47 @@ def test_prequential_one_row_batches_equal_sequential(spark, fx):
     assert abs(rounds["rmse"].iloc[0] - np.sqrt(np.mean(se[:3]))) < 1e-12
 
 
+@pytest.mark.parametrize("batch_rows", [1, 3, 100])
+def test_prequential_last_k_scores_before_the_replay(spark, fx, batch_rows):
+    small = fx.withColumn("ts", F.col("idx"))
+    m = P.eval_prequential_last_k(small, ["ts", "idx"], K, 2, GU, GI, LAM, batch_rows=batch_rows,
+                                  round_rows=100, n_blocks=4, blocks=1).toPandas()
+    g, queues, se, cold = SeqModel(K), {}, [], 0
+    for u, p, r, i in ROWS:
+        if i >= len(ROWS) // 4:
+            pr, c = g.predict(u, p)
+            se.append((r - pr) ** 2)
+            cold += c
+        q = queues.setdefault(u, [])
+        q.append((p, r))
+        del q[:-2]
+        for _ in range(2):
+            for pp, rr in reversed(q):
+                g.step(u, pp, rr, 1, GU, GI, LAM)
+    overall = m[m["round"].isna()].iloc[0]
+    assert overall["n"] == len(se) and overall["unknown"] == cold
+    assert abs(overall["rmse"] - np.sqrt(np.mean(se))) < 1e-12
+
+
+def test_expanding_online_emits_every_round(spark, fx):
+    m = P.eval_expanding_online(fx.withColumn("ts", F.col("idx")), ["ts", "idx"], K, 1, GU, GI, LAM,
+                                n_blocks=50, batch_rows=4, blocks=2).toPandas()
+    assert sorted(m["round"]) == list(range(1, 50))
+    assert m["n"].sum() == fx.count() - len([r for r in ROWS if r[3] < fx.count() // 50])
+
+
+def test_hot_user_goes_to_more_than_one_task(spark):
+    """A user with a third of all rows is split over the product blocks, and
+    the grid learns every row once."""
+    rows = [(0 if i % 3 == 0 else 1 + i % 40, i % 60, 1.0 + i % 5, i) for i in range(600)]
+    df = spark.createDataFrame(rows, "user long, product long, rating double, idx long")
+    cells = df.where("user = 0").select(TR.block_of("product", 8).alias("b")).distinct().count()
+    assert cells > 4
+    uf, pf = TR.online_update(df, *TR.split_factors(TR.combine_factors(None, None, spark)), K, 1,
+                              GU, GI, LAM, ["idx"], blocks=8)
+    assert uf.count() == len({r[0] for r in rows}) and pf.count() == 60
+
+
 def test_batch_gd_rmse_falls(spark):
     from factorcast.operators.metrics import rmse
     from factorcast.operators.recommend import predict

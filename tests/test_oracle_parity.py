@@ -7,6 +7,7 @@ import pytest
 
 import __spark_entry__ as E
 from conftest import SF001
+from factorcast.plans.catalog import SEQUENTIAL_SQL
 
 TABLES = ("region nation customer supplier part orders lineitem events documents "
           "embeddings pages benchmark labels conversations").split()
@@ -28,10 +29,20 @@ def con():
 
 @pytest.mark.parametrize("name", sorted(E.oracle_sql()))
 def test_parity(spark, con, name):
+    _same(spark, con, name, E.oracle_sql()[name])
+
+
+@pytest.mark.parametrize("name", sorted(SEQUENTIAL_SQL))
+def test_sequential_learning_parity(spark, con, name):
+    """Learning in a fixed order equals a recursive SQL that learns row by row."""
+    _same(spark, con, name, SEQUENTIAL_SQL[name])
+
+
+def _same(spark, con, name, sql):
     df = E.queries()[name](spark, SF001)
     cols = sorted(df.columns)
     got = sorted((tuple(_norm(r[c]) for c in cols) for r in df.collect()), key=repr)
-    res = con.execute(E.oracle_sql()[name])
+    res = con.execute(sql)
     ocols = [d[0] for d in res.description]
     assert sorted(ocols) == cols
     idx = [ocols.index(c) for c in cols]
