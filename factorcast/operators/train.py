@@ -252,9 +252,10 @@ def _block_kernel(k: int, gu: float, gi: float, lam: float, steps: int, scale: f
     def run_block(rows: pd.DataFrame, facs: pd.DataFrame) -> pd.DataFrame:
         if rows.empty:                       # nothing to learn: vectors pass through
             return facs[names] if not facs.empty else pd.DataFrame({c: [] for c in names})
+        # user, product and rating break ties: rows still equal are interchangeable
         sort_cols = (["_key"] if "_key" in rows.columns else []) + order_names
-        if sort_cols:
-            rows = rows.sort_values(sort_cols, kind="mergesort")
+        rows = rows.sort_values(list(dict.fromkeys(sort_cols + ["user", "product", "rating"])),
+                                kind="mergesort")
         ufac, pfac = {}, {}
         for side, i, f in zip(facs["side"].tolist(), facs["id"].tolist(), facs["f"].tolist()):
             (ufac if side == "u" else pfac)[int(i)] = np.asarray(f, dtype=np.float64)
@@ -309,11 +310,12 @@ def block_sgd_table(train: DataFrame, facs: DataFrame, k: int, epochs: int, gamm
     # count when independent keyed models multiply the groups
     n = int(spark.conf.get("spark.sql.shuffle.partitions")) if keys else d
     scale = config.SCALE_IMPLICIT if implicit else config.SCALE_EXPLICIT
-    order_names = [c for c in (order_cols or []) if c not in ("user", "product", "rating")]
+    order_names = list(order_cols or [])
+    base = (*keys, "user", "product", "rating")
     tr = train.select(*keys, F.col("user").cast("long").alias("user"),
                       F.col("product").cast("long").alias("product"),
-                      F.col("rating").cast("double").alias("rating"), *order_names,
-                      *([score_id] if score_id and score_id not in order_names else []))
+                      F.col("rating").cast("double").alias("rating"),
+                      *[c for c in dict.fromkeys(order_names + [score_id or "user"]) if c not in base])
     tr = tr.withColumn("g", block_of("user", d)).withColumn("pb", block_of("product", d))
     if d > 1 or epochs > 1:
         # scanned once per stratum: pin it, partitioned by user block

@@ -745,9 +745,9 @@ def _sgd_sql(visits: str, order: str, ctes=(), implicit=False):
         "vis", order, K, SGD_RATE, SGD_RATE, LAMBDA, BLOCKS, implicit)
 
 
-EPOCH_KEY = O.row_hash(["phase", "okey", "line", "supp"])
+EPOCH_KEY = O.row_hash(["phase"] + KEYS)
 SQL_BLOCK_SGD = _sgd_sql(f"SELECT e.range AS phase, NULL::BIGINT AS rid, tr.* FROM tr, range(0, {EPOCHS}) e",
-                         f"{EPOCH_KEY}, okey, line, supp", SQL_RS)
+                         f"{EPOCH_KEY}, okey, line, product, supp", SQL_RS)
 SQL_PREQ = _sgd_sql(
     f"SELECT CASE WHEN idx < we THEN 0 ELSE 1 + (idx - we) // {config.BATCH_ROWS} END AS phase, "
     "CASE WHEN idx >= we THEN idx END AS rid, ix.*, CASE WHEN idx < we THEN "

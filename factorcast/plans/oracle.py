@@ -156,7 +156,7 @@ def grid_sgd_ctes(visits: str, order: str, k: int, gu: float, gi: float, lam: fl
         f'{P}gb AS (SELECT *, {row_hash([chr(34) + "user" + chr(34)])} % {blocks} AS g, '
         f"{row_hash(['product'])} % {blocks} AS pb FROM {visits})",
         f"{P}gs AS (SELECT *, (pb - g + {blocks}) % {blocks} AS s FROM {P}gb)",
-        f"{P}gi AS (SELECT *, row_number() OVER (PARTITION BY phase, s, g ORDER BY {order}) AS i FROM {P}gs)",
+        f"{P}gi AS (SELECT *, row_number() OVER (PARTITION BY phase, s, g ORDER BY {order}, \"user\", product, rating) AS i FROM {P}gs)",
         f"{P}gl AS (SELECT phase, s, max(i) AS steps FROM {P}gi GROUP BY phase, s)",
         f"{P}go AS (SELECT phase, s, sum(steps) OVER (ORDER BY phase, s) - steps AS before FROM {P}gl)",
         f'{P}sq AS MATERIALIZED (SELECT (before + i)::BIGINT AS pos, rid, "user" AS u, product AS p, rating '
