@@ -7,11 +7,15 @@ the elements to ``bins`` and orders them within a bin; of each bin the
 ``length`` minimal elements are selected, put back into text order, and
 their tuple of k-mers is hashed to one signature of 16 bits.  Swapped
 passages therefore change signatures although the set of k-mers is the same.
+A bin of fewer elements than ``length`` would tell nothing of order; with
+``dense`` (as in the query) every bin takes the first ``length`` elements from
+its lower hash edge on, cyclically, so short texts act like long ones.
 
 Everything happens inside a row with array functions, O(n log n) in its
 words: sorting packed (hash, position) longs puts equal k-mers side by
 side, the occurrence number is found by doubling steps among equals (only
-where the predecessor is equal), and a second sort groups the bins.  Texts
+where the predecessor is equal), and a second sort groups the bins, whose
+edges are filled from the places where the bin changes.  Texts
 are shuffled once, to meet the next document's head; ids alone are ranked.
 
 Defined results: null and empty texts have the empty fingerprint, alike (1)
@@ -49,9 +53,10 @@ def _pos_of(packed: Column) -> Column:
 
 
 def with_fingerprints(rows: DataFrame, texts: dict[str, str], k: int = K, bins: int = BINS,
-                      length: int = LENGTH) -> DataFrame:
+                      length: int = LENGTH, dense: bool = False) -> DataFrame:
     """``rows`` plus, for each text column -> new name, its fingerprint string:
-    ``bins`` signatures of four hex digits, '....' where a bin is empty."""
+    ``bins`` signatures of four hex digits, '....' where a bin is empty (if
+    ``dense``, in texts without words only)."""
     shift = 64 - (bins.bit_length() - 1)
     if bins & (bins - 1) or bins < 2:
         raise ValueError("bins must be a power of two")
@@ -91,8 +96,32 @@ def with_fingerprints(rows: DataFrame, texts: dict[str, str], k: int = K, bins:
         return F.filter(o, lambda x, j: F.when(j < length, F.lit(True)).otherwise(
             of_bin(F.get(o, j - length)) != of_bin(x)))
 
+    def edges(n: str) -> Column:
+        """Of every bin, in the order of signed numbers, the place in the sorted
+        elements of the first one from its lower edge on (0 after the last)."""
+        o = F.col(f"{n}_o")
+
+        def at(j: Column) -> Column:
+            return (F.shiftright(F.get(o, j), shift) + bins // 2).cast("int")
+
+        firsts = F.filter(F.sequence(F.lit(0), F.size(o) - 1), lambda j: F.when(
+            j == 0, F.lit(True)).otherwise(at(j) != at(j - 1)))
+        upto = F.flatten(F.transform(firsts, lambda j: F.array_repeat(
+            j, at(j) - F.when(j == 0, F.lit(-1)).otherwise(at(j - 1)))))
+        return F.when(F.size(o) > 0, F.concat(upto, F.array_repeat(
+            F.lit(0), bins - 1 - at(F.size(o) - 1)))).otherwise(F.array().cast("array<int>"))
+
+    def following(n: str, b: Column) -> Column:
+        """The first ``length`` elements from the lower edge of a bin on."""
+        o = F.col(f"{n}_o")
+        edge = F.get(F.col(f"{n}_m"), F.pmod(b + bins // 2, F.lit(bins)).cast("int"))
+        return F.transform(F.slice(F.array(*[F.lit(j) for j in range(length)]), F.lit(1), F.size(o)),
+                           lambda j: F.get(o, F.pmod(edge + j, F.size(o))))
+
     def signature(n: str, b: Column) -> Column:
-        own = F.sort_array(F.transform(F.filter(F.col(f"{n}_m"), lambda x: of_bin(x) == b), _pos_of))
+        own = F.sort_array(F.transform(
+            following(n, b) if dense else F.filter(F.col(f"{n}_m"), lambda x: of_bin(x) == b),
+            _pos_of))
         tuple_ = F.transform(own, lambda p: _hash_of(F.get(F.col(f"{n}_k"), p)).cast("string"))
         return F.when(F.size(tuple_) == 0, F.lit(EMPTY)).otherwise(F.lower(F.substring(F.lpad(
             F.hex(F.xxhash64(F.array_join(tuple_, " "))), 16, "0"), 1, 4)))
@@ -108,7 +137,7 @@ def with_fingerprints(rows: DataFrame, texts: dict[str, str], k: int = K, bins:
     rows = rows.withColumns({f"{n}_k": grams(n) for n in made.values()})
     rows = rows.withColumns({f"{n}_s": F.sort_array(f"{n}_k") for n in made.values()})
     rows = rows.withColumns({f"{n}_o": F.sort_array(numbered(n)) for n in made.values()})
-    rows = rows.withColumns({f"{n}_m": minimal(n) for n in made.values()})
+    rows = rows.withColumns({f"{n}_m": (edges if dense else minimal)(n) for n in made.values()})
     rows = rows.withColumns({texts[t]: joined(n) for t, n in made.items()})
     return rows.drop(*[f"{n}_{s}" for n in made.values() for s in "wksom"])
 
@@ -161,8 +190,8 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                        F.xxhash64("_text").alias("_h"),
                        F.sha2("_edited", 256).alias("edited_sha256"))
     made = materialize(with_fingerprints(
-        rows, {"_text": "fingerprint", "_edited": "edited_fingerprint"}, k, bins, length)
-        .drop("_text", "_edited"))
+        rows, {"_text": "fingerprint", "_edited": "edited_fingerprint"}, k, bins, length,
+        dense=True).drop("_text", "_edited"))
     nexts = order.join(made.select("_key", "_h", F.col("fingerprint").alias("_next_print")),
                        ["_key", "_h"]).select(
         F.col("_for").alias("_key"), "_next_print").dropDuplicates(["_key"])

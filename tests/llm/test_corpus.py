@@ -174,6 +174,38 @@ def test_order_minhash_equals_loops(spark):
             assert [p for p in parts if p != "...."] == heads
 
 
+def test_swapped_halves_at_all_sizes(spark):
+    """Mean likeness of a text to itself with swapped halves is that of 64 independent hashes."""
+    def independent(words, seed):
+        seen, rows = Counter(), []
+        for i, g in enumerate(zip(words, words[1:])):
+            h = hashlib.blake2b(f"{seed} {g} {seen[g]}".encode(), digest_size=8).digest()
+            rows.append((h, i, g))
+            seen[g] += 1
+        return [g for _, _, g in sorted(sorted(rows)[:2], key=lambda r: r[1])]
+
+    rng = random.Random(8)
+    rows, want = [], defaultdict(list)
+    for n in (20, 40, 80, 160, 400):
+        for _ in range(60):
+            words = [str(rng.randrange(10_000)) for _ in range(n)]
+            swapped = words[n // 2:] + words[:n // 2]
+            rows.append((n, " ".join(words), " ".join(swapped)))
+            if len(want[n]) < 20:
+                want[n].append(np.mean([independent(words, s) == independent(swapped, s)
+                                        for s in range(64)]))
+    df = spark.createDataFrame(rows, "n int, a string, b string")
+    got = {r["n"]: r["l"] for r in order_minhash.with_fingerprints(
+        df, {"a": "fa", "b": "fb"}, dense=True).select("n", order_minhash.likeness(
+            F.col("fa"), F.col("fb")).alias("l")).groupBy("n").agg(F.avg("l").alias("l")).collect()}
+    for n, parts in want.items():
+        assert abs(got[n] - np.mean(parts)) < 0.06, (n, got[n], np.mean(parts))
+    short = spark.createDataFrame([(1, "a b c d e"), (2, "one"), (3, "")], "doc_id long, text string")
+    prints = {r["doc_id"]: r["fingerprint"]
+              for r in order_minhash.edited_fingerprints(short).collect()}
+    assert "...." not in prints[1] + prints[2] and prints[3] == "...." * 64
+
+
 def test_edited_texts_and_likeness(spark, docs):
     rows = sorted((r["doc_id"], r["text"] or "") for r in docs.collect())
     got = {r["doc_id"]: r for r in order_minhash.edited_fingerprints(docs).collect()}
