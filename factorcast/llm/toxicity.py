@@ -11,7 +11,8 @@ word of reporting it is a mention, else it is direct.  A logistic regression
 over the hits weighs them; only the labelled sample teaches it.
 
 Bounds (documented parameters): about SAMPLE_TOXIC and SAMPLE_CLEAN labelled
-texts are drawn by a hash of the id; the lexicon has at most MAX_TERMS terms.
+texts are drawn by a hash of the id; the lexicon has at most MAX_TERMS terms, besides
+words that its stems begin (in all at most 10 * MAX_TERMS).
 Scoring is map-only and reads whole texts.
 
 Defined results: null and empty texts have no hits and get the score of
@@ -232,19 +233,22 @@ def family(text: Column | str) -> Column:
 
 
 def choose(rows: list[tuple[str, int, int]], max_terms: int = MAX_TERMS) -> Lexicon:
-    """The terms by number of toxic texts (whole words first when close),
-    leaving out those that a chosen stem begins."""
-    words, stems = [], []
+    """The terms by number of toxic texts (whole words first when close).  A
+    stem that a chosen stem begins or a chosen word continues is left out;
+    words that a chosen stem begins stay, for their misspellings, and do not
+    count among ``max_terms``."""
+    words, stems, begun, room = [], [], set(), max_terms
     for term, toxic, _ in sorted(rows, key=lambda r: (-r[1] * (1.0 if r[0][-1] == "*" else 1.05),
                                                       r[0])):
-        if any(term.startswith(s) for s in stems) or len(words) + len(stems) >= max_terms:
-            continue
+        covered = any(term[:n] in stems for n in STEMS)
         if term[-1] == "*":
-            stem = term[:-1]
-            if sum(w.startswith(stem) for w in words) == 0:
-                stems.append(stem)
-        else:
+            if not covered and room and term[:-1] not in begun:
+                stems.append(term[:-1])
+                room -= 1
+        elif covered or room:
             words.append(term)
+            begun.update(term[:n] for n in STEMS)
+            room -= not covered
     return Lexicon(words, stems)
 
 

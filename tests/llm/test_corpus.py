@@ -105,6 +105,14 @@ def test_levenshtein_walk_equals_edit_distance():
     assert toxicity.Lexicon([], ["lowe"]).match("loweisch") == 1
 
 
+def test_misspelled_words_of_a_stem():
+    lexicon = toxicity.choose([("idio*", 100, 0), ("idiot", 60, 0), ("idiots", 40, 0),
+                               ("idioti*", 30, 0), ("moron", 20, 0), ("moro*", 20, 0)])
+    assert lexicon.stems == ["idio"] and lexicon.words == ["idiot", "idiots", "moron"]
+    assert [lexicon.match(w) for w in ("idiot", "idiotically", "idjot", "idjots", "idot")] == [
+        1, 1, 2, 2, 2]
+
+
 def test_quotation_is_a_mention():
     lexicon = toxicity.Lexicon(["idiot"], [])
     assert lexicon.features("you idiot")[0] > 0
