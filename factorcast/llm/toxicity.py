@@ -38,8 +38,7 @@ SAMPLE_TOXIC = 4_000
 SAMPLE_CLEAN = 8_000
 MAX_TERMS = 2_000
 STEMS = (4, 5, 6)
-LEAST_FAMILIES = 3       # toxic families that must share a term ...
-LEAST_SHARE = 0.01       # ... and their share of all toxic families
+LEAST_FAMILIES = 3       # toxic families that must share a term
 LEAST_RATIO = 20.0       # of a term's rate in toxic to that in clean texts
 LEAST_EVIDENCE = 25.0    # of the term's likelihood ratio (G squared): chance words of few texts
 WINDOW = 80              # characters around a hit
@@ -232,13 +231,13 @@ def family(text: Column | str) -> Column:
     return least(text)
 
 
-def choose(rows: list[tuple[str, int, int]], max_terms: int = MAX_TERMS) -> Lexicon:
-    """The terms by number of toxic texts (whole words first when close).  A
+def choose(rows: list[tuple[str, float]], max_terms: int = MAX_TERMS) -> Lexicon:
+    """The terms of (term, evidence) rows by evidence (whole words first when close).  A
     stem that a chosen stem begins or a chosen word continues is left out;
     words that a chosen stem begins stay, for their misspellings, and do not
     count among ``max_terms``."""
     words, stems, begun, room = [], [], set(), max_terms
-    for term, toxic, _ in sorted(rows, key=lambda r: (-r[1] * (1.0 if r[0][-1] == "*" else 1.05),
+    for term, _ in sorted(rows, key=lambda r: (-r[1] * (1.0 if r[0][-1] == "*" else 1.05),
                                                       r[0])):
         covered = any(term[:n] in stems for n in STEMS)
         if term[-1] == "*":
@@ -292,15 +291,14 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     toxic, clean = families.get(1, 0), families.get(0, 0)
     if not toxic or not clean:
         return None
-    least = max(LEAST_FAMILIES, LEAST_SHARE * toxic)
     share = (F.col("toxic") + F.col("clean")) / (toxic + clean)
     evidence = 2 * (F.col("toxic") * F.log(F.col("toxic") / toxic / share) + F.when(
         F.col("clean") > 0, F.col("clean") * F.log(F.col("clean") / clean / share)).otherwise(0.0))
-    rows = count_terms(once).where(
-        (F.col("toxic") >= least) & ((F.col("toxic") / toxic) >= LEAST_RATIO * (
-            (F.col("clean") + 0.5) / clean))).where(evidence >= LEAST_EVIDENCE).orderBy(
-        F.desc("toxic"), "term").limit(10 * MAX_TERMS).collect()
-    lexicon = choose([(r["term"], r["toxic"], r["clean"]) for r in rows])
+    rows = count_terms(once).withColumn("evidence", evidence).where(
+        (F.col("toxic") >= LEAST_FAMILIES) & ((F.col("toxic") / toxic) >= LEAST_RATIO * (
+            (F.col("clean") + 0.5) / clean))).where(F.col("evidence") >= LEAST_EVIDENCE).orderBy(
+        F.desc("evidence"), "term").limit(10 * MAX_TERMS).collect()
+    lexicon = choose([(r["term"], r["evidence"]) for r in rows])
     shown = once.select("toxic", hits(docs.sparkSession, F.col("text"), lexicon).alias("x")).collect()
     x, y = np.array([r["x"] for r in shown]), np.array([r["toxic"] for r in shown], float)
     return lexicon, fit_logistic(x, y)

@@ -106,8 +106,8 @@ def test_levenshtein_walk_equals_edit_distance():
 
 
 def test_misspelled_words_of_a_stem():
-    lexicon = toxicity.choose([("idio*", 100, 0), ("idiot", 60, 0), ("idiots", 40, 0),
-                               ("idioti*", 30, 0), ("moron", 20, 0), ("moro*", 20, 0)])
+    lexicon = toxicity.choose([("idio*", 100.0), ("idiot", 60.0), ("idiots", 40.0),
+                               ("idioti*", 30.0), ("moron", 20.0), ("moro*", 20.0)])
     assert lexicon.stems == ["idio"] and lexicon.words == ["idiot", "idiots", "moron"]
     assert [lexicon.match(w) for w in ("idiot", "idiotically", "idjot", "idjots", "idot")] == [
         1, 1, 2, 2, 2]
@@ -130,6 +130,17 @@ def test_toxicity_held_out(spark):
     assert all(0 <= r["score"] <= 1 for r in got.values())
 
 
+def test_rare_terms_with_evidence_are_learned(spark):
+    """15 of 1,600 toxic families, no clean one: under 1 %, G squared about 33."""
+    rows = [(i, f"{i}x {i}y {i}z " + (
+        "filler" if i >= 1600 else "gilipollas" if i < 15 else "scumbag")) for i in range(4800)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = docs.select("doc_id", (F.col("doc_id") < 1600).cast("int").alias("toxic"))
+    lexicon, _ = toxicity.train(docs, labels)
+    assert lexicon.match("gilipollas") == 1 and lexicon.match("gilipolas") == 2
+    assert lexicon.match("scumbag") == 1 and lexicon.match("filler") == 0
+
+
 def test_toxicity_edges(spark, edge, empty):
     labels = spark.createDataFrame([(5, 1), (8, 0), (None, 1), (2, None)], "doc_id long, toxic int")
     for docs in (edge, empty):
