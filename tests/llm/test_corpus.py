@@ -225,6 +225,18 @@ def test_swapped_halves_at_all_sizes(spark):
     assert "...." not in prints[1] + prints[2] and prints[3] == "...." * 64
 
 
+def test_positions_that_do_not_fit_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(order_minhash, "POS_BITS", 4)
+    for n, fits in ((17, True), (18, False)):
+        df = spark.createDataFrame([(" ".join(map(str, range(n))),)], "t string")
+        made = order_minhash.with_fingerprints(df, {"t": "f"}, dense=True)
+        if fits:
+            assert len(made.first()["f"]) == 256
+        else:
+            with pytest.raises(Exception, match="k-mers"):
+                made.collect()
+
+
 def test_edited_texts_and_likeness(spark, docs):
     rows = sorted((r["doc_id"], r["text"] or "") for r in docs.collect())
     got = {r["doc_id"]: r for r in order_minhash.edited_fingerprints(docs).collect()}
