@@ -168,7 +168,7 @@ def test_hot_user_goes_to_more_than_one_task(spark):
 def test_batch_gd_rmse_falls(spark):
     from factorcast.operators.metrics import rmse
     from factorcast.operators.recommend import predict
-    from conftest import SF001
+    from paths import SF001
     r = S.ratings(spark, SF001)
     prev = None
     for epochs in (0, 2, 4):
@@ -192,7 +192,7 @@ def test_exact_prediction_value_not_counted_as_unknown(spark):
 def test_batch_gd_salted_hot_users_same_result(spark):
     """Salting hot users (tiny threshold: every user is hot) changes only
     the partitioning, not the factors."""
-    from conftest import SF001
+    from paths import SF001
     r = S.ratings(spark, SF001)
     a_u, a_p = TR.batch_gd(r, K, 2, 0.05, 0.02)
     spark.conf.set(TR.HOT_ROWS_CONF, "2")

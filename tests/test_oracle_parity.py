@@ -6,7 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
-from conftest import SF001
+from paths import SF001
 from factorcast.plans.catalog import SEQUENTIAL_SQL
 
 TABLES = ("region nation customer supplier part orders lineitem events documents "

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from factorcast.operators import history as H
 from factorcast.operators import ordering as OR
 from factorcast.sources import tables as S
-from conftest import SF001
+from paths import SF001
 
 
 def test_global_index_dense_and_ordered(spark):

@@ -58,7 +58,7 @@ def test_catalogue_blocks_equal_single_block(spark):
     from factorcast.operators.ordering import global_index
     from factorcast.sources import factors as FA
     from factorcast.sources import tables as S
-    from conftest import SF001
+    from paths import SF001
     fi = global_index(S.feedback(spark, SF001), S.FEEDBACK_ORDER)
     uf = FA.init_factors(fi, "user", 8, "user", True)
     pf = FA.init_factors(fi, "product", 8, "product", True)

@@ -8,7 +8,7 @@ from factorcast.sources import tables as S
 from factorcast.sources.factors import read_version, write_version
 from factorcast.streaming import online as ST
 from factorcast.operators.train import block_sgd
-from conftest import SF001
+from paths import SF001
 
 K = 4
 
