@@ -1,4 +1,4 @@
-"""Registered queries of the ten operators, and SQL for those it can express.
+"""Registered queries of the thirteen operators, and SQL for those it can express.
 
 Each query applies its operator to a whole table with production parameters
 and derives the digest columns from the operator's own output.
@@ -11,8 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from factorcast.llm import (bpe, itq, langid, mixing, order_minhash, piece_counts, sharding,
-                            simhash, toxicity, warc)
+from factorcast.llm import (bpe, filter_audit, itq, langid, lloyd, mixing, order_minhash,
+                            piece_counts, ppm, sharding, simhash, toxicity, warc)
 from factorcast.llm.common import table
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -88,12 +88,92 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
 
+def op11_ppm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", remainder("doc_id", 10) == 0)
+    return ppm.score(docs, ~F.col("held_out")).select(
+        "doc_id", (~F.col("trained")).alias("held_out"), "n_tokens", "n_known", "train_tokens",
+        "base_score", "score")
+
+
+def op12_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lloyd.cluster(table(spark, sf_dir, "embeddings"), k=8, rounds=10, dims=64,
+                         seed="3:").select(
+        "vec_id", "cluster", "distance", "cluster_inertia", "inertia",
+        F.sha2(F.array_join(F.col("centroid").cast("array<string>"), ",").cast("binary"), 256)
+        .alias("centroid_sha256"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_byte_bpe, op2_arc_to_warc, op3_toxicity, op4_order_minhash, op5_simhash, op6_itq,
-    op7_piece_counts, op8_mixing, op9_ppm_language, op10_sharding)}
+    op7_piece_counts, op8_mixing, op9_ppm_language, op10_sharding, op11_ppm_score, op12_lloyd,
+    op13_filter_audit)}
 QUERIES["pipeline"] = corpus_pipeline.run
 
+
+
+def lloyd_sql(k: int = 8, rounds: int = 10, dims: int = 64) -> str:
+    """Lloyd's rounds over the whole vectors, one pair of CTEs a round."""
+    ctes = [
+        "v AS (SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding::DOUBLE[], "
+        "lambda x: floor(1024 * x)::BIGINT) AS x FROM embeddings WHERE len(embedding) = "
+        f"{dims} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)",
+        "c0 AS (SELECT (row_number() OVER (ORDER BY sha256('3:' || vec_id::VARCHAR)) - 1)::INT AS k, "
+        f"x AS c FROM v ORDER BY k LIMIT {k})",
+    ]
+    for i in range(rounds + 1):
+        ctes.append(
+            f"a{i} AS (SELECT rid, min((d, k))[1] AS distance, min((d, k))[2] AS k FROM (SELECT rid, k, "
+            "list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT "
+            f"AS d FROM v, c{i}) GROUP BY rid)")
+        if i < rounds:
+            ctes.append(
+                f"c{i + 1} AS (SELECT c.k, coalesce(m.c, c.c) AS c FROM c{i} c LEFT JOIN (SELECT k, "
+                "list(((s - ((s % n + n) % n)) // n)::BIGINT ORDER BY j) AS c FROM (SELECT k, j, "
+                f"sum(v.x[j])::BIGINT AS s, count(*) AS n FROM a{i} JOIN v USING (rid), "
+                f"range(1, {dims + 1}) t(j) GROUP BY k, j) GROUP BY k) m ON m.k = c.k)")
+    return "WITH " + ",\n".join(ctes) + f"""
+        SELECT vec_id, a.k AS cluster, distance,
+            (sum(distance) OVER (PARTITION BY a.k))::BIGINT AS cluster_inertia,
+            (sum(distance) OVER ())::BIGINT AS inertia,
+            sha256(array_to_string(c.c, ',')) AS centroid_sha256
+        FROM a{rounds} a JOIN v USING (rid) JOIN c{rounds} c ON c.k = a.k"""
+
+
 ORACLE = {
+    "op12_lloyd": lloyd_sql(),
+    "op13_filter_audit": r"""
+        WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t FROM documents),
+        w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w,
+                min(doc_id) OVER (PARTITION BY t) AS first FROM d),
+        m AS (SELECT doc_id, part, [len(w) < 200, 100 * len(list_distinct(w)) < 50 * len(w),
+                100 * len(regexp_extract_all(t, '[A-Z]')) > 3 * len(t),
+                regexp_matches(t, '[#$%&*|]'), coalesce(doc_id > first, false)] AS fails FROM w),
+        l AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic
+              FROM labels GROUP BY 1),
+        x AS (SELECT part, fails, count(*) AS n, coalesce(sum(good), 0) AS good,
+                coalesce(sum(toxic), 0) AS toxic FROM m LEFT JOIN l USING (doc_id) GROUP BY 1, 2),
+        i AS (SELECT range::INT AS i FROM range(1, 6)),
+        o AS (SELECT [a.i, b.i, c.i, d.i, e.i] AS o FROM i a, i b, i c, i d, i e
+              WHERE len(list_distinct([a.i, b.i, c.i, d.i, e.i])) = 5),
+        s AS (SELECT o, i AS step, o[i] AS f FROM o, i),
+        r AS (SELECT x.*, o, list_min([CASE WHEN fails[o[j]] THEN j ELSE 9 END
+              FOR j IN [1, 2, 3, 4, 5]]) AS gone FROM x, o),
+        a AS (SELECT part, s.o, step, f,
+                sum(CASE WHEN gone > step THEN n ELSE 0 END)::BIGINT AS kept,
+                sum(CASE WHEN gone = step THEN n ELSE 0 END)::BIGINT AS removed,
+                sum(CASE WHEN gone < step AND fails[f] THEN n ELSE 0 END)::BIGINT AS redundant,
+                sum(CASE WHEN fails[f] AND len(list_filter(fails, lambda b: b)) = 1 THEN n ELSE 0 END
+                    )::BIGINT AS unique_fails,
+                sum(CASE WHEN gone = step THEN good ELSE 0 END)::BIGINT AS good_lost,
+                sum(CASE WHEN gone = step THEN toxic ELSE 0 END)::BIGINT AS toxic_lost
+              FROM r JOIN s ON s.o = r.o GROUP BY ALL)
+        SELECT part, array_to_string(list_transform(o, lambda j: 'ABCDE'[j]), '') AS filter_order,
+            step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+            (sum(removed) OVER (PARTITION BY part, f))::BIGINT AS shapley FROM a""",
     "op2_arc_to_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
         x AS (SELECT page_id, octet_length(encode(h)) AS payload_bytes, sha1(h) AS hex FROM p),
