@@ -39,6 +39,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -49,10 +50,10 @@ ORDER = 5
 TABLE = 2                    # orders up to this one come from one table
 PAD, END = 0xFE, 0xFF        # bytes that UTF-8 never has: before a text, and its end
 SYMBOLS = 255                # all bytes but PAD
-UNIT_BYTES = 1 << 25
+UNIT_BYTES = 5 << 23
 SUFFIX = (1 << 8 * (TABLE + 1)) - 1
 PIECE_BYTES = 1 << 23
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 20
 SHARD_ROWS = 1 << 20
 WORD_BYTES = 64              # longer words are known by a digest
 ALPHA = 0.1
@@ -168,7 +169,7 @@ def windows(group: list[Piece]) -> tuple[np.ndarray, np.ndarray]:
 
 def vocabulary(group: Iterator[Piece]) -> tuple[np.ndarray, np.ndarray, Counter]:
     """Distinct windows with their training counts, and words likewise."""
-    held, words, rows = [], Counter(), 0
+    held, words, rows, limit = [], Counter(), 0, SLICE_BYTES
 
     def merged() -> list:
         grams = np.concatenate([g for g, _ in held])
@@ -185,9 +186,10 @@ def vocabulary(group: Iterator[Piece]) -> tuple[np.ndarray, np.ndarray, Counter]
         n = np.bincount(coded.indices.to_numpy(), weight, len(seen)).astype(np.int64)
         held.append((seen, n))
         rows += len(seen)
-        if rows > 4 * SLICE_BYTES:
+        if rows > limit:
             held = merged()
             rows = len(held[0][0])
+            limit = max(SLICE_BYTES, 2 * rows)
         for p in part:
             if p.train:
                 words.update(p.words())
@@ -355,21 +357,27 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
         order = np.argsort(of_gram["gram"].to_numpy())
         gram, logp = of_gram["gram"].to_numpy()[order], of_gram["logp"].to_numpy()[order]
         of_word = values.filter(values["word"].is_valid())
-        count = dict(zip(of_word["word"].to_pylist(), of_word["logp"].to_pylist()))
-        tokens, base, scores = [], [], []
+        said, n_tokens, scores = [], [], []
         for part in slices(read_pieces(group)):
             found, sizes = windows(part)
             coded = pa.array(found).dictionary_encode()
             value = logp[np.searchsorted(gram, coded.dictionary.to_numpy())][coded.indices.to_numpy()]
             scores.append(np.add.reduceat(value, np.r_[0, np.cumsum(sizes)[:-1]]))
-            for p in part:
-                c = np.array([count[w] for w in p.words()])
-                tokens.append((len(c), int((c > 0).sum())))
-                base.append(float(np.log10(c + ALPHA).sum() - len(c) * below))
-        n_tokens, n_known = np.array(tokens, np.int64).T
+            words = [p.words() for p in part]
+            n_tokens += map(len, words)
+            said.append(pa.array(list(chain.from_iterable(words)), pa.binary()))
+        at = pc.index_in(pa.chunked_array(said, pa.binary()), of_word["word"]).to_numpy()
+        n_tokens = np.array(n_tokens)
+        # a piece within one endless word has no token
+        first, some = np.cumsum(n_tokens) - n_tokens, n_tokens > 0
+        n_known, base = np.zeros(len(n_tokens), np.int64), np.zeros(len(n_tokens))
+        if some.any():
+            count = of_word["logp"].to_numpy()
+            n_known[some] = np.add.reduceat((count > 0).astype(np.int64)[at], first[some])
+            base[some] = np.add.reduceat((np.log10(count + ALPHA) - below)[at], first[some])
         return pa.table({
-            "row": group["row"], "id": group["id"], "trained": group["train"], "n_tokens": n_tokens,
-            "n_known": n_known, "base_score": base, "score": np.concatenate(scores)})
+            "row": group["row"], "id": group["id"], "trained": group["train"],
+            "n_tokens": n_tokens.astype(np.int64), "n_known": n_known, "base_score": base, "score": np.concatenate(scores)})
 
     scored = placed.groupBy("unit").cogroup(grams.union(words).groupBy("unit")).applyInArrow(
         receive, f"row long, id {placed.schema['id'].dataType.simpleString()}, trained boolean, "
