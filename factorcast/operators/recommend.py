@@ -1,35 +1,37 @@
 """Prediction and ranking: L7 predict, J3 catalogue scoring, W7 top-k, L8.
 
-Scoring every user against the whole catalogue is the one place where
-the SQL form would be a cross join.  Instead the product factor matrix is
-shipped to the tasks as a broadcast variable (only after an exact size
-check); beyond the limit the catalogue is cut into blocks that each fit,
-one pass per block, and the per-block top-R lists are merged with a
-window limited to R rows per user.  Users stream through ``mapInPandas``
-in Arrow batches, so no task ever holds more than a bounded score matrix.
+Scoring every user against the whole catalogue is the one place where the
+SQL form would be a cross join.  Here the catalogue is cut into buckets of
+products of like norm, longest first, and users into blocks; a task gets one
+block and one bucket (a cogroup of bounded size) and gives each user's best R
+of the bucket.  |u.p| <= |u||p|, so a bucket whose longest vector cannot reach
+a user's R-th best score needs no look: the first bucket sets that score, and
+each user goes on only to the buckets that may beat or tie it.  The result is
+exact.  Nothing of the catalogue but one number a bucket reaches the driver.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from factorcast import config
-from factorcast.functions.vectors import cold_start_prediction, is_cold
-from factorcast.session import broadcast_max_bytes
+from factorcast.functions.vectors import cold_start_prediction, dot, is_cold
+from factorcast.operators.ordering import global_index
+from factorcast.session import materialize
 from factorcast.sources.factors import lookup_factors
 
-SCORE_SCHEMA = T.StructType([
-    T.StructField("user", T.LongType()),
-    T.StructField("product", T.LongType()),
-    T.StructField("score", T.DoubleType()),
-])
-
-# cap on (users x products) doubles scored at once inside one task
-SCORE_CELLS_PER_CHUNK = 1 << 22
+SCORES = "user long, product long, score double"
+BUCKET_CONF = "factorcast.bucketRows"        # products of a bucket
+USER_BLOCK_CONF = "factorcast.userBlockRows"  # users of a block
+DEFAULT_BUCKET = 1 << 12
+DEFAULT_USER_BLOCK = 1 << 13
+CELLS = 1 << 22              # (users x products) scored at once inside a task
+SLACK = 1.0 + 1e-9           # bounds are compared with rounded scores
 
 
 def predict(pairs: DataFrame, uf: DataFrame, pf: DataFrame, k: int,
@@ -59,10 +61,55 @@ def _scores(u: np.ndarray, m: np.ndarray) -> np.ndarray:
     return s
 
 
-def _catalogue_blocks(pf: DataFrame, k: int, n_products: int) -> int:
-    limit = broadcast_max_bytes(pf.sparkSession)
-    need = n_products * (8 * k + 8)
-    return max(1, -(-need // max(limit, 1)))
+def _matrix(column: pa.ChunkedArray, k: int) -> np.ndarray:
+    return column.combine_chunks().flatten().to_numpy().reshape(-1, k)
+
+
+@dataclass
+class Catalogue:
+    """``products`` (bucket, id, f), buckets in order of falling norms, and
+    ``longest``, the largest norm of each bucket (one number a bucket)."""
+    products: DataFrame
+    longest: np.ndarray
+
+    @staticmethod
+    def of(pf: DataFrame, k: int) -> Catalogue:
+        rows = int(pf.sparkSession.conf.get(BUCKET_CONF, str(DEFAULT_BUCKET)))
+        short = -F.sqrt(dot("f", "f", k))
+        ranked = global_index(pf.select("id", "f", short.alias("short")), ["short", "id"], "at")
+        products = materialize(ranked.select(
+            F.floor(F.col("at") / rows).cast("int").alias("bucket"), "id", "f", "short"))
+        longest = products.groupBy("bucket").agg(F.max(-F.col("short")).alias("n")).collect()
+        return Catalogue(products.drop("short"), np.array([r["n"] for r in sorted(longest)]))
+
+    def within_reach(self, norm: Column, score: Column) -> Column:
+        """Number of buckets (the first ones) that may hold a product whose
+        score for a user of that norm is ``score`` or more; all if null."""
+        shipped = self.products.sparkSession.sparkContext.broadcast(self.longest)
+
+        @F.arrow_udf("int")
+        def buckets(norms: pa.Array, scores: pa.Array) -> pa.Array:
+            n = norms.to_numpy(zero_copy_only=False) * SLACK
+            s = scores.to_numpy(zero_copy_only=False)
+            least = np.divide(s, n, out=np.full(len(s), -np.inf), where=(n > 0) & (s > 0))
+            least = np.where((n == 0) & (s > 0), np.inf, least)
+            return pa.array(np.searchsorted(-shipped.value, -least, side="right").astype(np.int32))
+
+        return buckets(norm, score)
+
+
+def user_block(users: DataFrame, n_rows: int) -> Column:
+    """Block of the column ``user``: about USER_BLOCK_CONF of ``n_rows`` rows."""
+    size = int(users.sparkSession.conf.get(USER_BLOCK_CONF, str(DEFAULT_USER_BLOCK)))
+    return F.pmod(F.xxhash64("user"), F.lit(max(1, -(-n_rows // size)))).cast("int").alias("block")
+
+
+def meet(left: DataFrame, catalogue: Catalogue, fn, schema: str) -> DataFrame:
+    """``fn(left rows, products)`` of every (block, bucket) that ``left`` has."""
+    met = left.select("block", "bucket").distinct().join(catalogue.products, "bucket").select(
+        *[F.col(c).alias(c) for c in ("block", "bucket", "id", "f")])    # columns of its own
+    return left.groupBy("block", "bucket").cogroup(met.groupBy("block", "bucket")).applyInArrow(
+        fn, schema)
 
 
 def score_catalogue(users: DataFrame, pf: DataFrame, k: int, top: int | None = None,
@@ -71,71 +118,79 @@ def score_catalogue(users: DataFrame, pf: DataFrame, k: int, top: int | None = N
 
     users: (user, uf); pf: (id, f); seen: optional (user, product) pairs to
     exclude.  Returns (user, product, score) for every user x product, or
-    only each user's best ``top`` unseen products."""
-    spark = users.sparkSession
-    n_products = pf.count()
-    nb = _catalogue_blocks(pf, k, n_products)
-    u = users.select(F.col("user").cast("long").alias("user"), F.col("uf"))
+    only each user's best ``top`` unseen products (lower id on ties).
+
+    The seen pairs travel to the (block, bucket) of their user and product,
+    so a task gets those it needs and no set per user is ever built.  With
+    ``top`` at most that many rows leave a task per user."""
+    catalogue = Catalogue.of(pf, k)
+    n_buckets = len(catalogue.longest)
+    u = users.select(F.col("user").cast("long").alias("user"), "uf")
+    u = materialize(u.select("user", "uf", user_block(u, u.count())))
+    pairs = None
     if seen is not None:
-        s = seen.select(F.col("user").cast("long").alias("user"),
-                        F.col("product").cast("long").alias("product"))
-        # per-user seen set: at most one entry per catalogue product
-        sets = s.groupBy("user").agg(F.collect_set("product").alias("seen"))
-        u = u.join(sets, "user", "left")
-    else:
-        u = u.withColumn("seen", F.lit(None).cast(T.ArrayType(T.LongType())))
-    parts = []
-    for b in range(nb):
-        blk = pf if nb == 1 else pf.where(F.pmod(F.xxhash64("id"), F.lit(nb)) == b)
-        rows = blk.select("id", "f").toPandas()  # size-checked above
-        ids = rows["id"].to_numpy(np.int64)
-        mat = np.array(rows["f"].tolist(), dtype=np.float64).reshape(len(ids), k)
-        bc = spark.sparkContext.broadcast((ids, mat))
-        parts.append(u.mapInPandas(_score_fn(bc, k, top), SCORE_SCHEMA))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    if top is not None and nb > 1:
-        out = top_k(out, top).drop("rank")
-    return out
-
-
-def _score_fn(bc, k: int, top: int | None):
-    def fn(it):
-        ids, mat = bc.value
-        n = len(ids)
-        order_ids = np.argsort(ids, kind="stable")
-        chunk = max(1, SCORE_CELLS_PER_CHUNK // max(n, 1))
-        for pdf in it:
-            for start in range(0, len(pdf), chunk):
-                part = pdf.iloc[start:start + chunk]
-                if n == 0 or part.empty:
-                    continue
-                uv = np.array(part["uf"].tolist(), dtype=np.float64).reshape(len(part), k)
-                s = _scores(uv, mat)
-                users = part["user"].to_numpy(np.int64)
-                seen = part["seen"].tolist()
-                out_u, out_p, out_s = [], [], []
-                for i in range(len(part)):
-                    row = s[i]
-                    keep = np.ones(n, dtype=bool)
-                    if seen[i] is not None and len(seen[i]) > 0:
-                        keep = ~np.isin(ids, np.asarray(seen[i], dtype=np.int64))
-                    if top is None:
-                        sel = np.nonzero(keep)[0]
-                    else:
-                        # order by score desc, id asc; ids pre-sorted so a
-                        # stable sort on -score breaks ties by id
-                        cand = order_ids[keep[order_ids]]
-                        o = np.argsort(-row[cand], kind="stable")
-                        sel = cand[o[:top]]
-                    out_u.append(np.full(len(sel), users[i], dtype=np.int64))
-                    out_p.append(ids[sel])
-                    out_s.append(row[sel])
-                if out_u:
-                    yield pd.DataFrame({"user": np.concatenate(out_u),
-                                        "product": np.concatenate(out_p),
-                                        "score": np.concatenate(out_s)})
+        pairs = (seen.select(F.col("user").cast("long").alias("user"),
+                             F.col("product").cast("long").alias("product")).distinct()
+                 .join(u.select("user", "block"), "user")
+                 .join(catalogue.products.select(F.col("id").alias("product"), "bucket"), "product"))
+    score = _score_fn(k, top)
+
+    def search(wanted: DataFrame, first: int) -> DataFrame:
+        """Of the buckets ``first`` .. ``last`` (exclusive) of each user."""
+        rows = wanted.where(F.col("last") > first).select(
+            "block", F.explode(F.sequence(F.lit(first), F.col("last") - 1)).alias("bucket"),
+            "user", "uf", F.lit(None).cast("long").alias("product"))
+        if pairs is not None:
+            rows = rows.unionByName(pairs.join(
+                rows.select("block", "bucket").distinct(), ["block", "bucket"], "left_semi"),
+                allowMissingColumns=True)
+        return meet(rows, catalogue, score, SCORES)
+
+    if top is None or n_buckets <= 1:
+        return search(u.withColumn("last", F.lit(n_buckets)), 0)
+    best = materialize(search(u.withColumn("last", F.lit(1)), 0))
+    least = best.groupBy("user").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("least"))
+    reach = catalogue.within_reach(F.sqrt(dot("uf", "uf", k)), F.when(F.col("n") == top, F.col("least")))
+    more = search(u.join(least, "user", "left").withColumn("last", reach), 1)
+    return top_k(best.unionByName(more), top).drop("rank")
+
+
+def _score_fn(k: int, top: int | None):
+    def fn(key: tuple, left: pa.Table, products: pa.Table) -> pa.Table:
+        order = np.argsort(products["id"].to_numpy())
+        ids, vectors = products["id"].to_numpy()[order], _matrix(products["f"], k)[order]
+        is_user = left["product"].is_null()
+        rows, seen = left.filter(is_user), left.filter(left["product"].is_valid())
+        users, uf = rows["user"].to_numpy(), _matrix(rows["uf"], k)
+        by_user = np.argsort(users)
+        # a seen pair's user may be one that does not search this bucket
+        at = by_user[np.minimum(np.searchsorted(users, seen["user"].to_numpy(), sorter=by_user),
+                                max(len(users) - 1, 0))] if len(users) else np.zeros(0, np.int64)
+        mine = users[at] == seen["user"].to_numpy() if len(users) else np.zeros(0, bool)
+        at, product = at[mine], np.searchsorted(ids, seen["product"].to_numpy())[mine] if len(users) else at
+        out: list[tuple] = []
+        step = max(1, CELLS // max(len(ids), 1))
+        for lo in range(0, len(users), step):
+            s = _scores(uf[lo:lo + step], vectors)
+            here = (at >= lo) & (at < lo + step)
+            keep = np.ones(s.shape, bool)
+            keep[at[here] - lo, product[here]] = False
+            if top is not None and top < len(ids):
+                masked = np.where(keep, s, -np.inf)
+                bar = -np.partition(-masked, top - 1, axis=1)[:, top - 1]
+                keep &= masked >= bar[:, None]
+            i, j = np.nonzero(keep)
+            if top is not None:
+                # ids ascend within a user: a stable sort leaves ties in id order
+                by = np.lexsort((-s[i, j], i))
+                i, j = i[by], j[by]
+                nth = np.arange(len(i)) - np.searchsorted(i, i)
+                i, j = i[nth < top], j[nth < top]
+            out.append((users[lo + i], ids[j], s[i, j]))
+        columns = [np.concatenate(c) for c in zip(*out)] if out else [[], [], []]
+        return pa.table({"user": pa.array(columns[0], pa.int64()), "product": pa.array(columns[1], pa.int64()),
+                         "score": pa.array(columns[2], pa.float64())})
+
     return fn
 
 

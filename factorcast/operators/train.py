@@ -2,7 +2,7 @@
 
 L1  ``batch_gd``       deterministic full-batch gradient descent (pure SQL plan).
 L2  ``block_sgd``      true SGD inside conflict-free (user block, product block)
-                        strata (stratified DSGD); one grouped-pandas task per block.
+                        strata (stratified DSGD); one task per block.
 L3  ``distributed_sgd`` = L2 with one learning rate for both sides.
 L4  ``online_update``  T consecutive SGD steps per arriving rating, on a batch.
 L5  ``last_k_replay``  replay each user's last K ratings twice per event.
@@ -16,19 +16,22 @@ materialized with a reliable checkpoint.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from factorcast import config
-from factorcast.functions.vectors import dot
-from factorcast.operators.ordering import row_hash, shuffle_key
+from factorcast.functions.vectors import dot, init_product_factor, init_user_factor
+from factorcast.operators.ordering import global_index, row_hash, shuffle_key
 from factorcast.session import broadcast_if_fits, broadcast_max_bytes, factor_row_bytes, materialize
-from factorcast.sources.factors import init_factors, upsert
+from factorcast.sources.factors import init_factors
+from factorcast.sources.sinks import scratch_path
 
 FACTOR_SCHEMA = T.StructType([
     T.StructField("id", T.LongType()),
@@ -128,7 +131,6 @@ def batch_gd(train: DataFrame, k: int, epochs: int, gamma: float, lam: float,
 def _init_keyed(tr: DataFrame, col: str, k: int, side: str, implicit: bool, keys: list[str]):
     if not keys:
         return init_factors(tr, col, k, side, implicit)
-    from factorcast.functions.vectors import init_product_factor, init_user_factor
     make = init_user_factor if side == "user" else init_product_factor
     d = tr.select(*keys, F.col(col).alias("id")).distinct()
     return d.select(*keys, "id", make("id", k, implicit).alias("f"))
@@ -136,101 +138,86 @@ def _init_keyed(tr: DataFrame, col: str, k: int, side: str, implicit: bool, keys
 
 # ---------------------------------------------------------------- numpy kernel
 
+class Vectors:
+    """Vectors of one side by id, in a matrix that grows; an id without one
+    starts from the deterministic rule."""
+
+    def __init__(self, k: int, salt: int, scale: float):
+        self.k, self.salt, self.scale = k, salt, scale
+        self.at: dict[int, int] = {}
+        self.f = np.empty((1024, k))
+
+    def put(self, ids: list[int], vectors: np.ndarray) -> None:
+        """Vectors of new ids."""
+        first = len(self.at)
+        while first + len(ids) > len(self.f):
+            self.f = np.concatenate([self.f, np.empty_like(self.f)])
+        self.at.update(zip(ids, range(first, first + len(ids))))
+        self.f[first:first + len(ids)] = vectors
+
+    def rows(self, ids: np.ndarray) -> np.ndarray:
+        """Matrix row of each id."""
+        distinct, inverse = np.unique(ids, return_inverse=True)
+        missing = [i for i in distinct.tolist() if i not in self.at]
+        if missing:
+            self.put(missing, init_matrix(np.array(missing, np.int64), self.k, self.salt, self.scale))
+        return np.array([self.at[i] for i in distinct.tolist()], np.int64)[inverse]
+
+
 def sgd_sequence(users: np.ndarray, products: np.ndarray, ratings: np.ndarray,
-                 ufac: dict, pfac: dict, steps: int, gu: float, gi: float,
-                 lam: float, init_u, init_p) -> np.ndarray:
+                 U: Vectors, P: Vectors, steps: int, gu: float, gi: float, lam: float) -> np.ndarray:
     """Sequential SGD over rows in the given order, ``steps`` consecutive
-    updates per row; vectors of unseen ids come from ``init_*``.  Mutates
-    the two dicts and returns each row's score before its own update
-    (the dot product of its vectors as all earlier rows left them).
+    updates per row.  Changes the vectors and returns each row's score
+    before its own update (the dot product of its vectors as all earlier
+    rows left them).
 
     Exact wavefront form: a row depends on earlier rows only through its
     user and its product, so row j goes to wave 1 + max(wave of the last
     earlier row with the same user, same product).  Rows of one wave touch
     distinct users and distinct products and are updated together with
     numpy, producing bit-for-bit the sequential result (same operations,
-    same order per element).  Runs inside one block task."""
+    same order per element)."""
     n = len(users)
     scores = np.empty(n)
     if n == 0:
         return scores
-    uids, uinv = np.unique(users, return_inverse=True)
-    pids, pinv = np.unique(products, return_inverse=True)
-    U = _gather(uids, ufac, init_u)
-    P = _gather(pids, pfac, init_p)
-    lu = [0] * len(uids)
-    lp = [0] * len(pids)
+    ua, pa = U.rows(users), P.rows(products)
+    last_u: dict[int, int] = {}
+    last_p: dict[int, int] = {}
     level = [0] * n
-    for j, (a, b) in enumerate(zip(uinv.tolist(), pinv.tolist())):
-        lv = lu[a] if lu[a] > lp[b] else lp[b]
-        level[j] = lv
-        lu[a] = lp[b] = lv + 1
+    for j, (a, b) in enumerate(zip(ua.tolist(), pa.tolist())):
+        x, y = last_u.get(a, 0), last_p.get(b, 0)
+        level[j] = x if x > y else y
+        last_u[a] = last_p[b] = level[j] + 1
     level = np.asarray(level)
     order = np.argsort(level, kind="stable")
     bounds = np.searchsorted(level[order], np.arange(level.max() + 2))
-    k = U.shape[1]
     for w in range(len(bounds) - 1):
         rows = order[bounds[w]:bounds[w + 1]]
-        ua, pa, rr = uinv[rows], pinv[rows], ratings[rows]
-        uf, pf = U[ua], P[pa]
+        uf, pf, rr = U.f[ua[rows]], P.f[pa[rows]], ratings[rows]
         for step in range(steps):
             s = uf[:, 0] * pf[:, 0]
-            for c in range(1, k):
+            for c in range(1, U.k):
                 s = s + uf[:, c] * pf[:, c]
             if step == 0:
                 scores[rows] = s
             e = (rr - s)[:, None]
             uf, pf = uf + gu * (e * pf - lam * uf), pf + gi * (e * uf - lam * pf)
-        U[ua] = uf
-        P[pa] = pf
-    for i, v in zip(uids.tolist(), U):
-        ufac[i] = v
-    for i, v in zip(pids.tolist(), P):
-        pfac[i] = v
+        U.f[ua[rows]] = uf
+        P.f[pa[rows]] = pf
     return scores
 
 
-def _gather(ids: np.ndarray, fac: dict, init) -> np.ndarray:
-    """Stack known vectors; start vectors of all missing ids in one call
-    (``init`` maps an id array to a matrix)."""
-    missing = np.asarray([i not in fac for i in ids.tolist()], dtype=bool)
-    fresh = init(ids[missing]) if missing.any() else None
-    k = fresh.shape[1] if fresh is not None else len(next(iter(fac.values())))
-    out = np.empty((len(ids), k))
-    if fresh is not None:
-        out[missing] = fresh
-    known = np.nonzero(~missing)[0]
-    if len(known):
-        out[known] = np.stack([fac[i] for i in ids[known].tolist()])
-    return out
-
-
 def init_matrix(ids: np.ndarray, k: int, salt: int, scale: float) -> np.ndarray:
     j = np.arange(k, dtype=np.int64)[None, :]
     x = (ids.astype(np.int64)[:, None] * config.INIT_ID_MULT + (j * config.INIT_J_MULT + salt)) % config.INIT_MOD
     return np.sqrt(x / float(config.INIT_MOD) * scale / float(k))
 
 
-def _dot(a: np.ndarray, b: np.ndarray) -> float:
-    s = 0.0
-    for x, y in zip(a.tolist(), b.tolist()):
-        s += x * y
-    return s
-
-
-def init_vector(i: int, k: int, salt: int, scale: float) -> np.ndarray:
-    j = np.arange(k, dtype=np.int64)
-    u = ((i * config.INIT_ID_MULT + j * config.INIT_J_MULT + salt) % config.INIT_MOD) / float(config.INIT_MOD)
-    return np.sqrt(u * scale / float(k))
-
-
 # ---------------------------------------------------------------- L2 / L3 / L4
 
-BLOCK_OUT_SCHEMA = T.StructType([
-    T.StructField("side", T.StringType()),
-    T.StructField("id", T.LongType()),
-    T.StructField("f", T.ArrayType(T.DoubleType())),
-])
+# rows of a block learned at once; what a task holds besides its vectors
+BUFFER_ROWS = 1 << 16
 
 
 def block_of(col: str, d: int):
@@ -243,40 +230,77 @@ def empty_factors(spark, keys: list[str] | None = None, key_types: dict | None =
     return spark.createDataFrame([], T.StructType(fields + list(FACTOR_SCHEMA.fields)))
 
 
-def _block_kernel(k: int, gu: float, gi: float, lam: float, steps: int, scale: float,
-                  order_names: list[str], keys: list[str], score_id: str | None = None):
-    out_fields = [T.StructField(c, T.LongType()) for c in keys] + list(BLOCK_OUT_SCHEMA.fields)
-    schema = T.StructType(out_fields)
-    names = [f.name for f in schema.fields]
+def _block_stream(k: int, gu: float, gi: float, lam: float, steps: int, scale: float, keys: list[str]):
+    """Learns the blocks of a partition from one sorted stream.
 
-    def run_block(rows: pd.DataFrame, facs: pd.DataFrame) -> pd.DataFrame:
-        if rows.empty:                       # nothing to learn: vectors pass through
-            return facs[names] if not facs.empty else pd.DataFrame({c: [] for c in names})
-        # user, product and rating break ties: rows still equal are interchangeable
-        sort_cols = (["_key"] if "_key" in rows.columns else []) + order_names
-        rows = rows.sort_values(list(dict.fromkeys(sort_cols + ["user", "product", "rating"])),
-                                kind="mergesort")
-        ufac, pfac = {}, {}
-        for side, i, f in zip(facs["side"].tolist(), facs["id"].tolist(), facs["f"].tolist()):
-            (ufac if side == "u" else pfac)[int(i)] = np.asarray(f, dtype=np.float64)
-        scores = sgd_sequence(
-            rows["user"].to_numpy(np.int64), rows["product"].to_numpy(np.int64),
-            rows["rating"].to_numpy(np.float64), ufac, pfac, steps, gu, gi, lam,
-            lambda ids: init_matrix(ids, k, config.USER_SALT, scale),
-            lambda ids: init_matrix(ids, k, config.PRODUCT_SALT, scale))
-        out = {"side": ["u"] * len(ufac) + ["p"] * len(pfac),
-               "id": list(ufac) + list(pfac),
-               "f": [v.tolist() for v in ufac.values()] + [v.tolist() for v in pfac.values()]}
-        if score_id is not None:             # side 'r': (row id, [score before its update])
-            scored = rows[score_id].notna().to_numpy()
-            out["side"] += ["r"] * int(scored.sum())
-            out["id"] += rows[score_id][scored].astype("int64").tolist()
-            out["f"] += [[x] for x in scores[scored].tolist()]
-        for c in keys:
-            out[c] = [int(rows[c].iloc[0])] * len(out["id"])
-        return pd.DataFrame(out)[names]
-
-    return run_block, schema
+    Rows come by (keys, block); of each block first its vectors (side 'u' or
+    'p', id, f), then its ratings (side null, id = the score's id or null) in
+    visiting order.  A task holds the vectors of one block and BUFFER_ROWS
+    ratings, however many ratings the block has.  Scores (side 'r') leave as
+    they come, vectors at the end of their block."""
+    schema = T.StructType([T.StructField(c, T.LongType()) for c in keys] + [
+        T.StructField("side", T.StringType())] + list(FACTOR_SCHEMA.fields))
+    names = [f.name for f in schema.fields]
+    group = keys + ["g"]
+
+    def out(key: tuple, side: str, ids, vectors: np.ndarray) -> pa.RecordBatch:
+        offsets = pa.array(np.arange(len(ids) + 1, dtype=np.int32) * vectors.shape[1])
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.full(len(ids), v, np.int64)) for v in key[:len(keys)]]
+            + [pa.array([side] * len(ids)), pa.array(ids, pa.int64()),
+               pa.ListArray.from_arrays(offsets, pa.array(vectors.ravel()))], names)
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held, n_held = None, [], 0
+        U = P = None
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            nonlocal held, n_held
+            if held:
+                rows = pa.Table.from_batches(held)
+                scores = sgd_sequence(*(rows[c].to_numpy() for c in ("user", "product", "rating")),
+                                      U, P, steps, gu, gi, lam)
+                wanted = rows["id"].is_valid().to_numpy()
+                if wanted.any():
+                    yield out(key, "r", rows["id"].drop_null().to_numpy(), scores[wanted][:, None])
+                held, n_held = [], 0
+
+        def close() -> Iterator[pa.RecordBatch]:
+            yield from flush()
+            for side, V in (("u", U), ("p", P)):
+                ids = np.fromiter(V.at, np.int64, len(V.at))
+                for a in range(0, len(ids), BUFFER_ROWS):
+                    yield out(key, side, ids[a:a + BUFFER_ROWS], V.f[a:min(a + BUFFER_ROWS, len(ids))])
+
+        for batch in batches:
+            of = np.stack([batch.column(c).to_numpy() for c in group])
+            cuts = np.flatnonzero((of[:, 1:] != of[:, :-1]).any(axis=0)) + 1
+            for lo, hi in zip([0, *cuts], [*cuts, batch.num_rows]):
+                if hi == lo:
+                    continue
+                now = tuple(int(v) for v in of[:, lo])
+                if now != key:
+                    if key is not None:
+                        yield from close()
+                    key = now
+                    U, P = Vectors(k, config.USER_SALT, scale), Vectors(k, config.PRODUCT_SALT, scale)
+                part = batch.slice(lo, hi - lo)
+                side = part.column("side")
+                for name, V in (("u", U), ("p", P)):
+                    mine = part.filter(pc.fill_null(pc.equal(side, name), False))
+                    if mine.num_rows:
+                        f = mine.column("f").flatten().to_numpy().reshape(mine.num_rows, k)
+                        V.put(mine.column("id").to_pylist(), f)
+                rows = part.filter(side.is_null()).select(["id", "user", "product", "rating"])
+                if rows.num_rows:
+                    held.append(rows)
+                    n_held += rows.num_rows
+                    if n_held >= BUFFER_ROWS:
+                        yield from flush()
+        if key is not None:
+            yield from close()
+
+    return learn, schema
 
 
 def combine_factors(uf: DataFrame | None, pf: DataFrame | None, spark,
@@ -306,9 +330,6 @@ def block_sgd_table(train: DataFrame, facs: DataFrame, k: int, epochs: int, gamm
     spark = train.sparkSession
     keys = list(keys or [])
     d = max(1, int(blocks))
-    # one task per block group: d partitions, or the session's partition
-    # count when independent keyed models multiply the groups
-    n = int(spark.conf.get("spark.sql.shuffle.partitions")) if keys else d
     scale = config.SCALE_IMPLICIT if implicit else config.SCALE_EXPLICIT
     order_names = list(order_cols or [])
     base = (*keys, "user", "product", "rating")
@@ -316,13 +337,19 @@ def block_sgd_table(train: DataFrame, facs: DataFrame, k: int, epochs: int, gamm
                       F.col("product").cast("long").alias("product"),
                       F.col("rating").cast("double").alias("rating"),
                       *[c for c in dict.fromkeys(order_names + [score_id or "user"]) if c not in base])
-    tr = tr.withColumn("g", block_of("user", d)).withColumn("pb", block_of("product", d))
+    stratum = F.pmod(block_of("product", d) - block_of("user", d), F.lit(d))
+    tr = tr.withColumn("g", block_of("user", d)).withColumn("stratum", stratum)
     if d > 1 or epochs > 1:
-        # scanned once per stratum: pin it, partitioned by user block
-        tr = materialize(tr.repartition(n, *keys, "g"), keep_partitioning=True)
-    run_block, schema = _block_kernel(k, gamma_u, gamma_i, lam, steps_per_row, scale, order_names, keys, score_id)
-    scores = []
+        # written once by stratum, so that a stratum reads its own rows only
+        path = scratch_path(spark, "strata")
+        tr.write.partitionBy("stratum").parquet(path)
+        tr = spark.read.schema(tr.schema).parquet(path)
+    learn, schema = _block_stream(k, gamma_u, gamma_i, lam, steps_per_row, scale, keys)
     row_cols = keys + (order_names or ["user", "product", "rating"])
+    # user, product and rating break ties: rows still equal are interchangeable
+    order = list(dict.fromkeys(order_names + ["user", "product", "rating"]))
+    stream_cols = [*keys, "g", "side", "id", "f", "user", "product", "rating"]
+    scores = []
     facs = facs.select(*keys, "side", "id", "f")
     rest = None
     if facs.count() * factor_row_bytes(k) > broadcast_max_bytes(spark):
@@ -337,14 +364,19 @@ def block_sgd_table(train: DataFrame, facs: DataFrame, k: int, epochs: int, gamm
         rest = facs.join(tb, keys + ["side", "id"], "left_anti")
         facs = facs.join(tb, keys + ["side", "id"], "left_semi")
     for epoch in range(epochs):
-        ep = tr.withColumn("_key", shuffle_key(row_cols, seed, epoch)) if shuffle else tr
+        key = shuffle_key(row_cols, seed, epoch) if shuffle else F.lit(0).cast("long")
         for s in range(d):
-            rows = ep.where(F.pmod(F.col("pb") - F.col("g"), F.lit(d)) == s).drop("pb")
+            rows = tr.where(F.col("stratum") == s).withColumns({
+                "_key": key, "side": F.lit(None).cast("string"), "f": F.lit(None).cast("array<double>"),
+                "id": F.col(score_id) if score_id else F.lit(None).cast("long")})
             g = F.when(F.col("side") == "u", block_of("id", d)).otherwise(
                 F.pmod(block_of("id", d) - F.lit(s), F.lit(d)))
-            fr = facs.withColumn("g", g).repartition(n, *keys, "g")
-            facs = materialize(rows.groupBy(*keys, "g").cogroup(fr.groupBy(*keys, "g"))
-                               .applyInPandas(run_block, schema))
+            stream = rows.unionByName(facs.withColumn("g", g), allowMissingColumns=True)
+            # independent keyed models multiply the blocks; else a block is a partition
+            dealt = stream.repartition(*keys, "g") if keys else stream.repartitionById(d, F.col("g"))
+            facs = materialize(
+                dealt.sortWithinPartitions(*keys, "g", F.col("side").desc_nulls_last(), "_key", *order)
+                .select(*stream_cols).mapInArrow(learn, schema))
             if score_id is not None:
                 scores.append(facs.where(F.col("side") == "r").select(
                     *keys, F.col("id").alias(score_id), F.col("f")[0].alias("score")))
@@ -364,24 +396,25 @@ def block_sgd(train: DataFrame, k: int, epochs: int, gamma_u: float, gamma_i: fl
 
     Users and products are hashed into ``blocks`` groups each.  In stratum
     s the blocks (b, (b+s) mod d) share no user and no product, so the d
-    blocks are trained in parallel, one grouped-pandas task each, with the
-    exact sequential update inside a block (vectorized by dependency
-    waves, see ``sgd_sequence``).  Rows of a block are visited in a
-    per-epoch pseudo-random order (``shuffle``) or in ``order_cols`` order
-    (stream order).  blocks=1 is plain sequential SGD; with more blocks the
-    rows of a call are visited stratum by stratum, and in the given order
-    inside a block.  ``blocks`` is an argument, never derived from row
-    counts: the result depends on it and on nothing of the cluster.
-
-    Data movement: the ratings are hash-partitioned by user block once
-    (checkpointed with that partitioning) and never move again.  The
-    factor table, unless its exact size fits the broadcast limit, is split
-    once per call into the vectors of ids the rows touch (semi-join with
-    the size-checked touched-id set) and the rest;
-    per stratum only the touched vectors travel (users to their own block,
-    products rotated by s) and the kernel returns every vector it received,
-    so a stratum needs one exchange + one checkpoint and no upsert joins;
-    the untouched rest is appended once at the end.
+    blocks are trained in parallel, one task each, with the exact sequential
+    update inside a block (vectorized by dependency waves, see
+    ``sgd_sequence``).  Rows of a block are visited in a per-epoch
+    pseudo-random order (``shuffle``) or in ``order_cols`` order (stream
+    order).  blocks=1 is plain sequential SGD; with more blocks the rows of
+    a call are visited stratum by stratum, and in the given order inside a
+    block.  ``blocks`` is an argument, never derived from row counts: the
+    result depends on it and on nothing of the cluster.  Choose it by the
+    vectors: a task holds those of one user block and one product block.
+
+    Data movement: the ratings are written once by stratum.  A stratum reads
+    its own rows, and one exchange brings them and the vectors to their
+    blocks, sorted as one stream: a block's vectors, then its ratings in
+    visiting order.  The task streams over it with the vectors and a bounded
+    buffer of ratings in memory (``_block_stream``), so its memory does not
+    grow with the ratings, and gives back every vector: one checkpoint a
+    stratum, no upsert joins.  A factor table above the broadcast limit is
+    first split into the vectors of ids the rows touch and the rest, which
+    is appended at the end.
 
     ``keys`` trains independent models side by side (factor tables keyed
     by keys + id; the group of a task is keys + block).  ``uf``/``pf``
@@ -457,56 +490,132 @@ def last_k_replay(events: DataFrame, k: int, last_k: int, gamma_u: float, gamma_
 
 # ---------------------------------------------------------------- L6
 
+FOLD_CHUNK_CONF = "factorcast.foldChunkRows"
+DEFAULT_FOLD_CHUNK = 1 << 20
+FOLD_BUFFER = 1 << 14        # maps composed at once in a task
+
+
+def affine_steps(pf: np.ndarray, ratings: np.ndarray, steps: int, gamma: float, lam: float) -> np.ndarray:
+    """What learning a rating with a frozen product vector p does to the user
+    vector, as (k+1) x (k+1) matrices on (v, 1): one step is
+    v -> (1 - gamma lam) v - gamma (v.p) p + gamma r p, an affine map."""
+    n, k = pf.shape
+    maps = np.zeros((n, k + 1, k + 1))
+    maps[:, :k, :k] = -gamma * pf[:, :, None] * pf[:, None, :]
+    maps[:, np.arange(k), np.arange(k)] += 1.0 - gamma * lam
+    maps[:, :k, k] = gamma * ratings[:, None] * pf
+    maps[:, k, k] = 1.0
+    out = maps
+    for _ in range(steps - 1):
+        out = maps @ out
+    return out if steps > 0 else np.tile(np.eye(k + 1), (n, 1, 1))
+
+
+def compose_runs(maps: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """The product of the maps of each run [starts[i], starts[i+1]), the later
+    map outside.  Neighbours are multiplied pairwise (the product is
+    associative), all runs at once, so the loop takes log2(longest) rounds."""
+    lengths = np.diff(np.r_[starts, len(maps)])
+    while len(maps) > len(lengths):
+        first = np.cumsum(lengths) - lengths
+        at = np.arange(len(maps)) - np.repeat(first, lengths)
+        even = np.flatnonzero(at % 2 == 0)
+        paired = at[even] + 1 < np.repeat(lengths, lengths)[even]
+        new = maps[even]
+        new[paired] = maps[even[paired] + 1] @ new[paired]
+        maps, lengths = new, (lengths + 1) // 2
+    return maps
+
+
+def _compose_stream(k: int, keys: list[str], read) -> tuple:
+    """Composes the maps of consecutive rows with equal ``keys`` (the rows come
+    sorted); ``read(batch)`` gives their maps.  A run may go on over any
+    number of batches; a task holds FOLD_BUFFER maps."""
+    schema = T.StructType([T.StructField(c, T.LongType()) for c in keys]
+                          + [T.StructField("map", T.ArrayType(T.DoubleType()))])
+    width = (k + 1) ** 2
+
+    def out(key: np.ndarray, maps: np.ndarray) -> pa.RecordBatch:
+        offsets = pa.array(np.arange(len(maps) + 1, dtype=np.int32) * width)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(c) for c in key] + [pa.ListArray.from_arrays(offsets, pa.array(maps.ravel()))],
+            [f.name for f in schema.fields])
+
+    def compose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_key, open_map = None, None
+        for whole in batches:
+            for lo in range(0, whole.num_rows, FOLD_BUFFER):
+                batch = whole.slice(lo, FOLD_BUFFER)
+                key = np.stack([batch.column(c).to_numpy() for c in keys])
+                starts = np.r_[0, np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1]
+                key, maps = key[:, starts], compose_runs(read(batch), starts)
+                if open_key is not None and (key[:, 0] == open_key).all():
+                    maps[0] = maps[0] @ open_map
+                elif open_key is not None:
+                    yield out(open_key[:, None], open_map[None])
+                if len(maps) > 1:
+                    yield out(key[:, :-1], maps[:-1])
+                open_key, open_map = key[:, -1], maps[-1]
+        if open_key is not None:
+            yield out(open_key[:, None], open_map[None])
+
+    return compose, schema
+
+
 def user_fold_in(events: DataFrame, uf: DataFrame | None, pf: DataFrame, k: int,
                  steps: int, gamma_u: float, lam: float, order_cols: list[str],
                  implicit: bool = False, num_partitions: int | None = None) -> DataFrame:
     """Exact per-user sequential update of the user vectors with the
     product vectors frozen (as at the start of the batch).
 
-    Events are hash-partitioned by user and sorted by (user, order); the
-    ``mapInPandas`` scan carries one user's running vector across Arrow
-    batches, so a user with a huge history streams through one task with
-    bounded memory (their updates are inherently sequential).
-    Returns the updated user factor rows (users of ``events`` only)."""
+    A step with a frozen product vector is an affine map of the user vector,
+    and affine maps compose associatively.  So a user's sequence is cut into
+    chunks that are composed in different tasks, and the few chunk maps of a
+    user are composed again and applied to the start vector: a user with a
+    third of all rows is no single task.  Only users with more than
+    ``factorcast.foldChunkRows`` events are cut, at every so many rows of the
+    (user, order) sequence of such users.
+    Returns the updated user factor rows (users of ``events`` only); events
+    of a product without a vector use its start vector."""
     spark = events.sparkSession
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    scale = config.SCALE_IMPLICIT if implicit else config.SCALE_EXPLICIT
-    p = pf.select(F.col("id").alias("product"), F.col("f").alias("pf"))
-    j = events.select(F.col("user").cast("long").alias("user"),
-                      F.col("product").cast("long").alias("product"),
-                      F.col("rating").cast("double").alias("rating"), *order_cols).join(p, "product", "left")
-    if uf is not None:
-        j = j.join(uf.select(F.col("id").alias("user"), F.col("f").alias("uf")), "user", "left")
+    chunk_rows = int(spark.conf.get(FOLD_CHUNK_CONF, str(DEFAULT_FOLD_CHUNK)))
+    ev = events.select(F.col("user").cast("long").alias("user"),
+                       F.col("product").cast("long").alias("product"),
+                       F.col("rating").cast("double").alias("rating"), *order_cols)
+    # hot users: at most rows / chunk_rows of them
+    hot = materialize(ev.groupBy("user").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > chunk_rows))
+    n_hot = hot.count()
+    if n_hot:
+        ev = ev.join(broadcast_if_fits(hot.select("user", F.lit(True).alias("hot")), n_hot, 32),
+                     "user", "left")
+        own = global_index(ev.where("hot"), ["user", *order_cols], "at")
+        ev = (own.withColumn("chunk", F.floor(F.col("at") / chunk_rows).cast("long")).drop("at")
+              .unionByName(ev.where("hot IS NULL").withColumn("chunk", F.lit(0).cast("long"))))
     else:
-        j = j.withColumn("uf", F.lit(None).cast(T.ArrayType(T.DoubleType())))
-    j = (j.repartition(n, "user") if num_partitions else j.repartition("user")).sortWithinPartitions(
-        "user", *order_cols)
-
-    def fold(it):
-        cur, vec = None, None
-        out_ids, out_vecs = [], []
-        for pdf in it:
-            for u, pr, r, pv, uv in zip(pdf["user"].tolist(), pdf["product"].tolist(),
-                                        pdf["rating"].tolist(), pdf["pf"].tolist(), pdf["uf"].tolist()):
-                if u != cur:
-                    if cur is not None:
-                        out_ids.append(cur)
-                        out_vecs.append(vec.tolist())
-                    cur = u
-                    vec = (np.asarray(uv, dtype=np.float64) if uv is not None
-                           else init_vector(u, k, config.USER_SALT, scale))
-                pvec = (np.asarray(pv, dtype=np.float64) if pv is not None
-                        else init_vector(pr, k, config.PRODUCT_SALT, scale))
-                for _ in range(steps):
-                    e = r - _dot(vec, pvec)
-                    vec = vec + gamma_u * (e * pvec - lam * vec)
-            if len(out_ids) >= 4096:
-                yield pd.DataFrame({"id": out_ids, "f": out_vecs})
-                out_ids, out_vecs = [], []
-        if cur is not None:
-            out_ids.append(cur)
-            out_vecs.append(vec.tolist())
-        if out_ids:
-            yield pd.DataFrame({"id": out_ids, "f": out_vecs})
-
-    return j.mapInPandas(fold, FACTOR_SCHEMA)
+        ev = ev.withColumn("chunk", F.lit(0).cast("long"))
+    made = init_product_factor("product", k, implicit)
+    j = ev.join(pf.select(F.col("id").alias("product"), F.col("f").alias("pf")), "product", "left").select(
+        "user", "chunk", "rating", F.coalesce("pf", made).alias("pf"), *order_cols)
+    keyed = (j.repartition(num_partitions, "user", "chunk") if num_partitions
+             else j.repartition("user", "chunk"))
+
+    def of_ratings(batch: pa.RecordBatch) -> np.ndarray:
+        p = batch.column("pf").flatten().to_numpy().reshape(batch.num_rows, k)
+        return affine_steps(p, batch.column("rating").to_numpy(), steps, gamma_u, lam)
+
+    def of_maps(batch: pa.RecordBatch) -> np.ndarray:
+        return batch.column("map").flatten().to_numpy().reshape(batch.num_rows, k + 1, k + 1).copy()
+
+    by_chunk, schema = _compose_stream(k, ["user", "chunk"], of_ratings)
+    chunks = keyed.sortWithinPartitions("user", "chunk", *order_cols).select(
+        "user", "chunk", "rating", "pf").mapInArrow(by_chunk, schema)
+    by_user, schema = _compose_stream(k, ["user"], of_maps)
+    maps = chunks.repartition("user").sortWithinPartitions("user", "chunk").select(
+        "user", "map").mapInArrow(by_user, schema)
+    old = None if uf is None else uf.select(F.col("id").alias("user"), F.col("f").alias("uf"))
+    maps = maps.withColumn("uf", F.lit(None).cast("array<double>")) if old is None else maps.join(
+        old, "user", "left")
+    v, m = F.coalesce("uf", init_user_factor("user", k, implicit)).alias("v"), F.col("map")
+    new = [reduce(lambda x, y: x + y, [m[i * (k + 1) + c] * F.col("v")[c] for c in range(k)])
+           + m[i * (k + 1) + k] for i in range(k)]
+    return maps.select("user", "map", v).select(F.col("user").alias("id"), F.array(*new).alias("f"))

@@ -404,7 +404,7 @@ SQL_TOP = (f"SELECT {QU}, product, rank FROM (SELECT *, row_number() OVER (PARTI
 @register("topk_recommend", W(SQL_FB + SQL_FB_INIT, SQL_TOP.format(src="sc")))
 def q_topk_recommend(spark, sf):
     uf, pf = _fb_factors(spark, sf)
-    return RC.top_k(RC.score_catalogue(_users(uf), pf, K), TOP_R).select("user", "product", "rank")
+    return RC.recommend_top_r(uf, pf, K, TOP_R).select("user", "product", "rank")
 
 
 @register("recommend_top_r", W(SQL_FB + SQL_FB_INIT + [
@@ -423,7 +423,7 @@ def q_recommend_top_r(spark, sf):
 def q_exclude_past(spark, sf):
     fb = S.feedback(spark, sf)
     uf, pf = _init_from(fb, implicit=True)
-    return rounded(H.exclude_past(RC.score_catalogue(_users(uf), pf, K), fb))
+    return rounded(RC.score_catalogue(_users(uf), pf, K, seen=fb))
 
 
 # the stream is cut at edge(25) of 50 blocks: past = before, future = positives after
@@ -450,7 +450,7 @@ def _half(spark, sf):
 def q_past_anti(spark, sf):
     _, past, _ = _half(spark, sf)
     uf, pf = _fb_factors(spark, sf)
-    return rounded(H.exclude_past(RC.score_catalogue(_users(uf), pf, K), past))
+    return rounded(RC.score_catalogue(_users(uf), pf, K, seen=past))
 
 
 @register("hits_semi", W(SQL_HALF, "SELECT * FROM hit"))

@@ -222,3 +222,73 @@ def test_block_sgd_touched_split_same_result(spark, fx):
     _close(bu, _vecs(a_u))
     _close(bp, _vecs(a_p))
     assert set(bu) == set(_vecs(uf0))        # untouched user 2 carried over
+
+
+def test_block_stream_memory_does_not_follow_the_ratings(spark, monkeypatch):
+    """A block's ratings pass through a bounded buffer; the result is that of
+    one piece, over buffers, batches and blocks."""
+    rng = np.random.default_rng(1)
+    rows = [(int(rng.integers(0, 12)), int(rng.integers(0, 9)), float(rng.integers(1, 6)), i)
+            for i in range(700)]
+    rows += [(0, int(rng.integers(0, 9)), 3.0, 700 + i) for i in range(350)]      # a third: one user
+    df = spark.createDataFrame(rows, "user long, product long, rating double, idx long")
+    g = SeqModel(K)
+    for u, p, r, _i in rows:
+        g.step(u, p, r, 2, GU, GI, LAM)
+    for buffer, batch in ((64, "50"), (1 << 16, "10000")):
+        monkeypatch.setattr(TR, "BUFFER_ROWS", buffer)
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+        try:
+            uf, pf = TR.block_sgd(df, K, 1, GU, GI, LAM, blocks=1, order_cols=["idx"],
+                                  steps_per_row=2, shuffle=False)
+            _close(_vecs(uf), g.u)
+            _close(_vecs(pf), g.p)
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+@pytest.mark.parametrize("blocks", [2, 3, 7])
+def test_grid_is_an_argument_of_the_call(spark, fx, blocks):
+    uf, pf = TR.block_sgd(fx, K, 2, GU, GI, LAM, blocks=blocks, order_cols=["idx"], shuffle=False)
+    ub = {r.user: r.b for r in fx.select("user", TR.block_of("user", blocks).alias("b")).collect()}
+    pb = {r.product: r.b for r in fx.select("product", TR.block_of("product", blocks).alias("b")).collect()}
+    g = SeqModel(K)
+    for _ in range(2):
+        for s in range(blocks):
+            for u, p, r, _i in ROWS:
+                if (pb[p] - ub[u]) % blocks == s:
+                    g.step(u, p, r, 1, GU, GI, LAM)
+    _close(_vecs(uf), g.u)
+    _close(_vecs(pf), g.p)
+
+
+@pytest.mark.parametrize("chunk,buffer", [("1000000", 1 << 14), ("7", 5), ("1", 3)])
+def test_user_fold_in_splits_a_user(spark, monkeypatch, chunk, buffer):
+    """A user with most rows is cut into chunks whose maps are composed; known
+    start vectors, unknown products, several steps."""
+    rng = np.random.default_rng(2)
+    rows = [(1 if i % 4 else int(rng.integers(2, 9)), int(rng.integers(0, 12)),
+             float(rng.integers(1, 6)), i) for i in range(150)]
+    df = spark.createDataFrame(rows, "user long, product long, rating double, idx long").repartition(3)
+    pf = {p: rng.random(K) for p in range(10)}
+    uf = {u: rng.random(K) for u in (1, 3, 50)}
+    vectors = lambda d: spark.createDataFrame([(i, v.tolist()) for i, v in d.items()],
+                                              "id long, f array<double>")
+    from golden import init_vec
+    want = {}
+    for u, p, r, _i in rows:
+        v = want.get(u, uf.get(u))
+        v = init_vec(u, K, 17, 5.0) if v is None else v
+        q = pf[p] if p in pf else init_vec(p, K, 71, 5.0)
+        for _ in range(3):
+            v = v + GU * ((r - dot(v, q)) * q - LAM * v)
+        want[u] = v
+    monkeypatch.setattr(TR, "FOLD_BUFFER", buffer)
+    spark.conf.set(TR.FOLD_CHUNK_CONF, chunk)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "11")
+    try:
+        got = _vecs(TR.user_fold_in(df, vectors(uf), vectors(pf), K, 3, GU, LAM, ["idx"]))
+    finally:
+        spark.conf.unset(TR.FOLD_CHUNK_CONF)
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    _close(got, want)

@@ -1,7 +1,12 @@
 """Recall@R per event (E8) against a brute-force per-event ranking."""
 
+from contextlib import contextmanager
+
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
+from factorcast.operators import recommend as RC
 from factorcast.operators.recall import recall_at_events
 from golden import dot
 
@@ -52,9 +57,8 @@ def test_recall_matches_bruteforce(spark):
             assert (gr is None) == (wr is None) and (gr is None or abs(gr - wr) < 1e-12)
 
 
-def test_catalogue_blocks_equal_single_block(spark):
-    """Force the catalogue into many broadcast blocks: same ranks, recall, top-R."""
-    from factorcast.operators import recommend as RC
+def test_catalogue_buckets_equal_single_bucket(spark):
+    """Many small buckets and user blocks: same ranks, recall, top-R."""
     from factorcast.operators.ordering import global_index
     from factorcast.sources import factors as FA
     from factorcast.sources import tables as S
@@ -69,9 +73,61 @@ def test_catalogue_blocks_equal_single_block(spark):
         return sorted(map(tuple, rec)), sorted(map(tuple, top))
 
     one = run()
-    spark.conf.set("factorcast.broadcastMaxBytes", "600")
-    try:
+    with small_buckets(spark):
         many = run()
-    finally:
-        spark.conf.unset("factorcast.broadcastMaxBytes")
     assert one == many
+
+
+@contextmanager
+def small_buckets(spark, bucket="7", block="5"):
+    spark.conf.set(RC.BUCKET_CONF, bucket)
+    spark.conf.set(RC.USER_BLOCK_CONF, block)
+    try:
+        yield
+    finally:
+        spark.conf.unset(RC.BUCKET_CONF)
+        spark.conf.unset(RC.USER_BLOCK_CONF)
+
+
+@pytest.mark.parametrize("top", [1, 4, 50, None])
+@pytest.mark.parametrize("bucket", ["1", "7", "1000"])
+def test_catalogue_search_is_exact(spark, top, bucket):
+    """Equal scores, zero and opposite vectors, users that saw all or nothing,
+    seen products without a vector: every score, and every best list, as a full
+    sort gives them."""
+    rng = np.random.default_rng(3)
+    uf = {u: rng.integers(-2, 3, K).astype(float) for u in range(23)} | {99: np.zeros(K)}
+    pf = {p: rng.integers(-2, 3, K) * 2.0 ** int(rng.integers(-3, 4)) for p in range(40)} | {77: np.zeros(K)}
+    seen = {(u, p) for u in range(20) for p in range(41) if rng.random() < 0.3}
+    seen |= {(5, p) for p in pf} | {(0, 1000), (1000, 0)}
+    users = spark.createDataFrame([(u, v.tolist()) for u, v in uf.items()], "user long, uf array<double>")
+    products = spark.createDataFrame([(p, v.tolist()) for p, v in pf.items()], "id long, f array<double>")
+    pairs = spark.createDataFrame(sorted(seen) * 2, "user long, product long")
+    with small_buckets(spark, bucket):
+        got = RC.score_catalogue(users, products, K, top=top, seen=pairs).collect()
+    want = set()
+    for u, a in uf.items():
+        row = sorted(((-sum(x * y for x, y in zip(a, b)), p) for p, b in pf.items() if (u, p) not in seen))
+        want |= {(u, p, -s) for s, p in row[:top]}
+    assert len(got) == len(want) and {(r.user, r.product, r.score) for r in got} == want
+
+
+def test_catalogue_search_skips_buckets_out_of_reach(spark):
+    """One long vector beats all short ones: only its bucket is searched."""
+    pf = spark.createDataFrame([(p, [100.0 if p == 3 else 0.001, 0.0]) for p in range(50)],
+                               "id long, f array<double>")
+    with small_buckets(spark, "5"):
+        catalogue = RC.Catalogue.of(pf, 2)
+        assert len(catalogue.longest) == 10 and catalogue.longest[0] == 100.0
+        reach = spark.createDataFrame([(1.0, 50.0), (1.0, 0.0005), (1.0, 0.0), (1.0, -1.0), (0.0, 0.0),
+                                       (0.0, 1.0), (1.0, None)], "n double, s double")
+        got = reach.select(catalogue.within_reach(reach["n"], reach["s"]).alias("b")).collect()
+    assert [r.b for r in got] == [1, 10, 10, 10, 10, 0, 10]
+
+
+def test_empty_catalogue_and_no_users(spark):
+    pf = spark.createDataFrame([(1, [1.0] * K)], "id long, f array<double>")
+    users = spark.createDataFrame([(1, [1.0] * K)], "user long, uf array<double>")
+    assert RC.score_catalogue(users, pf.where("false"), K, top=3).count() == 0
+    assert RC.score_catalogue(users.where("false"), pf, K, top=3, seen=users.select(
+        "user", F.lit(1).alias("product"))).count() == 0
