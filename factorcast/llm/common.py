@@ -67,7 +67,8 @@ def lookup(rows: DataFrame, keyed: DataFrame, key: str, spread_by: str,
     packed = F.struct(*values)
     hot = keyed.where(F.col(n_col) * HOT_SHARE > total).select(key, packed.alias("_hot"))
     cold = keyed.where(F.col(n_col) * HOT_SHARE <= total).select(
-        key, F.lit(0).alias("_spread"), packed.alias("_cold"))
+        # always 0, but no literal: that would let the planner deal rows by the key alone
+        key, F.least(F.col(n_col), F.lit(0)).cast("int").alias("_spread"), packed.alias("_cold"))
     joined = rows.join(F.broadcast(hot), key, "left").withColumn(
         "_spread", F.when(F.col("_hot").isNull(), F.lit(0)).otherwise(
             (F.pmod(F.xxhash64(spread_by), F.lit(HOT_SPREAD)) + 1).cast("int")))
