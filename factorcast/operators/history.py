@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factorcast import config
-from factorcast.operators.ordering import DEFAULT_CHUNK_ROWS, count_before
+from factorcast.operators.ordering import DEFAULT_CHUNK_ROWS, count_before, counts_before
 
 
 def positives(df: DataFrame, rating: str = "rating",
@@ -50,16 +50,12 @@ def history_counts(df: DataFrame, idx: str = "idx",
     n_before  rows of the user before this one
     n_from    rows of the user from this one on (inclusive)"""
     fl = first_last(df, idx)
-    d = df.join(fl, ["user", "product"])
-    d = d.withColumn("_first", (F.col(idx) == F.col("first_idx")).cast("int"))
-    d = d.withColumn("_lastpos", F.coalesce((F.col(idx) == F.col("last_pos_idx")).cast("int"), F.lit(0)))
-    d = d.withColumn("_one", F.lit(1))
-    d = count_before(d, "user", idx, "_first", "n_past", chunk_rows=chunk_rows)
-    d = count_before(d, "user", idx, "_lastpos", "_lp_before", chunk_rows=chunk_rows)
-    d = count_before(d, "user", idx, "_one", "n_before", chunk_rows=chunk_rows)
-    totals = fl.groupBy("user").agg(F.count("last_pos_idx").alias("_lp_total"))
-    per_user_rows = df.groupBy("user").agg(F.count(F.lit(1)).alias("_rows"))
-    d = d.join(totals.select("user", "_lp_total"), "user").join(per_user_rows, "user")
+    d = df.join(fl, ["user", "product"]).withColumns({
+        "_first": (F.col(idx) == F.col("first_idx")).cast("int"),
+        "_lastpos": F.coalesce((F.col(idx) == F.col("last_pos_idx")).cast("int"), F.lit(0)),
+        "_one": F.lit(1)})
+    d = counts_before(d, "user", idx, {"n_past": "_first", "_lp_before": "_lastpos", "n_before": "_one"},
+                      totals={"_lp_total": "_lastpos", "_rows": "_one"}, chunk_rows=chunk_rows)
     return (d.withColumn("n_future", F.col("_lp_total") - F.col("_lp_before"))
              .withColumn("n_from", F.col("_rows") - F.col("n_before"))
              .drop("_first", "_lastpos", "_one", "_lp_before", "_lp_total", "_rows",

@@ -25,10 +25,6 @@ HASH_BUCKETS = 10000
 DEFAULT_CHUNK_ROWS = 1 << 20
 
 
-def _shuffle_partitions(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-
 def global_index(df: DataFrame, order_cols: list[str], idx: str = "idx",
                  num_partitions: int | None = None) -> DataFrame:
     """0-based position of each row in ``order_cols`` order.
@@ -138,24 +134,41 @@ def rebalance(df: DataFrame, n: int | None = None, cols: list[str] | None = None
     return df.repartition(n, *cols) if cols else df.repartition(n)
 
 
+def counts_before(df: DataFrame, part: str, idx: str, flags: dict[str, str], inclusive: bool = False,
+                  totals: dict[str, str] | None = None,
+                  chunk_rows: int = DEFAULT_CHUNK_ROWS) -> DataFrame:
+    """Per-key running counts: for each ``out: flag`` of ``flags`` the sum of
+    the flag over the key's rows with a smaller ``idx`` (``inclusive``: and
+    this one); for each ``out: flag`` of ``totals`` its sum over all the
+    key's rows.
+
+    One two-level scan for all flags: rows are dealt once by (key, idx //
+    chunk_rows); chunk totals are prefix-summed per key (a table of at most
+    one row per chunk), then one window inside each (key, chunk) adds the
+    local counts.  A key holding a third of all rows is spread over many
+    chunk tasks."""
+    totals = totals or {}
+    names = list(dict.fromkeys([*flags.values(), *totals.values()]))
+    value = {c: f"_v{i}" for i, c in enumerate(names)}
+    d = df.withColumn("_chunk", F.floor(F.col(idx) / F.lit(chunk_rows)).cast("long")).withColumns(
+        {v: F.coalesce(F.col(c).cast("long"), F.lit(0)) for c, v in value.items()}
+    ).repartition(part, "_chunk")
+    sums = d.groupBy(part, "_chunk").agg(*[F.sum(v).alias(v) for v in value.values()])
+    of_key = Window.partitionBy(part)
+    offsets = sums.select(
+        part, "_chunk",
+        *[(F.sum(v).over(of_key.orderBy("_chunk")) - F.col(v)).alias(f"_off{v}") for v in value.values()],
+        *[F.sum(value[c]).over(of_key).cast("long").alias(out) for out, c in totals.items()])
+    end = Window.currentRow if inclusive else -1
+    within = Window.partitionBy(part, "_chunk").orderBy(idx).rowsBetween(Window.unboundedPreceding, end)
+    counted = {out: (F.col(f"_off{value[c]}") + F.coalesce(F.sum(value[c]).over(within), F.lit(0))).cast("long")
+               for out, c in flags.items()}
+    return d.join(offsets, [part, "_chunk"]).withColumns(counted).drop(
+        "_chunk", *value.values(), *[f"_off{v}" for v in value.values()])
+
+
 def count_before(df: DataFrame, part: str, idx: str, flag: str, out: str,
                  inclusive: bool = False,
                  chunk_rows: int = DEFAULT_CHUNK_ROWS) -> DataFrame:
-    """Per-key running count of flagged rows with a smaller ``idx``.
-
-    Two-level scan: rows are grouped by (key, idx // chunk_rows); chunk
-    totals are prefix-summed per key (a table of at most one row per
-    chunk), then a window inside each (key, chunk) adds the local count.
-    A key holding a third of all rows is spread over many chunk tasks."""
-    d = (df.withColumn("_chunk", F.floor(F.col(idx) / F.lit(chunk_rows)).cast("long"))
-           .withColumn("_v", F.coalesce(F.col(flag).cast("long"), F.lit(0))))
-    totals = d.groupBy(part, "_chunk").agg(F.sum("_v").alias("_t"))
-    offs = totals.select(
-        part, "_chunk",
-        (F.sum("_t").over(Window.partitionBy(part).orderBy("_chunk")) - F.col("_t")).alias("_off"))
-    end = Window.currentRow if inclusive else -1
-    w = Window.partitionBy(part, "_chunk").orderBy(idx).rowsBetween(Window.unboundedPreceding, end)
-    local = F.coalesce(F.sum("_v").over(w), F.lit(0))
-    return (d.join(offs, [part, "_chunk"])
-            .withColumn(out, (F.col("_off") + local).cast("long"))
-            .drop("_chunk", "_off", "_v"))
+    """``counts_before`` of one flag."""
+    return counts_before(df, part, idx, {out: flag}, inclusive, chunk_rows=chunk_rows)

@@ -165,11 +165,13 @@ class Vectors:
 
 
 def sgd_sequence(users: np.ndarray, products: np.ndarray, ratings: np.ndarray,
-                 U: Vectors, P: Vectors, steps: int, gu: float, gi: float, lam: float) -> np.ndarray:
+                 U: Vectors, P: Vectors, steps: int, gu: float, gi: float, lam: float,
+                 trail: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
     """Sequential SGD over rows in the given order, ``steps`` consecutive
     updates per row.  Changes the vectors and returns each row's score
     before its own update (the dot product of its vectors as all earlier
-    rows left them).
+    rows left them).  ``trail``, two matrices, gets each row's user vector
+    before and product vector after its update.
 
     Exact wavefront form: a row depends on earlier rows only through its
     user and its product, so row j goes to wave 1 + max(wave of the last
@@ -195,6 +197,8 @@ def sgd_sequence(users: np.ndarray, products: np.ndarray, ratings: np.ndarray,
     for w in range(len(bounds) - 1):
         rows = order[bounds[w]:bounds[w + 1]]
         uf, pf, rr = U.f[ua[rows]], P.f[pa[rows]], ratings[rows]
+        if trail:
+            trail[0][rows] = uf
         for step in range(steps):
             s = uf[:, 0] * pf[:, 0]
             for c in range(1, U.k):
@@ -205,6 +209,8 @@ def sgd_sequence(users: np.ndarray, products: np.ndarray, ratings: np.ndarray,
             uf, pf = uf + gu * (e * pf - lam * uf), pf + gi * (e * uf - lam * pf)
         U.f[ua[rows]] = uf
         P.f[pa[rows]] = pf
+        if trail:
+            trail[1][rows] = pf
     return scores
 
 
@@ -230,14 +236,16 @@ def empty_factors(spark, keys: list[str] | None = None, key_types: dict | None =
     return spark.createDataFrame([], T.StructType(fields + list(FACTOR_SCHEMA.fields)))
 
 
-def _block_stream(k: int, gu: float, gi: float, lam: float, steps: int, scale: float, keys: list[str]):
+def _block_stream(k: int, gu: float, gi: float, lam: float, steps: int, scale: float, keys: list[str],
+                  trail: bool = False):
     """Learns the blocks of a partition from one sorted stream.
 
     Rows come by (keys, block); of each block first its vectors (side 'u' or
     'p', id, f), then its ratings (side null, id = the score's id or null) in
     visiting order.  A task holds the vectors of one block and BUFFER_ROWS
     ratings, however many ratings the block has.  Scores (side 'r') leave as
-    they come, vectors at the end of their block."""
+    they come, and with ``trail`` the user vector before ('b') and the product
+    vector after ('a') each rating; vectors leave at the end of their block."""
     schema = T.StructType([T.StructField(c, T.LongType()) for c in keys] + [
         T.StructField("side", T.StringType())] + list(FACTOR_SCHEMA.fields))
     names = [f.name for f in schema.fields]
@@ -258,11 +266,15 @@ def _block_stream(k: int, gu: float, gi: float, lam: float, steps: int, scale: f
             nonlocal held, n_held
             if held:
                 rows = pa.Table.from_batches(held)
+                path = (np.empty((n_held, k)), np.empty((n_held, k))) if trail else None
                 scores = sgd_sequence(*(rows[c].to_numpy() for c in ("user", "product", "rating")),
-                                      U, P, steps, gu, gi, lam)
+                                      U, P, steps, gu, gi, lam, path)
                 wanted = rows["id"].is_valid().to_numpy()
                 if wanted.any():
-                    yield out(key, "r", rows["id"].drop_null().to_numpy(), scores[wanted][:, None])
+                    ids = rows["id"].drop_null().to_numpy()
+                    yield out(key, "r", ids, scores[wanted][:, None])
+                    for side, vectors in zip("ba", path or ()):
+                        yield out(key, side, ids, vectors[wanted])
                 held, n_held = [], 0
 
         def close() -> Iterator[pa.RecordBatch]:
@@ -322,11 +334,14 @@ def block_sgd_table(train: DataFrame, facs: DataFrame, k: int, epochs: int, gamm
                     gamma_i: float, lam: float, blocks: int = config.GRID,
                     order_cols: list[str] | None = None, steps_per_row: int = 1,
                     shuffle: bool = True, seed: int = config.SEED, implicit: bool = False,
-                    keys: list[str] | None = None, score_id: str | None = None):
+                    keys: list[str] | None = None, score_id: str | None = None,
+                    trail: bool = False):
     """L2 on a combined factor table; returns the new combined table
     (see ``block_sgd``).  With ``score_id`` (a nullable long column) returns
     (table, scores): scores holds (keys, score_id, score), the score before
-    the row's own update, of every visit whose ``score_id`` is not null."""
+    the row's own update, of every visit whose ``score_id`` is not null; with
+    ``trail`` also (before, after), the user's vector before and the
+    product's after the update."""
     spark = train.sparkSession
     keys = list(keys or [])
     d = max(1, int(blocks))
@@ -344,7 +359,7 @@ def block_sgd_table(train: DataFrame, facs: DataFrame, k: int, epochs: int, gamm
         path = scratch_path(spark, "strata")
         tr.write.partitionBy("stratum").parquet(path)
         tr = spark.read.schema(tr.schema).parquet(path)
-    learn, schema = _block_stream(k, gamma_u, gamma_i, lam, steps_per_row, scale, keys)
+    learn, schema = _block_stream(k, gamma_u, gamma_i, lam, steps_per_row, scale, keys, trail)
     row_cols = keys + (order_names or ["user", "product", "rating"])
     # user, product and rating break ties: rows still equal are interchangeable
     order = list(dict.fromkeys(order_names + ["user", "product", "rating"]))
@@ -378,12 +393,18 @@ def block_sgd_table(train: DataFrame, facs: DataFrame, k: int, epochs: int, gamm
                 dealt.sortWithinPartitions(*keys, "g", F.col("side").desc_nulls_last(), "_key", *order)
                 .select(*stream_cols).mapInArrow(learn, schema))
             if score_id is not None:
-                scores.append(facs.where(F.col("side") == "r").select(
-                    *keys, F.col("id").alias(score_id), F.col("f")[0].alias("score")))
-                facs = facs.where(F.col("side") != "r")
+                scores.append(facs.where(~F.col("side").isin("u", "p")))
+                facs = facs.where(F.col("side").isin("u", "p"))
     if rest is not None:
         facs = materialize(facs.unionByName(rest))
-    return facs if score_id is None else (facs, reduce(DataFrame.unionByName, scores))
+    if score_id is None:
+        return facs
+    seen = reduce(DataFrame.unionByName, scores).withColumnRenamed("id", score_id)
+    if not trail:
+        return facs, seen.select(*keys, score_id, F.col("f")[0].alias("score"))
+    f = {side: F.max(F.when(F.col("side") == side, F.col("f"))) for side in "rba"}
+    return facs, seen.groupBy(*keys, score_id).agg(
+        f["r"][0].alias("score"), f["b"].alias("before"), f["a"].alias("after"))
 
 
 def block_sgd(train: DataFrame, k: int, epochs: int, gamma_u: float, gamma_i: float,
@@ -447,16 +468,17 @@ def online_update(batch: DataFrame, uf: DataFrame, pf: DataFrame, k: int,
 def score_and_learn(batch: DataFrame, facs: DataFrame, k: int, steps: int, gamma_u: float,
                     gamma_i: float, lam: float, order_cols: list[str], score_id: str = "idx",
                     blocks: int = config.GRID, implicit: bool = False,
-                    keys: list[str] | None = None):
+                    keys: list[str] | None = None, trail: bool = False):
     """Predict-then-learn on a micro-batch and a combined factor table:
     (table, scores).  Every row is scored by the vectors that the rows
-    visited before it left, then learned; scores: (keys, score_id, score).
+    visited before it left, then learned; scores: (keys, score_id, score)
+    and with ``trail`` (before, after) as in ``block_sgd_table``.
 
     With blocks=1 the visiting order is the stream order.  With more, rows
     are visited stratum by stratum, so a row may be scored after a later
     row of its own micro-batch, never of a later one."""
     return block_sgd_table(batch, facs, k, 1, gamma_u, gamma_i, lam, blocks, order_cols, steps,
-                           False, implicit=implicit, keys=keys, score_id=score_id)
+                           False, implicit=implicit, keys=keys, score_id=score_id, trail=trail)
 
 
 # ---------------------------------------------------------------- L5

@@ -2,22 +2,19 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factorcast import config
-from factorcast.operators.history import drop_not_applicable, first_last, last_k_buffer, mark_first_seen
+from factorcast.operators.history import drop_not_applicable, last_k_buffer, mark_first_seen
 from factorcast.operators.metrics import rmse, round_metric
-from factorcast.operators.recall import recall_at_events
+from factorcast.operators.recall import recall_along_trail
 from factorcast.session import materialize
 from factorcast.functions.vectors import cold_start_prediction, is_cold
 from factorcast.operators.ordering import block_bounds, global_index, holdout_split, time_blocks
 from factorcast.operators.recommend import predict
 from factorcast.operators.train import (batch_gd, block_sgd_table, combine_factors,
-                                        distributed_sgd, empty_factors, online_update,
-                                        replay_rows, score_and_learn)
+                                        distributed_sgd, replay_rows, score_and_learn)
 from factorcast.sources.sinks import scratch_path
 
 
@@ -109,25 +106,26 @@ def _batches(lo: int, hi: int, batch_rows: int):
 
 
 def _consume(rows: DataFrame, position: str, start: int, end: int, batch_rows: int,
-             facs: DataFrame, learn) -> DataFrame:
+             facs: DataFrame, learn, schema: str = "idx long, score double") -> DataFrame:
     """Predict-then-learn over positions [start, end) of a stream, one
     micro-batch after the other: ``learn(batch, facs) -> (facs, scores)``.
 
     The stream is written once, partitioned by micro-batch, so a step reads
     its own rows only; scores are appended as one folder a micro-batch.
-    Returns the scores (idx, score)."""
+    Returns the scores (``schema``, names by position)."""
     spark = rows.sparkSession
     source, scored = scratch_path(spark, "stream-rows"), scratch_path(spark, "stream-scores")
     number = F.floor((F.col(position) - F.lit(start)) / F.lit(batch_rows)).cast("long")
     staged = rows.where(F.col(position) >= start).withColumn("batch", number)
     staged.write.partitionBy("batch").parquet(source)
     staged = spark.read.schema(staged.schema).parquet(source)
+    if start >= end:
+        return spark.createDataFrame([], schema)
+    names = [c.split()[0] for c in schema.split(", ")]
     for j in range(len(_batches(start, end, batch_rows))):
         facs, scores = learn(staged.where(F.col("batch") == j).drop("batch"), facs)
-        scores.toDF("idx", "score").write.mode("overwrite").parquet(f"{scored}/batch={j}")
-    if start >= end:
-        return spark.createDataFrame([], "idx long, score double")
-    return spark.read.parquet(scored).select("idx", "score")
+        scores.toDF(*names).write.mode("overwrite").parquet(f"{scored}/batch={j}")
+    return spark.read.schema(schema).parquet(scored)
 
 
 def _scored(ix: DataFrame, scores: DataFrame) -> DataFrame:
@@ -232,29 +230,32 @@ def eval_expanding_online(ratings: DataFrame, order_cols: list[str], k: int = 8,
 
 def eval_prequential_recall(feedback: DataFrame, order_cols: list[str], k: int = 8,
                             steps: int = 1, gamma_u: float = 0.01, gamma_i: float = 0.01,
-                            lam: float = 0.02, r: int = 10, batch_rows: int = 500,
-                            blocks: int = config.GRID) -> DataFrame:
+                            lam: float = 0.02, r: int = 10, batch_rows: int = config.BATCH_ROWS,
+                            blocks: int = 1) -> DataFrame:
     """For each event recall@R with the factors learned so far (the
-    catalogue is the products learned so far), *then* learn it; no
-    warm-up.  Micro-batched in stream order: recall sees the factors of the
-    micro-batches before its own (batch_rows=1 is the exact order).  Returns the per-event
-    samples (idx, user, hits, n_future, recall); aggregate with
+    catalogue is the products learned so far), *then* learn it; no warm-up.
+    Event i is ranked after event i - 1 was learned.
+
+    Two passes.  Learning goes through the stream in micro-batches and leaves
+    a trail: each event's user vector before and product vector after it,
+    written as one folder a micro-batch.  Ranking, which is nearly all of the
+    work (every event against the whole catalogue), then replays chunks of
+    events in parallel (``recall_along_trail``).  Learning in exact event
+    order is one task a micro-batch (blocks=1), as each event starts from what
+    the one before left; with more blocks it is spread over that many tasks
+    and visits a micro-batch stratum by stratum.  Neither the size of the
+    micro-batches nor of the chunks changes the result.  Returns the
+    per-event samples (idx, user, hits, n_future, recall); aggregate with
     ``recall_metrics``."""
-    spark = feedback.sparkSession
-    ix = global_index(feedback, order_cols)
-    n = ix.count()
-    fl = materialize(first_last(ix.select("idx", "user", "product", "rating"), "idx"))
-    uf, pf = empty_factors(spark), empty_factors(spark)
-    out = []
-    for lo, hi in _batches(0, n, batch_rows):
-        rec = recall_at_events(ix, uf, pf, k, r, fl=fl, lo=lo, hi=hi)
-        out.append(materialize(rec))
-        b = ix.where((F.col("idx") >= lo) & (F.col("idx") < hi))
-        uf, pf = online_update(b, uf, pf, k, steps, gamma_u, gamma_i, lam, ["idx"], blocks=blocks,
-                               implicit=True)
-    if not out:
-        return recall_at_events(ix, uf, pf, k, r, fl=fl)
-    return reduce(DataFrame.unionByName, out)
+    ix = global_index(feedback, order_cols).select("idx", "user", "product", "rating")
+
+    def learn(batch, facs):
+        return score_and_learn(batch, facs, k, steps, gamma_u, gamma_i, lam, ["idx"], blocks=blocks,
+                               implicit=True, trail=True)
+
+    trail = _consume(ix, "idx", 0, ix.count(), batch_rows, combine_factors(None, None, ix.sparkSession),
+                     learn, "idx long, score double, before array<double>, after array<double>")
+    return recall_along_trail(ix.join(trail, "idx"), k, r)
 
 
 def recall_metrics(samples: DataFrame, round_rows: int = config.RECALL_ROUND) -> DataFrame:

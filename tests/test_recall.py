@@ -131,3 +131,81 @@ def test_empty_catalogue_and_no_users(spark):
     assert RC.score_catalogue(users, pf.where("false"), K, top=3).count() == 0
     assert RC.score_catalogue(users.where("false"), pf, K, top=3, seen=users.select(
         "user", F.lit(1).alias("product"))).count() == 0
+
+
+def learned_recall(events, k, r, steps, gu, gi, lam):
+    """E7 as a plain loop: rank, then learn, event by event."""
+    from golden import SeqModel
+    g, out = SeqModel(k, 1.0), {}
+    for i, (u, p, x) in enumerate(events):
+        past = {q for uu, q, _ in events[:i] if uu == u}
+        future = {q for uu, q, y in events[i:] if uu == u and y > 0.9}
+        if u not in g.u:
+            out[i] = (0, len(future), 0.0)
+        else:
+            cand = sorted((q for q in g.p if q not in past), key=lambda q: (-dot(g.u[u], g.p[q]), q))
+            hits = len(future & set(cand[:r]))
+            out[i] = (hits, len(future), hits / len(future) if future else None)
+        g.step(u, p, x, steps, gu, gi, lam)
+    return out
+
+
+@pytest.mark.parametrize("chunk,part,batch", [(1 << 12, 1 << 16, 1 << 16), (7, 3, 20), (1, 1, 50)])
+def test_recall_while_learning_equals_the_loop(spark, chunk, part, batch):
+    """Whatever the chunks of events, parts of the catalogue and micro-batches;
+    a user with a third of all events."""
+    from factorcast.operators import recall as RL
+    from factorcast.plans import protocols as P
+    rng = np.random.default_rng(4)
+    events = [(0 if i % 3 == 0 else int(rng.integers(1, 6)), int(rng.integers(0, 9)),
+               float(rng.integers(0, 2))) for i in range(60)]
+    df = spark.createDataFrame([(i, *e) for i, e in enumerate(events)],
+                               "seq long, user long, product int, rating double").repartition(3)
+    real = RL.recall_along_trail
+    P.recall_along_trail = lambda ev, k, r: real(ev, k, r, chunk, part)
+    try:
+        got = P.eval_prequential_recall(df, ["seq"], 3, 2, 0.3, 0.2, 0.02, r=R, batch_rows=batch).collect()
+    finally:
+        P.recall_along_trail = real
+    want = learned_recall(events, 3, R, 2, 0.3, 0.2, 0.02)
+    assert {r.idx: (r.hits, r.n_future, r.recall) for r in got} == want and len(got) == len(want)
+
+
+def test_recall_while_learning_on_the_given_events(spark):
+    """The registered parameters on whole tables, event after event."""
+    from factorcast.plans import catalog as C
+    from factorcast.plans import protocols as P
+    from factorcast.sources import tables as S
+    from paths import SF001
+    fb = S.feedback(spark, SF001)
+    got = P.eval_prequential_recall(fb, S.FEEDBACK_ORDER, C.K, 1, C.SGD_RATE, C.SGD_RATE, C.LAMBDA,
+                                    r=C.TOP_R).collect()
+    rows = [(r.user, r.product, r.rating) for r in fb.orderBy(*S.FEEDBACK_ORDER).collect()]
+    want = learned_recall(rows, C.K, C.TOP_R, 1, C.SGD_RATE, C.SGD_RATE, C.LAMBDA)
+    assert {r.idx: (r.hits, r.n_future, r.recall) for r in got} == want
+    kept = [x[2] for x in want.values() if x[2] is not None]
+    assert len(kept) == 983 and round(sum(kept) / len(kept), 6) == 0.051139
+
+
+def test_interval_cover(spark):
+    """A range of ordinals is cut into at most two aligned blocks a level."""
+    from factorcast.operators.recall import dyadic_cover
+    pairs = [(a, b) for b in range(0, 40) for a in range(0, b)] + [(5, 1 << 40), (0, 1 << 40)]
+    df = spark.createDataFrame(pairs, "a long, b long")
+    for r in df.select("a", "b", dyadic_cover(F.col("a"), F.col("b")).alias("nodes")).collect():
+        blocks = sorted((n.number << n.level, (n.number + 1) << n.level) for n in r.nodes)
+        assert blocks[0][0] == r.a and blocks[-1][1] == r.b
+        assert all(x[1] == y[0] for x, y in zip(blocks, blocks[1:]))
+        assert len(blocks) <= 2 * max(1, (r.b - r.a).bit_length())
+
+
+def test_intervals_meet_every_event_inside(spark):
+    from factorcast.operators.recall import expand_intervals
+    rng = np.random.default_rng(6)
+    events = [(int(rng.integers(0, 4)) if i % 3 else 0, i) for i in range(0, 300, 2)]
+    spans = [(int(rng.integers(0, 5)), p, int(lo), int(lo + rng.integers(-3, 200)))
+             for p, lo in enumerate(rng.integers(-5, 310, 120))] + [(0, 500, 0, 1 << 62), (1, 501, 7, 7)]
+    got = expand_intervals(spark.createDataFrame(spans, "user long, product long, lo long, hi long"),
+                           spark.createDataFrame(events, "user long, idx long"), chunk_rows=16)
+    want = sorted((u, i, p) for u, i in events for v, p, lo, hi in spans if u == v and lo <= i <= hi)
+    assert sorted((r.user, r.idx, r["product"]) for r in got.collect()) == want
