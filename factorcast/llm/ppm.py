@@ -357,27 +357,32 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
         order = np.argsort(of_gram["gram"].to_numpy())
         gram, logp = of_gram["gram"].to_numpy()[order], of_gram["logp"].to_numpy()[order]
         of_word = values.filter(values["word"].is_valid())
-        said, n_tokens, scores = [], [], []
+        spoken, times = of_word["word"], of_word["logp"].to_numpy()
+        each = np.log10(times + ALPHA) - below
+        del of_gram, of_word, order
+        n_tokens, n_known, base, scores = [], [], [], []
         for part in slices(read_pieces(group)):
             found, sizes = windows(part)
             coded = pa.array(found).dictionary_encode()
             value = logp[np.searchsorted(gram, coded.dictionary.to_numpy())][coded.indices.to_numpy()]
             scores.append(np.add.reduceat(value, np.r_[0, np.cumsum(sizes)[:-1]]))
             words = [p.words() for p in part]
-            n_tokens += map(len, words)
-            said.append(pa.array(list(chain.from_iterable(words)), pa.binary()))
-        at = pc.index_in(pa.chunked_array(said, pa.binary()), of_word["word"]).to_numpy()
-        n_tokens = np.array(n_tokens)
-        # a piece within one endless word has no token
-        first, some = np.cumsum(n_tokens) - n_tokens, n_tokens > 0
-        n_known, base = np.zeros(len(n_tokens), np.int64), np.zeros(len(n_tokens))
-        if some.any():
-            count = of_word["logp"].to_numpy()
-            n_known[some] = np.add.reduceat((count > 0).astype(np.int64)[at], first[some])
-            base[some] = np.add.reduceat((np.log10(count + ALPHA) - below)[at], first[some])
+            n = np.array([len(w) for w in words], np.int64)
+            at = pc.index_in(pa.array(list(chain.from_iterable(words)), pa.binary()), spoken).to_numpy()
+            # a piece within one endless word has no token
+            first, some = np.cumsum(n) - n, n > 0
+            known, sums = np.zeros(len(n), np.int64), np.zeros(len(n))
+            if some.any():
+                known[some] = np.add.reduceat((times > 0).astype(np.int64)[at], first[some])
+                sums[some] = np.add.reduceat(each[at], first[some])
+            n_tokens.append(n)
+            n_known.append(known)
+            base.append(sums)
+        pa.default_memory_pool().release_unused()
+        n_tokens, n_known, base, scores = map(np.concatenate, (n_tokens, n_known, base, scores))
         return pa.table({
             "row": group["row"], "id": group["id"], "trained": group["train"],
-            "n_tokens": n_tokens.astype(np.int64), "n_known": n_known, "base_score": base, "score": np.concatenate(scores)})
+            "n_tokens": n_tokens, "n_known": n_known, "base_score": base, "score": scores})
 
     scored = placed.groupBy("unit").cogroup(grams.union(words).groupBy("unit")).applyInArrow(
         receive, f"row long, id {placed.schema['id'].dataType.simpleString()}, trained boolean, "
