@@ -27,10 +27,12 @@ from factorcast.operators import train as TR
 from factorcast.operators.train import batch_gd
 from factorcast.plans import oracle as O
 from factorcast.plans import protocols as P
+from factorcast.session import materialize
 from factorcast.sources import csv as CSV
 from factorcast.sources import factors as FA
 from factorcast.sources import sinks as SK
 from factorcast.sources import tables as S
+from factorcast.sources.store import factor_store
 
 K = 8
 EPOCHS = 2
@@ -97,6 +99,12 @@ def _train_test(spark, sf):
     return s.where(F.col("is_train")), s.where(~F.col("is_train"))
 
 
+def _first_block(spark, sf):
+    """(the ratings of time block 0, all ratings)."""
+    ix = OR.global_index(_ratings(spark, sf), S.RATINGS_ORDER)
+    return OR.time_blocks(ix, ix.count()).where(F.col("block") == 0), ix
+
+
 def _init_from(df, implicit=False):
     return (FA.init_factors(df, "user", K, "user", implicit),
             FA.init_factors(df, "product", K, "product", implicit))
@@ -142,6 +150,8 @@ SQL_IX = [
     f"CAST(floor(n / {O.dbl(config.N_BLOCKS)} * (range + 1)) AS BIGINT) AS hi FROM nn, range(0, {config.N_BLOCKS}))",
     "ib AS (SELECT ix.*, ed.block FROM ix LEFT JOIN ed ON ix.idx >= ed.lo AND ix.idx < ed.hi)",
 ]
+# a model of time block 0 only meets every rating: most users and products have no vector
+SQL_T0 = SQL_R + SQL_IX + ["tr AS (SELECT * FROM ib WHERE block = 0)", "te AS (SELECT * FROM ix)"]
 DOT_UP = " + ".join(f"u.f{j} * p.f{j}" for j in range(K))
 SQL_KEYS = "x.okey, x.line, x.product, x.supp"
 
@@ -171,7 +181,8 @@ def q_casts_and_split(spark, sf):
     r = _ratings(spark, sf).select("user", "product", "rating", _days("ts").alias("timestamp"))
     path = SK.scratch_path(spark, "ratings-text")
     CSV.write_ratings(r, path)
-    d = CSV.read_ratings_text(spark, path)
+    lines = spark.read.text(path)
+    d = CSV.parse_lines(lines, CSV.RATINGS_FIELDS, F.lit(path))
     return d.select("user", "product", F.col("rating").cast("double").alias("rating"), "timestamp")
 
 
@@ -191,21 +202,21 @@ def q_src_feedback(spark, sf):
     return rounded(d.select("user", "product", "rating", "timestamp"))
 
 
-@register("factors_get", W(SQL_RS + SQL_INIT_TR,
+@register("factors_get", W(SQL_T0 + SQL_INIT_TR,
                            f"SELECT {SQL_KEYS}, x.{QU}, {r6('u.f0', 'uf0')}, {r6('p.f0', 'pf0')} "
                            f"FROM te x LEFT JOIN u0 u ON x.{QU} = u.id LEFT JOIN p0 p ON x.product = p.id"))
 def q_factors_get(spark, sf):
-    tr, te = _train_test(spark, sf)
+    tr, te = _first_block(spark, sf)
     uf, pf = _init_from(tr)
     j = FA.lookup_factors(te, uf, pf, k=K)
     return rounded(j.select(*KEYS, "user", F.col("uf")[0].alias("uf0"), F.col("pf")[0].alias("pf0")))
 
 
-@register("lookup_factors", W(SQL_RS + SQL_INIT_TR,
+@register("lookup_factors", W(SQL_T0 + SQL_INIT_TR,
                               f"SELECT {SQL_KEYS}, x.{QU}, {r6(f'CASE WHEN u.id IS NULL OR p.id IS NULL THEN NULL ELSE {DOT_UP} END', 'score')} "
                               f"FROM te x LEFT JOIN u0 u ON x.{QU} = u.id LEFT JOIN p0 p ON x.product = p.id"))
 def q_lookup_factors(spark, sf):
-    tr, te = _train_test(spark, sf)
+    tr, te = _first_block(spark, sf)
     uf, pf = _init_from(tr)
     j = FA.lookup_factors(te, uf, pf, k=K)
     return rounded(j.select(*KEYS, "user", V.dot("uf", "pf", K).alias("score")))
@@ -216,41 +227,28 @@ def _gd1_sql():
     return ctes
 
 
-@register("warm_start", W(SQL_RS + _gd1_sql() + SQL_INIT_ALL,
+@register("warm_start", W(SQL_T0 + _gd1_sql() + SQL_INIT_ALL,
                           f"SELECT id, {fcols()} FROM (SELECT * FROM u1 UNION ALL "
                           f"SELECT a.* FROM ua a LEFT JOIN u1 b ON a.id = b.id WHERE b.id IS NULL)"))
 def q_warm_start(spark, sf):
-    tr, _ = _train_test(spark, sf)
+    tr, _ = _first_block(spark, sf)
     uf1, _ = batch_gd(tr, K, 1, GAMMA, LAMBDA)
     ws = FA.warm_start(uf1, _ratings(spark, sf), "user", K, "user")
     return rounded(_factor_out(ws))
 
 
-@register("factors_upsert", W(SQL_RS + _gd1_sql() + SQL_INIT_ALL,
+@register("factors_upsert", W(SQL_T0 + _gd1_sql() + SQL_INIT_ALL,
                               f"SELECT id, {fcols()} FROM (SELECT * FROM p1 UNION ALL "
                               f"SELECT a.* FROM pa a LEFT JOIN p1 b ON a.id = b.id WHERE b.id IS NULL)"))
 def q_factors_upsert(spark, sf):
+    """Vectors of all products, then those that time block 0 changed."""
     r = _ratings(spark, sf)
-    tr, _ = _train_test(spark, sf)
+    tr, _ = _first_block(spark, sf)
     _, pf1 = batch_gd(tr, K, 1, GAMMA, LAMBDA)
-    old = FA.init_factors(r, "product", K, "product")
-    root = SK.scratch_path(spark, "factors")
-    FA.write_version(old, root, "product", 0)
-    FA.write_version(FA.upsert(FA.read_version(spark, root, "product", 0), pf1), root, "product", 1)
-    return rounded(_factor_out(FA.read_version(spark, root, "product", 1)))
-
-
-def _holdout_sql():
-    return O.eval_holdout(K, EPOCHS, GAMMA, LAMBDA)
-
-
-@register("metrics_log", f"SELECT 'holdout' AS protocol, n, unknown, rmse FROM ({_holdout_sql()})")
-def q_metrics_log(spark, sf):
-    res = P.eval_holdout(_ratings(spark, sf), S.RATINGS_HASH_KEY, K, EPOCHS, GAMMA, LAMBDA)
-    path = SK.scratch_path(spark, "metrics")
-    SK.write_metrics(res, path, "holdout")
-    m = SK.read_metrics(spark, path)
-    return rounded(m.select("protocol", "n", "unknown", "rmse"))
+    store = factor_store(spark, SK.scratch_path(spark, "factors"), "product")
+    store.write(0, FA.init_factors(r, "product", K, "product"))
+    store.write(1, pf1)
+    return rounded(_factor_out(store.read(1)))
 
 
 # ------------------------------------------------------------ projections / filters
@@ -260,11 +258,13 @@ def q_project_pairs(spark, sf):
     return _ratings(spark, sf).select("user", "product")
 
 
-@register("project_keyed", W(SQL_R, f"SELECT CAST({QU} AS VARCHAR) || ':' || CAST(product AS VARCHAR) AS key, rating FROM r"))
+@register("project_keyed", W(SQL_R, f"SELECT {QU}, product, count(*) AS n, {r6('sum(rating)', 'total')} "
+                                   f"FROM r GROUP BY {QU}, product"))
 def q_project_keyed(spark, sf):
-    r = _ratings(spark, sf)
-    return r.select(F.concat_ws(":", F.col("user").cast("string"), F.col("product").cast("string")).alias("key"),
-                    "rating")
+    """Rows under a (user, product) struct as their key, added up by it."""
+    keyed = _ratings(spark, sf).select(F.struct("user", "product").alias("key"), "rating")
+    return rounded(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum("rating").alias("total"))
+                   .select("key.user", "key.product", "n", "total"))
 
 
 @register("feedback_to_rating", W(SQL_FB, "SELECT seq, code, rating FROM fb"))
@@ -584,10 +584,10 @@ def q_prediction_error(spark, sf):
     return rounded(j.select(*KEYS, V.prediction_error("rating", "uf", "pf", K).alias("e")))
 
 
-@register("cold_start", W(SQL_RS + SQL_INIT_TR + [f"pr AS ({O.predict_select('te', 'u0', 'p0', K)})"],
+@register("cold_start", W(SQL_T0 + SQL_INIT_TR + [f"pr AS ({O.predict_select('te', 'u0', 'p0', K)})"],
     f"SELECT okey, line, product, supp, {r6('prediction', 'prediction')}, is_cold FROM pr"))
 def q_cold_start(spark, sf):
-    tr, te = _train_test(spark, sf)
+    tr, te = _first_block(spark, sf)
     uf, pf = _init_from(tr)
     return rounded(RC.predict(te, uf, pf, K).select(*KEYS, "prediction", "is_cold"))
 
@@ -635,10 +635,10 @@ def q_rmse(spark, sf):
     return rounded(M.rmse(RC.predict(te, uf, pf, K)))
 
 
-@register("unknown_count", W(SQL_RS + SQL_INIT_TR + [SQL_PRED_INIT],
+@register("unknown_count", W(SQL_T0 + SQL_INIT_TR + [SQL_PRED_INIT],
     "SELECT count(*) AS n, sum(CAST(is_cold AS BIGINT)) AS unknown FROM pr"))
 def q_unknown_count(spark, sf):
-    tr, te = _train_test(spark, sf)
+    tr, te = _first_block(spark, sf)
     uf, pf = _init_from(tr)
     return M.unknown_count(RC.predict(te, uf, pf, K))
 
@@ -669,6 +669,52 @@ def q_gradient_aggregate(spark, sf):
     return rounded(g)
 
 
+def _holdout_sql():
+    return O.eval_holdout(K, EPOCHS, GAMMA, LAMBDA)
+
+
+# ------------------------------------------------------------ metrics log (SNK2)
+
+NO = {c: f"CAST(NULL AS {t}) AS {c}" for c, t in (
+    ("round", "BIGINT"), ("lo", "BIGINT"), ("hi", "BIGINT"), ("unknown", "BIGINT"),
+    ("rmse", "DOUBLE"), ("recall", "DOUBLE"))}
+
+
+def _log_select(protocol: str, source: str, **has: str) -> str:
+    cols = ", ".join(f"{has[c]} AS {c}" if c in has else NO[c] for c in NO)
+    return f"SELECT 'r1' AS run, '{protocol}' AS protocol, {has['n']} AS n, {cols} FROM ({source})"
+
+
+@register("metrics_log", " UNION ALL ".join([
+    _log_select("holdout", _holdout_sql(), n="n", unknown="unknown", rmse="rmse"),
+    _log_select("first block", W(SQL_T0 + SQL_INIT_TR + [SQL_PRED_INIT],
+                                 "SELECT count(*) AS n, sum(CAST(is_cold AS BIGINT)) AS unknown, "
+                                 f"{r6('sqrt(avg((rating - prediction) * (rating - prediction)))', 'rmse')} FROM pr"),
+                n="n", unknown="unknown", rmse="rmse"),
+    _log_select("rounds", ORACLE["round_rmse"], n="n", round="round", rmse="rmse"),
+    _log_select("recall", ORACLE["mean_recall"], n="n", recall="recall"),
+    _log_select("recall", ORACLE["round_recall"], n="n", round="round", recall="recall")]))
+def q_metrics_log(spark, sf):
+    """Overall rows and rounds of several protocols in one log; every protocol
+    is written twice, as by a rerun, and once for another run."""
+    path = SK.scratch_path(spark, "metrics")
+    first, every = _first_block(spark, sf)
+    with SK.Timed() as cost:
+        holdout = materialize(P.eval_holdout(_ratings(spark, sf), S.RATINGS_HASH_KEY, K, EPOCHS, GAMMA, LAMBDA))
+    e8 = materialize(_e8(spark, sf))
+    logged = {
+        "holdout": (holdout, cost.ms),
+        "first block": (M.rmse(RC.predict(every, *_init_from(first), K)), None),
+        "rounds": (q_round_rmse(spark, sf), None),
+        "recall": (P.recall_metrics(e8, RECALL_ROUND), None),
+    }
+    for run in ("r0", "r1", "r1"):
+        for protocol, (rows, ms) in logged.items():
+            SK.write_metrics(rows, path, run, protocol, ms)
+    m = SK.read_metrics(spark, path).where(F.col("run") == "r1")
+    return rounded(m.select("run", "protocol", "n", *NO))
+
+
 # ------------------------------------------------------------ learning + protocols
 
 def _gd2_sql():

@@ -1,13 +1,13 @@
 """Factor tables: (id BIGINT, f ARRAY<DOUBLE>), one per side.
 
 Replaces a shared key-value store of per-id vectors with bulk DataFrame
-operations: lookup is a join (SRC3), a write is an anti-join upsert into a
-new Parquet version (SNK1), a warm start reads a version back (SRC4).
+operations: lookup is a join (SRC3), a write is a delta of a versioned table
+(SNK1, ``sources.store``), a warm start reads a version back (SRC4).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factorcast.functions.vectors import init_product_factor, init_user_factor
@@ -45,22 +45,6 @@ def upsert(old: DataFrame, changed: DataFrame) -> DataFrame:
     return changed.select("id", "f").unionByName(keep.select("id", "f"))
 
 
-def version_path(root: str, side: str, version: int) -> str:
-    return f"{root}/{side}/version={version}"
-
-
-def write_version(df: DataFrame, root: str, side: str, version: int) -> str:
-    """Write a factor table as an immutable version (overwrite = idempotent
-    replay of the same version)."""
-    path = version_path(root, side, version)
-    df.select("id", "f").write.mode("overwrite").parquet(path)
-    return path
-
-
-def read_version(spark: SparkSession, root: str, side: str, version: int) -> DataFrame:
-    return spark.read.parquet(version_path(root, side, version))
-
-
 def warm_start(existing: DataFrame, ids: DataFrame, id_col: str, k: int,
                side: str, implicit: bool = False) -> DataFrame:
     """SRC4: keep existing vectors, initialise only ids that lack one."""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +12,7 @@ from pyspark.sql import types as T
 from factorcast.session import ensure_checkpoint_dir
 
 METRICS_SCHEMA = T.StructType([
+    T.StructField("run", T.StringType()),
     T.StructField("protocol", T.StringType()),
     T.StructField("round", T.LongType()),
     T.StructField("lo", T.LongType()),
@@ -19,6 +21,7 @@ METRICS_SCHEMA = T.StructType([
     T.StructField("unknown", T.LongType()),
     T.StructField("rmse", T.DoubleType()),
     T.StructField("recall", T.DoubleType()),
+    T.StructField("train_ms", T.LongType()),
 ])
 
 
@@ -28,26 +31,36 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/factorcast-io/{name}-{uuid.uuid4().hex}"
 
 
-def metrics_rows(df: DataFrame, protocol: str) -> DataFrame:
-    """Conform any metrics frame to the metrics table schema."""
-    cols = []
-    for f in METRICS_SCHEMA.fields:
-        if f.name == "protocol":
-            cols.append(F.lit(protocol).alias("protocol"))
-        elif f.name in df.columns:
-            cols.append(F.col(f.name).cast(f.dataType).alias(f.name))
-        else:
-            cols.append(F.lit(None).cast(f.dataType).alias(f.name))
-    return df.select(*cols)
+def metrics_rows(df: DataFrame, run: str, protocol: str, train_ms: int | None = None) -> DataFrame:
+    """Conform any metrics frame to the metrics table schema (columns it lacks
+    are null; an overall row has a null round)."""
+    given = {"run": F.lit(run), "protocol": F.lit(protocol), "train_ms": F.lit(train_ms)}
+    return df.select(*[
+        given.get(f.name, F.col(f.name) if f.name in df.columns else F.lit(None))
+        .cast(f.dataType).alias(f.name) for f in METRICS_SCHEMA.fields])
 
 
-def write_metrics(df: DataFrame, path: str, protocol: str) -> None:
-    """SNK2: append the metrics of one protocol run (partitioned by protocol)."""
-    metrics_rows(df, protocol).write.mode("append").partitionBy("protocol").parquet(path)
+def write_metrics(df: DataFrame, path: str, run: str, protocol: str,
+                  train_ms: int | None = None) -> None:
+    """SNK2: the metrics of one protocol of one run, a partition of its own
+    that a rerun replaces; other runs and protocols stay."""
+    (metrics_rows(df, run, protocol, train_ms).coalesce(1).write.mode("overwrite")
+     .option("partitionOverwriteMode", "dynamic").partitionBy("run", "protocol").parquet(path))
 
 
 def read_metrics(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+    return spark.read.schema(METRICS_SCHEMA).parquet(path).select(*METRICS_SCHEMA.names)
+
+
+class Timed:
+    """Milliseconds of a block of code, e.g. a training's cost."""
+
+    def __enter__(self) -> Timed:
+        self.start = time.monotonic()
+        return self
+
+    def __exit__(self, *error) -> None:
+        self.ms = int((time.monotonic() - self.start) * 1000)
 
 
 def recommendation_log(recs: DataFrame, future: DataFrame, key: str = "idx") -> DataFrame:

@@ -10,13 +10,16 @@ ST3 ``stream_recommend``    learn each micro-batch, then refresh the top R
 Exactly-once by construction: every output of batch N (metrics partition,
 factor version N+1, recommendation partition) is a deterministic function
 of version N and the batch rows and is written with overwrite semantics,
-so a batch replayed after a failure rewrites identical files.
+so a batch replayed after a failure rewrites identical files.  A batch reads
+the vectors of its own users and products and writes the ones it changed, as a
+delta of a versioned table (``sources.store``), which drops old versions.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,12 +28,13 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from factorcast import config
 from factorcast.operators.recommend import recommend_top_r
-from factorcast.operators.train import (combine_factors, online_update, score_and_learn,
-                                        split_factors)
+from factorcast.operators.train import (combine_factors, empty_factors, online_update,
+                                        score_and_learn, split_factors)
 from factorcast.session import materialize
-from factorcast.sources.factors import read_version, write_version
 from factorcast.sources.sinks import scratch_path
+from factorcast.sources.store import VersionedTable, factor_store
 
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -79,9 +83,8 @@ class PrequentialBatch:
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        uf = read_version(spark, self.root, "user", batch_id)
-        pf = read_version(spark, self.root, "product", batch_id)
         rows = materialize(batch.select("idx", "user", "product", "rating"))
+        uf, pf = touched_factors(rows, self.root, batch_id)
         facs, scores = score_and_learn(rows, combine_factors(uf, pf, spark), self.k, self.steps,
                                        self.gu, self.gi, self.lam, ["idx"], blocks=self.blocks,
                                        implicit=self.implicit)
@@ -98,9 +101,20 @@ class PrequentialBatch:
                      F.sqrt(F.avg(se)).alias("rmse")).withColumn("batch", F.lit(batch_id).cast("long"))
         (m.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
            .partitionBy("batch").parquet(self.metrics_path))
-        nu, np_ = split_factors(facs)
-        write_version(nu, self.root, "user", batch_id + 1)
-        write_version(np_, self.root, "product", batch_id + 1)
+        write_factors(*split_factors(facs), self.root, batch_id + 1)
+
+
+def touched_factors(rows: DataFrame, root: str, version: int) -> tuple[DataFrame, DataFrame]:
+    """Vectors of the users and products of ``rows`` as of a version."""
+    spark = rows.sparkSession
+    return tuple(factor_store(spark, root, side).read(version, rows.select(F.col(side).alias("id")))
+                 for side in ("user", "product"))
+
+
+def write_factors(uf: DataFrame, pf: DataFrame, root: str, version: int) -> None:
+    """The vectors that a version changes (version 0: all there are)."""
+    for side, facs in (("user", uf), ("product", pf)):
+        factor_store(facs.sparkSession, root, side).write(version, facs)
 
 
 def new_ids(rows: DataFrame, factors: DataFrame, col: str) -> DataFrame:
@@ -117,8 +131,7 @@ def stream_prequential(stream: DataFrame, uf0: DataFrame, pf0: DataFrame, k: int
     spark = stream.sparkSession
     root = scratch_path(spark, "st1-factors")
     metrics = scratch_path(spark, "st1-metrics")
-    write_version(uf0, root, "user", 0)
-    write_version(pf0, root, "product", 0)
+    write_factors(uf0, pf0, root, 0)
     body = PrequentialBatch(root, metrics, k, steps, gamma_u, gamma_i, lam, blocks, implicit)
     _run(stream.writeStream.foreachBatch(body), scratch_path(spark, "st1-ckpt"))
     return spark.read.parquet(metrics).select("batch", "lo", "hi", "n", "unknown", "rmse")
@@ -142,56 +155,72 @@ _ITEM_SCHEMA = T.StructType([
 ])
 
 
+PIECE_ROWS = 1 << 12        # events whose buffers are put out at once
+
+
 class LastKProcessor(StatefulProcessor):
     """Keeps each user's K newest (idx, product, rating) in a ListState and
-    emits the buffer (newest first) after every arriving rating."""
+    emits the buffer (newest first) after every arriving rating.
+
+    Of a user's rows of a micro-batch a task holds three numbers each (a
+    stream has no order within a micro-batch, so they are sorted here); their
+    buffers, K times as many rows, leave PIECE_ROWS events at a time.  With
+    ``expire_ms`` a user's buffer is dropped that long after its last rating."""
 
-    def __init__(self, last_k: int):
-        self.last_k = last_k
+    def __init__(self, last_k: int, expire_ms: int | None = None):
+        self.last_k, self.expire_ms = last_k, expire_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.buf = handle.getListState("buffer", _ITEM_SCHEMA)
+        self.buf = handle.getListState("buffer", _ITEM_SCHEMA, ttlDurationMs=self.expire_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        if self.last_k <= 0:
+            return
         user = int(key[0])
-        new = pd.concat(list(rows)).sort_values("idx", kind="mergesort")
-        items = [tuple(t) for t in self.buf.get()] if self.buf.exists() else []
-        out = {c: [] for c in BUFFER_SCHEMA.names}
-        for i, p, r in zip(new["idx"].tolist(), new["product"].tolist(), new["rating"].tolist()):
-            if self.last_k <= 0:
-                continue
-            items.append((int(i), int(p), float(r)))
-            items = items[-self.last_k:]
-            for pos, (bi, bp, br) in enumerate(reversed(items)):
-                out["idx"].append(int(i))
-                out["user"].append(user)
-                out["pos"].append(pos)
-                out["b_idx"].append(bi)
-                out["b_product"].append(bp)
-                out["b_rating"].append(br)
-        self.buf.clear()
-        if items:
-            self.buf.put(items)
-        yield pd.DataFrame(out)
+        old = [tuple(t) for t in self.buf.get()] if self.buf.exists() else []
+        kinds = (np.int64, np.int64, np.float64)
+        parts = [tuple(np.array(c, t) for c, t in zip(zip(*old), kinds))] if old else []
+        for piece in rows:
+            parts.append(tuple(piece[c].to_numpy(t) for c, t in zip(("idx", "product", "rating"), kinds)))
+        idx, product, rating = (np.concatenate(c) for c in zip(*parts))
+        n_old = len(old)
+        order = np.r_[np.arange(n_old), n_old + np.argsort(idx[n_old:], kind="stable")]
+        idx, product, rating = idx[order], product[order], rating[order]
+        for lo in range(n_old, len(idx), PIECE_ROWS):
+            event = np.repeat(np.arange(lo, min(lo + PIECE_ROWS, len(idx))), self.last_k)
+            pos = np.tile(np.arange(self.last_k), len(event) // self.last_k)
+            event, pos = event[event >= pos], pos[event >= pos]
+            at = event - pos
+            yield pd.DataFrame({"idx": idx[event], "user": user, "pos": pos, "b_idx": idx[at],
+                                "b_product": product[at], "b_rating": rating[at]})
+        self.buf.put(list(zip(*(c[-self.last_k:].tolist() for c in (idx, product, rating)))))
 
     def close(self) -> None:
         pass
 
 
-def stream_last_k(stream: DataFrame, last_k: int) -> DataFrame:
+def stream_last_k(stream: DataFrame, last_k: int, expire_ms: int | None = None) -> DataFrame:
     """ST2: streaming last-K buffers; runs to completion and returns the
-    emitted buffer rows (equal to the batch ``last_k_buffer``)."""
+    emitted buffer rows (equal to the batch ``last_k_buffer`` while nothing
+    expires)."""
     spark = stream.sparkSession
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     out = scratch_path(spark, "st2-out")
     keyed = stream.select("idx", F.col("user").cast("long").alias("user"),
                           F.col("product").cast("long").alias("product"),
                           F.col("rating").cast("double").alias("rating"))
     res = keyed.groupBy("user").transformWithStateInPandas(
-        statefulProcessor=LastKProcessor(last_k), outputStructType=BUFFER_SCHEMA,
-        outputMode="Append", timeMode="None")
-    _run(res.writeStream.format("parquet").option("path", out).outputMode("append"),
-         scratch_path(spark, "st2-ckpt"))
+        statefulProcessor=LastKProcessor(last_k, expire_ms), outputStructType=BUFFER_SCHEMA,
+        outputMode="Append", timeMode="ProcessingTime" if expire_ms else "None")
+    before = spark.conf.get(STATE_STORE, None)
+    spark.conf.set(STATE_STORE, ROCKSDB)
+    try:
+        _run(res.writeStream.format("parquet").option("path", out).outputMode("append"),
+             scratch_path(spark, "st2-ckpt"))
+    finally:
+        if before is None:
+            spark.conf.unset(STATE_STORE)
+        else:
+            spark.conf.set(STATE_STORE, before)
     return spark.read.schema(BUFFER_SCHEMA).parquet(out)
 
 
@@ -209,37 +238,35 @@ class RecommendBatch:
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        uf = read_version(spark, self.root, "user", batch_id)
-        pf = read_version(spark, self.root, "product", batch_id)
-        seen = spark.read.parquet(f"{self.root}/seen/version={batch_id}")
-        rows = batch.select("idx", F.col("user").cast("long").alias("user"),
-                            F.col("product").cast("long").alias("product"), "rating")
-        nu, np_ = online_update(rows, uf, pf, self.k, self.steps, self.gu, self.gi, self.lam,
-                                ["idx"], implicit=self.implicit)
-        write_version(nu, self.root, "user", batch_id + 1)
-        write_version(np_, self.root, "product", batch_id + 1)
-        seen_next = seen.unionByName(rows.select("user", "product")).distinct()
-        seen_next.write.mode("overwrite").parquet(f"{self.root}/seen/version={batch_id + 1}")
-        seen_next = spark.read.parquet(f"{self.root}/seen/version={batch_id + 1}")
-        nu = read_version(spark, self.root, "user", batch_id + 1)
-        np_ = read_version(spark, self.root, "product", batch_id + 1)
-        recs = recommend_top_r(nu, np_, self.k, self.r, seen=seen_next, users=rows)
+        rows = materialize(batch.select("idx", F.col("user").cast("long").alias("user"),
+                                        F.col("product").cast("long").alias("product"), "rating"))
+        uf, pf = touched_factors(rows, self.root, batch_id)
+        write_factors(*online_update(rows, uf, pf, self.k, self.steps, self.gu, self.gi, self.lam,
+                                     ["idx"], implicit=self.implicit), self.root, batch_id + 1)
+        seen = seen_table(spark, self.root)
+        seen.write(batch_id + 1, rows.select("user", "product").distinct())
+        # the batch's users against the whole catalogue
+        nu = factor_store(spark, self.root, "user").read(batch_id + 1, rows.select(F.col("user").alias("id")))
+        recs = recommend_top_r(nu, factor_store(spark, self.root, "product").read(batch_id + 1), self.k,
+                               self.r, seen=seen.read(batch_id + 1, rows))
         (recs.select(F.lit(batch_id).cast("long").alias("batch"), "user", "product", "rank")
              .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
              .partitionBy("batch").parquet(self.recs_path))
 
 
+def seen_table(spark: SparkSession, root: str) -> VersionedTable:
+    """(user, product) pairs that came by, as a versioned table by user."""
+    return VersionedTable(spark, f"{root}/seen", "user long, product long", ["user", "product"])
+
+
 def stream_recommend(stream: DataFrame, k: int, steps: int, gamma_u: float, gamma_i: float,
                      lam: float, r: int) -> DataFrame:
     """ST3: returns (batch, user, product, rank) refreshed per batch."""
     spark = stream.sparkSession
     root = scratch_path(spark, "st3-state")
     recs = scratch_path(spark, "st3-recs")
-    empty = spark.createDataFrame([], "id long, f array<double>")
-    write_version(empty, root, "user", 0)
-    write_version(empty, root, "product", 0)
-    spark.createDataFrame([], "user long, product long").write.mode("overwrite").parquet(
-        f"{root}/seen/version=0")
+    write_factors(empty_factors(spark), empty_factors(spark), root, 0)
+    seen_table(spark, root).write(0, spark.createDataFrame([], "user long, product long"))
     body = RecommendBatch(root, recs, k, steps, gamma_u, gamma_i, lam, r)
     _run(stream.writeStream.foreachBatch(body), scratch_path(spark, "st3-ckpt"))
     return spark.read.parquet(recs).select("batch", "user", "product", "rank")

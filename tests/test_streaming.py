@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from factorcast.operators import ordering as OR
 from factorcast.sources import sinks as SK
 from factorcast.sources import tables as S
-from factorcast.sources.factors import read_version, write_version
+from factorcast.sources.store import factor_store
 from factorcast.streaming import online as ST
 from factorcast.operators.train import block_sgd
 from paths import SF001
@@ -17,19 +17,22 @@ def _ratings_indexed(spark):
     return OR.global_index(S.ratings(spark, SF001), S.RATINGS_ORDER).select("idx", "user", "product", "rating")
 
 
+def _version(spark, root, version):
+    return sorted((r.id, tuple(r.f)) for r in factor_store(spark, root, "user").read(version).collect())
+
+
 def test_prequential_batch_replay_is_idempotent(spark):
     ix = _ratings_indexed(spark)
     uf, pf = block_sgd(ix.where("idx < 100"), K, 1, 0.01, 0.01, 0.02, blocks=1, order_cols=["idx"])
     root, metrics = SK.scratch_path(spark, "t-f"), SK.scratch_path(spark, "t-m")
-    write_version(uf, root, "user", 0)
-    write_version(pf, root, "product", 0)
+    ST.write_factors(uf, pf, root, 0)
     body = ST.PrequentialBatch(root, metrics, K, 1, 0.01, 0.01, 0.02)
     batch = ix.where("idx >= 100 AND idx < 400")
     body(batch, 0)
-    first_u = sorted(map(tuple, read_version(spark, root, "user", 1).collect()))
+    first_u = _version(spark, root, 1)
     first_m = sorted(map(tuple, spark.read.parquet(metrics).collect()))
     body(batch, 0)                       # the same batch again, as after a failure
-    assert sorted(map(tuple, read_version(spark, root, "user", 1).collect())) == first_u
+    assert _version(spark, root, 1) == first_u
     assert sorted(map(tuple, spark.read.parquet(metrics).collect())) == first_m
 
 
@@ -45,3 +48,52 @@ def test_stream_prequential_covers_every_row(spark):
     rows = sorted(out.collect(), key=lambda r: r.batch)
     assert [(r.lo, r.hi) for r in rows] == bounds          # consumed in stream order
     assert sum(r.n for r in rows) == n - warm
+
+
+def test_stream_of_versions_equals_one_pass(spark):
+    """Deltas, merges and compaction over many micro-batches leave the vectors
+    of learning the whole stream in one call."""
+    ix = _ratings_indexed(spark).where("idx < 600")
+    root, metrics = SK.scratch_path(spark, "t-v"), SK.scratch_path(spark, "t-vm")
+    from factorcast.operators.train import empty_factors, online_update
+    ST.write_factors(empty_factors(spark), empty_factors(spark), root, 0)
+    body = ST.PrequentialBatch(root, metrics, K, 1, 0.01, 0.01, 0.02, blocks=1)
+    for j in range(10):
+        body(ix.where((F.col("idx") >= 60 * j) & (F.col("idx") < 60 * j + 60)), j)
+    uf, _ = online_update(ix, empty_factors(spark), empty_factors(spark), K, 1, 0.01, 0.01, 0.02,
+                          ["idx"], blocks=1)
+    want = sorted((r.id, tuple(r.f)) for r in uf.collect())
+    assert _version(spark, root, 10) == want
+    assert spark.read.parquet(metrics).agg(F.sum("n")).first()[0] == 600
+
+
+def test_stream_last_k_of_a_hot_user(spark, monkeypatch):
+    from factorcast.operators.history import last_k_buffer
+    monkeypatch.setattr(ST, "PIECE_ROWS", 7)
+    rows = [(i, 1 if i % 3 else i % 4, i % 11, float(i % 2)) for i in range(200)]
+    df = spark.createDataFrame(rows, "idx long, user long, product long, rating double")
+    root = ST.stage_stream(df, "idx", [(0, 90), (90, 200)], SK.scratch_path(spark, "t-lk"))
+    got = ST.stream_last_k(ST.read_stream(spark, root, df.schema), 3)
+    cols = ["idx", "user", "pos", "b_idx", "b_product", "b_rating"]
+    want = last_k_buffer(df, 3).select(cols).collect()
+    assert sorted(map(tuple, got.select(cols).collect())) == sorted(map(tuple, want))
+
+
+def test_stream_recommend_lists_are_those_of_each_version(spark):
+    """Each micro-batch's lists equal the best unseen products by the vectors
+    learned up to it."""
+    from factorcast.operators.recommend import recommend_top_r
+    from factorcast.operators.train import empty_factors, online_update
+    rows = [(i, i % 5, (i * i) % 7, float(i % 2)) for i in range(60)]
+    df = spark.createDataFrame(rows, "idx long, user long, product long, rating double")
+    bounds = [(0, 20), (20, 45), (45, 60)]
+    root = ST.stage_stream(df, "idx", bounds, SK.scratch_path(spark, "t-rec"))
+    got = ST.stream_recommend(ST.read_stream(spark, root, df.schema), K, 1, 0.05, 0.05, 0.02, 2).collect()
+    uf = pf = empty_factors(spark)
+    want = []
+    for j, (lo, hi) in enumerate(bounds):
+        part = df.where((F.col("idx") >= lo) & (F.col("idx") < hi))
+        uf, pf = online_update(part, uf, pf, K, 1, 0.05, 0.05, 0.02, ["idx"], implicit=True)
+        best = recommend_top_r(uf, pf, K, 2, seen=df.where(F.col("idx") < hi), users=part)
+        want += [(j, r.user, r.product, r.rank) for r in best.collect()]
+    assert sorted((r.batch, r.user, r.product, r.rank) for r in got) == sorted(want) and want
