@@ -4,24 +4,28 @@ Each match of the split pattern is a pre-token.  Tier one resolves a
 pre-token that is itself in the vocabulary through a minimal perfect hash
 (hash and displace: one 64-bit hash, one displacement, one compare); tier
 two merges the others with a heap of (rank, position) over a doubly linked
-list of their bytes, lowest rank first and leftmost among equals.  Results
-of both tiers are kept per worker in a cache of at most CACHE_ENTRIES
-pre-tokens: when half of it is new, the older half goes, so frequent ones
-stay and memory is bounded.
+list of their bytes, lowest rank first and leftmost among equals; a table of
+all pairs of tokens that make a token gives each pair's rank.  Results of
+both tiers are kept per worker in a cache of at most CACHE_BYTES: when half
+of it is new, the older half goes, so frequent ones stay.  Pre-tokens of more
+than CACHED_CHARS characters (unbroken runs, which hardly repeat) are never
+kept, so memory is bounded whatever the text.
 
 The vocabulary (well under 1 MB) is read once on the driver and broadcast.
 Encoding and decoding are map-only: no shuffle, one pass over the text.
 
 Defined results: a null text is the empty text and gives an empty list; ids
 outside the vocabulary raise ValueError when decoding; a null id list
-decodes to empty bytes.
+decodes to empty bytes.  A very long text is worked off as one value, in time
+n log n of its longest unbroken run.  Repeated rows give a row each, an empty
+table none; other columns, whatever their names, are left alone.
 """
 
 from __future__ import annotations
 
 import base64
-import heapq
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush, heapreplace
 from itertools import chain
 
 import numpy as np
@@ -33,7 +37,8 @@ from pyspark.sql import functions as F
 
 from factorcast.llm.common import pieces
 
-CACHE_ENTRIES = 400_000
+CACHE_BYTES = 128 << 20    # of a worker's cache, by estimate
+CACHED_CHARS = 64
 
 
 def read_ranks(raw: bytes) -> list[bytes]:
@@ -93,9 +98,21 @@ class Encoder(dict):
         super().__init__()
         self.tokens = tokens
         self.whole = PerfectHash(tokens)
-        self.rank = {t: i for i, t in enumerate(tokens)}
+        rank = {t: i for i, t in enumerate(tokens)}
+        self.byte = [rank[bytes([i])] for i in range(256)]
+        # left token -> right token -> the token they make
+        none: dict[int, int] = {}
+        self.pair = [none] * len(tokens)
+        for t, r in rank.items():
+            for i in range(1, len(t)):
+                left, right = rank.get(t[:i]), rank.get(t[i:])
+                if left is not None and right is not None:
+                    if self.pair[left] is none:
+                        self.pair[left] = {}
+                    self.pair[left][right] = r
         self.split = regex.compile(pattern).findall
         self.older: dict[str, tuple[int, ...]] = {}
+        self.held = 0
 
     def __missing__(self, word: str) -> tuple[int, ...]:
         ids = self.older.get(word)
@@ -103,37 +120,54 @@ class Encoder(dict):
             raw = word.encode("utf-8")
             i = self.whole.get(raw)
             ids = (i,) if i >= 0 else self.merge(raw)
-        if 2 * len(self) >= CACHE_ENTRIES:
-            self.older = dict(self)
-            self.clear()
-        self[word] = ids
+        if len(word) <= CACHED_CHARS:
+            # text, tuple, and their places in the dictionary
+            self.held += 200 + 4 * len(word) + 8 * len(ids)
+            if 2 * self.held > CACHE_BYTES:
+                self.older = dict(self)
+                self.clear()
+                self.held = 0
+            self[word] = ids
         return ids
 
     def merge(self, raw: bytes) -> tuple[int, ...]:
-        rank, n = self.rank.get, len(raw)
-        part: list[bytes | None] = [raw[i:i + 1] for i in range(n)]
+        pair, byte, n = self.pair, self.byte, len(raw)
+        part = [byte[b] for b in raw]
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(r, i) for i in range(n - 1)
-                if (r := rank(raw[i:i + 2])) is not None]
-        heapq.heapify(heap)
+        # rank and position in one number, so that the least is the next merge
+        bits = n.bit_length()
+        low = (1 << bits) - 1
+        heap = []
+        for i in range(n - 1):
+            if (r := pair[part[i]].get(part[i + 1])) is not None:
+                heap.append(r << bits | i)
+        heapify(heap)
         while heap:
-            r, i = heapq.heappop(heap)
-            left, j = part[i], after[i]
-            if left is None or j >= n:
+            top = heap[0]
+            i = top & low
+            both, left, j = top >> bits, part[i], after[i]
+            # gone, or one of the two has grown since
+            if left < 0 or j >= n or pair[left].get(part[j]) != both:
+                heappop(heap)
                 continue
-            both = left + part[j]
-            if rank(both) != r:     # one of the two has grown since
-                continue
-            part[i], part[j] = both, None
-            k = after[i] = after[j]
+            part[i], part[j] = both, -1
+            k, h = after[j], before[i]
+            after[i] = k
+            first = second = None
             if k < n:
                 before[k] = i
-                if (r := rank(both + part[k])) is not None:
-                    heapq.heappush(heap, (r, i))
-            h = before[i]
-            if h >= 0 and (r := rank(part[h] + both)) is not None:
-                heapq.heappush(heap, (r, h))
-        return tuple(self.rank[p] for p in part if p is not None)
+                first = pair[both].get(part[k])
+            if h >= 0:
+                second = pair[part[h]].get(both)
+            if first is not None:
+                heapreplace(heap, first << bits | i)
+                if second is not None:
+                    heappush(heap, second << bits | h)
+            elif second is not None:
+                heapreplace(heap, second << bits | h)
+            else:
+                heappop(heap)
+        return tuple([p for p in part if p >= 0])
 
     def encode(self, text: str) -> list[int]:
         return list(chain.from_iterable(map(self.__getitem__, self.split(text))))

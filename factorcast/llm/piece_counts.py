@@ -11,9 +11,13 @@ U+2581) two facts are proved offline, on the vocabulary alone:
 Pre-tokens that are such strings count as one each, directly; the rest are
 merged (best score first, leftmost among equals) and a character that no
 piece has counts its UTF-8 bytes.  Counts are kept per worker in a cache of
-bounded size.  Map-only: no shuffle, one pass over the text.
+CACHE_ENTRIES pre-tokens of at most CACHED_CHARS characters, so its memory is
+bounded whatever the text.  Map-only: no shuffle, one pass over the text.
 
-Defined results: a null text is the empty text and has no tokens.
+Defined results: a null text is the empty text and has no tokens.  A very long
+text is worked off as one value, in time n log n of its longest unbroken run.
+Repeated rows count each, an empty table gives no rows; other columns, whatever
+their names, are left alone.
 """
 
 from __future__ import annotations
@@ -29,6 +33,7 @@ from pyspark.sql import functions as F
 from factorcast.llm.common import pieces
 
 CACHE_ENTRIES = 400_000
+CACHED_CHARS = 64
 SPACE = "▁"
 
 
@@ -50,9 +55,10 @@ class PieceCounter(dict):
 
     def __missing__(self, word: str) -> int:
         n = 1 if word in self.single else self.merge(word)
-        if len(self) >= CACHE_ENTRIES:
-            self.clear()
-        self[word] = n
+        if len(word) <= CACHED_CHARS:
+            if len(self) >= CACHE_ENTRIES:
+                self.clear()
+            self[word] = n
         return n
 
     def merge(self, word: str) -> int:

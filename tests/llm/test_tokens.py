@@ -44,11 +44,25 @@ def test_perfect_hash_is_minimal():
 
 
 def test_cache_is_bounded(monkeypatch):
-    monkeypatch.setattr(bpe, "CACHE_ENTRIES", 10)
+    monkeypatch.setattr(bpe, "CACHE_BYTES", 5000)
     own = bpe.Encoder(ENCODER.tokens, P.PATTERN)
     random.seed(0)
     text = " ".join("".join(random.choices("abcdef", k=7)) for _ in range(200))
-    assert own.encode(text) == LIBRARY.encode_ordinary(text) and len(own) <= 10
+    assert own.encode(text) == LIBRARY.encode_ordinary(text)
+    assert sum(200 + 4 * len(w) + 8 * len(i) for w, i in (own | own.older).items()) <= 5000
+
+
+def test_unbroken_runs_are_not_kept():
+    """Whatever the text, a worker keeps short pre-tokens only."""
+    own = bpe.Encoder(ENCODER.tokens, P.PATTERN)
+    counter = piece_counts.PieceCounter([(p, s) for p, s in COUNTER.score.items()])
+    random.seed(1)
+    for n in (63, 64, 65, 5000, 100_000):
+        run = "".join(random.choices("abcdefghij", k=n))
+        assert own.encode(run) == LIBRARY.encode_ordinary(run)
+        assert counter.count(run) == len(PIECES.encode(run))
+    for cache in (own, counter):
+        assert cache and max(map(len, cache)) <= 65          # one space mark more
 
 
 def test_single_tokens_are_proved():
