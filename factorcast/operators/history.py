@@ -2,14 +2,14 @@
 
 Set sizes are derived from per-(user, product) first/last positions
 (aggregations) plus skew-safe running counts, never by materializing a
-set per event.  The last-K buffer is an equi-join on per-user ordinals
-(each rating is offered to the next K events of its user), so a user
-holding a third of all rows is still spread across all tasks.
+set per event.  The last-K buffers form inside chunks of a user's stream
+that get the K - 1 rows before them, so a user holding a third of all rows
+is still spread across all tasks.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from factorcast import config
@@ -69,31 +69,40 @@ def user_ordinal(df: DataFrame, idx: str = "idx", out: str = "uord",
                         inclusive=True, chunk_rows=chunk_rows).drop("_one")
 
 
+HALO_ROWS = 1 << 12         # rows of one user's stream in a chunk
+
+
 def last_k_buffer(df: DataFrame, k: int, idx: str = "idx",
                   carry: list[str] | None = None,
-                  chunk_rows: int = DEFAULT_CHUNK_ROWS) -> DataFrame:
+                  chunk_rows: int = DEFAULT_CHUNK_ROWS, halo_rows: int = HALO_ROWS) -> DataFrame:
     """For every event, the user's ``k`` newest ratings up to and
     including it.  Returns (event idx, user, pos, b_idx, b_product,
-    b_rating, *carry) with pos 0 = the event itself (newest).
+    b_rating, b_len, *carry) with pos 0 = the event itself (newest) and
+    b_len the buffer's length.
 
-    Each rating is replicated to the ordinals of the next k events of the
-    same user and equi-joined on (user, ordinal): output is exactly the
-    N x min(k, history) buffer rows, with no window over a whole user.
+    A user's stream is cut at every ``halo_rows`` rows (by the row's ordinal,
+    a running count); each chunk also gets the last k - 1 rows of the chunk
+    before.  So a row is shuffled once, or twice near a cut, and a window
+    within the chunk collects the buffers; they are rows only after that.
     k <= 0 gives an empty buffer."""
-    if k <= 0:
-        return (df.select(F.col(idx), "user").limit(0)
-                .withColumn("pos", F.lit(0).cast("int"))
-                .withColumn("b_idx", F.lit(0).cast("long"))
-                .withColumn("b_product", F.lit(0).cast("long"))
-                .withColumn("b_rating", F.lit(0.0)))
-    o = user_ordinal(df, idx, chunk_rows=chunk_rows)
     carry = carry or []
-    ev = o.select(F.col(idx), "user", F.col("uord").alias("_target"), *carry)
-    src = o.select("user", F.col(idx).alias("b_idx"), F.col("product").cast("long").alias("b_product"),
-                   F.col("rating").alias("b_rating"), "uord",
-                   F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("pos"))
-    src = src.withColumn("_target", F.col("uord") + F.col("pos")).drop("uord")
-    return ev.join(src, ["user", "_target"]).drop("_target")
+    o = user_ordinal(df, idx, chunk_rows=chunk_rows)
+    size = max(halo_rows, k)
+    item = F.struct(F.col(idx).alias("b_idx"), F.col("product").cast("long").alias("b_product"),
+                    F.col("rating").alias("b_rating"))
+    at = F.col("uord") - 1
+    chunk = F.floor(at / F.lit(size)).cast("long")
+    # the last k - 1 rows of a chunk also open the next one
+    homes = F.when(at % size >= size - (k - 1), F.array(chunk, chunk + 1)).otherwise(F.array(chunk))
+    rows = o.select(F.col(idx), "user", "uord", item.alias("_item"), chunk.alias("_own"),
+                    F.explode(homes).alias("_chunk"), *carry)
+    w = Window.partitionBy("user", "_chunk").orderBy("uord").rowsBetween(-max(k - 1, 0), Window.currentRow)
+    kept = rows.withColumn("_buffer", F.collect_list("_item").over(w)).where(
+        (F.col("_chunk") == F.col("_own")) & F.lit(k > 0))
+    return kept.select(
+        idx, "user", F.size("_buffer").alias("b_len"), *carry,
+        F.posexplode(F.reverse("_buffer")).alias("pos", "_b")).select(
+        idx, "user", "pos", "_b.b_idx", "_b.b_product", "_b.b_rating", "b_len", *carry)
 
 
 def replay_sequence(buffer: DataFrame, passes: int = config.REPLAY_PASSES,
@@ -102,10 +111,8 @@ def replay_sequence(buffer: DataFrame, passes: int = config.REPLAY_PASSES,
 
     Adds ``pass`` and ``step`` (= pass * buffer length + pos); rows are
     ordered by (idx, step) when replayed."""
-    size = buffer.groupBy(idx).agg(F.count(F.lit(1)).alias("_len"))
-    p = buffer.join(size, idx).select(
-        "*", F.explode(F.sequence(F.lit(0), F.lit(passes - 1))).alias("pass"))
-    return p.withColumn("step", (F.col("pass") * F.col("_len") + F.col("pos")).cast("long")).drop("_len")
+    p = buffer.select("*", F.explode(F.sequence(F.lit(0), F.lit(passes - 1))).alias("pass"))
+    return p.withColumn("step", (F.col("pass") * F.col("b_len") + F.col("pos")).cast("long"))
 
 
 def exclude_past(candidates: DataFrame, past: DataFrame) -> DataFrame:

@@ -72,7 +72,8 @@ def rounded(df: DataFrame, places: int = 6) -> DataFrame:
 
 
 def W(ctes: list[str], body: str) -> str:
-    return ("WITH RECURSIVE " if any("USING KEY" in c for c in ctes) else "WITH ") + ",\n".join(ctes) + "\n" + body
+    recursive = any("USING KEY" in c or c.startswith("fold(") for c in ctes)
+    return ("WITH RECURSIVE " if recursive else "WITH ") + ",\n".join(ctes) + "\n" + body
 
 
 def r6(expr: str, alias: str) -> str:
@@ -833,14 +834,30 @@ def q_mf_online_update(spark, sf):
     return rounded(_factor_out(uf, "user").unionByName(_factor_out(pf, "product")))
 
 
-@register("mf_last_k_replay")
+@register("mf_last_k_replay", sequential=W(_sgd_sql(
+    "SELECT 0 AS phase, NULL::BIGINT AS rid, bl.idx AS event, p.range * len + pos AS step, "
+    f"fi.{QU}, b_product AS product, b_rating AS rating FROM bl JOIN fi ON fi.idx = bl.idx, "
+    f"range(0, {config.REPLAY_PASSES}) p", "event, step",
+    SQL_BUF + ["bl AS (SELECT *, count(*) OVER (PARTITION BY idx) AS len FROM buf)"], implicit=True),
+    O.factors_from("st", K)))
 def q_mf_last_k_replay(spark, sf):
     fi = _feedback_indexed(spark, sf)
     uf, pf = TR.last_k_replay(fi, K, LAST_K, SGD_RATE, SGD_RATE, LAMBDA, implicit=True)
     return rounded(_factor_out(uf, "user").unionByName(_factor_out(pf, "product")))
 
 
-@register("user_fold_in")
+SQL_FOLD = SQL_BUF[:-1] + SQL_FB_INIT[:2] + [
+    "pl AS (SELECT id, [" + ", ".join(f"f{j}" for j in range(K)) + "] AS pf FROM pi)",
+    "fold(id, ord, f) AS (SELECT id, 0::BIGINT, [" + ", ".join(f"f{j}" for j in range(K)) + "] FROM ui "
+    "UNION ALL SELECT id, ord, [" + ", ".join(
+        f"f[{j}] + {O.dbl(SGD_RATE)} * (e * pf[{j}] - {O.dbl(LAMBDA)} * f[{j}])" for j in range(1, K + 1))
+    + "] FROM (SELECT s.id, o.uord AS ord, s.f, p.pf, o.rating - ("
+    + " + ".join(f"s.f[{j}] * p.pf[{j}]" for j in range(1, K + 1))
+    + f") AS e FROM fold s JOIN fo o ON o.{QU} = s.id AND o.uord = s.ord + 1 JOIN pl p ON p.id = o.product))"]
+
+
+@register("user_fold_in", W(SQL_FOLD, "SELECT id, " + ", ".join(r6(f"f[{j + 1}]", f"f{j}") for j in range(K))
+                            + " FROM fold QUALIFY ord = max(ord) OVER (PARTITION BY id)"))
 def q_user_fold_in(spark, sf):
     fi = _feedback_indexed(spark, sf)
     _, pf = _init_from(fi, implicit=True)
@@ -865,7 +882,33 @@ def q_als_baseline(spark, sf):
     return rounded(M.rmse(pred.withColumn("rating", F.col("rating").cast("double"))))
 
 
-@register("eval_holdout_distributed")
+SQL_SGD_PRED = SQL_BLOCK_SGD + [
+    "pr AS (SELECT x.*, u.id IS NULL OR p.id IS NULL AS is_cold, CASE WHEN u.id IS NULL OR p.id IS NULL "
+    f"THEN {O.dbl(config.COLD_START)} ELSE " + " + ".join(f"u.f[{j}] * p.f[{j}]" for j in range(1, K + 1))
+    + f" END AS prediction FROM te x LEFT JOIN st u ON u.side = 'u' AND u.id = x.{QU} "
+    "LEFT JOIN st p ON p.side = 'p' AND p.id = x.product)"]
+
+
+@register("eval_holdout_sgd", sequential=W(SQL_SGD_PRED,
+    "SELECT count(*) AS n, sum(CAST(is_cold AS BIGINT)) AS unknown, "
+    f"{r6('sqrt(avg((rating - prediction) * (rating - prediction)))', 'rmse')} FROM pr"))
+def q_eval_holdout_sgd(spark, sf):
+    """E1 with a step per rating in place of mean gradients."""
+    return rounded(P.eval_holdout(_ratings(spark, sf), S.RATINGS_HASH_KEY, K, EPOCHS, SGD_RATE, LAMBDA,
+                                  trainer="sgd", blocks=BLOCKS))
+
+
+@register("eval_expanding_sgd")
+def q_eval_expanding_sgd(spark, sf):
+    """E3 with a step per rating in place of mean gradients, all 49 rounds."""
+    return rounded(P.eval_expanding(_ratings(spark, sf), S.RATINGS_ORDER, K, 1, SGD_RATE, LAMBDA,
+                                    trainer="sgd", blocks=BLOCKS))
+
+
+@register("eval_holdout_distributed", sequential=W(SQL_SGD_PRED,
+    f"SELECT count(*) AS n, {r6('sum((t.rating - p.prediction) ** 2)', 'total')}, "
+    f"{r6('sqrt(sum((t.rating - p.prediction) ** 2) / count(*))', 'rmse')} FROM te t JOIN pr p "
+    f"ON t.{QU} = p.{QU} AND t.product = p.product"))
 def q_eval_holdout_distributed(spark, sf):
     return rounded(P.eval_holdout_distributed(_ratings(spark, sf), S.RATINGS_HASH_KEY, K, EPOCHS,
                                               SGD_RATE, LAMBDA, blocks=BLOCKS))

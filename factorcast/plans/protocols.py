@@ -13,29 +13,44 @@ from factorcast.session import materialize
 from factorcast.functions.vectors import cold_start_prediction, is_cold
 from factorcast.operators.ordering import block_bounds, global_index, holdout_split, time_blocks
 from factorcast.operators.recommend import predict
-from factorcast.operators.train import (batch_gd, block_sgd_table, combine_factors,
+from factorcast.operators.train import (batch_gd, block_sgd, block_sgd_table, combine_factors,
                                         distributed_sgd, replay_rows, score_and_learn)
 from factorcast.sources.sinks import scratch_path
 
 
 def eval_holdout(ratings: DataFrame, key_cols: list[str], k: int = 8, epochs: int = 2,
                  gamma: float = 0.05, lam: float = 0.02, seed: int = config.SEED,
-                 train_fraction: float = config.TRAIN_FRACTION) -> DataFrame:
-    """Hash hold-out split, batch GD on the train side, predict the test
-    side (cold rows at 3.5), one row (n, unknown, rmse)."""
+                 train_fraction: float = config.TRAIN_FRACTION, trainer: str = "batch",
+                 blocks: int = config.GRID) -> DataFrame:
+    """Hash hold-out split, learning on the train side, prediction of the
+    test side (cold rows at 3.5), one row (n, unknown, rmse).
+
+    ``trainer``: 'batch' (mean gradients, L1) or 'sgd' (a step per rating in
+    a new pseudo-random order each epoch, L2, on a grid of ``blocks``)."""
     split = holdout_split(ratings, key_cols, seed, train_fraction)
     train = split.where(F.col("is_train"))
     test = split.where(~F.col("is_train")).select("user", "product", "rating")
-    uf, pf = batch_gd(train, k, epochs, gamma, lam)
+    uf, pf = _trained(train, trainer, k, epochs, gamma, lam, key_cols, blocks, seed)
     pred = predict(test, uf, pf, k, pf_rows=pf.count())
     return rmse(pred).select("n", "unknown", "rmse")
 
 
+def _trained(train: DataFrame, trainer: str, k: int, epochs: int, gamma: float, lam: float,
+             row_cols: list[str], blocks: int, seed: int, keys: list[str] | None = None):
+    if trainer == "batch":
+        return batch_gd(train, k, epochs, gamma, lam, keys=keys)
+    if trainer != "sgd":
+        raise ValueError(f"trainer must be 'batch' or 'sgd', not {trainer!r}")
+    return block_sgd(train, k, epochs, gamma, gamma, lam, blocks=blocks, order_cols=row_cols,
+                     seed=seed, keys=keys)
+
+
 def eval_expanding(ratings: DataFrame, order_cols: list[str], k: int = 8, epochs: int = 2,
                    gamma: float = 0.05, lam: float = 0.02,
-                   n_blocks: int = config.N_BLOCKS) -> DataFrame:
+                   n_blocks: int = config.N_BLOCKS, trainer: str = "batch",
+                   blocks: int = config.GRID, seed: int = config.SEED) -> DataFrame:
     """For every round i = 1..n_blocks-1 a *fresh* model trained on
-    blocks [0, i) predicts block i.
+    blocks [0, i) predicts block i (``trainer`` as in ``eval_holdout``).
 
     All rounds train side by side as one keyed model (round is part of the
     factor-table key): a rating of block b is offered to rounds b+1.. by
@@ -49,9 +64,9 @@ def eval_expanding(ratings: DataFrame, order_cols: list[str], k: int = 8, epochs
     b = time_blocks(ix, n, n_blocks=n_blocks).where(F.col("block").isNotNull())
     train = (b.where(F.col("block") < n_blocks - 1)
              .select(F.explode(F.sequence(F.col("block") + 1, F.lit(n_blocks - 1).cast("long"))).alias("round"),
-                     "user", "product", "rating"))
+                     "idx", "user", "product", "rating"))
     test = b.where(F.col("block") >= 1).select(F.col("block").alias("round"), "user", "product", "rating")
-    uf, pf = batch_gd(train, k, epochs, gamma, lam, keys=["round"])
+    uf, pf = _trained(train, trainer, k, epochs, gamma, lam, ["idx"], blocks, seed, ["round"])
     u = uf.select("round", F.col("id").alias("user"), F.col("f").alias("uf"))
     p = pf.select("round", F.col("id").alias("product"), F.col("f").alias("pf"))
     pred = (test.join(u, ["round", "user"], "left").join(p, ["round", "product"], "left")

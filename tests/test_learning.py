@@ -146,6 +146,34 @@ def test_prequential_last_k_scores_before_the_replay(spark, fx, batch_rows):
     assert abs(overall["rmse"] - np.sqrt(np.mean(se))) < 1e-12
 
 
+def _rounds(rows, n_blocks):
+    """(round, rows before its block, rows of its block) in stream order."""
+    edge = [int(len(rows) / n_blocks * i) for i in range(n_blocks + 1)]
+    return [(i, rows[:edge[i]], rows[edge[i]:edge[i + 1]]) for i in range(1, n_blocks)]
+
+
+@pytest.mark.parametrize("batch_rows", [1, 2, 100])
+def test_expanding_online_equals_the_loop(spark, fx, batch_rows):
+    """A fresh model each round, each row scored before it is learned."""
+    m = P.eval_expanding_online(fx.withColumn("ts", F.col("idx")), ["ts", "idx"], K, 1, GU, GI, LAM,
+                                n_blocks=4, batch_rows=batch_rows, blocks=1).toPandas().set_index("round")
+    for i, before, block in _rounds(ROWS, 4):
+        keys = spark.createDataFrame([(i, r[3]) for r in before], "round long, idx long").select(
+            "idx", TR.shuffle_key(["round", "idx"], P.config.SEED, 0).alias("key")).collect()
+        at = {r.idx: r.key for r in keys}
+        g, se, cold = SeqModel(K), [], 0
+        for u, p, r, _ in sorted(before, key=lambda r: at[r[3]]):
+            g.step(u, p, r, 1, GU, GI, LAM)
+        firsts = {min(x[3] for x in ROWS if x[c] == y[c]) for y in ROWS for c in (0, 1)}
+        for u, p, r, x in block:
+            v = 3.5 if x in firsts else dot(g._get(g.u, u, 17), g._get(g.p, p, 71))
+            cold += x in firsts
+            se.append((r - v) ** 2)
+            g.step(u, p, r, 1, GU, GI, LAM)
+        assert m.loc[i, "n"] == len(block) and m.loc[i, "unknown"] == cold
+        assert abs(m.loc[i, "rmse"] - np.sqrt(np.mean(se))) < 1e-12
+
+
 def test_expanding_online_emits_every_round(spark, fx):
     m = P.eval_expanding_online(fx.withColumn("ts", F.col("idx")), ["ts", "idx"], K, 1, GU, GI, LAM,
                                 n_blocks=50, batch_rows=4, blocks=2).toPandas()
@@ -153,6 +181,26 @@ def test_expanding_online_emits_every_round(spark, fx):
     assert m["n"].sum() == fx.count() - len([r for r in ROWS if r[3] < fx.count() // 50])
 
 
+def test_expanding_with_sgd_equals_the_loop(spark, fx):
+    """E3 with a step per rating: fresh models, cold rows at 3.5."""
+    m = P.eval_expanding(fx.withColumn("ts", F.col("idx")), ["ts", "idx"], K, 2, GU, LAM, n_blocks=4,
+                         trainer="sgd", blocks=1).toPandas().set_index("round")
+    for i, before, block in _rounds(ROWS, 4):
+        g = SeqModel(K)
+        for epoch in range(2):
+            keys = spark.createDataFrame([(i, r[3]) for r in before], "round long, idx long").select(
+                "idx", TR.shuffle_key(["round", "idx"], P.config.SEED, epoch).alias("key")).collect()
+            at = {r.idx: r.key for r in keys}
+            for u, p, r, _ in sorted(before, key=lambda r: at[r[3]]):
+                g.step(u, p, r, 1, GU, GU, LAM)
+        pred = [g.predict(u, p) for u, p, _, _ in block]
+        assert m.loc[i, "unknown"] == sum(c for _, c in pred)
+        se = [(r[2] - v) ** 2 for r, (v, _) in zip(block, pred)]
+        assert abs(m.loc[i, "rmse"] - np.sqrt(np.mean(se))) < 1e-12
+    with pytest.raises(ValueError, match="trainer"):
+        P.eval_holdout(fx, ["idx"], K, 1, trainer="other")
+
+
 def test_hot_user_goes_to_more_than_one_task(spark):
     """A user with a third of all rows is split over the product blocks, and
     the grid learns every row once."""

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from factorcast.operators import history as H
 from factorcast.operators import ordering as OR
 from factorcast.sources import tables as S
+import pytest
 from paths import SF001
 
 
@@ -75,3 +76,37 @@ def test_upsert_keeps_unchanged_ids(spark):
     assert set(got) == set(want)
     for i, f in want.items():
         assert got[i] == ([x * 2 for x in f] if i % 2 == 0 else f)
+
+
+@pytest.mark.parametrize("k,halo", [(0, 4), (1, 4), (3, 4), (3, 1), (5, 2), (4, 4096)])
+def test_last_k_buffers_across_chunks(spark, k, halo):
+    """Buffers that reach over the cuts of a user's stream, K beyond a chunk."""
+    from factorcast.operators.history import last_k_buffer, replay_sequence
+    rows = [(i, 1 if i % 3 else i % 4, i % 7, float(i % 2)) for i in range(90)]
+    df = spark.createDataFrame(rows, "idx long, user long, product int, rating double").repartition(4)
+    want, queues = [], {}
+    for i, u, p, r in rows:
+        q = queues.setdefault(u, [])
+        q.append((i, p, r))
+        newest = q[::-1][:k] if k > 0 else []
+        want += [(i, u, pos, *x, len(newest)) for pos, x in enumerate(newest)]
+    got = last_k_buffer(df, k, halo_rows=halo, chunk_rows=16)
+    cols = ["idx", "user", "pos", "b_idx", "b_product", "b_rating", "b_len"]
+    assert sorted(map(tuple, got.select(cols).collect())) == sorted(want)
+    steps = sorted((r.idx, r.step, r.b_idx) for r in replay_sequence(got).collect())
+    assert steps == sorted((i, a * n + pos, b) for i, _, pos, b, _, _, n in want for a in range(2))
+
+
+def test_counts_before_of_several_flags(spark):
+    from factorcast.operators.ordering import counts_before
+    rows = [(1 if i % 3 else i % 5, i, i % 2, int(i % 7 == 0)) for i in range(120)]
+    df = spark.createDataFrame(rows, "user long, idx long, a int, b int").repartition(3)
+    for chunk, inclusive in ((1 << 20, False), (10, True), (1, False)):
+        got = counts_before(df, "user", "idx", {"na": "a", "nb": "b"}, inclusive, {"tb": "b"}, chunk).collect()
+        for r in got:
+            mine = [x for x in rows if x[0] == r.user and (x[1] < r.idx or inclusive and x[1] == r.idx)]
+            assert (r.na, r.nb) == (sum(x[2] for x in mine), sum(x[3] for x in mine))
+            assert r.tb == sum(x[3] for x in rows if x[0] == r.user)
+    plan = counts_before(df, "user", "idx", {"na": "a", "nb": "b"})._jdf.queryExecution().executedPlan().toString()
+    # before reuse: the rows (twice, with their own repartition), totals by key, offsets
+    assert plan.count("Exchange") <= 6
