@@ -13,6 +13,9 @@ Training reads a bounded sample: about MAX_DOCS labelled texts per language
 (drawn by a hash of the id; n-grams are counted in Spark), and the trees keep
 at most MAX_CONTEXTS order-3 contexts, the most frequent.  Scoring is map-only.
 
+Code lengths are fixed-point numbers of 24 binary places (rounded once a byte,
+by at most 2^-25 bits), so sums over any text are exact.
+
 Defined results: 'und' with score 0 for a null text, one without a letter,
 or when no labelled text exists; ties go to the first language by name.
 """
@@ -35,6 +38,7 @@ MAX_CONTEXTS = 30_000    # order-3 contexts kept
 CHUNK = 1 << 20          # bytes scored at once
 PAD = b"\n" * ORDER
 UNKNOWN = "und"
+UNIT = 1 << 24           # code lengths are whole numbers of 1 / UNIT bits, and so add up exactly
 
 
 @dataclass
@@ -42,7 +46,7 @@ class Model:
     languages: list[str]
     symbol: np.ndarray       # byte -> symbol (0: never seen in training)
     state: np.ndarray        # three symbols -> state
-    bits: np.ndarray         # (state * symbols + symbol, language) -> code length
+    bits: np.ndarray         # (state * symbols + symbol, language) -> code length in 1 / UNIT bits
 
     @property
     def symbols(self) -> int:
@@ -92,13 +96,13 @@ def build(languages: list[str], lang: np.ndarray, gram: np.ndarray, n: np.ndarra
     state[kept] = size * size + np.arange(len(kept), dtype=np.int32)
     place = np.full(size ** 3, -1, np.int64)
     place[kept] = np.arange(len(kept))
-    bits = np.empty(((size * size + len(kept)) * size, len(languages)), np.float16)
+    bits = np.empty(((size * size + len(kept)) * size, len(languages)), np.int32)
 
     def blend(counts: np.ndarray, shorter: np.ndarray) -> np.ndarray:
         total, distinct = counts.sum(-1, keepdims=True), (counts > 0).sum(-1, keepdims=True)
         room = np.maximum(total + distinct, 1)
         escape = np.where(total > 0, distinct / room, 1.0)
-        return np.where(counts > 0, counts / room, escape * shorter).astype(np.float32)
+        return np.where(counts > 0, counts / room, escape * shorter)
 
     for i in range(len(languages)):
         own = lang == i
@@ -111,7 +115,7 @@ def build(languages: list[str], lang: np.ndarray, gram: np.ndarray, n: np.ndarra
         at = place[(a * size + b) * size + c]
         longest = np.bincount(at[at >= 0] * size + d[at >= 0], w[at >= 0], len(kept) * size)
         top = blend(longest.reshape(-1, size), two[kept % (size * size)])
-        bits[:, i] = -np.log2(np.concatenate([two, top]).ravel())
+        bits[:, i] = np.rint(-np.log2(np.concatenate([two, top]).ravel()) * UNIT)
     return Model(languages, symbol.astype(np.int32), state, bits)
 
 
@@ -139,7 +143,7 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def code_lengths(model: Model, texts: list[bytes]) -> np.ndarray:
     """Bits of every text under every language, (texts, languages)."""
-    out = np.zeros((len(texts), len(model.languages)))
+    out = np.zeros((len(texts), len(model.languages)), np.int64)
     size, at = model.symbols, 0
     # a text longer than a chunk is cut into parts that carry their context along
     parts: list[tuple[int, bytes]] = []
@@ -154,27 +158,29 @@ def code_lengths(model: Model, texts: list[bytes]) -> np.ndarray:
         group = parts[at:end]
         sym = model.symbol[np.frombuffer(b"".join(p for _, p in group), np.uint8)]
         three = (sym[:-3] * size + sym[1:-2]) * size + sym[2:-1]
-        cost = model.bits[model.state[three] * np.int64(size) + sym[3:]].astype(np.float32)
+        cost = model.bits[model.state[three] * np.int64(size) + sym[3:]]
         lengths = np.array([len(p) for _, p in group])
         starts = np.r_[0, np.cumsum(lengths)[:-1]]
         # windows that reach into the next piece belong to none
         edge = np.concatenate([np.r_[s, s + n - ORDER] for s, n in zip(starts, lengths)])
-        sums = np.add.reduceat(np.r_[cost, np.zeros((1, cost.shape[1]), np.float32)],
-                               np.minimum(edge, len(cost)), axis=0, dtype=np.float64)[::2]
+        sums = np.add.reduceat(np.r_[cost, np.zeros((1, cost.shape[1]), np.int32)],
+                               np.minimum(edge, len(cost)), axis=0, dtype=np.int64)[::2]
         np.add.at(out, [i for i, _ in group], sums)
         at = end
-    return out
+    return out / UNIT
 
 
 def predict(docs: DataFrame, model: Model | None, text: Column) -> Column:
-    """Column struct<lang, score>: the predicted language and its share of
-    2^-bits over all languages."""
-    nothing = F.struct(F.lit(UNKNOWN).alias("lang"), F.lit(0.0).alias("score"))
+    """Column struct<lang, score, rate>: the predicted language, its share of
+    2^-bits over all languages, and its code length in bits a byte (null if
+    nothing is predicted)."""
+    nothing = F.struct(F.lit(UNKNOWN).alias("lang"), F.lit(0.0).alias("score"),
+                       F.lit(None).cast("double").alias("rate"))
     if model is None:
         return nothing
     shipped = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.arrow_udf("lang string, score double")
+    @F.arrow_udf("lang string, score double, rate double")
     def ppm(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         m = shipped.value
         names = np.array(m.languages, dtype=object)
@@ -184,9 +190,10 @@ def predict(docs: DataFrame, model: Model | None, text: Column) -> Column:
             best = bits.argmin(axis=1) if len(bits) else np.zeros(0, int)
             least = bits.min(axis=1, keepdims=True) if len(bits) else bits
             share = 1.0 / np.exp2(np.maximum(least - bits, -1000.0)).sum(axis=1)
+            rate = least[:, 0] / np.maximum([len(t) for t in texts], 1) if len(bits) else share
             yield pa.StructArray.from_arrays(
-                [pa.array(names[best].tolist(), pa.string()), pa.array(share, pa.float64())],
-                ["lang", "score"])
+                [pa.array(names[best].tolist(), pa.string()), pa.array(share, pa.float64()),
+                 pa.array(rate, pa.float64())], ["lang", "score", "rate"])
 
     has_letter = F.coalesce(text.rlike(r"\p{L}"), F.lit(False))
     return F.when(has_letter, ppm(F.when(has_letter, text))).otherwise(nothing)
@@ -194,6 +201,6 @@ def predict(docs: DataFrame, model: Model | None, text: Column) -> Column:
 
 def with_language(docs: DataFrame, model: Model | None, text_col: str = "text",
                   ) -> tuple[DataFrame, str]:
-    """``docs`` plus one struct column <lang, score>, and that column's name."""
+    """``docs`` plus one struct column <lang, score, rate>, and that column's name."""
     name = fresh(docs, "language")
     return docs.withColumn(name, predict(docs, model, F.col(text_col).cast("string"))), name

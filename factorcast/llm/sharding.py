@@ -21,6 +21,8 @@ different slots.
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,7 +31,6 @@ from factorcast.llm.common import materialize, uniform
 FINE = 16             # ranges per shard
 SAMPLES = 32          # expected sample rows per range; the sample is FINE * shards * SAMPLES
 OVERFULL = 2.0        # a range is overfull beyond this multiple of its fair share
-MAX_ROUNDS = 12
 
 
 def _below(splitters: list[tuple[int, str]]) -> Column:
@@ -49,7 +50,7 @@ def sampled_ranges(rows: DataFrame, n_ranges: int, total: float) -> tuple[DataFr
     splitters: list[tuple[int, str]] = []
     over: list[int] | None = None
     ranged = rows.withColumn("_range", F.lit(0))
-    for round_ in range(MAX_ROUNDS):
+    for round_ in count():              # until no range is overfull, or none can be cut
         pool = ranged if over is None else ranged.where(F.col("_range").isin(over))
         odds = F.least(F.lit(1.0), F.col("_w") * (SAMPLES / share))
         # range -> sampled keys, each standing for w / odds

@@ -138,6 +138,19 @@ def candidates(codes: DataFrame, code: str, ident: str, segments: int, radius: i
     ).select("a", "b", F.bit_count(apart).alias("distance"))
 
 
+def linked_classes(prints: DataFrame, max_bits: int, segments: int, **aggregates: Column) -> DataFrame:
+    """(_code, class_size, *aggregates, _component): the distinct fingerprints
+    of ``prints`` and the component each belongs to, named by one of its
+    fingerprints."""
+    classes = materialize(prints.groupBy("_code").agg(
+        F.count(F.lit(1)).alias("class_size"), *[c.alias(n) for n, c in aggregates.items()]))
+    links = candidates(classes, "_code", "_code", segments, max_bits // segments, max_bits)
+    found = components(links.select("a", "b")).select(
+        F.col("node").alias("_code"), F.col("component").alias("_component"))
+    return materialize(classes.join(found, "_code", "left").withColumn(
+        "_component", F.coalesce("_component", "_code")))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     words_per_shingle: int = 4, max_bits: int = 4,
                     segments: int = 3) -> DataFrame:
@@ -146,18 +159,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     prints = materialize(docs.select(
         F.col(id_col).alias("_id"),
         fingerprint(F.col(text_col).cast("string"), words_per_shingle).alias("_code")))
-    classes = materialize(prints.groupBy("_code").agg(
-        F.min("_id").alias("_least"), F.count(F.lit(1)).alias("class_size")))
-    links = candidates(classes, "_code", "_code", segments, max_bits // segments, max_bits)
-    found = materialize(components(links.select("a", "b")))
-    roots = found.join(classes, found["node"] == classes["_code"]).groupBy("component").agg(
-        F.min("_least").alias("_root"))
-    linked = found.join(roots, "component").select(F.col("node").alias("_code"), "_root")
-    total = prints.count()
-    keyed = classes.join(linked, "_code", "left").select(
-        "_code", F.coalesce("_root", "_least").alias("component_id"), "class_size",
-        F.col("class_size").alias("_n"))
-    return lookup(prints, materialize(keyed), "_code", "_id", "_n", max(1, total)).select(
+    classes = linked_classes(prints, max_bits, segments, _least=F.min("_id"))
+    roots = classes.groupBy("_component").agg(F.min("_least").alias("component_id"))
+    keyed = classes.join(roots, "_component").select(
+        "_code", "component_id", "class_size", F.col("class_size").alias("_n"))
+    return lookup(prints, materialize(keyed), "_code", "_id", "_n", max(1, prints.count())).select(
         F.col("_id").alias(id_col),
         F.lower(F.lpad(F.hex("_code"), 16, "0")).alias("fingerprint"),
         "component_id", "class_size")
@@ -165,10 +171,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 words_per_shingle: int = 4, max_bits: int = 4, segments: int = 3) -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of their component, all
-    columns kept; rows that repeat id and text stay once."""
-    groups = near_duplicates(docs, id_col, text_col, words_per_shingle, max_bits, segments)
-    kept = groups.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(
-        F.col(id_col).alias("_kept_id")).distinct()
-    rows = docs.join(kept, docs[id_col].eqNullSafe(kept["_kept_id"]), "left_semi")
+    """One row of each component, all columns kept: that with the smallest id
+    (a null id comes last), of rows that share it that with the least text
+    hash; of rows that repeat id and text one."""
+    text = F.col(text_col).cast("string")
+    prints = materialize(docs.select(
+        F.struct(F.col(id_col).isNull().alias("last"), F.col(id_col).alias("id"),
+                 F.xxhash64(text).alias("h")).alias("_row"),
+        fingerprint(text, words_per_shingle).alias("_code")))
+    classes = linked_classes(prints, max_bits, segments, _first=F.min("_row"))
+    kept = classes.groupBy("_component").agg(F.min("_first").alias("first")).select(
+        F.col("first.id").alias("_kept_id"), F.col("first.h").alias("_kept_h"))
+    rows = docs.join(kept, docs[id_col].eqNullSafe(kept["_kept_id"])
+                     & (F.xxhash64(docs[text_col].cast("string")) == kept["_kept_h"]), "left_semi")
     return rows.dropDuplicates([id_col, text_col])

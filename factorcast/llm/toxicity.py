@@ -6,14 +6,16 @@ Near copies would lend weight to their chance words, so one text per family
 (equal least shingle hash) votes.  The lexicon is a trie intersected with
 Levenshtein automata, made deterministic state by state as words need it, so
 a misspelled term is found without comparing the word with every term.  Each
-hit is judged in its window: inside quotation marks of its line or after a
-word of reporting it is a mention, else it is direct.  A logistic regression
-over the hits weighs them; only the labelled sample teaches it.
+hit is judged in its window: inside a pair of quotation marks of its line, or
+after a word of reporting, it is a mention, else it is direct.  Marks pair by
+kind; one between letters is an apostrophe, one after a letter or digit opens
+nothing.  Words of reporting are learned as terms are, in any language: words
+before hits that clean texts have far more often than toxic ones.  A logistic
+regression over the hits weighs them; only the labelled sample teaches it.
 
-Bounds (documented parameters): about SAMPLE_TOXIC and SAMPLE_CLEAN labelled
-texts are drawn by a hash of the id; the lexicon has at most MAX_TERMS terms, besides
-words that its stems begin (in all at most 10 * MAX_TERMS).
-Scoring is map-only and reads whole texts.
+Bound (a documented parameter): about SAMPLE_TOXIC and SAMPLE_CLEAN labelled
+texts are drawn by a hash of the id.  Terms have no bound of their own: all that
+the sample gives evidence for are kept.  Scoring is map-only and reads whole texts.
 
 Defined results: null and empty texts have no hits and get the score of
 such texts; without labelled texts of both kinds every score is 0.
@@ -21,6 +23,7 @@ such texts; without labelled texts of both kinds every score is 0.
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -36,7 +39,6 @@ from factorcast.llm.common import materialize, pieces, uniform
 
 SAMPLE_TOXIC = 4_000
 SAMPLE_CLEAN = 8_000
-MAX_TERMS = 2_000
 STEMS = (4, 5, 6)
 LEAST_FAMILIES = 3       # toxic families that must share a term
 LEAST_RATIO = 20.0       # of a term's rate in toxic to that in clean texts
@@ -45,9 +47,10 @@ WINDOW = 80              # characters around a hit
 CACHE_ENTRIES = 100_000   # words whose match is kept per worker
 STATE_ENTRIES = 50_000    # states of the automaton kept per worker
 WORDS = re.compile(r"[^\W\d_]+")
-# Marks that open or close a quotation, and words of reporting.
-QUOTES = "\"“”„«»‘’"
-REPORTING = frozenset("said says wrote called calling term word quoted quote slur".split())
+REPORT_WORDS = 3         # words before a hit that may report it
+# Quotation marks that open, and the marks that may close each.
+CLOSED_BY = {'"': '"', "“": "”", "„": "“”", "«": "»", "»": "«", "‘": "’", "‚": "‘’"}
+MARKS = re.compile("[" + "".join(sorted(set("".join(CLOSED_BY) + "".join(CLOSED_BY.values())))) + "]")
 FEATURES = 6
 
 
@@ -67,8 +70,8 @@ class Lexicon:
     term below it allows that many errors.  When too many states are kept,
     all are forgotten and made anew."""
 
-    def __init__(self, words: list[str], stems: list[str]):
-        self.words, self.stems = words, stems
+    def __init__(self, words: list[str], stems: list[str], reporting: list[str] = ()):
+        self.words, self.stems, self.reporting = words, stems, frozenset(reporting)
         self.below: list[dict[str, int]] = [{}]
         self.word: list[int] = [0]          # letters of the word that ends here
         self.stem: list[bool] = [False]
@@ -172,23 +175,57 @@ class Lexicon:
             return [0.0] * (FEATURES - 1) + [1.0]
         hits = [(m.start(), m.end(), kind) for m in WORDS.finditer(low)
                 if (kind := match(m.group()))]
+        quoted = quotations(low)
         count, dense, first = [0, 0, 0, 0], 0, 0
         for i, (start, end, kind) in enumerate(hits):
-            count[(kind - 1) + 2 * self._mentioned(low, start, end)] += 1
+            mention = inside(quoted, start, end) or not self.reporting.isdisjoint(
+                words_before(low, start))
+            count[(kind - 1) + 2 * mention] += 1
             while hits[first][0] < start - WINDOW:
                 first += 1
             dense = max(dense, i - first)
         return [float(np.log1p(c)) for c in count] + [float(np.log1p(dense)), 1.0]
 
-    @staticmethod
-    def _mentioned(text: str, start: int, end: int) -> bool:
-        line = text.rfind("\n", 0, start) + 1
-        before = text[line:start]
-        after = text[end:end + WINDOW].split("\n", 1)[0]
-        opened = sum(before.count(q) for q in QUOTES) % 2 == 1
-        if opened and any(q in after for q in QUOTES):
-            return True
-        return any(w in REPORTING for w in WORDS.findall(before[-WINDOW:])[-3:])
+    def reported_by(self, text: str) -> set[str]:
+        """Words before the unquoted hits of a text."""
+        low = text.lower()
+        quoted, found = quotations(low), set()
+        for m in WORDS.finditer(low):
+            if self.match(m.group()) and not inside(quoted, m.start(), m.end()):
+                found.update(w for w in words_before(low, m.start()) if not self.match(w))
+        return found
+
+
+def quotations(text: str) -> list[tuple[int, int]]:
+    """(opening, closing) places of the paired quotation marks, each pair
+    within a line."""
+    pairs, opened = [], None
+    for m in MARKS.finditer(text):
+        at, mark = m.start(), m.group()
+        before, after = text[at - 1:at], text[at + 1:at + 2]
+        if before.isalnum() and after.isalpha():
+            continue
+        if opened is not None and text.find("\n", opened, at) >= 0:
+            opened = None
+        if opened is not None and mark in CLOSED_BY[text[opened]]:
+            pairs.append((opened, at))
+            opened = None
+        elif opened is None and mark in CLOSED_BY and not before.isalnum() and (
+                mark == "«" or after.strip()):
+            opened = at
+    return pairs
+
+
+def inside(pairs: list[tuple[int, int]], start: int, end: int) -> bool:
+    """Whether a hit lies within a pair that closes in its window."""
+    i = bisect.bisect_left(pairs, (start, 0)) - 1
+    return i >= 0 and end <= pairs[i][1] <= end + WINDOW
+
+
+def words_before(text: str, start: int) -> list[str]:
+    """The last words before a place, of its line and window."""
+    low = max(text.rfind("\n", 0, start) + 1, start - WINDOW)
+    return WORDS.findall(text[low:start])[-REPORT_WORDS:]
 
 
 def terms_of(text: str) -> set[str]:
@@ -231,24 +268,30 @@ def family(text: Column | str) -> Column:
     return least(text)
 
 
-def choose(rows: list[tuple[str, float]], max_terms: int = MAX_TERMS) -> Lexicon:
+def choose(rows: list[tuple[str, float]]) -> Lexicon:
     """The terms of (term, evidence) rows by evidence (whole words first when close).  A
     stem that a chosen stem begins or a chosen word continues is left out;
-    words that a chosen stem begins stay, for their misspellings, and do not
-    count among ``max_terms``."""
-    words, stems, begun, room = [], [], set(), max_terms
-    for term, _ in sorted(rows, key=lambda r: (-r[1] * (1.0 if r[0][-1] == "*" else 1.05),
-                                                      r[0])):
-        covered = any(term[:n] in stems for n in STEMS)
-        if term[-1] == "*":
-            if not covered and room and term[:-1] not in begun:
-                stems.append(term[:-1])
-                room -= 1
-        elif covered or room:
+    words that a chosen stem begins stay, for their misspellings."""
+    words, stems, begun = [], set(), set()
+    for term, _ in sorted(rows, key=lambda r: (-r[1] * (1.0 if r[0][-1] == "*" else 1.05), r[0])):
+        if term[-1] != "*":
             words.append(term)
             begun.update(term[:n] for n in STEMS)
-            room -= not covered
-    return Lexicon(words, stems)
+        elif term[:-1] not in begun and not any(term[:n] in stems for n in STEMS):
+            stems.add(term[:-1])
+    return Lexicon(words, sorted(stems))
+
+
+def telling(counts: DataFrame, mine: str, other: str, n_mine: int, n_other: int) -> DataFrame:
+    """Rows (term, mine, other) that tell one kind of texts: enough texts of
+    it, far above the other kind's rate, and with enough evidence (G squared)."""
+    a, b = F.col(mine), F.col(other)
+    share = (a + b) / (n_mine + n_other)
+    evidence = 2 * (a * F.log(a / n_mine / share) + F.when(
+        b > 0, b * F.log(b / n_other / share)).otherwise(0.0))
+    return counts.where((a >= LEAST_FAMILIES) & (
+        a / n_mine >= LEAST_RATIO * ((b + 0.5) / n_other))).withColumn(
+        "evidence", evidence).where(F.col("evidence") >= LEAST_EVIDENCE)
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, weight_decay: float = 0.05) -> np.ndarray:
@@ -291,19 +334,41 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     toxic, clean = families.get(1, 0), families.get(0, 0)
     if not toxic or not clean:
         return None
-    share = (F.col("toxic") + F.col("clean")) / (toxic + clean)
-    evidence = 2 * (F.col("toxic") * F.log(F.col("toxic") / toxic / share) + F.when(
-        F.col("clean") > 0, F.col("clean") * F.log(F.col("clean") / clean / share)).otherwise(0.0))
-    rows = count_terms(once).withColumn("evidence", evidence).where(
-        (F.col("toxic") >= LEAST_FAMILIES) & ((F.col("toxic") / toxic) >= LEAST_RATIO * (
-            (F.col("clean") + 0.5) / clean))).where(F.col("evidence") >= LEAST_EVIDENCE).orderBy(
-        F.desc("evidence"), "term").limit(10 * MAX_TERMS).collect()
+    # terms of a bounded sample
+    rows = telling(count_terms(once), "toxic", "clean", toxic, clean).collect()
     lexicon = choose([(r["term"], r["evidence"]) for r in rows])
+    lexicon = Lexicon(lexicon.words, lexicon.stems, reporting_words(once, lexicon))
     shown = once.select("toxic", hits(docs.sparkSession, F.col("text"), lexicon).alias("x")).collect()
     x, y = np.array([r["x"] for r in shown]), np.array([r["toxic"] for r in shown], float)
     return lexicon, fit_logistic(x, y)
 
 
+def reporting_words(sample: DataFrame, lexicon: Lexicon) -> list[str]:
+    """Words that stand before unquoted hits in clean texts far more often
+    than in toxic ones, by the same measure as terms."""
+    shipped = sample.sparkSession.sparkContext.broadcast(_parts(lexicon))
+
+    @F.arrow_udf("array<string>")
+    def before(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        own = _rebuilt(shipped)
+        for batch in pieces(batches):
+            yield pa.array([sorted(own.reported_by(v.as_py() or "")) for v in batch],
+                           pa.list_(pa.string()))
+
+    hit = materialize(sample.select("toxic", before("text").alias("words")).where(F.size("words") > 0))
+    texts = {r["toxic"]: r["n"] for r in
+             hit.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if not texts.get(0) or not texts.get(1):
+        return []
+    counts = hit.select("toxic", F.explode("words").alias("term")).groupBy("term").agg(
+        F.count_if(F.col("toxic") == 0).alias("clean"), F.count_if(F.col("toxic") == 1).alias("toxic"))
+    return sorted(r["term"] for r in telling(counts, "clean", "toxic", texts[0], texts[1]).collect())
+
+
+def _parts(lexicon: Lexicon) -> tuple[list[str], list[str], list[str]]:
+    return lexicon.words, lexicon.stems, sorted(lexicon.reporting)
+
+
 _LEXICONS: dict[tuple, Lexicon] = {}     # the latest only, with its cache of words
 
 
@@ -317,7 +382,7 @@ def _rebuilt(shipped) -> Lexicon:
 
 def hits(spark: SparkSession, text: Column, lexicon: Lexicon) -> Column:
     """Column of the feature list of every text."""
-    shipped = spark.sparkContext.broadcast((lexicon.words, lexicon.stems))
+    shipped = spark.sparkContext.broadcast(_parts(lexicon))
 
     @F.arrow_udf("array<double>")
     def found(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -334,7 +399,7 @@ def score(spark: SparkSession, text: Column, model: tuple[Lexicon, np.ndarray] |
     if model is None:
         return F.lit(0.0)
     lexicon, weights = model
-    shipped = spark.sparkContext.broadcast((lexicon.words, lexicon.stems))
+    shipped = spark.sparkContext.broadcast(_parts(lexicon))
 
     @F.arrow_udf("double")
     def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
