@@ -16,16 +16,19 @@ from factorcast.llm import bpe, langid, mixing, simhash, toxicity
 from factorcast.llm.common import fresh, scratch_path, table
 
 LANGUAGE_SCORE = 0.5      # texts without a clearly likeliest language go
+LANGUAGE_BITS = 8.0       # a byte: a text that its best language codes no shorter than raw bytes goes
 TOXIC_SCORE = 0.5
 
 
 def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language the PPM trees recognise; null texts and texts
-    without a letter go.  The trees learn from the labelled documents in docs."""
+    """Documents whose language the PPM trees recognise; null texts, texts
+    without a letter, and texts of no learned language or script (their best
+    code is no shorter than the bytes themselves) go.  The trees learn from the
+    labelled documents in docs."""
     marked, name = langid.with_language(docs, langid.train(docs))
     found = F.col(name)
     return marked.where((found["lang"] != langid.UNKNOWN) & (found["score"] >= LANGUAGE_SCORE)
-                        ).select(*[F.col(f"`{c}`") for c in docs.columns])
+                        & (found["rate"] < LANGUAGE_BITS)).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,7 +41,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash component: that with the smallest id."""
+    """One document of each SimHash component: that with the smallest id, among
+    equal or null ids that with the least text hash."""
     return simhash.deduplicate(docs)
 
 
