@@ -77,8 +77,7 @@ class Catalogue:
         rows = int(pf.sparkSession.conf.get(BUCKET_CONF, str(DEFAULT_BUCKET)))
         short = -F.sqrt(dot("f", "f", k))
         ranked = global_index(pf.select("id", "f", short.alias("short")), ["short", "id"], "at")
-        products = materialize(ranked.select(
-            F.floor(F.col("at") / rows).cast("int").alias("bucket"), "id", "f", "short"))
+        products = ranked.select(F.floor(F.col("at") / rows).cast("int").alias("bucket"), "id", "f", "short")
         longest = products.groupBy("bucket").agg(F.max(-F.col("short")).alias("n")).collect()
         return Catalogue(products.drop("short"), np.array([r["n"] for r in sorted(longest)]))
 

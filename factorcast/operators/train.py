@@ -335,9 +335,10 @@ def block_sgd_table(train: DataFrame, facs: DataFrame, k: int, epochs: int, gamm
                     order_cols: list[str] | None = None, steps_per_row: int = 1,
                     shuffle: bool = True, seed: int = config.SEED, implicit: bool = False,
                     keys: list[str] | None = None, score_id: str | None = None,
-                    trail: bool = False):
+                    trail: bool = False, restage: bool = True):
     """L2 on a combined factor table; returns the new combined table
-    (see ``block_sgd``).  With ``score_id`` (a nullable long column) returns
+    (see ``block_sgd``).  ``restage``: write the rows by stratum first; without,
+    each stratum scans all of them, which suits a micro-batch.  With ``score_id`` (a nullable long column) returns
     (table, scores): scores holds (keys, score_id, score), the score before
     the row's own update, of every visit whose ``score_id`` is not null; with
     ``trail`` also (before, after), the user's vector before and the
@@ -354,7 +355,7 @@ def block_sgd_table(train: DataFrame, facs: DataFrame, k: int, epochs: int, gamm
                       *[c for c in dict.fromkeys(order_names + [score_id or "user"]) if c not in base])
     stratum = F.pmod(block_of("product", d) - block_of("user", d), F.lit(d))
     tr = tr.withColumn("g", block_of("user", d)).withColumn("stratum", stratum)
-    if d > 1 or epochs > 1:
+    if restage and (d > 1 or epochs > 1):
         # written once by stratum, so that a stratum reads its own rows only
         path = scratch_path(spark, "strata")
         tr.write.partitionBy("stratum").parquet(path)
@@ -478,7 +479,8 @@ def score_and_learn(batch: DataFrame, facs: DataFrame, k: int, steps: int, gamma
     are visited stratum by stratum, so a row may be scored after a later
     row of its own micro-batch, never of a later one."""
     return block_sgd_table(batch, facs, k, 1, gamma_u, gamma_i, lam, blocks, order_cols, steps,
-                           False, implicit=implicit, keys=keys, score_id=score_id, trail=trail)
+                           False, implicit=implicit, keys=keys, score_id=score_id, trail=trail,
+                           restage=False)
 
 
 # ---------------------------------------------------------------- L5
