@@ -34,12 +34,6 @@ def axpy(alpha, x, y, k: int) -> Column:
     return F.array(*[y.getItem(j) + alpha * x.getItem(j) for j in range(k)])
 
 
-def scale(alpha, x, k: int) -> Column:
-    alpha = alpha if isinstance(alpha, Column) else F.lit(float(alpha))
-    x = _c(x)
-    return F.array(*[alpha * x.getItem(j) for j in range(k)])
-
-
 def prediction_error(rating, uf, pf, k: int) -> Column:
     """e = r - uf . pf."""
     return _c(rating) - dot(uf, pf, k)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from factorcast import config
 from factorcast.operators.history import drop_not_applicable, last_k_buffer, mark_first_seen
 from factorcast.operators.metrics import rmse, round_metric
 from factorcast.operators.recall import recall_along_trail
-from factorcast.session import materialize
+from factorcast.session import broadcast_max_bytes, factor_row_bytes, materialize
 from factorcast.functions.vectors import cold_start_prediction, is_cold
 from factorcast.operators.ordering import block_bounds, global_index, holdout_split, time_blocks
 from factorcast.operators.recommend import predict
@@ -52,27 +54,38 @@ def eval_expanding(ratings: DataFrame, order_cols: list[str], k: int = 8, epochs
     """For every round i = 1..n_blocks-1 a *fresh* model trained on
     blocks [0, i) predicts block i (``trainer`` as in ``eval_holdout``).
 
-    All rounds train side by side as one keyed model (round is part of the
+    Rounds train side by side as keyed models (round is part of the
     factor-table key): a rating of block b is offered to rounds b+1.. by
-    ``explode`` (no join), so the 49 retrains are T jobs instead of 49*T.
-    The replicated volume is what the protocol costs anyway (sum of
-    prefixes); returns (round, lo, hi, n, unknown, rmse), a round without
-    test rows having n = 0 and a null rmse."""
+    ``explode`` (no join), so the 49 retrains are a few jobs an epoch.  The
+    replicated volume is what the protocol costs anyway (sum of prefixes).
+    Rounds are taken in groups whose keyed product tables fit the broadcast
+    limit, so that the replicated ratings do not move to meet them; if one
+    round's does not fit, all rounds go in one group.  Returns (round, lo, hi,
+    n, unknown, rmse), a round without test rows having n = 0 and a null rmse."""
     spark = ratings.sparkSession
     ix = global_index(ratings, order_cols)
     n = ix.count()
     b = time_blocks(ix, n, n_blocks=n_blocks).where(F.col("block").isNotNull())
-    train = (b.where(F.col("block") < n_blocks - 1)
-             .select(F.explode(F.sequence(F.col("block") + 1, F.lit(n_blocks - 1).cast("long"))).alias("round"),
-                     "idx", "user", "product", "rating"))
-    test = b.where(F.col("block") >= 1).select(F.col("block").alias("round"), "user", "product", "rating")
-    uf, pf = _trained(train, trainer, k, epochs, gamma, lam, ["idx"], blocks, seed, ["round"])
-    u = uf.select("round", F.col("id").alias("user"), F.col("f").alias("uf"))
-    p = pf.select("round", F.col("id").alias("product"), F.col("f").alias("pf"))
-    pred = (test.join(u, ["round", "user"], "left").join(p, ["round", "product"], "left")
-            .withColumn("prediction", cold_start_prediction("uf", "pf", k))
-            .withColumn("is_cold", is_cold("uf", "pf")))
-    return _every_round(rmse(pred, group_cols=["round"]), spark, n, n_blocks)
+    products = b.select("product").distinct().count()
+    fit = broadcast_max_bytes(spark) // max(1, products * factor_row_bytes(k))
+    size = fit if 1 <= fit else n_blocks
+    found = []
+    for lo in range(1, n_blocks, size):
+        hi = min(lo + size, n_blocks) - 1
+        rounds = F.sequence(F.greatest(F.col("block") + 1, F.lit(lo).cast("long")), F.lit(hi).cast("long"))
+        train = b.where(F.col("block") < hi).select(
+            F.explode(rounds).alias("round"), "idx", "user", "product", "rating")
+        test = b.where(F.col("block").between(lo, hi)).select(
+            F.col("block").alias("round"), "user", "product", "rating")
+        uf, pf = _trained(train, trainer, k, epochs, gamma, lam, ["idx"], blocks, seed, ["round"])
+        u = uf.select("round", F.col("id").alias("user"), F.col("f").alias("uf"))
+        p = pf.select("round", F.col("id").alias("product"), F.col("f").alias("pf"))
+        pred = (test.join(u, ["round", "user"], "left").join(p, ["round", "product"], "left")
+                .withColumn("prediction", cold_start_prediction("uf", "pf", k))
+                .withColumn("is_cold", is_cold("uf", "pf")))
+        found.append(materialize(rmse(pred, group_cols=["round"])))
+    # at most one frame a round, of one row a round
+    return _every_round(reduce(DataFrame.unionByName, found), spark, n, n_blocks)
 
 
 # ---------------------------------------------------------------- online protocols

@@ -340,3 +340,20 @@ def test_user_fold_in_splits_a_user(spark, monkeypatch, chunk, buffer):
         spark.conf.unset(TR.FOLD_CHUNK_CONF)
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     _close(got, want)
+
+
+def test_expanding_rounds_in_groups(spark, fx):
+    """Rounds trained in groups that fit the broadcast limit: same metrics."""
+    rows = fx.withColumn("ts", F.col("idx"))
+
+    def run(limit):
+        spark.conf.set("factorcast.broadcastMaxBytes", limit)
+        try:
+            m = P.eval_expanding(rows, ["ts", "idx"], K, 2, GU, LAM, n_blocks=6).collect()
+        finally:
+            spark.conf.unset("factorcast.broadcastMaxBytes")
+        return sorted((r["round"], r.lo, r.hi, r.n, r.unknown, round(r.rmse, 12)) for r in m)
+
+    per_round = 4 * (40 + 8 * K)          # four products
+    one = run(str(1 << 26))
+    assert len(one) == 5 and run(str(per_round)) == run(str(2 * per_round)) == run("10") == one
