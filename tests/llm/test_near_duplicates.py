@@ -172,3 +172,32 @@ def test_query_recall_on_table(spark):
     got = itq.near_vectors(df).agg(F.sum("n_links")).first()[0]
     assert want > 100 and 0.9 * want <= got <= want
     assert queries.op6_itq(spark, sf).count() == len(rows)
+
+
+def test_one_row_of_each_component_stays(spark):
+    """Rows that share an id, rows without one, and copies of either: one row a
+    component, that of the smallest id (null last), then of the least text hash."""
+    rng = random.Random(9)
+    words = ["".join(rng.choices("abcdefgh", k=5)) for _ in range(400)]
+    a, b, c = (" ".join(words[i:i + 100]) for i in (0, 120, 240))
+    near = b + " " + words[130]
+    rows = [(5, a), (5, b), (3, b), (None, c), (None, c + " x"), (None, a), (9, c), (5, near), (3, b)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("first", F.lit("clash"))
+    kept = sorted((r["doc_id"], r["text"]) for r in simhash.deduplicate(df, max_bits=12).collect())
+    assert kept == sorted([(5, a), (3, b), (9, c)])
+    alone = spark.createDataFrame([(None, c), (None, c + " x"), (None, c)], "doc_id long, text string")
+    assert simhash.deduplicate(alone, max_bits=12).count() == 1
+
+
+def test_rows_of_hot_keys_are_dealt_by_more_than_the_key(spark):
+    keyed = spark.createDataFrame([(i, i * 10, 900 if i == 0 else 1) for i in range(100)],
+                                  "k long, v long, n long")
+    rows = spark.range(1000).select(F.when(F.col("id") < 900, 0).otherwise(F.col("id") - 900)
+                                    .cast("long").alias("k"), F.col("id").alias("u"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = lookup(rows, keyed, "k", "u", "n", 999)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("_spread") > 2 and "hashpartitioning(k" in plan
+    assert not any("hashpartitioning(k" in line and "_spread" not in line for line in plan.splitlines())
