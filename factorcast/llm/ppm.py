@@ -33,7 +33,6 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections import Counter
 from collections.abc import Iterator
 from itertools import chain
 
@@ -167,37 +166,49 @@ def windows(group: list[Piece]) -> tuple[np.ndarray, np.ndarray]:
     return grams[valid], lengths - ORDER
 
 
-def vocabulary(group: Iterator[Piece]) -> tuple[np.ndarray, np.ndarray, Counter]:
-    """Distinct windows with their training counts, and words likewise."""
-    held, words, rows, limit = [], Counter(), 0, SLICE_BYTES
+class Counts:
+    """Distinct values with their sums, added up from coded pieces; what is
+    held stays within twice the distinct values (or SLICE_BYTES)."""
+
+    def __init__(self):
+        self.held: list[tuple[pa.Array, np.ndarray]] = []
+        self.rows, self.limit = 0, SLICE_BYTES
+
+    def add(self, values: pa.Array, weights: np.ndarray) -> None:
+        coded = values.dictionary_encode()
+        n = np.bincount(coded.indices.to_numpy(), weights, len(coded.dictionary)).astype(np.int64)
+        self.held.append((coded.dictionary, n))
+        self.rows += len(n)
+        if self.rows > self.limit:
+            self.merge()
+            self.limit = max(SLICE_BYTES, 2 * self.rows)
+
+    def merge(self) -> None:
+        values, weights = zip(*self.held)
+        self.held, self.rows = [], 0
+        coded = pa.concat_arrays(values).dictionary_encode()
+        n = np.bincount(coded.indices.to_numpy(), np.concatenate(weights), len(coded.dictionary))
+        self.held, self.rows = [(coded.dictionary, n.astype(np.int64))], len(n)
 
-    def merged() -> list:
-        grams = np.concatenate([g for g, _ in held])
-        order = np.argsort(grams, kind="stable")
-        grams, n = grams[order], np.concatenate([c for _, c in held])[order]
-        first = np.flatnonzero(np.r_[True, grams[1:] != grams[:-1]])
-        return [(grams[first], np.add.reduceat(n, first))]
+    def batches(self, rows: int = 1 << 16) -> Iterator[tuple[pa.Array, pa.Array]]:
+        if self.held:
+            self.merge()
+            values, n = self.held[0]
+            for at in range(0, len(n), rows):
+                yield values.slice(at, rows), pa.array(n[at:at + rows])
 
+
+def vocabulary(group: Iterator[Piece]) -> tuple[Counts, Counts]:
+    """Distinct windows with their training counts, and words likewise."""
+    grams, words = Counts(), Counts()
     for part in slices(group):
-        grams, sizes = windows(part)
-        coded = pa.array(grams).dictionary_encode()
-        seen = coded.dictionary.to_numpy()
-        weight = np.repeat([p.train for p in part], sizes).astype(np.float64)
-        n = np.bincount(coded.indices.to_numpy(), weight, len(seen)).astype(np.int64)
-        held.append((seen, n))
-        rows += len(seen)
-        if rows > limit:
-            held = merged()
-            rows = len(held[0][0])
-            limit = max(SLICE_BYTES, 2 * rows)
-        for p in part:
-            if p.train:
-                words.update(p.words())
-            else:
-                words.update(dict.fromkeys(p.words(), 0))
-    if not held:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), words
-    return *merged()[0], words
+        train = np.array([p.train for p in part], float)
+        found, sizes = windows(part)
+        grams.add(pa.array(found), np.repeat(train, sizes))
+        spoken = [p.words() for p in part]
+        words.add(pa.array(list(chain.from_iterable(spoken)), pa.binary()),
+                  np.repeat(train, [len(w) for w in spoken]))
+    return grams, words
 
 
 # ---------------------------------------------------------------- the trie
@@ -321,20 +332,15 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
     placed = place(docs, train, id_col, text_col, piece_bytes, unit_bytes)
 
     def send(key: tuple[pa.Scalar, ...], group: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams, n, words = vocabulary(chain.from_iterable(read_pieces(b) for b in group))
-        unit = key[0].as_py()
-        for at in range(0, len(grams), 1 << 16):
-            g, c = grams[at:at + (1 << 16)], n[at:at + (1 << 16)]
+        grams, words = vocabulary(chain.from_iterable(read_pieces(b) for b in group))
+        unit, names = key[0].as_py(), ["unit", "gram", "word", "n"]
+        for gram, n in grams.batches():
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(g), unit, np.int32)), pa.array(g),
-                 pa.nulls(len(g), pa.binary()), pa.array(c)], ["unit", "gram", "word", "n"])
-        names = list(words)
-        for at in range(0, len(names), 1 << 14):
-            w = names[at:at + (1 << 14)]
+                [pa.array(np.full(len(n), unit, np.int32)), gram, pa.nulls(len(n), pa.binary()), n], names)
+        for word, n in words.batches():
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(w), unit, np.int32)), pa.nulls(len(w), pa.int64()),
-                 pa.array(w, pa.binary()), pa.array([words[x] for x in w], pa.int64())],
-                ["unit", "gram", "word", "n"])
+                [pa.array(np.full(len(n), unit, np.int32)), pa.nulls(len(n), pa.int64()), word, n], names)
+        pa.default_memory_pool().release_unused()
 
     path = scratch_path(spark, "ppm-vocabulary")
     placed.groupBy("unit").applyInArrow(
