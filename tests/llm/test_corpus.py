@@ -1,4 +1,5 @@
 """Archives, toxicity, fingerprints, mixing, language, sharding and the pipeline."""
+import gzip
 import hashlib
 import math
 import random
@@ -78,6 +79,82 @@ def test_arc_versions_dates_and_errors():
         warc.iso_date("96")
 
 
+def test_revisits_name_a_record_of_the_archive(spark):
+    """Target URLs stay as given, each record has its own identifier, and a
+    revisit's record identifier, URL and date are those of its response."""
+    url = "https://h.example/en/7?a=b#top"
+    df = spark.createDataFrame([(1, "http://a/", "<p>one</p>"), (4, url, "<p>one</p>"),
+                                (4, url, "<p>one</p>"), (2, None, "<p>one</p>"),
+                                (None, "http://n", "<p>one</p>"), (9, "http://z", "other")],
+                               "page_id long, url string, html string")
+    rows = warc.convert(df).collect()
+    by_id = {r["record_id"]: r for r in rows}
+    assert len(by_id) == len(rows) == 6
+    assert sorted(r["uri"] for r in rows) == sorted(
+        ["http://a/", url, url, "urn:page:2", "http://n", "http://z"])
+    again = [r for r in rows if r["record_type"] == "revisit"]
+    assert sorted(str(r["page_id"]) for r in again) == ["1", "2", "None"]
+    for r in again:
+        response = by_id[r["refers_to_id"]]
+        assert response["record_type"] == "response" and response["page_id"] == r["refers_to"] == 4
+        assert (response["uri"], response["warc_date"]) == (r["refers_to_uri"], r["refers_to_date"])
+        assert response["payload_digest"] == r["payload_digest"]
+
+
+def test_one_gzip_member_a_record(spark, monkeypatch):
+    """Every record is a gzip member of its own; files close after FILE_CHUNKS pieces."""
+    monkeypatch.setattr(warc, "FILE_CHUNKS", 1)
+    rng = random.Random(3)
+    html = ["".join(rng.choices("abcdefghijklmnop", k=3_000_000)) for _ in range(6)]
+    df = spark.createDataFrame(list(enumerate(["", "x", "<p>é</p>", *html])),
+                               "page_id long, html string").withColumn(
+        "url", F.lit("http://h/")).coalesce(1)
+    path = f"{ensure_checkpoint_dir(spark)}/warc-members"
+    rows = warc.convert(df, path).collect()
+    assert sorted(r["page_id"] for r in rows) == list(range(9))
+    files = [r[0] for r in spark.read.format("binaryFile").load(path).select("content").collect()]
+    assert len(files) > 1
+    records = []
+    for data in files:
+        while data:
+            member = zlib.decompressobj(31)
+            text = member.decompress(bytes(data)) + member.flush()
+            data = member.unused_data
+            if text:
+                records += list(warc.parse_warc(text))
+                assert text.count(b"WARC-Record-ID: ") == 1
+    assert sorted(r[0] for r in records) == list(range(9))
+
+
+def test_arc_files_to_warc(spark, tmp_path):
+    """Foreign ARC files, gzipped and plain, of both versions, read from a folder."""
+    one = "1 0 org\nURL IP-address Archive-date Content-type Archive-length\n\n"
+    two = ("2 0 org\nURL IP-address Archive-date Content-type Result-code Checksum Location "
+           "Offset Filename Archive-length\n\n")
+    page = "HTTP/1.0 200 OK\r\n\r\nhello"
+    first = (f"filedesc://a.arc 0.0.0.0 1996 text/plain {len(one)}\n{one}\n"
+             f"http://h/ 1.2.3.4 19960923142103 text/html {len(page)}\n{page}\n"
+             "dns:h 1.2.3.4 1996 text/dns 4\nh A1\n")
+    second = (f"filedesc://b.arc 0.0.0.0 1999 text/plain 200 - - 0 b.arc {len(two)}\n{two}\n"
+              f"http://i/ 5.6.7.8 199912 text/html 200 - - 0 b.arc {len(page)}\n{page}\n")
+    (tmp_path / "a.arc.gz").write_bytes(gzip.compress(first.encode()))
+    (tmp_path / "b.arc").write_bytes(second.encode())
+    found = {r["uri"]: r for r in warc.read_arc(spark, str(tmp_path)).collect()}
+    assert {u: (r["warc_type"], r["warc_date"], r["page_id"]) for u, r in found.items()} == {
+        "http://h/": ("response", "1996-09-23T14:21:03Z", None),
+        "dns:h": ("resource", "1996-01-01T00:00:00Z", None),
+        "http://i/": ("response", "1999-12-01T00:00:00Z", None)}
+    path = f"{ensure_checkpoint_dir(spark)}/warc-foreign"
+    warc.convert_arcs(spark.read.format("binaryFile").load(str(tmp_path)), path, "content")
+    back = {r["uri"]: r for r in warc.read_warc(spark, path).collect()}
+    assert {u: bytes(r["block"]) for u, r in back.items()} == {
+        "http://h/": page.encode(), "dns:h": b"h A1", "http://i/": page[:-5].encode()}
+    assert back["http://i/"]["record_type"] == "revisit"
+    assert back["http://i/"]["refers_to_uri"] == "http://h/"
+    assert {u: r["record_id"] for u, r in back.items()} == {
+        u: r["record_id"] for u, r in found.items()}
+
+
 # toxicity
 def test_levenshtein_walk_equals_edit_distance():
     def distance(a, b):
