@@ -339,7 +339,7 @@ def convert_arcs(archives: DataFrame, path: str, arc_col: str = "arc",
     """ARC archives (a binary column) -> WARC archives below ``path``; parsed once."""
     spark = archives.sparkSession
     parsed = scratch_path(spark, "arc")
-    arc_records(archives, arc_col).write.parquet(parsed)
+    arc_records(archives, arc_col).write.option("compression", "zstd").parquet(parsed)
     write_warc(spark.read.parquet(parsed), path, min_bytes)
 
 
