@@ -156,6 +156,44 @@ def test_itq_edges(spark):
     assert itq.near_vectors(df.where("vec_id = 900")).count() == 1
 
 
+@pytest.mark.parametrize("dims", [16, 64, 96])
+def test_recall_exactly_at_the_threshold(spark, dims):
+    """Pairs planted at a cosine of 0.9 (and a trifle) are found at a rate of 0.9 or more."""
+    rng = np.random.default_rng(dims)
+    m = rng.standard_normal((900, dims))
+    u = m / np.linalg.norm(m, axis=1, keepdims=True)
+    side = rng.standard_normal(u.shape)
+    side -= (side * u).sum(axis=1, keepdims=True) * u
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    cos = 0.9 + 1e-9
+    both = np.r_[u, cos * u + np.sqrt(1 - cos * cos) * side]
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(both)],
+                               "vec_id long, embedding array<double>")
+    got = itq.near_vectors(df).agg(F.sum("n_links")).first()[0]
+    want = int((both @ both.T >= 0.9).sum()) - len(both)
+    assert want >= 1800 and 0.9 * want <= got <= want
+
+
+def test_tables_keep_chance_candidates_bounded():
+    """Random vectors meet at most some (width + 1) / 16 others a table, whatever their number."""
+    for n in (1, 100, 10 ** 4, 10 ** 6, 10 ** 8, 10 ** 10):
+        tables, width = itq.plan_tables(n, 0.9, 0.95, 1)
+        assert n * (width + 1) / 2 ** width <= (width + 1) / 16
+        assert width < itq.TABLE_BIT and tables < 1 << (62 - itq.TABLE_BIT)
+    assert itq.plan_tables(100, 1.0, 0.95, 0) == (1, 16)
+    assert itq.plan_tables(10 ** 8, 0.9, 0.95, 1)[0] < 8 * itq.plan_tables(10 ** 4, 0.9, 0.95, 1)[0]
+
+
+def test_retrieved_pairs_equal_brute_force(spark):
+    rng = random.Random(4)
+    codes = [[rng.getrandbits(8) + (t << itq.TABLE_BIT) for t in range(3)] for _ in range(120)]
+    df = spark.createDataFrame(list(enumerate(codes)), "_class long, _cells array<long>")
+    for radius in (0, 1, 2):
+        got = [(r["a"], r["b"]) for r in itq.retrieve(df, 8, radius).collect()]
+        assert sorted(got) == [(i, j) for i in range(120) for j in range(i + 1, 120) if any(
+            (x ^ y).bit_count() <= radius for x, y in zip(codes[i], codes[j]))]
+
+
 def test_query_recall_on_table(spark):
     """Recall on the given table against brute force, at least 0.9."""
     sf = "/root/testdata/sf0.1"
