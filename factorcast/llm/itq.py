@@ -9,8 +9,9 @@ original vectors in double precision: none below the threshold is linked.
 Equal vectors are one class first, so copies are never paired.
 
 Scale: a segment is SPARE_BITS wider than log2 of the number of different
-vectors (:func:`plan_tables`), so a vector meets a bounded number of chance
-candidates in each table, and there are as many tables as the stated recall
+vectors (:func:`plan_tables`), so where codes are spread evenly a vector meets a
+bounded number of chance candidates in each table (groups of near vectors
+meet more), and there are as many tables as the stated recall
 takes for a pair exactly at the threshold; their number grows as a small
 power of the vectors.  Pairs that do lie within the threshold are all made,
 as ``n_links`` counts them.
