@@ -357,3 +357,29 @@ def test_expanding_rounds_in_groups(spark, fx):
     per_round = 4 * (40 + 8 * K)          # four products
     one = run(str(1 << 26))
     assert len(one) == 5 and run(str(per_round)) == run(str(2 * per_round)) == run("10") == one
+
+
+def test_strata_of_an_epoch_are_one_job_without_null_vectors(spark, fx, monkeypatch):
+    """One checkpoint an epoch, not one a stratum; scores pass through later
+    strata; ratings travel with empty vectors (runs of null arrays take
+    quadratic time to write to Arrow)."""
+    kept, stream = [], TR._block_stream
+
+    def watched(*args, **kw):
+        learn, schema = stream(*args, **kw)
+
+        def checked(batches):
+            def whole():
+                for batch in batches:
+                    assert batch.column("f").null_count == 0
+                    yield batch
+            yield from learn(whole())
+        return checked, schema
+
+    monkeypatch.setattr(TR, "_block_stream", watched)
+    materialize = TR.materialize
+    monkeypatch.setattr(TR, "materialize", lambda df, *a, **kw: kept.append(1) or materialize(df, *a, **kw))
+    none = TR.combine_factors(None, None, spark)
+    facs, scores = TR.block_sgd_table(fx, none, K, 2, GU, GI, LAM, 4, ["idx"], shuffle=False, score_id="idx")
+    assert len(kept) == 2
+    assert facs.count() == 7 and scores.count() == 2 * len(ROWS)
