@@ -18,6 +18,9 @@ from factorcast.llm.common import fresh, scratch_path, table
 LANGUAGE_SCORE = 0.5      # texts without a clearly likeliest language go
 LANGUAGE_BITS = 8.0       # a byte: a text that its best language codes no shorter than raw bytes goes
 TOXIC_SCORE = 0.5
+# encoding runs in workers that still hold what the stages before left there
+ENCODING_CACHE = 16 << 20
+ENCODING_ROWS = 100
 
 
 def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,7 +59,7 @@ def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     whether decoding them gives the text's bytes again."""
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
     coded = docs.select("doc_id", "source", "text", bpe.encode_decode(
-        spark, F.col("text"), ranks, public_tokenizers.PATTERN).alias("both"))
+        spark, F.col("text"), ranks, public_tokenizers.PATTERN, ENCODING_CACHE, ENCODING_ROWS).alias("both"))
     return coded.select(
         "doc_id", "source", F.size("both.ids").cast("long").alias("n_tokens"), "both.ids",
         (F.col("both.decoded") == F.coalesce("text", F.lit("")).cast("binary"))

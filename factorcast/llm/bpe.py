@@ -94,8 +94,9 @@ class PerfectHash:
 class Encoder(dict):
     """Pre-token -> tuple of ids; a missing one is worked out and kept."""
 
-    def __init__(self, tokens: list[bytes], pattern: str):
+    def __init__(self, tokens: list[bytes], pattern: str, cache_bytes: int = CACHE_BYTES):
         super().__init__()
+        self.cache_bytes = cache_bytes
         self.tokens = tokens
         self.whole = PerfectHash(tokens)
         rank = {t: i for i, t in enumerate(tokens)}
@@ -123,7 +124,7 @@ class Encoder(dict):
         if len(word) <= CACHED_CHARS:
             # text, tuple, and their places in the dictionary
             self.held += 200 + 4 * len(word) + 8 * len(ids)
-            if 2 * self.held > CACHE_BYTES:
+            if 2 * self.held > self.cache_bytes:
                 self.older = dict(self)
                 self.clear()
                 self.held = 0
@@ -173,13 +174,13 @@ class Encoder(dict):
         return list(chain.from_iterable(map(self.__getitem__, self.split(text))))
 
 
-_ENCODERS: dict[tuple[str, str], Encoder] = {}
+_ENCODERS: dict[tuple[str, str, int], Encoder] = {}
 
 
-def _encoder(raw: bytes, pattern: str) -> Encoder:
-    key = (xxhash.xxh3_64_hexdigest(raw), pattern)
+def _encoder(raw: bytes, pattern: str, cache_bytes: int = CACHE_BYTES) -> Encoder:
+    key = (xxhash.xxh3_64_hexdigest(raw), pattern, cache_bytes)
     if key not in _ENCODERS:
-        _ENCODERS[key] = Encoder(read_ranks(raw), pattern)
+        _ENCODERS[key] = Encoder(read_ranks(raw), pattern, cache_bytes)
     return _ENCODERS[key]
 
 
@@ -232,15 +233,16 @@ def decode(spark: SparkSession, ids: Column | str, ranks_path: str) -> Column:
 
 
 def encode_decode(spark: SparkSession, text: Column | str, ranks_path: str,
-                  pattern: str) -> Column:
+                  pattern: str, cache_bytes: int = CACHE_BYTES, rows: int = 1000) -> Column:
     """Column struct<ids, decoded>: each text's ids, and the bytes that these
-    ids decode to; both in one worker, so that ids do not travel twice."""
+    ids decode to; both in one worker, so that ids do not travel twice.  A
+    worker keeps ``cache_bytes`` of pre-tokens and the lists of ``rows`` texts."""
     shipped = _shipped(spark, ranks_path)
 
     @F.arrow_udf("ids array<int>, decoded binary")
     def both(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        enc = _encoder(shipped.value, pattern)
-        for batch in pieces(batches):
+        enc = _encoder(shipped.value, pattern, cache_bytes)
+        for batch in pieces(batches, rows):
             lists = _encoded(enc, batch)
             raw = pa.array([_decoded(enc.tokens, x) for x in lists], pa.binary())
             yield pa.StructArray.from_arrays([_lists(lists), raw], ["ids", "decoded"])

@@ -103,3 +103,14 @@ def test_queries_equal_library(spark, docs):
         n = len(PIECES.encode(texts[r["doc_id"]]))
         assert (r["n_tokens"], r["over_limit"]) == (n, n > 4096)
         assert r["n_bytes"] == len(texts[r["doc_id"]].encode())
+
+
+def test_encoder_keeps_no_more_than_its_cache():
+    import public_tokenizers
+    from factorcast.llm import bpe
+    with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
+        tokens = bpe.read_ranks(f.read())
+    small = bpe.Encoder(tokens, public_tokenizers.PATTERN, cache_bytes=20_000)
+    text = " ".join(f"word{i}" for i in range(5_000))
+    assert small.encode(text) == bpe.Encoder(tokens, public_tokenizers.PATTERN).encode(text)
+    assert len(small) + len(small.older) <= 20_000 // 200

@@ -383,3 +383,13 @@ def test_strata_of_an_epoch_are_one_job_without_null_vectors(spark, fx, monkeypa
     facs, scores = TR.block_sgd_table(fx, none, K, 2, GU, GI, LAM, 4, ["idx"], shuffle=False, score_id="idx")
     assert len(kept) == 2
     assert facs.count() == 7 and scores.count() == 2 * len(ROWS)
+
+
+def test_mean_gradients_ship_one_count(spark):
+    """One count for all elements of a gradient; rows without a rating count
+    as rows only, an id without any gradient gets null."""
+    from factorcast.operators.metrics import gradient_aggregate
+    df = spark.createDataFrame([(1, 2.0), (1, 4.0), (1, None), (2, None)], "id long, e double")
+    out = gradient_aggregate(df, "id", [F.col("e"), F.col("e") * 3])
+    assert sorted(map(tuple, out.collect())) == [(1, 3, 3.0, 9.0), (2, 1, None, None)]
+    assert "avg(" not in out._jdf.queryExecution().executedPlan().toString()

@@ -97,3 +97,21 @@ def test_stream_recommend_lists_are_those_of_each_version(spark):
         best = recommend_top_r(uf, pf, K, 2, seen=df.where(F.col("idx") < hi), users=part)
         want += [(j, r.user, r.product, r.rank) for r in best.collect()]
     assert sorted((r.batch, r.user, r.product, r.rank) for r in got) == sorted(want) and want
+
+
+def test_staging_reads_the_stream_once(spark):
+    """Not once a micro-batch; a gap between bounds belongs to none."""
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("long")
+    def counted(i):
+        seen.add(1)
+        return i
+
+    rows = spark.range(100).select(counted("id").alias("idx"), F.lit(1).alias("user"))
+    bounds = [(lo, lo + 9) for lo in range(0, 100, 10)]
+    root = ST.stage_stream(rows, "idx", bounds, SK.scratch_path(spark, "t-once"))
+    assert seen.value <= 200
+    for j, (lo, hi) in enumerate(bounds):
+        got = spark.read.parquet(f"{root}/batch-{j:06d}").collect()
+        assert sorted(r.idx for r in got) == list(range(lo, hi))
