@@ -94,9 +94,9 @@ class PerfectHash:
 class Encoder(dict):
     """Pre-token -> tuple of ids; a missing one is worked out and kept."""
 
-    def __init__(self, tokens: list[bytes], pattern: str, cache_bytes: int = CACHE_BYTES):
+    def __init__(self, tokens: list[bytes], pattern: str, cache_bytes: int | None = None):
         super().__init__()
-        self.cache_bytes = cache_bytes
+        self.cache_bytes = CACHE_BYTES if cache_bytes is None else cache_bytes
         self.tokens = tokens
         self.whole = PerfectHash(tokens)
         rank = {t: i for i, t in enumerate(tokens)}
@@ -174,10 +174,10 @@ class Encoder(dict):
         return list(chain.from_iterable(map(self.__getitem__, self.split(text))))
 
 
-_ENCODERS: dict[tuple[str, str, int], Encoder] = {}
+_ENCODERS: dict[tuple[str, str, int | None], Encoder] = {}
 
 
-def _encoder(raw: bytes, pattern: str, cache_bytes: int = CACHE_BYTES) -> Encoder:
+def _encoder(raw: bytes, pattern: str, cache_bytes: int | None = None) -> Encoder:
     key = (xxhash.xxh3_64_hexdigest(raw), pattern, cache_bytes)
     if key not in _ENCODERS:
         _ENCODERS[key] = Encoder(read_ranks(raw), pattern, cache_bytes)
@@ -233,10 +233,10 @@ def decode(spark: SparkSession, ids: Column | str, ranks_path: str) -> Column:
 
 
 def encode_decode(spark: SparkSession, text: Column | str, ranks_path: str,
-                  pattern: str, cache_bytes: int = CACHE_BYTES, rows: int = 1000) -> Column:
+                  pattern: str, cache_bytes: int | None = None, rows: int = 1000) -> Column:
     """Column struct<ids, decoded>: each text's ids, and the bytes that these
     ids decode to; both in one worker, so that ids do not travel twice.  A
-    worker keeps ``cache_bytes`` of pre-tokens and the lists of ``rows`` texts."""
+    worker keeps ``cache_bytes`` (CACHE_BYTES) of pre-tokens and the lists of ``rows`` texts."""
     shipped = _shipped(spark, ranks_path)
 
     @F.arrow_udf("ids array<int>, decoded binary")
