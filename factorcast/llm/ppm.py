@@ -49,11 +49,12 @@ ORDER = 5
 TABLE = 2                    # orders up to this one come from one table
 PAD, END = 0xFE, 0xFF        # bytes that UTF-8 never has: before a text, and its end
 SYMBOLS = 255                # all bytes but PAD
-UNIT_BYTES = 5 << 23
+UNIT_BYTES = 1 << 25
 SUFFIX = (1 << 8 * (TABLE + 1)) - 1
 PIECE_BYTES = 1 << 23
 SLICE_BYTES = 1 << 20
-SHARD_ROWS = 1 << 20
+HELD_SLICES = 8              # whose words are looked up at once
+SHARD_ROWS = 1 << 18
 WORD_BYTES = 64              # longer words are known by a digest
 ALPHA = 0.1
 PIECES = "array<struct<last boolean, inside boolean, context binary, body binary, tail binary>>"
@@ -247,6 +248,24 @@ def _find(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarra
     return np.where(found.reshape(-1, *[1] * (values.ndim - 1)), values[at], 0)
 
 
+def _positions(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Where ``wanted`` stands in the sorted ``keys``; searched in ascending
+    order, so that neighbouring searches touch the same memory."""
+    order = np.argsort(wanted)
+    at = np.empty(len(wanted), np.int64)
+    at[order] = np.searchsorted(keys, wanted[order])
+    return at
+
+
+def _in_vocabulary(coded: list[pa.DictionaryArray], vocabulary: pa.ChunkedArray) -> Iterator[np.ndarray]:
+    """Where each value of each array stands in ``vocabulary``: the distinct
+    values of all are looked up at once, as each look-up hashes it anew."""
+    at = pc.index_in(pa.concat_arrays([c.dictionary for c in coded]), vocabulary).to_numpy()
+    ends = np.cumsum([len(c.dictionary) for c in coded])
+    for codes, mine in zip(coded, np.split(at, ends[:-1])):
+        yield mine[codes.indices.to_numpy()]
+
+
 def levels(first: int, last: int, gram: np.ndarray, n: np.ndarray, below: Level | None) -> Level:
     """The orders first to last of counted windows, above ``below``."""
     for order in range(first, last + 1):
@@ -316,6 +335,7 @@ def trie(counted: DataFrame) -> DataFrame:
                 limit = max(SHARD_ROWS, 2 * size)
         if held:
             yield from scored(np.concatenate(held, axis=1))
+        pa.default_memory_pool().release_unused()
 
     suffix = F.shiftright("gram", 8).bitwiseAND(SUFFIX)
     return counted.repartition(suffix).sortWithinPartitions(suffix, "gram").select(
@@ -359,31 +379,41 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
     below = np.log10(total + ALPHA * (distinct + 1))
 
     def receive(key: tuple[pa.Scalar, ...], group: pa.Table, values: pa.Table) -> pa.Table:
-        of_gram = values.filter(values["gram"].is_valid())
-        order = np.argsort(of_gram["gram"].to_numpy())
-        gram, logp = of_gram["gram"].to_numpy()[order], of_gram["logp"].to_numpy()[order]
-        of_word = values.filter(values["word"].is_valid())
-        spoken, times = of_word["word"], of_word["logp"].to_numpy()
+        # sorted copies of what is needed, column by column: units are large
+        order = np.argsort(values["gram"].drop_null().to_numpy())
+        gram = values["gram"].drop_null().to_numpy()[order]
+        logp = values["logp"].filter(values["gram"].is_valid()).to_numpy()[order]
+        del order
+        spoken = values["word"].drop_null()
+        times = values["logp"].filter(values["word"].is_valid()).to_numpy()
         each = np.log10(times + ALPHA) - below
-        del of_gram, of_word, order
-        n_tokens, n_known, base, scores = [], [], [], []
+        n_tokens, n_known, base, scores, said = [], [], [], [], []
+
+        def count_words() -> None:
+            """Of the slices held in ``said``."""
+            for n, word in zip(n_tokens[len(base):], _in_vocabulary(said, spoken)):
+                # a piece within one endless word has no token
+                first, some = np.cumsum(n) - n, n > 0
+                known, sums = np.zeros(len(n), np.int64), np.zeros(len(n))
+                if some.any():
+                    known[some] = np.add.reduceat((times > 0).astype(np.int64)[word], first[some])
+                    sums[some] = np.add.reduceat(each[word], first[some])
+                n_known.append(known)
+                base.append(sums)
+            said.clear()
+
         for part in slices(read_pieces(group)):
             found, sizes = windows(part)
             coded = pa.array(found).dictionary_encode()
-            value = logp[np.searchsorted(gram, coded.dictionary.to_numpy())][coded.indices.to_numpy()]
+            value = logp[_positions(gram, coded.dictionary.to_numpy())][coded.indices.to_numpy()]
             scores.append(np.add.reduceat(value, np.r_[0, np.cumsum(sizes)[:-1]]))
             words = [p.words() for p in part]
-            n = np.array([len(w) for w in words], np.int64)
-            at = pc.index_in(pa.array(list(chain.from_iterable(words)), pa.binary()), spoken).to_numpy()
-            # a piece within one endless word has no token
-            first, some = np.cumsum(n) - n, n > 0
-            known, sums = np.zeros(len(n), np.int64), np.zeros(len(n))
-            if some.any():
-                known[some] = np.add.reduceat((times > 0).astype(np.int64)[at], first[some])
-                sums[some] = np.add.reduceat(each[at], first[some])
-            n_tokens.append(n)
-            n_known.append(known)
-            base.append(sums)
+            n_tokens.append(np.array([len(w) for w in words], np.int64))
+            said.append(pa.array(list(chain.from_iterable(words)), pa.binary()).dictionary_encode())
+            if len(said) == HELD_SLICES:
+                count_words()
+        if said:
+            count_words()
         pa.default_memory_pool().release_unused()
         n_tokens, n_known, base, scores = map(np.concatenate, (n_tokens, n_known, base, scores))
         return pa.table({

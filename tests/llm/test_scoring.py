@@ -8,6 +8,7 @@ from fractions import Fraction
 from itertools import permutations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -115,6 +116,19 @@ def test_ppm_windows_of_one_suffix_over_many_batches(spark, monkeypatch):
     same_scores(found, plain_scores(rows))
 
 
+def test_ppm_looks_words_up_slices_at_a_time(monkeypatch):
+    """The vocabulary is hashed once for several slices; windows are found
+    whatever their order."""
+    calls, index_in = [], ppm.pc.index_in
+    monkeypatch.setattr(ppm.pc, "index_in", lambda *a: calls.append(1) or index_in(*a))
+    slices = [[b"a", b"c", b"a"], [], [b"", b"b", b"c"]]
+    coded = [pa.array(s, pa.binary()).dictionary_encode() for s in slices]
+    vocabulary = pa.chunked_array([pa.array([b"c", b""], pa.binary()), pa.array([b"a", b"b"], pa.binary())])
+    found = [at.tolist() for at in ppm._in_vocabulary(coded, vocabulary)]
+    assert found == [[2, 0, 2], [], [1, 3, 0]] and len(calls) == 1
+    assert ppm._positions(np.array([3, 5, 9]), np.array([9, 3, 5, 3])).tolist() == [2, 0, 1, 0]
+
+
 def test_ppm_edges(spark, edge, edge_rows, empty):
     found = ppm.score(edge, F.col("doc_id") % 2 == 0).select(COLUMNS).collect()
     same_scores(found, plain_scores([(r[0], r[1], r[0] is not None and r[0] % 2 == 0)
