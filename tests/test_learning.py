@@ -393,3 +393,48 @@ def test_mean_gradients_ship_one_count(spark):
     out = gradient_aggregate(df, "id", [F.col("e"), F.col("e") * 3])
     assert sorted(map(tuple, out.collect())) == [(1, 3, 3.0, 9.0), (2, 1, None, None)]
     assert "avg(" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def _by_batch(rows, facs, batches, keys, trail, blocks, **kw):
+    """One call a micro-batch."""
+    seen = []
+    for j in range(batches):
+        facs, scores = TR.score_and_learn(rows.where(F.col("batch") == j).drop("batch"), facs, K, 1, GU, GI, LAM,
+                                          ["idx"], blocks=blocks, keys=keys, trail=trail, **kw)
+        seen += scores.collect()
+    return facs, seen
+
+
+def _same_learning(spark, rows, batches, blocks, keys=None, trail=False, start=None):
+    facs = start if start is not None else TR.combine_factors(None, None, spark, keys)
+    want_f, want_s = _by_batch(rows, facs, batches, keys, trail, blocks)
+    got_f, got_s = TR.score_and_learn(rows, facs, K, 1, GU, GI, LAM, ["idx"], blocks=blocks, keys=keys,
+                                      trail=trail, batch_col="batch")
+    assert sorted(map(tuple, got_f.collect())) == sorted(map(tuple, want_f.collect()))
+    assert sorted(map(tuple, got_s.collect())) == sorted(map(tuple, want_s))
+    assert len(want_s)
+
+
+def test_many_micro_batches_learn_as_one_after_the_other(spark):
+    """Bit for bit, with a user and a product of a third of the rows each (few
+    blocks at the end) and rows that are in no stratum; known vectors count."""
+    rows = [((i * 7) % 23 if i % 3 else 5, (i * 11) % 19 if i % 4 else 2, float(i % 9) / 2 + 0.5, i, i // 40)
+            for i in range(160)]
+    rows += [(None, 3, 1.0, 160, 3), (4, None, 2.0, 161, 3)]
+    df = spark.createDataFrame(rows, "user long, product long, rating double, idx long, batch long")
+    start = spark.createDataFrame([("u", 5, [0.1, 0.2, 0.3, 0.4]), ("p", 2, [0.5, 0.1, 0.2, 0.9]),
+                                   ("p", 99, [1.0, 2.0, 3.0, 4.0])], "side string, id long, f array<double>")
+    _same_learning(spark, df, 4, 4, start=start)
+    _same_learning(spark, df, 4, 1, trail=True)
+
+
+def test_many_sparse_micro_batches_and_keyed_models(spark, monkeypatch):
+    """Ratings that share few ids finish in some rounds of all blocks; a buffer
+    of few rows cuts a block's ratings; keyed models learn apart."""
+    monkeypatch.setattr(TR, "BUFFER_ROWS", 16)
+    sparse = spark.createDataFrame([((i * 37) % 101, (i * 53) % 97, float(i % 5) + 1, i, i // 25)
+                                    for i in range(100)],
+                                   "user long, product long, rating double, idx long, batch long")
+    _same_learning(spark, sparse, 4, 4, trail=True)
+    keyed = sparse.withColumn("round", F.col("idx") % 3).withColumn("user", F.col("user") % 7)
+    _same_learning(spark, keyed, 4, 2, keys=["round"])
