@@ -438,3 +438,13 @@ def test_many_sparse_micro_batches_and_keyed_models(spark, monkeypatch):
     _same_learning(spark, sparse, 4, 4, trail=True)
     keyed = sparse.withColumn("round", F.col("idx") % 3).withColumn("user", F.col("user") % 7)
     _same_learning(spark, keyed, 4, 2, keys=["round"])
+
+
+def test_round_groups_bound_the_replicated_ratings():
+    """Where no round's product table fits a broadcast, a group replicates the
+    ratings at most twice, whatever the number of rounds."""
+    for n_blocks in (2, 5, 50):
+        groups = P.round_groups(n_blocks, 0)
+        assert [r for lo, hi in groups for r in range(lo, hi + 1)] == list(range(1, n_blocks))
+        assert all(lo == hi or sum(range(lo, hi + 1)) <= 2 * n_blocks for lo, hi in groups)
+    assert P.round_groups(50, 20) == [(1, 20), (21, 40), (41, 49)]
