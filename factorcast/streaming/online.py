@@ -2,8 +2,9 @@
 
 ST1 ``stream_prequential``  score each micro-batch with factor version N,
                             append its metrics, learn it, write version N+1.
-ST2 ``stream_last_k``       per-user K newest ratings as keyed ListState
-                            (``transformWithStateInPandas``, RocksDB store).
+ST2 ``stream_last_k``       per-user K newest ratings as keyed state, a value a
+                            bucket of users (``transformWithStateInPandas``,
+                            RocksDB store).
 ST3 ``stream_recommend``    learn each micro-batch, then refresh the top R
                             for the users it touched.
 
@@ -17,6 +18,7 @@ delta of a versioned table (``sources.store``), which drops old versions.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,13 +46,14 @@ FILES = 4                 # files of a micro-batch, written by as many tasks
 
 
 def stage_stream(df: DataFrame, idx: str, bounds: list[tuple[int, int]], root: str) -> str:
-    """Write FILES Parquet files per micro-batch, batch after batch, so file
-    modification times follow the stream order (the file source consumes
-    oldest first).  ``idx`` is gapless, so every file of a batch of at least
-    FILES rows has rows; only the last batch may be smaller.  ``bounds`` ascend.
-
-    ``df`` is read once and written by micro-batch; each batch then reads its
-    own folder, so staging takes time in proportion to the rows."""
+    """Write FILES Parquet files per micro-batch, with file modification times
+    that follow the stream order (the file source consumes oldest first).
+    ``idx`` is gapless, so every file of a batch of at least FILES rows has
+    rows; only the last batch may be smaller.  ``bounds`` ascend.
+
+    ``df`` is read once and all batches are written by one job; their times are
+    set afterwards.  A file system that keeps no set times gets the batches
+    written again, one after the other."""
     spark = df.sparkSession
     lows, highs = (np.array([b[i] for b in bounds], np.int64) for i in (0, 1))
 
@@ -65,15 +68,46 @@ def stage_stream(df: DataFrame, idx: str, bounds: list[tuple[int, int]], root: s
         return root
     path = scratch_path(spark, "stream-batches")
     numbered = df.withColumn("_batch", number(F.col(idx).cast("long"))).where("_batch IS NOT NULL")
-    numbered.write.partitionBy("_batch").parquet(path)
-    staged = spark.read.schema(numbered.schema).parquet(path)
-    for j in range(len(bounds)):
-        part = staged.where(F.col("_batch") == j).select(*df.columns)
-        part.repartitionById(FILES, F.pmod(F.col(idx), F.lit(FILES)).cast("int")).write.mode(
-            "overwrite").parquet(f"{root}/batch-{j:06d}")
+    # all files of a batch from FILES tasks, whatever the number of tasks
+    wide = max(1, 2 * spark.sparkContext.defaultParallelism // FILES)
+    task = F.pmod(F.col(idx), F.lit(FILES)) + F.lit(FILES) * F.pmod(F.col("_batch"), F.lit(wide))
+    (numbered.repartitionById(FILES * wide, task.cast("int")).sortWithinPartitions("_batch")
+     .write.partitionBy("_batch").option("maxRecordsPerFile", 0).parquet(path))
+    if not _file_in_order(spark, path, root, len(bounds)):
+        staged = spark.read.schema(numbered.schema).parquet(path)
+        for j in range(len(bounds)):
+            part = staged.where(F.col("_batch") == j).select(*df.columns)
+            part.repartitionById(FILES, F.pmod(F.col(idx), F.lit(FILES)).cast("int")).write.mode(
+                "overwrite").parquet(f"{root}/batch-{j:06d}")
     return root
 
 
+FILE_SECONDS = 500_000    # at most this old, well below the source's ``maxFileAge`` of a week
+
+
+def _file_in_order(spark: SparkSession, path: str, root: str, n: int) -> bool:
+    """Move the folders of micro-batches written at once under ``root`` and set
+    their files' modification times to the order of the batches.  False, with
+    nothing moved, where the file system keeps no times that are set."""
+    to = spark._jvm.org.apache.hadoop.fs.Path
+    fs = to(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    step = max(1, min(1000, 1000 * FILE_SECONDS // n))
+    first = int(time.time()) * 1000 - n * step
+    moves = []
+    for j in range(n):
+        folder = to(f"{path}/_batch={j}")
+        for f in fs.listStatus(folder) if fs.exists(folder) else ():
+            fs.setTimes(f.getPath(), first + j * step, -1)
+            if fs.getFileStatus(f.getPath()).getModificationTime() != first + j * step:
+                return False
+        moves.append((folder, to(f"{root}/batch-{j:06d}")))
+    fs.mkdirs(to(root))
+    for folder, target in moves:
+        if not (fs.rename(folder, target) if fs.exists(folder) else fs.mkdirs(target)):
+            raise RuntimeError(f"could not write {target}")
+    return True
+
+
 def read_stream(spark: SparkSession, root: str, schema: T.StructType) -> DataFrame:
     return (spark.readStream.schema(schema)
             .option("maxFilesPerTrigger", FILES)
@@ -81,11 +115,31 @@ def read_stream(spark: SparkSession, root: str, schema: T.StructType) -> DataFra
             .parquet(root))
 
 
-def _run(writer, checkpoint: str):
-    q = writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    q.awaitTermination()
-    if q.exception() is not None:
-        raise RuntimeError(str(q.exception()))
+def stream_partitions(spark: SparkSession) -> int:
+    """Shuffle (and state) partitions of a stream: as many as tasks run at once.
+    A micro-batch is small, and each costs a task a batch even when empty, with
+    a state store and a Python worker; those of the session are for tables."""
+    return max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")),
+                      spark.sparkContext.defaultParallelism))
+
+
+def _run(spark: SparkSession, writer, checkpoint: str, **settings: str):
+    """Run a stream to its end; it begins with (and so keeps) the settings."""
+    settings = {"spark.sql.shuffle.partitions": str(stream_partitions(spark)), **settings}
+    before = {c: spark.conf.get(c, None) for c in settings}
+    for c, v in settings.items():
+        spark.conf.set(c, v)
+    try:
+        q = writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        q.awaitTermination()
+        if q.exception() is not None:
+            raise RuntimeError(str(q.exception()))
+    finally:
+        for c, v in before.items():
+            if v is None:
+                spark.conf.unset(c)
+            else:
+                spark.conf.set(c, v)
 
 
 # ---------------------------------------------------------------- ST1
@@ -154,7 +208,7 @@ def stream_prequential(stream: DataFrame, uf0: DataFrame, pf0: DataFrame, k: int
     metrics = scratch_path(spark, "st1-metrics")
     write_factors(uf0, pf0, root, 0)
     body = PrequentialBatch(root, metrics, k, steps, gamma_u, gamma_i, lam, blocks, implicit)
-    _run(stream.writeStream.foreachBatch(body), scratch_path(spark, "st1-ckpt"))
+    _run(spark, stream.writeStream.foreachBatch(body), scratch_path(spark, "st1-ckpt"))
     return spark.read.parquet(metrics).select("batch", "lo", "hi", "n", "unknown", "rmse")
 
 
@@ -169,21 +223,26 @@ BUFFER_SCHEMA = T.StructType([
     T.StructField("b_rating", T.DoubleType()),
 ])
 
-_ITEM_SCHEMA = T.StructType([
-    T.StructField("b_idx", T.LongType()),
-    T.StructField("b_product", T.LongType()),
-    T.StructField("b_rating", T.DoubleType()),
-])
-
-
 PIECE_ROWS = 1 << 12        # events whose buffers are put out at once
+STATE_BUCKETS = 512         # groups of users that share a state value
+NULLS = ("user", "product", "rating")     # bits of ``nulls``, from 1
+
+# of the rows in a bucket's buffers, users together and oldest first: packed columns
+_KINDS = {"user": np.int64, "nulls": np.int64, "idx": np.int64, "product": np.int64, "rating": np.float64,
+          "touched": np.int64}
+_STATE_SCHEMA = T.StructType([T.StructField(c, T.BinaryType()) for c in _KINDS])
+_EMITTED = T.StructType([T.StructField("nulls", T.LongType()), T.StructField("b_nulls", T.LongType()),
+                         *BUFFER_SCHEMA.fields])
 
 
 class LastKProcessor(StatefulProcessor):
-    """Keeps each user's K newest (idx, product, rating) in a ListState and
-    emits the buffer (newest first) after every arriving rating.
+    """Keeps each user's K newest (idx, product, rating) and emits the buffer
+    (newest first) after every arriving rating.
 
-    Of a user's rows of a micro-batch a task holds three numbers each (a
+    The key is a bucket of users, whose buffers are one packed state value: a
+    key costs some milliseconds a micro-batch whatever its rows (calls to the
+    state server, a frame in, a frame out), a user's rows next to nothing.
+    Of a bucket's rows of a micro-batch a task holds a few numbers each (a
     stream has no order within a micro-batch, so they are sorted here); their
     buffers, K times as many rows, leave PIECE_ROWS events at a time.  With
     ``expire_ms`` a user's buffer is dropped that long after its last rating."""
@@ -192,57 +251,76 @@ class LastKProcessor(StatefulProcessor):
         self.last_k, self.expire_ms = last_k, expire_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.buf = handle.getListState("buffer", _ITEM_SCHEMA, ttlDurationMs=self.expire_ms)
+        self.buf = handle.getValueState("buffer", _STATE_SCHEMA, ttlDurationMs=self.expire_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         if self.last_k <= 0:
             return
-        user = int(key[0])
-        old = [tuple(t) for t in self.buf.get()] if self.buf.exists() else []
-        kinds = (np.int64, np.int64, np.float64)
-        parts = [tuple(np.array(c, t) for c, t in zip(zip(*old), kinds))] if old else []
+        now = timerValues.getCurrentProcessingTimeInMs() if self.expire_ms else 0
+        packed = self.buf.get()
+        old = {c: np.frombuffer(v, _KINDS[c]) for c, v in zip(_KINDS, packed)} if packed else {
+            c: np.empty(0, t) for c, t in _KINDS.items()}
+        if self.expire_ms:
+            fresh = old["touched"] + self.expire_ms > now
+            old = {c: v[fresh] for c, v in old.items()}
+        parts = [old]
         for piece in rows:
-            parts.append(tuple(piece[c].to_numpy(t) for c, t in zip(("idx", "product", "rating"), kinds)))
-        idx, product, rating = (np.concatenate(c) for c in zip(*parts))
-        n_old = len(old)
-        order = np.r_[np.arange(n_old), n_old + np.argsort(idx[n_old:], kind="stable")]
-        idx, product, rating = idx[order], product[order], rating[order]
-        for lo in range(n_old, len(idx), PIECE_ROWS):
-            event = np.repeat(np.arange(lo, min(lo + PIECE_ROWS, len(idx))), self.last_k)
-            pos = np.tile(np.arange(self.last_k), len(event) // self.last_k)
-            event, pos = event[event >= pos], pos[event >= pos]
-            at = event - pos
-            yield pd.DataFrame({"idx": idx[event], "user": user, "pos": pos, "b_idx": idx[at],
-                                "b_product": product[at], "b_rating": rating[at]})
-        self.buf.put(list(zip(*(c[-self.last_k:].tolist() for c in (idx, product, rating)))))
+            parts.append({c: piece[c].to_numpy(t) for c, t in _KINDS.items() if c != "touched"}
+                         | {"touched": np.full(len(piece), now, np.int64)})
+        at = {c: np.concatenate([p[c] for p in parts]) for c in _KINDS}
+        n, n_old = len(at["idx"]), len(old["idx"])
+        new = np.arange(n) >= n_old
+        order = np.lexsort((np.where(new, at["idx"], np.arange(n)), new, at["user"], at["nulls"] & 1))
+        at, new = {c: v[order] for c, v in at.items()}, new[order]
+        starts = np.r_[True, (at["user"][1:] != at["user"][:-1]) | ((at["nulls"][1:] ^ at["nulls"][:-1]) & 1 > 0)]
+        first = np.flatnonzero(starts)
+        of = np.cumsum(starts) - 1
+        arrived = np.flatnonzero(new)
+        for lo in range(0, len(arrived), PIECE_ROWS):
+            part = arrived[lo:lo + PIECE_ROWS]
+            event = np.repeat(part, self.last_k)
+            pos = np.tile(np.arange(self.last_k), len(part))
+            event, pos = event[event - pos >= first[of[event]]], pos[event - pos >= first[of[event]]]
+            b = event - pos
+            yield pd.DataFrame({"nulls": at["nulls"][event], "b_nulls": at["nulls"][b], "idx": at["idx"][event],
+                                "user": at["user"][event], "pos": pos, "b_idx": at["idx"][b],
+                                "b_product": at["product"][b], "b_rating": at["rating"][b]})
+        # a user's newest row says when it was last touched
+        last = np.r_[first[1:], n]
+        at["touched"] = at["touched"][last - 1][of]
+        kept = last[of] - np.arange(n) <= self.last_k
+        self.buf.update(tuple(at[c][kept].tobytes() for c in _KINDS))
 
     def close(self) -> None:
         pass
 
 
-def stream_last_k(stream: DataFrame, last_k: int, expire_ms: int | None = None) -> DataFrame:
+def stream_last_k(stream: DataFrame, last_k: int, expire_ms: int | None = None,
+                  buckets: int = STATE_BUCKETS) -> DataFrame:
     """ST2: streaming last-K buffers; runs to completion and returns the
     emitted buffer rows (equal to the batch ``last_k_buffer`` while nothing
-    expires)."""
+    expires).  A micro-batch reads and writes the buffers of the buckets of its
+    users, so ``buckets`` should grow with the users; it must stay what it was
+    when a stream was begun."""
     spark = stream.sparkSession
     out = scratch_path(spark, "st2-out")
-    keyed = stream.select("idx", F.col("user").cast("long").alias("user"),
-                          F.col("product").cast("long").alias("product"),
-                          F.col("rating").cast("double").alias("rating"))
-    res = keyed.groupBy("user").transformWithStateInPandas(
-        statefulProcessor=LastKProcessor(last_k, expire_ms), outputStructType=BUFFER_SCHEMA,
+    kinds = {"user": "long", "product": "long", "rating": "double"}
+    nulls = sum((F.col(c).isNull().cast("long") * F.lit(1 << i) for i, c in enumerate(NULLS)), F.lit(0).cast("long"))
+    keyed = stream.select(
+        F.pmod(F.xxhash64(F.col("user").cast("long")), F.lit(buckets)).cast("int").alias("bucket"),
+        F.col("idx").cast("long").alias("idx"), nulls.alias("nulls"),
+        *[F.coalesce(F.col(c).cast(t), F.lit(0).cast(t)).alias(c) for c, t in kinds.items()])
+    res = keyed.groupBy("bucket").transformWithStateInPandas(
+        statefulProcessor=LastKProcessor(last_k, expire_ms), outputStructType=_EMITTED,
         outputMode="Append", timeMode="ProcessingTime" if expire_ms else "None")
-    before = spark.conf.get(STATE_STORE, None)
-    spark.conf.set(STATE_STORE, ROCKSDB)
-    try:
-        _run(res.writeStream.format("parquet").option("path", out).outputMode("append"),
-             scratch_path(spark, "st2-ckpt"))
-    finally:
-        if before is None:
-            spark.conf.unset(STATE_STORE)
-        else:
-            spark.conf.set(STATE_STORE, before)
-    return spark.read.schema(BUFFER_SCHEMA).parquet(out)
+    _run(spark, res.writeStream.format("parquet").option("path", out).outputMode("append"),
+         scratch_path(spark, "st2-ckpt"), **{STATE_STORE: ROCKSDB})
+    emitted = spark.read.schema(_EMITTED).parquet(out)
+    for col, flags, side in (("user", "nulls", "user"), ("b_product", "b_nulls", "product"),
+                             ("b_rating", "b_nulls", "rating")):
+        known = F.col(flags).bitwiseAND(1 << NULLS.index(side)) == 0
+        emitted = emitted.withColumn(col, F.when(known, F.col(col)))
+    return emitted.select(*BUFFER_SCHEMA.names)
 
 
 # ---------------------------------------------------------------- ST3
@@ -289,5 +367,5 @@ def stream_recommend(stream: DataFrame, k: int, steps: int, gamma_u: float, gamm
     write_factors(empty_factors(spark), empty_factors(spark), root, 0)
     seen_table(spark, root).write(0, spark.createDataFrame([], "user long, product long"))
     body = RecommendBatch(root, recs, k, steps, gamma_u, gamma_i, lam, r)
-    _run(stream.writeStream.foreachBatch(body), scratch_path(spark, "st3-ckpt"))
+    _run(spark, stream.writeStream.foreachBatch(body), scratch_path(spark, "st3-ckpt"))
     return spark.read.parquet(recs).select("batch", "user", "product", "rank")

@@ -1,5 +1,9 @@
 """Streaming: replayed micro-batches are idempotent; the stream covers every row."""
 
+import glob
+import os
+
+import pandas as pd
 from pyspark.sql import functions as F
 
 from factorcast.operators import ordering as OR
@@ -115,3 +119,71 @@ def test_staging_reads_the_stream_once(spark):
     for j, (lo, hi) in enumerate(bounds):
         got = spark.read.parquet(f"{root}/batch-{j:06d}").collect()
         assert sorted(r.idx for r in got) == list(range(lo, hi))
+
+
+def test_stream_last_k_shares_state_among_users(spark, monkeypatch):
+    """Few state partitions and keys, whatever the users; null values stay null."""
+    monkeypatch.setattr(ST, "PIECE_ROWS", 16)
+    rows = [(i, None if i % 11 == 0 else i % 17, None if i % 13 == 0 else i % 5,
+             None if i % 7 == 0 else float(i % 4)) for i in range(300)]
+    df = spark.createDataFrame(rows, "idx long, user long, product long, rating double")
+    root = ST.stage_stream(df, "idx", [(0, 120), (120, 240), (240, 300)], SK.scratch_path(spark, "t-lkb"))
+    paths = {}
+    monkeypatch.setattr(ST, "scratch_path", lambda s, name: paths.setdefault(name, SK.scratch_path(s, name)))
+    got = ST.stream_last_k(ST.read_stream(spark, root, df.schema), 3, buckets=2)
+    want = {}
+    for i, user, product, rating in rows:
+        want.setdefault(user, []).append((i, product, rating))
+    lists = [(b[j][0], u, pos, *b[j - pos]) for u, b in want.items() for j in range(len(b))
+             for pos in range(min(3, j + 1))]
+    key = lambda r: (r[0], r[2])
+    cols = ["idx", "user", "pos", "b_idx", "b_product", "b_rating"]
+    assert sorted(map(tuple, got.select(cols).collect()), key=key) == sorted(lists, key=key)
+    state = os.path.join(paths["st2-ckpt"].removeprefix("file:"), "state", "0")
+    assert len([p for p in os.listdir(state) if p.isdigit()]) <= spark.sparkContext.defaultParallelism
+    assert spark.conf.get("spark.sql.shuffle.partitions") == "8"
+
+
+def test_last_k_drops_a_user_that_long_after_its_last_rating():
+    """Of users that share a state value only the one that came by stays."""
+    class Value:
+        value = None
+
+        def get(self):
+            return self.value
+
+        def update(self, value):
+            self.value = value
+
+    class Time:
+        def __init__(self, ms):
+            self.ms = ms
+
+        def getCurrentProcessingTimeInMs(self):
+            return self.ms
+
+    p = ST.LastKProcessor(2, expire_ms=100)
+    p.buf = Value()
+
+    def feed(ms, *ratings):
+        part = pd.DataFrame(ratings, columns=["idx", "user", "product"]).assign(rating=1.0, nulls=0)
+        return [(r.idx, r.user, r.pos, r.b_idx) for f in p.handleInputRows((0,), iter([part]), Time(ms))
+                for r in f.itertuples()]
+
+    assert feed(1000, (0, 1, 5), (1, 2, 5)) == [(0, 1, 0, 0), (1, 2, 0, 1)]
+    assert feed(1060, (2, 1, 6)) == [(2, 1, 0, 2), (2, 1, 1, 0)]
+    assert feed(1120, (3, 2, 7), (4, 1, 8)) == [(4, 1, 0, 4), (4, 1, 1, 2), (3, 2, 0, 3)]
+
+
+def test_staged_files_are_as_old_as_their_batches(spark):
+    bounds = [(lo, lo + 10) for lo in range(0, 100, 10)]
+    root = ST.stage_stream(spark.range(100).withColumnRenamed("id", "idx"), "idx", bounds,
+                           SK.scratch_path(spark, "t-age")).removeprefix("file:")
+    times = [{os.stat(f).st_mtime_ns for f in glob.glob(f"{root}/batch-{j:06d}/*.parquet")} for j in range(10)]
+    assert all(len(glob.glob(f"{root}/batch-{j:06d}/*.parquet")) == ST.FILES for j in range(10))
+    assert all(max(a) < min(b) for a, b in zip(times, times[1:]))
+
+
+def test_staging_without_file_times_writes_the_batches_in_order(spark, monkeypatch):
+    monkeypatch.setattr(ST, "_file_in_order", lambda *a: False)
+    test_staging_reads_the_stream_once(spark)
