@@ -187,3 +187,48 @@ def test_staged_files_are_as_old_as_their_batches(spark):
 def test_staging_without_file_times_writes_the_batches_in_order(spark, monkeypatch):
     monkeypatch.setattr(ST, "_file_in_order", lambda *a: False)
     test_staging_reads_the_stream_once(spark)
+
+
+def test_small_micro_batch_is_learned_by_one_task(spark, monkeypatch):
+    """The same vectors and scores as stratum by stratum, one exchange each, also
+    with rows that lack a user, a product or a rating."""
+    from pyspark.sql import DataFrame
+    from factorcast.operators.train import combine_factors, score_and_learn
+    rows = [(i, None if i % 19 == 3 else i * 7 % 23, None if i % 17 == 5 else i * i % 13,
+             None if i == 40 else float(i % 5)) for i in range(150)]
+    df = spark.createDataFrame(rows, "idx long, user long, product long, rating double")
+    warm, batch = df.where("idx < 60").where("user IS NOT NULL AND product IS NOT NULL"), df.where("idx >= 60")
+    uf, pf = block_sgd(warm, K, 1, 0.05, 0.05, 0.02, order_cols=["idx"])
+    old = combine_factors(uf.where("id % 4 > 0"), pf.where("id % 5 > 0"), spark)
+
+    def learned(**known):
+        facs, scores = score_and_learn(batch, old, K, 2, 0.05, 0.05, 0.02, ["idx"], **known)
+        return (sorted((r.side, r.id, repr(r.f)) for r in facs.collect()),
+                sorted((r.idx, repr(r.score)) for r in scores.collect()))
+
+    want = learned()
+    monkeypatch.setattr(DataFrame, "repartitionById", None)       # no exchange a stratum
+    assert learned(n_rows=batch.count()) == want
+    root, metrics = SK.scratch_path(spark, "t-one"), SK.scratch_path(spark, "t-onem")
+    ST.write_factors(uf, pf, root, 0)
+    ST.PrequentialBatch(root, metrics, K, 1, 0.05, 0.05, 0.02)(batch, 0)
+    assert spark.read.parquet(metrics).select("n").first()[0] == len(want[1])
+
+
+def test_recommend_micro_batch_has_no_stratum_exchange(spark, monkeypatch):
+    """One task learns it, and its users' vectors are not read again."""
+    from pyspark.sql import DataFrame
+    rows = [(i, i % 5, i % 11, float(i % 2)) for i in range(20)]
+    df = spark.createDataFrame(rows, "idx long, user long, product long, rating double")
+    root, recs = SK.scratch_path(spark, "t-st3"), SK.scratch_path(spark, "t-st3r")
+    empty = block_sgd(df.where("idx < 0"), K, 1, 0.05, 0.05, 0.02)
+    ST.write_factors(*empty, root, 0)
+    ST.seen_table(spark, root).write(0, spark.createDataFrame([], "user long, product long"))
+    read, opened = ST.VersionedTable.read, []
+    monkeypatch.setattr(ST.VersionedTable, "read",
+                        lambda self, version, *a: opened.append((self.root[len(root) + 1:], version))
+                        or read(self, version, *a))
+    monkeypatch.setattr(DataFrame, "repartitionById", None)
+    ST.RecommendBatch(root, recs, K, 1, 0.05, 0.05, 0.02, 3)(df, 0)
+    assert sorted(opened) == [("product", 0), ("product", 1), ("seen", 1), ("user", 0)]
+    assert spark.read.parquet(recs).select("user").distinct().count() == 5
