@@ -508,3 +508,33 @@ def test_prequential_last_k_learns_many_micro_batches_a_step(spark, fx, monkeypa
     P.eval_prequential_last_k(fx.withColumn("ts", F.col("idx")), ["ts", "idx"], K, 2, GU, GI, LAM,
                               batch_rows=2, round_rows=100, n_blocks=4, blocks=2).collect()
     assert len(calls) == 1
+
+
+def test_expanding_online_groups_bound_rows_and_scratch(spark, monkeypatch):
+    """Groups of few rounds: the same metrics as all rounds at once, no training
+    on more than twice the ratings, and no written ratings are left."""
+    import glob
+    from factorcast.session import ensure_checkpoint_dir
+    df = spark.createDataFrame([(i * 7 % 13, i * 5 % 11, float(i % 9) / 2 + 0.5, i) for i in range(90)],
+                               "user long, product long, rating double, ts long")
+    io = ensure_checkpoint_dir(spark).removeprefix("file:") + "/factorcast-io"
+
+    def kept():
+        return {f for kind in ("strata", "stream-rows", "rounds") for f in glob.glob(f"{io}/{kind}-*/**/*.parquet",
+                                                                                   recursive=True)}
+
+    def run(ratings=df):
+        m = P.eval_expanding_online(ratings, ["ts"], K, 1, GU, GI, LAM, n_blocks=10, batch_rows=4, blocks=2)
+        return sorted(map(tuple, m.collect()))
+
+    trained, before = [], kept()
+    train = P.block_sgd_table
+    monkeypatch.setattr(P, "block_sgd_table", lambda tr, *a, **kw: trained.append(tr.count()) or train(tr, *a, **kw))
+    whole = run()
+    assert trained == [sum(9 * i for i in range(1, 10))]
+    monkeypatch.setattr(P, "GROUP_ROWS", 0)
+    trained.clear()
+    assert run() == whole and len(whole) == 9
+    assert len(trained) > 2 and max(trained) <= 2 * 90
+    assert kept() == before
+    assert [r[3] for r in run(df.where("ts < 5"))] == [1, 0] * 4 + [1]      # groups without test rows
